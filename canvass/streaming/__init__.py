@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysed workflow is a batch job over one questionnaire table; it has no
+stream, watermark, window over event time, state or late data. Every operator
+here is a plain DataFrame function, so it can be applied unchanged inside
+``foreachBatch`` of a Structured Streaming query if a caller needs that.
+"""
