@@ -198,7 +198,8 @@ def derived_set_check(df: DataFrame, id_col: str, have: str, want: str, both: st
 
 def explode_trimmed(df: DataFrame, cell: str, sep: str = MULTI_SEP, alias: str = "option") -> DataFrame:
     """M9: explode a cell and strip every token (the chart path trims)."""
-    return df.withColumn(alias, F.trim(F.explode(F.split(F.col(cell), _quoted(sep), -1))))
+    exploded = df.withColumn(alias, F.explode(F.split(F.col(cell), _quoted(sep), -1)))
+    return exploded.withColumn(alias, F.trim(F.col(alias)))
 
 
 def response_rate_by_class(df: DataFrame, questions: Sequence[str], class_col: str) -> DataFrame:

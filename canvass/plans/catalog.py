@@ -81,3 +81,149 @@ def q_set_intersection_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_response_rate_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fx.respondents(spark, sf_dir).withColumn("spend", F.col("spend").cast("string"))
     return ms.response_rate_by_class(df, ["have_cell", "want_cell", "spend"], "outcome")
+
+
+# ---- cleaning --------------------------------------------------------------
+
+from canvass.functions import scalars as sc  # noqa: E402
+from canvass.functions.guards import collect_bounded  # noqa: E402
+from canvass.operators import clean as cl  # noqa: E402
+from canvass.operators import rates as rt  # noqa: E402
+
+# Fixed values of the fixture: an ordinal code per market segment
+# (None = an answer that cannot be ordered).
+SEGMENT_ORDINAL: dict[str, float | None] = {
+    "AUTOMOBILE": 1.0,
+    "BUILDING": 2.0,
+    "FURNITURE": 3.0,
+    "HOUSEHOLD": 4.0,
+    "MACHINERY": None,
+}
+KNOWN_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"]
+
+
+def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver view of the respondent fixture: drop, names, strict numbers, ordinals."""
+    return cl.to_silver(
+        fx.respondents(spark, sf_dir),
+        drop=["n_returns"],
+        sentinel_cols=["years_text"],
+        ordinals={"segment": SEGMENT_ORDINAL},
+    )
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Respondents with an answer to the outcome, a 0/1 target and lenient years."""
+    df = fx.respondents(spark, sf_dir)
+    return cl.drop_null_rows(df, ["outcome"]).select(
+        "*",
+        sc.binary_label(F.col("outcome")).alias("target"),
+        sc.lenient_number(F.col("years_text")).alias("years"),
+    )
+
+
+@query("clean_silver")
+def q_clean_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return silver(spark, sf_dir)
+
+
+@query("sentinel_numeric")
+def q_sentinel_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fx.respondents(spark, sf_dir)
+    return df.select("respondent_id", sc.strict_sentinel_number(F.col("years_text"), "years_text").alias("years"))
+
+
+@query("lenient_numeric")
+def q_lenient_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fx.respondents(spark, sf_dir).select("respondent_id", "years_text", "segment")
+    return cl.lenient_numeric(df, ["years_text", "segment"])
+
+
+@query("ordinal_encode")
+def q_ordinal_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fx.respondents(spark, sf_dir)
+    return df.select("respondent_id", "segment", sc.ordinal_code(F.col("segment"), SEGMENT_ORDINAL, "segment").alias("segmentNum"))
+
+
+@query("unknown_values")
+def q_unknown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cl.unknown_values(spark, fx.respondents(spark, sf_dir), "segment", KNOWN_SEGMENTS)
+
+
+@query("binary_label")
+def q_binary_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(spark, sf_dir).select("respondent_id", "outcome", "target")
+
+
+@query("trim_to_quantile")
+def q_trim_to_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fx.respondents(spark, sf_dir)
+    lo, hi = df.agg(F.percentile("spend", [0.01, 0.99])).first()[0]
+    return df.select("respondent_id", cl.in_range_else_null(F.col("spend"), lo, hi).alias("spend_trimmed"))
+
+
+@query("leak_family_drop")
+def q_leak_family_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = CATALOG["multihot"](spark, sf_dir)
+    return cl.drop_family(wide, ["want_cell"])
+
+
+@query("row_invariants")
+def q_row_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: silver keeps one row per respondent, ids are unique, wide = silver rows."""
+    s = silver(spark, sf_dir)
+    wide = CATALOG["multihot"](spark, sf_dir)
+    s_counts = s.agg(
+        F.count(F.lit(1)).alias("silver_rows"),
+        F.count_distinct("respondent_id").alias("distinct_ids"),
+    )
+    w_counts = wide.agg(F.count(F.lit(1)).alias("wide_rows"))
+    # two one-row aggregates side by side: union, then one merge row
+    both = s_counts.unionByName(w_counts, allowMissingColumns=True).agg(
+        F.max("silver_rows").alias("silver_rows"),
+        F.max("distinct_ids").alias("distinct_ids"),
+        F.max("wide_rows").alias("wide_rows"),
+    )
+    return both.select(
+        "silver_rows",
+        "distinct_ids",
+        "wide_rows",
+        F.lit(len(s.columns)).alias("silver_cols"),
+        F.lit(len(wide.columns)).alias("wide_cols"),
+    )
+
+
+# ---- rates -----------------------------------------------------------------
+
+
+@query("rate_by_country")
+def q_rate_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.rate_by_group(labelled(spark, sf_dir), "country", "target", min_n=60)
+
+
+@query("rate_by_option_and_band")
+def q_rate_by_option_and_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cl.drop_null_rows(labelled(spark, sf_dir), ["have_cell", "years"])
+    return rt.rate_by_option_and_band(df, "have_cell", "target", "years", top_n=10)
+
+
+@query("rate_by_band")
+def q_rate_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = cl.drop_null_rows(labelled(spark, sf_dir), ["years"])
+    return rt.rate_by_band(df, "years", "target")
+
+
+@query("rate_two_way")
+def q_rate_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = labelled(spark, sf_dir).withColumn(
+        "band", sc.right_closed_band(F.col("years"), rt.CAREER_EDGES, rt.CAREER_BANDS, include_lowest=True)
+    )
+    levels = fx.respondents(spark, sf_dir).select("segment").filter(F.col("segment").isNotNull()).distinct()
+    seg_levels = [r[0] for r in collect_bounded(levels, 10_000, "segment levels")]
+    return rt.rate_two_way(df, "segment", "band", "target", a_levels=sorted(seg_levels), b_levels=rt.CAREER_BANDS)
+
+
+@query("indicator_rate_two_way")
+def q_indicator_rate_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fx.respondents(spark, sf_dir)
+    return rt.indicator_rate_two_way(df, (F.col("n_returns") > 0).cast("int"), "segment", "outcome")

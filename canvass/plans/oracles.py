@@ -171,3 +171,109 @@ FROM (SELECT outcome, 'have_cell' AS question, have_cell AS cell FROM fx WHERE o
 GROUP BY question, outcome
 """,
 )
+
+
+# ---- cleaning ----------------------------------------------------------------
+
+_YEARS = """CASE WHEN years_text = 'Less than 1 year' THEN 0.5e0 WHEN years_text = 'More than 50 years' THEN 51e0
+  ELSE TRY_CAST(years_text AS DOUBLE) END"""
+_SEGNUM = """CASE segment WHEN 'AUTOMOBILE' THEN 1e0 WHEN 'BUILDING' THEN 2e0 WHEN 'FURNITURE' THEN 3e0
+  WHEN 'HOUSEHOLD' THEN 4e0 WHEN 'MACHINERY' THEN NULL END"""
+
+oracle(
+    "clean_silver",
+    f"""SELECT respondent_id, segment, country, outcome, {_YEARS} AS years_text, spend, have_cell, want_cell,
+  {_SEGNUM} AS segmentNum FROM fx""",
+)
+oracle("sentinel_numeric", f"SELECT respondent_id, {_YEARS} AS years FROM fx")
+oracle(
+    "lenient_numeric",
+    f"""SELECT respondent_id, {_YEARS.replace('years_text', 'trim(years_text)')} AS years_text,
+  CASE WHEN trim(segment) = 'Less than 1 year' THEN 0.5e0 WHEN trim(segment) = 'More than 50 years' THEN 51e0
+  ELSE TRY_CAST(trim(segment) AS DOUBLE) END AS segment FROM fx""",
+)
+oracle("ordinal_encode", f"SELECT respondent_id, segment, {_SEGNUM} AS segmentNum FROM fx")
+oracle(
+    "unknown_values",
+    "SELECT DISTINCT segment AS value FROM fx WHERE segment IS NOT NULL "
+    "AND segment NOT IN ('AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD')",
+)
+oracle(
+    "binary_label",
+    "SELECT respondent_id, outcome, CAST(outcome = 'Yes' AS INTEGER) AS target FROM fx WHERE outcome IS NOT NULL",
+)
+oracle(
+    "trim_to_quantile",
+    """, b AS (SELECT quantile_cont(spend, 0.01) AS lo, quantile_cont(spend, 0.99) AS hi FROM fx)
+SELECT respondent_id, CASE WHEN spend >= lo AND spend <= hi THEN spend END AS spend_trimmed FROM fx, b""",
+)
+oracle(
+    "leak_family_drop",
+    "SELECT respondent_id, segment, country,\n  " + _multihot_cols("have_cell") + "\nFROM fxb",
+)
+oracle(
+    "row_invariants",
+    """SELECT COUNT(*) AS silver_rows, COUNT(DISTINCT respondent_id) AS distinct_ids, COUNT(*) AS wide_rows,
+  9 AS silver_cols, 17 AS wide_cols FROM fx""",
+)
+
+# ---- rates ---------------------------------------------------------------------
+
+_LABELLED = f"""lab AS (SELECT *, CAST(outcome = 'Yes' AS INTEGER) AS target,
+  {_YEARS.replace('years_text', 'trim(years_text)')} AS years FROM fx WHERE outcome IS NOT NULL)"""
+
+oracle(
+    "rate_by_country",
+    ", " + _LABELLED + """
+SELECT country, AVG(CAST(target AS DOUBLE)) * 100e0 AS rate, COUNT(target) AS n FROM lab
+GROUP BY country HAVING COUNT(target) >= 60""",
+)
+
+_XBANDS = [("junior (0-3)", -1, 3), ("mid (4-10)", 3, 10), ("senior (11+)", 10, 100)]
+_XBAND_SQL = "CASE " + " ".join(f"WHEN years > {lo} AND years <= {hi} THEN '{lab}'" for lab, lo, hi in _XBANDS) + " END"
+
+oracle(
+    "rate_by_option_and_band",
+    ", " + _LABELLED + f""",
+rows AS (SELECT trim(unnest(string_split(have_cell, ';'))) AS option, target, {_XBAND_SQL} AS band
+         FROM lab WHERE have_cell IS NOT NULL AND years IS NOT NULL),
+top AS (SELECT option FROM rows GROUP BY option ORDER BY COUNT(*) DESC, option ASC LIMIT 10),
+kept AS (SELECT * FROM rows WHERE option IN (SELECT option FROM top)),
+agg AS (SELECT option, 'all' AS band, AVG(CAST(target AS DOUBLE)) * 100e0 AS rate, COUNT(target) AS n FROM kept GROUP BY option
+        UNION ALL
+        SELECT option, band, AVG(CAST(target AS DOUBLE)) * 100e0, COUNT(target) FROM kept WHERE band IS NOT NULL GROUP BY option, band),
+grid AS (SELECT option, b.band FROM top, (VALUES ('all'), ('junior (0-3)'), ('mid (4-10)'), ('senior (11+)')) b(band))
+SELECT grid.option, grid.band, agg.rate, agg.n FROM grid LEFT JOIN agg ON agg.option = grid.option AND agg.band = grid.band""",
+)
+
+_CBANDS = [("0-2", 0, 2), ("3-5", 2, 5), ("6-10", 5, 10), ("11-15", 10, 15), ("16-20", 15, 20), ("21-30", 20, 30), ("30+", 30, 60)]
+_CBAND_SQL = "CASE " + " ".join(
+    (f"WHEN years >= {lo} AND years <= {hi} THEN '{lab}'" if i == 0 else f"WHEN years > {lo} AND years <= {hi} THEN '{lab}'")
+    for i, (lab, lo, hi) in enumerate(_CBANDS)
+) + " END"
+
+oracle(
+    "rate_by_band",
+    ", " + _LABELLED + f"""
+SELECT band, AVG(CAST(target AS DOUBLE)) * 100e0 AS rate, COUNT(target) AS n
+FROM (SELECT *, {_CBAND_SQL} AS band FROM lab WHERE years IS NOT NULL) t WHERE band IS NOT NULL GROUP BY band""",
+)
+
+oracle(
+    "rate_two_way",
+    ", " + _LABELLED + f""",
+b AS (SELECT *, {_CBAND_SQL} AS band FROM lab),
+agg AS (SELECT segment, band, AVG(CAST(target AS DOUBLE)) AS rate, COUNT(*) AS n FROM b
+        WHERE segment IS NOT NULL AND band IS NOT NULL AND target IS NOT NULL GROUP BY segment, band),
+grid AS (SELECT s.segment, c.band FROM (SELECT DISTINCT segment FROM fx) s,
+         (VALUES {", ".join(f"('{lab}')" for lab, _, _ in _CBANDS)}) c(band))
+SELECT grid.segment, grid.band, agg.rate, COALESCE(agg.n, 0) AS n
+FROM grid LEFT JOIN agg ON agg.segment = grid.segment AND agg.band = grid.band""",
+)
+
+oracle(
+    "indicator_rate_two_way",
+    """SELECT segment, outcome, AVG(CAST(CAST(n_returns > 0 AS INTEGER) AS DOUBLE)) AS rate,
+  COUNT(CAST(n_returns > 0 AS INTEGER)) AS n
+FROM fx WHERE segment IS NOT NULL AND outcome IS NOT NULL GROUP BY segment, outcome""",
+)
