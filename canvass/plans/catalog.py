@@ -227,3 +227,136 @@ def q_rate_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_indicator_rate_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fx.respondents(spark, sf_dir)
     return rt.indicator_rate_two_way(df, (F.col("n_returns") > 0).cast("int"), "segment", "outcome")
+
+
+# ---- profiles --------------------------------------------------------------
+
+from canvass.operators import association as asc  # noqa: E402
+from canvass.operators import profile as pf  # noqa: E402
+
+CATEGORICAL = ["segment", "country", "outcome", "years_text"]
+
+
+def respondents_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fx.respondents(spark, sf_dir)
+    return df.withColumn("years", sc.lenient_number(F.col("years_text")))
+
+
+@query("value_counts_pct")
+def q_value_counts_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.value_counts(fx.respondents(spark, sf_dir), ["segment", "outcome", "years_text"])
+
+
+@query("target_distribution")
+def q_target_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.target_distribution(labelled(spark, sf_dir), "target")
+
+
+@query("ordered_counts")
+def q_ordered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.ordered_counts(fx.respondents(spark, sf_dir), "outcome", ["Yes", "Soon", "No"])
+
+
+@query("numeric_profile")
+def q_numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.numeric_profile(respondents_numeric(spark, sf_dir), ["years", "n_returns"])
+
+
+@query("numeric_summary")
+def q_numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.numeric_summary(fx.doc_labels(spark, sf_dir), ["n_chars"])
+
+
+@query("category_profile")
+def q_category_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.category_profile(fx.respondents(spark, sf_dir), CATEGORICAL + ["have_cell"])
+
+
+@query("quantiles")
+def q_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.quantiles(fx.doc_labels(spark, sf_dir), ["n_chars"], [0.005, 0.01, 0.5, 0.99, 0.995])
+
+
+@query("histogram")
+def q_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.histogram(respondents_numeric(spark, sf_dir), "years", bins=30)
+
+
+@query("histogram_log")
+def q_histogram_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pf.histogram(fx.doc_labels(spark, sf_dir), "n_chars", bins=50, log10=True)
+
+
+# ---- association -----------------------------------------------------------
+
+CORR_COLUMNS = ["spend", "n_returns", "years"]
+
+
+@query("correlation_matrix")
+def q_correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asc.correlation_pairs(respondents_numeric(spark, sf_dir), CORR_COLUMNS, min_n=0).select("var1", "var2", "n", "r")
+
+
+@query("correlation_pairs")
+def q_correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asc.correlation_pairs(respondents_numeric(spark, sf_dir), CORR_COLUMNS)
+
+
+@query("correlation_pvalue")
+def q_correlation_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asc.with_correlation_pvalue(asc.correlation_pairs(respondents_numeric(spark, sf_dir), CORR_COLUMNS))
+
+
+CHI_VARIABLES = ["segment", "country", "years_text"]
+
+
+@query("chi_square")
+def q_chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asc.chi_square(fx.respondents(spark, sf_dir), CHI_VARIABLES, "outcome")
+
+
+@query("chi_square_2x2")
+def q_chi_square_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asc.chi_square(fx.doc_labels(spark, sf_dir), ["toxic"], "quality")
+
+
+@query("chi_square_pvalue")
+def q_chi_square_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tests = asc.chi_square(fx.respondents(spark, sf_dir), CHI_VARIABLES, "outcome").unionByName(
+        asc.chi_square(fx.doc_labels(spark, sf_dir), ["toxic"], "quality")
+    )
+    return asc.with_chi_square_pvalue(tests)
+
+
+ANOVA_VARIABLES = ["years", "n_returns"]
+
+
+@query("anova")
+def q_anova(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asc.anova(respondents_numeric(spark, sf_dir), ANOVA_VARIABLES, "outcome")
+
+
+@query("anova_pvalue")
+def q_anova_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asc.with_anova_pvalue(asc.anova(respondents_numeric(spark, sf_dir), ANOVA_VARIABLES, "outcome"))
+
+
+@query("group_mean_sd")
+def q_group_mean_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asc.group_mean_sd(respondents_numeric(spark, sf_dir), ANOVA_VARIABLES, "outcome")
+
+
+@query("crosstab")
+def q_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asc.crosstab(fx.respondents(spark, sf_dir), "segment", "outcome")
+
+
+@query("regression_line")
+def q_regression_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asc.regression_line(respondents_numeric(spark, sf_dir), "years", "spend")
+
+
+@query("bootstrap_ci")
+def q_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = labelled(spark, sf_dir)
+    return asc.bootstrap_mean_ci(df, "respondent_id", "target", "segment", replicates=200, seed=42)

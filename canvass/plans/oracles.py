@@ -277,3 +277,174 @@ oracle(
   COUNT(CAST(n_returns > 0 AS INTEGER)) AS n
 FROM fx WHERE segment IS NOT NULL AND outcome IS NOT NULL GROUP BY segment, outcome""",
 )
+
+
+# ---- profiles --------------------------------------------------------------------
+
+_YEARS_L = _YEARS.replace("years_text", "trim(years_text)")
+
+
+def _union(pairs: list[tuple[str, str]], source: str, value_name: str = "value") -> str:
+    return "\n  UNION ALL ".join(f"SELECT '{name}' AS \"column\", {expr} AS {value_name} FROM {source}" for name, expr in pairs)
+
+
+oracle(
+    "value_counts_pct",
+    ", long AS (" + _union([("segment", "segment"), ("outcome", "outcome"), ("years_text", "years_text")], "fx") + """)
+SELECT "column", value, COUNT(*) AS n, COUNT(*) * 100e0 / SUM(COUNT(*)) OVER (PARTITION BY "column") AS pct
+FROM long GROUP BY "column", value""",
+)
+
+oracle(
+    "target_distribution",
+    """SELECT CAST(CAST(outcome = 'Yes' AS INTEGER) AS VARCHAR) AS target, COUNT(*) AS n,
+  COUNT(*) * 100e0 / SUM(COUNT(*)) OVER () AS pct FROM fx WHERE outcome IS NOT NULL GROUP BY 1""",
+)
+
+oracle(
+    "ordered_counts",
+    """SELECT outcome, COUNT(*) AS n, CAST(row_number() OVER (ORDER BY
+  CASE outcome WHEN 'Yes' THEN 0 WHEN 'Soon' THEN 1 WHEN 'No' THEN 2 ELSE 3 END, COUNT(*) DESC, outcome) AS INTEGER) AS position
+FROM fx WHERE outcome IS NOT NULL GROUP BY outcome""",
+)
+
+oracle(
+    "numeric_profile",
+    ", long AS (" + _union([("years", _YEARS_L), ("n_returns", "CAST(n_returns AS DOUBLE)")], "fx", "x") + """),
+b AS (SELECT "column", COUNT(x) AS n, COUNT(*) - COUNT(x) AS missing, MIN(x) AS min, MAX(x) AS max,
+  quantile_cont(x, 0.005) AS lo, quantile_cont(x, 0.995) AS hi, quantile_cont(x, 0.5) AS median FROM long GROUP BY "column"),
+c AS (SELECT long."column", LEAST(GREATEST(x, lo), hi) AS x FROM long JOIN b ON b."column" = long."column" WHERE x IS NOT NULL),
+m AS (SELECT "column", AVG(x) AS mean, VAR_SAMP(x) AS variance, STDDEV_SAMP(x) AS sd,
+  skewness(x) * (COUNT(x) - 2) / SQRT(COUNT(x) * (COUNT(x) - 1)) AS skewness, kurtosis_pop(x) AS kurtosis FROM c GROUP BY "column")
+SELECT b."column", n, missing, min, max, mean, variance, sd, median, skewness, kurtosis
+FROM b JOIN m ON m."column" = b."column" WHERE n >= 2""",
+)
+
+oracle(
+    "numeric_summary",
+    """SELECT 'n_chars' AS "column", COUNT(x) AS count, AVG(x) AS mean, STDDEV_SAMP(x) AS std, MIN(x) AS min,
+  quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.75) AS p75, MAX(x) AS max
+FROM (SELECT CAST(n_chars AS DOUBLE) AS x FROM fx_doc) t""",
+)
+
+oracle(
+    "category_profile",
+    ", long AS ("
+    + _union([(c, c) for c in ["segment", "country", "outcome", "years_text", "have_cell"]], "fx")
+    + """),
+cnt AS (SELECT "column", value, COUNT(*) AS c FROM long WHERE value IS NOT NULL GROUP BY "column", value),
+pc AS (SELECT "column", SUM(c) AS n, COUNT(*) AS nd, MAX(c) AS mode_count FROM cnt GROUP BY "column"),
+md AS (SELECT cnt."column", MIN(value) AS mode FROM cnt JOIN pc ON cnt."column" = pc."column" AND c = mode_count GROUP BY cnt."column"),
+ms AS (SELECT "column", COUNT(*) - COUNT(value) AS missing FROM long GROUP BY "column")
+SELECT pc."column", CAST(n AS BIGINT) AS n, missing, nd AS "distinct", mode, mode_count, mode_count * 100e0 / n AS mode_pct
+FROM pc JOIN md ON md."column" = pc."column" JOIN ms ON ms."column" = pc."column\"""",
+)
+
+oracle(
+    "quantiles",
+    "\n  UNION ALL ".join(
+        f"SELECT 'n_chars' AS \"column\", {p}e0 AS prob, quantile_cont(CAST(n_chars AS DOUBLE), {p}) AS value FROM fx_doc"
+        for p in ["0.005", "0.01", "0.5", "0.99", "0.995"]
+    ),
+)
+
+
+def _histogram_sql(expr: str, source: str, bins: int) -> str:
+    return f""", v AS (SELECT {expr} AS x FROM {source}),
+r AS (SELECT MIN(x) AS lo, MAX(x) AS hi, CASE WHEN MAX(x) > MIN(x) THEN (MAX(x) - MIN(x)) / {bins}e0 ELSE 1e0 END AS w
+      FROM v WHERE x IS NOT NULL AND NOT isnan(x)),
+e0 AS (SELECT floor((x - lo) / w) AS est, x, lo, w FROM v, r WHERE x IS NOT NULL AND NOT isnan(x)),
+e1 AS (SELECT CASE WHEN lo + est * w > x THEN est - 1 ELSE est END AS est, x, lo, w FROM e0),
+e2 AS (SELECT CASE WHEN lo + (est + 1) * w <= x THEN est + 1 ELSE est END AS est FROM e1),
+cnt AS (SELECT CAST(LEAST(GREATEST(est, 0), {bins - 1}) AS INTEGER) AS bin, COUNT(*) AS n FROM e2 GROUP BY 1),
+grid AS (SELECT CAST(i AS INTEGER) AS bin, lo + CAST(i AS INTEGER) * w AS lower, lo + (CAST(i AS INTEGER) + 1) * w AS upper
+         FROM r, range({bins}) t(i))
+SELECT grid.bin, lower, upper, COALESCE(cnt.n, 0) AS n FROM grid LEFT JOIN cnt ON cnt.bin = grid.bin"""
+
+
+oracle("histogram", _histogram_sql(_YEARS_L, "fx", 30))
+oracle("histogram_log", _histogram_sql("log10(n_chars)", "fx_doc", 50))
+
+# ---- association ----------------------------------------------------------------------
+
+_NUM = f"nums AS (SELECT spend, CAST(n_returns AS DOUBLE) AS n_returns, {_YEARS_L} AS years, outcome FROM fx)"
+_PAIRS = [("spend", "n_returns"), ("spend", "years"), ("n_returns", "years")]
+_PAIRS_SQL = "\n  UNION ALL ".join(
+    f"SELECT '{a}' AS var1, '{b}' AS var2, COUNT(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n, corr({a}, {b}) AS r FROM nums"
+    for a, b in _PAIRS
+)
+_TIER_R = "CASE WHEN abs(r) >= 0.5 THEN 'strong' WHEN abs(r) >= 0.3 THEN 'medium' ELSE 'weak' END"
+
+oracle("correlation_matrix", ", " + _NUM + ", pairs AS (" + _PAIRS_SQL + ") SELECT var1, var2, n, r FROM pairs")
+oracle(
+    "correlation_pairs",
+    ", " + _NUM + ", pairs AS (" + _PAIRS_SQL + f") SELECT var1, var2, n, r, {_TIER_R} AS strength FROM pairs WHERE n >= 3",
+)
+
+
+def _chi_sql(long_sql: str) -> str:
+    return f""", long AS ({long_sql}),
+cells AS (SELECT variable, value, target, COUNT(*) AS o FROM long GROUP BY ALL),
+rt AS (SELECT variable, value, SUM(o) AS rt FROM cells GROUP BY ALL),
+ct AS (SELECT variable, target, SUM(o) AS ct FROM cells GROUP BY ALL),
+nn AS (SELECT variable, SUM(o) AS n, COUNT(DISTINCT value) AS nr, COUNT(DISTINCT target) AS nc FROM cells GROUP BY ALL),
+grid AS (SELECT rt.variable, rt.value, ct.target, rt.rt, ct.ct FROM rt JOIN ct ON rt.variable = ct.variable),
+full_t AS (SELECT g.variable, CAST(COALESCE(cells.o, 0) AS DOUBLE) AS o, g.rt * g.ct * 1e0 / nn.n AS e, nn.n, nn.nr, nn.nc
+  FROM grid g LEFT JOIN cells ON cells.variable = g.variable AND cells.value = g.value AND cells.target = g.target
+  JOIN nn ON nn.variable = g.variable),
+stat AS (SELECT variable, n, nr, nc, (nr - 1) * (nc - 1) AS dof,
+  SUM(CASE WHEN (nr - 1) * (nc - 1) = 1 THEN power(greatest(abs(o - e) - 0.5, 0), 2) / e ELSE power(o - e, 2) / e END) AS chi2
+  FROM full_t GROUP BY ALL)
+SELECT variable, CAST(n AS BIGINT) AS n, CASE WHEN dof = 0 THEN 0e0 ELSE chi2 END AS chi2, CAST(dof AS BIGINT) AS dof,
+  sqrt((CASE WHEN dof = 0 THEN 0e0 ELSE chi2 END) / (n * (least(nr, nc) - 1))) AS cramers_v,
+  CASE WHEN sqrt(chi2 / (n * (least(nr, nc) - 1))) >= 0.3 THEN 'strong'
+       WHEN sqrt(chi2 / (n * (least(nr, nc) - 1))) >= 0.1 THEN 'medium' ELSE 'weak' END AS strength
+FROM stat"""
+
+
+oracle(
+    "chi_square",
+    _chi_sql(
+        "\n  UNION ALL ".join(
+            f"SELECT '{v}' AS variable, {v} AS value, outcome AS target FROM fx WHERE {v} IS NOT NULL AND outcome IS NOT NULL"
+            for v in ["segment", "country", "years_text"]
+        )
+    ),
+)
+oracle(
+    "chi_square_2x2",
+    _chi_sql(
+        "SELECT 'toxic' AS variable, CAST(toxic AS VARCHAR) AS value, CAST(quality AS VARCHAR) AS target "
+        "FROM fx_doc WHERE toxic IS NOT NULL AND quality IS NOT NULL"
+    ),
+)
+
+_GROUPS = ", " + _NUM + """, g AS (
+  SELECT variable, outcome, COUNT(*) AS n_g, AVG(x) AS mean_g, VAR_POP(x) AS var_g FROM (
+    SELECT 'years' AS variable, outcome, years AS x FROM nums UNION ALL SELECT 'n_returns', outcome, n_returns FROM nums
+  ) t WHERE x IS NOT NULL AND outcome IS NOT NULL GROUP BY ALL)"""
+
+oracle(
+    "anova",
+    _GROUPS
+    + """,
+tot AS (SELECT variable, SUM(n_g) AS n, COUNT(*) AS k, SUM(n_g * mean_g) / SUM(n_g) AS grand FROM g GROUP BY variable),
+ss AS (SELECT g.variable, tot.n, tot.k, SUM(n_g * power(mean_g - grand, 2)) AS ssb, SUM(n_g * var_g) AS ssw
+       FROM g JOIN tot ON tot.variable = g.variable GROUP BY ALL HAVING tot.k >= 2)
+SELECT variable, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, (ssb / (k - 1)) / (ssw / (n - k)) AS f_statistic,
+  CASE WHEN ssb + ssw > 0 THEN ssb / (ssb + ssw) END AS eta_squared,
+  CASE WHEN ssb / (ssb + ssw) >= 0.14 THEN 'large' WHEN ssb / (ssb + ssw) >= 0.06 THEN 'medium' ELSE 'small' END AS effect
+FROM ss""",
+)
+oracle("group_mean_sd", _GROUPS + "\nSELECT variable, outcome, n_g AS n, mean_g AS mean, sqrt(var_g) AS sd FROM g")
+oracle(
+    "crosstab",
+    """SELECT segment, COUNT(*) FILTER (WHERE outcome = 'No') AS "No", COUNT(*) FILTER (WHERE outcome = 'Soon') AS "Soon",
+  COUNT(*) FILTER (WHERE outcome = 'Yes') AS "Yes" FROM fx WHERE segment IS NOT NULL AND outcome IS NOT NULL GROUP BY segment""",
+)
+oracle(
+    "regression_line",
+    ", " + _NUM + """, cap AS (SELECT quantile_cont(spend, 0.99) AS c FROM nums)
+SELECT COUNT(*) AS n, regr_slope(spend, years) AS slope, regr_intercept(spend, years) AS intercept, regr_r2(spend, years) AS r2
+FROM nums, cap WHERE spend <= c AND years IS NOT NULL""",
+)
