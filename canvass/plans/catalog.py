@@ -360,3 +360,184 @@ def q_regression_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = labelled(spark, sf_dir)
     return asc.bootstrap_mean_ci(df, "respondent_id", "target", "segment", replicates=200, seed=42)
+
+
+# ---- split -----------------------------------------------------------------
+
+from canvass.operators import features as ft  # noqa: E402
+from canvass.operators import split as sp  # noqa: E402
+from canvass.session import scratch_path  # noqa: E402
+
+LINEAR = ft.LinearSpec(winsor="spend", log=["spend", "years", "n_returns"], any_flag=["n_returns"], raw=["segmentNum"])
+
+
+def modelling_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled respondents with the numeric features of the linear track."""
+    return labelled(spark, sf_dir).select(
+        "respondent_id", "target", "segment", "country", "spend", "years", "n_returns",
+        sc.ordinal_code(F.col("segment"), SEGMENT_ORDINAL, "segment").alias("segmentNum"),
+    )
+
+
+def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp.stratified_split(modelling_table(spark, sf_dir), "respondent_id", "target")
+
+
+def split_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The modelling table with its split column, and its training part."""
+    table = modelling_table(spark, sf_dir).join(split_table(spark, sf_dir).select("respondent_id", "split"), "respondent_id")
+    return table, table.filter(F.col("split") == "train")
+
+
+@query("stratified_split")
+def q_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_table(spark, sf_dir)
+
+
+@query("stratified_folds")
+def q_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, train = split_frames(spark, sf_dir)
+    return sp.stratified_folds(train, "respondent_id", "target", k=5)
+
+
+@query("seeded_sample")
+def q_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp.seeded_sample(fx.doc_labels(spark, sf_dir).select("doc_id", "lang", "source", "n_chars"), "doc_id", 500)
+
+
+@query("split_ids")
+def q_split_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp.split_ids(split_table(spark, sf_dir), "respondent_id")
+
+
+@query("split_disjoint")
+def q_split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp.split_disjoint(split_table(spark, sf_dir), "respondent_id")
+
+
+@query("apply_split")
+def q_apply_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = sp.split_ids(split_table(spark, sf_dir), "respondent_id")
+    return sp.apply_split(ids, fx.respondents(spark, sf_dir).select("respondent_id", "outcome", "segment"), "respondent_id")
+
+
+@query("split_manifest")
+def q_split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split's parameters and counts as a JSON record, written to the
+    shared checkpoint folder and read back."""
+    from canvass.sources import sinks
+
+    resp = fx.respondents(spark, sf_dir)
+    split = split_table(spark, sf_dir)
+    counts = split.groupBy().agg(
+        F.count(F.when(F.col("split") == "train", 1)).alias("n_train"),
+        F.count(F.when(F.col("split") == "test", 1)).alias("n_test"),
+        F.avg(F.when(F.col("split") == "train", F.col("target"))).alias("positive_rate_train"),
+        F.avg(F.when(F.col("split") == "test", F.col("target"))).alias("positive_rate_test"),
+    )
+    dropped = resp.agg(F.count(F.when(F.col("outcome").isNull(), 1)).alias("n_dropped_unlabelled"))
+    record = counts.unionByName(dropped, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in ["n_train", "n_test", "positive_rate_train", "positive_rate_test", "n_dropped_unlabelled"]]
+    ).select(
+        F.lit(sp.TEST_SIZE).alias("test_size"),
+        F.lit(sp.SEED).alias("seed"),
+        F.lit("target").alias("stratify"),
+        "*",
+    )
+    path = scratch_path(spark, "split-manifest")
+    return sinks.json_roundtrip(record, path)
+
+
+# ---- features (linear track) ----------------------------------------------------
+
+
+def fitted_linear(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ft.LinearParams]:
+    table, train = split_frames(spark, sf_dir)
+    return table, ft.fit_linear(train, LINEAR)
+
+
+@query("winsorize")
+def q_winsorize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, params = fitted_linear(spark, sf_dir)
+    return table.select("respondent_id", ft.winsorize(table, "spend", params.p_low, params.p_high, "spend_clipped"))
+
+
+@query("log1p_transform")
+def q_log1p_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, params = fitted_linear(spark, sf_dir)
+    return table.select(
+        "respondent_id",
+        *[ft._pre_impute(LINEAR, c, params.p_low, params.p_high).alias(f"{c}_log") for c in LINEAR.log],
+    )
+
+
+@query("missing_flags")
+def q_missing_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, params = fitted_linear(spark, sf_dir)
+    out = ft.transform_linear(table, LINEAR, params, ["respondent_id"])
+    return out.select("respondent_id", *[c for c in out.columns if c.endswith("_missing") or c.endswith("_any")])
+
+
+@query("median_impute")
+def q_median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted medians (after clip + log, train only) as a table."""
+    _, train = split_frames(spark, sf_dir)
+    lo, hi = train.agg(F.percentile(F.col("spend"), [0.01, 0.99])).first()[0]
+    pre = train.select(*[ft._pre_impute(LINEAR, c, lo, hi).alias(LINEAR.out_name(c)) for c in LINEAR.numeric])
+    return pf.quantiles(pre, [LINEAR.out_name(c) for c in LINEAR.numeric], [0.5]).select(
+        "column", F.col("value").alias("median")
+    )
+
+
+@query("fit_apply_linear")
+def q_fit_apply_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, params = fitted_linear(spark, sf_dir)
+    return ft.transform_linear(table, LINEAR, params, ["respondent_id", "split", "target"])
+
+
+@query("category_fill")
+def q_category_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fx.respondents(spark, sf_dir)
+    return df.select("respondent_id", ft.fill_category("outcome"), ft.fill_category("have_cell", "__MISSING__"))
+
+
+@query("bin_right_closed")
+def q_bin_right_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = respondents_numeric(spark, sf_dir)
+    return df.select(
+        "respondent_id",
+        "years",
+        sc.right_closed_band(F.col("years"), rt.EXPERIENCE_EDGES, rt.EXPERIENCE_BANDS).alias("experience_band"),
+        sc.right_closed_band(F.col("years"), rt.CAREER_EDGES, rt.CAREER_BANDS, include_lowest=True).alias("career_band"),
+    )
+
+
+@query("standardize")
+def q_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, params = fitted_linear(spark, sf_dir)
+    out = ft.transform_linear(table, LINEAR, params, ["respondent_id", "split"])
+    cols = [LINEAR.out_name(c) for c in LINEAR.numeric]
+    scale = ft.fit_standardize(out.filter(F.col("split") == "train"), cols)
+    return out.select("respondent_id", "split", *ft.standardize(cols, scale))
+
+
+@query("rare_level_fold")
+def q_rare_level_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X5 on the document table: ``source`` levels seen >= 20 times on the
+    training part keep their name, rarer ones fold, unseen ones stay null."""
+    docs = fx.doc_labels(spark, sf_dir).filter(F.col("quality").isNotNull())
+    split = sp.stratified_split(docs, "doc_id", "quality")
+    table = docs.join(split.select("doc_id", "split"), "doc_id")
+    levels = ft.fit_levels(table.filter(F.col("split") == "train"), "source")
+    return table.select("doc_id", "split", "source", ft.fold_rare_levels(table, "source", levels, 20).alias("source_level"))
+
+
+@query("skew_before_after")
+def q_skew_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, params = fitted_linear(spark, sf_dir)
+    keep = ["respondent_id", "split"] + [F.col(c).alias(f"{c}_raw") for c in LINEAR.numeric]
+    out = ft.transform_linear(table.select("*", *keep[2:]), LINEAR, params, ["split"] + [f"{c}_raw" for c in LINEAR.numeric])
+    train = out.filter(F.col("split") == "train")
+    return ft.skew_observed(
+        train, [(c, f"{c}_raw", LINEAR.out_name(c), f"{c}_missing") for c in LINEAR.numeric]
+    )

@@ -448,3 +448,152 @@ oracle(
 SELECT COUNT(*) AS n, regr_slope(spend, years) AS slope, regr_intercept(spend, years) AS intercept, regr_r2(spend, years) AS r2
 FROM nums, cap WHERE spend <= c AND years IS NOT NULL""",
 )
+
+
+# ---- split ---------------------------------------------------------------------------
+
+_MODEL = f"""model AS (SELECT respondent_id, CAST(outcome = 'Yes' AS INTEGER) AS target, segment, country, spend,
+  {_YEARS_L} AS years, n_returns, {_SEGNUM} AS segmentNum FROM fx WHERE outcome IS NOT NULL)"""
+
+
+def _split_ctes(source: str, id_col: str, cls: str) -> str:
+    """Exact stratified split: ceil(0.2 N) test rows, largest-remainder class
+    quotas, first rows of each class in md5('42:<id>') order."""
+    return f"""cn AS (SELECT {cls} AS cls, COUNT(*) AS n FROM {source} GROUP BY {cls}),
+tot AS (SELECT CAST(SUM(n) AS BIGINT) AS nn, CAST(CEIL(0.2e0 * SUM(n)) AS BIGINT) AS tt FROM cn),
+q0 AS (SELECT cls, (tt * n) // nn AS base, (tt * n) % nn AS rem FROM cn, tot),
+q1 AS (SELECT cls, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, cls)
+         <= (SELECT tt FROM tot) - (SELECT SUM(base) FROM q0) THEN 1 ELSE 0 END AS quota FROM q0),
+ranked AS (SELECT {id_col}, {cls}, row_number() OVER (PARTITION BY {cls}
+         ORDER BY md5(concat('42:', CAST({id_col} AS VARCHAR))), {id_col}) AS rn FROM {source}),
+split AS (SELECT ranked.{id_col}, ranked.{cls}, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split
+          FROM ranked JOIN q1 ON q1.cls = ranked.{cls})"""
+
+
+_SPLIT = ", " + _MODEL + ",\n" + _split_ctes("model", "respondent_id", "target")
+
+oracle("stratified_split", _SPLIT + "\nSELECT respondent_id, target, split FROM split")
+oracle(
+    "stratified_folds",
+    _SPLIT
+    + """
+SELECT respondent_id, target, CAST((row_number() OVER (PARTITION BY target
+  ORDER BY md5(concat('42:', CAST(respondent_id AS VARCHAR))), respondent_id) - 1) % 5 AS INTEGER) AS fold
+FROM split WHERE split = 'train'""",
+)
+oracle(
+    "seeded_sample",
+    "SELECT doc_id, lang, source, n_chars FROM fx_doc ORDER BY md5(concat('42:', CAST(doc_id AS VARCHAR))), doc_id LIMIT 500",
+)
+oracle("split_ids", _SPLIT + "\nSELECT respondent_id, split FROM split")
+oracle(
+    "split_disjoint",
+    _SPLIT
+    + """
+SELECT COUNT(*) FILTER (WHERE split = 'train') AS n_train, COUNT(*) FILTER (WHERE split = 'test') AS n_test,
+  (SELECT COUNT(*) FROM split a WHERE a.split = 'train'
+     AND a.respondent_id IN (SELECT respondent_id FROM split b WHERE b.split = 'test')) AS n_overlap FROM split""",
+)
+oracle(
+    "apply_split",
+    _SPLIT + "\nSELECT f.respondent_id, f.outcome, f.segment, s.split FROM fx f JOIN split s ON s.respondent_id = f.respondent_id",
+)
+oracle(
+    "split_manifest",
+    _SPLIT
+    + """
+SELECT 0.2e0 AS test_size, CAST(42 AS INTEGER) AS seed, 'target' AS stratify,
+  COUNT(*) FILTER (WHERE split = 'train') AS n_train, COUNT(*) FILTER (WHERE split = 'test') AS n_test,
+  AVG(CASE WHEN split = 'train' THEN target END) AS positive_rate_train,
+  AVG(CASE WHEN split = 'test' THEN target END) AS positive_rate_test,
+  (SELECT COUNT(*) FROM fx WHERE outcome IS NULL) AS n_dropped_unlabelled FROM split""",
+)
+
+# ---- linear features -----------------------------------------------------------------------
+
+_LIN = (
+    _SPLIT
+    + """,
+t AS (SELECT model.*, split.split FROM model JOIN split ON split.respondent_id = model.respondent_id),
+b AS (SELECT quantile_cont(spend, 0.01) AS lo, quantile_cont(spend, 0.99) AS hi FROM t WHERE split = 'train'),
+pre AS (SELECT t.*, ln(1 + CASE WHEN spend IS NOT NULL THEN LEAST(GREATEST(spend, lo), hi) END) AS spend_pre,
+  ln(1 + years) AS years_pre, ln(1 + n_returns) AS n_returns_pre, segmentNum AS segmentNum_pre FROM t, b),
+med AS (SELECT quantile_cont(spend_pre, 0.5) AS m_spend, quantile_cont(years_pre, 0.5) AS m_years,
+  quantile_cont(n_returns_pre, 0.5) AS m_n_returns, quantile_cont(segmentNum_pre, 0.5) AS m_segmentNum FROM pre WHERE split = 'train'),
+lin AS (SELECT respondent_id, split, target,
+  CAST(spend IS NULL AS TINYINT) AS spend_missing, COALESCE(spend_pre, m_spend) AS spend_log,
+  CAST(years IS NULL AS TINYINT) AS years_missing, COALESCE(years_pre, m_years) AS years_log,
+  CAST(n_returns IS NULL AS TINYINT) AS n_returns_missing, CAST(COALESCE(n_returns > 0, false) AS TINYINT) AS n_returns_any,
+  COALESCE(n_returns_pre, m_n_returns) AS n_returns_log,
+  CAST(segmentNum IS NULL AS TINYINT) AS segmentNum_missing, COALESCE(segmentNum_pre, m_segmentNum) AS segmentNum,
+  spend AS spend_raw, years AS years_raw, n_returns AS n_returns_raw, t_seg AS segmentNum_raw
+  FROM (SELECT pre.*, pre.segmentNum AS t_seg FROM pre) p, med)"""
+)
+
+oracle(
+    "winsorize",
+    _LIN + "\nSELECT respondent_id, CASE WHEN spend IS NOT NULL THEN LEAST(GREATEST(spend, lo), hi) END AS spend_clipped FROM t, b",
+)
+oracle("log1p_transform", _LIN + "\nSELECT respondent_id, spend_pre AS spend_log, years_pre AS years_log, n_returns_pre AS n_returns_log FROM pre")
+oracle(
+    "missing_flags",
+    _LIN + "\nSELECT respondent_id, spend_missing, years_missing, n_returns_missing, n_returns_any, segmentNum_missing FROM lin",
+)
+oracle(
+    "median_impute",
+    _LIN
+    + """
+SELECT 'spend_log' AS "column", m_spend AS median FROM med UNION ALL SELECT 'years_log', m_years FROM med
+UNION ALL SELECT 'n_returns_log', m_n_returns FROM med UNION ALL SELECT 'segmentNum', m_segmentNum FROM med""",
+)
+oracle(
+    "fit_apply_linear",
+    _LIN
+    + """
+SELECT respondent_id, split, target, spend_missing, spend_log, years_missing, years_log, n_returns_missing, n_returns_any,
+  n_returns_log, segmentNum_missing, segmentNum FROM lin""",
+)
+oracle(
+    "standardize",
+    _LIN
+    + """,
+sc AS (SELECT AVG(spend_log) AS a1, STDDEV_POP(spend_log) AS s1, AVG(years_log) AS a2, STDDEV_POP(years_log) AS s2,
+  AVG(n_returns_log) AS a3, STDDEV_POP(n_returns_log) AS s3, AVG(segmentNum) AS a4, STDDEV_POP(segmentNum) AS s4
+  FROM lin WHERE split = 'train')
+SELECT respondent_id, split, (spend_log - a1) / s1 AS spend_log, (years_log - a2) / s2 AS years_log,
+  (n_returns_log - a3) / s3 AS n_returns_log, (segmentNum - a4) / s4 AS segmentNum FROM lin, sc""",
+)
+oracle(
+    "skew_before_after",
+    _LIN
+    + """
+SELECT 'spend' AS "column", COUNT(spend_raw) AS n, skewness(spend_raw) AS skew_before,
+  skewness(CASE WHEN spend_missing = 0 THEN spend_log END) AS skew_after FROM lin WHERE split = 'train'
+UNION ALL SELECT 'years', COUNT(years_raw), skewness(years_raw), skewness(CASE WHEN years_missing = 0 THEN years_log END)
+  FROM lin WHERE split = 'train'
+UNION ALL SELECT 'n_returns', COUNT(n_returns_raw), skewness(n_returns_raw),
+  skewness(CASE WHEN n_returns_missing = 0 THEN n_returns_log END) FROM lin WHERE split = 'train'
+UNION ALL SELECT 'segmentNum', COUNT(segmentNum_raw), skewness(segmentNum_raw),
+  skewness(CASE WHEN segmentNum_missing = 0 THEN segmentNum END) FROM lin WHERE split = 'train'""",
+)
+oracle(
+    "category_fill",
+    "SELECT respondent_id, COALESCE(outcome, 'Missing') AS outcome, COALESCE(have_cell, '__MISSING__') AS have_cell FROM fx",
+)
+_XB = "CASE " + " ".join(f"WHEN y > {lo} AND y <= {hi} THEN '{lab}'" for lab, lo, hi in _XBANDS) + " END"
+_CB = _CBAND_SQL.replace("years", "y")
+oracle(
+    "bin_right_closed",
+    f"SELECT respondent_id, y AS years, {_XB} AS experience_band, {_CB} AS career_band "
+    f"FROM (SELECT respondent_id, {_YEARS_L} AS y FROM fx) t",
+)
+oracle(
+    "rare_level_fold",
+    ", docs AS (SELECT * FROM fx_doc WHERE quality IS NOT NULL),\n"
+    + _split_ctes("docs", "doc_id", "quality")
+    + """,
+lv AS (SELECT d.source AS level, COUNT(*) AS n_train FROM docs d JOIN split s ON s.doc_id = d.doc_id
+       WHERE s.split = 'train' GROUP BY d.source)
+SELECT d.doc_id, s.split, d.source, CASE WHEN lv.n_train >= 20 THEN d.source WHEN lv.n_train IS NOT NULL THEN 'infrequent' END
+  AS source_level FROM docs d JOIN split s ON s.doc_id = d.doc_id LEFT JOIN lv ON lv.level = d.source""",
+)
