@@ -541,3 +541,56 @@ def q_skew_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ft.skew_observed(
         train, [(c, f"{c}_raw", LINEAR.out_name(c), f"{c}_missing") for c in LINEAR.numeric]
     )
+
+
+# ---- evaluation on deterministic scores ------------------------------------------
+
+from canvass.operators import evaluate as ev  # noqa: E402
+
+# Display names of the two classes of the document target.
+QUALITY_NAMES = {0: "low quality", 1: "high quality"}
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fx.scores(spark, sf_dir)
+    return s.select("doc_id", "label", "score", ev.predict_at(F.col("score")).alias("pred"))
+
+
+@query("score_threshold")
+def q_score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir)
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.confusion_matrix(scored(spark, sf_dir), "label", "pred")
+
+
+@query("binary_metrics")
+def q_binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.binary_metrics(scored(spark, sf_dir), "label", "pred")
+
+
+@query("macro_metrics")
+def q_macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.macro_metrics(scored(spark, sf_dir), "label", "pred")
+
+
+@query("classification_report")
+def q_classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.classification_report(scored(spark, sf_dir), "label", "pred", QUALITY_NAMES)
+
+
+@query("roc_curve")
+def q_roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.roc_points(scored(spark, sf_dir), "label", "score").select("threshold", "fpr", "tpr")
+
+
+@query("roc_auc")
+def q_roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.roc_auc(scored(spark, sf_dir), "label", "score")
+
+
+@query("predictions_table")
+def q_predictions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.predictions_table(fx.scores(spark, sf_dir), "doc_id", "label", "score", QUALITY_NAMES)

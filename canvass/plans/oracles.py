@@ -597,3 +597,69 @@ lv AS (SELECT d.source AS level, COUNT(*) AS n_train FROM docs d JOIN split s ON
 SELECT d.doc_id, s.split, d.source, CASE WHEN lv.n_train >= 20 THEN d.source WHEN lv.n_train IS NOT NULL THEN 'infrequent' END
   AS source_level FROM docs d JOIN split s ON s.doc_id = d.doc_id LEFT JOIN lv ON lv.level = d.source""",
 )
+
+
+# ---- evaluation on deterministic scores --------------------------------------------------
+
+_SCORED = ", sc AS (SELECT doc_id, label, score, CAST(score >= 0.5 AS INTEGER) AS pred FROM fx_scores)"
+_CNT = _SCORED + """, c AS (SELECT COUNT(*) FILTER (WHERE label = 1 AND pred = 1) AS tp, COUNT(*) FILTER (WHERE label = 0 AND pred = 1) AS fp,
+  COUNT(*) FILTER (WHERE label = 1 AND pred = 0) AS fn, COUNT(*) FILTER (WHERE label = 0 AND pred = 0) AS tn,
+  AVG(CAST(label AS DOUBLE)) AS baseline FROM sc),
+m AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0e0 END AS p1, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0e0 END AS r1,
+  CASE WHEN tn + fn > 0 THEN tn / (tn + fn) ELSE 0e0 END AS p0, CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0e0 END AS r0,
+  tp + fn AS s1, tn + fp AS s0 FROM c),
+f AS (SELECT *, CASE WHEN p1 + r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0e0 END AS f1_1,
+  CASE WHEN p0 + r0 > 0 THEN 2 * p0 * r0 / (p0 + r0) ELSE 0e0 END AS f1_0, CAST(tp + fp + fn + tn AS DOUBLE) AS n FROM m)"""
+
+oracle("score_threshold", _SCORED + " SELECT * FROM sc")
+oracle(
+    "confusion_matrix",
+    _CNT
+    + """
+SELECT 0 AS actual, 0 AS predicted, tn AS n, CASE WHEN s0 > 0 THEN tn / s0 ELSE 0e0 END AS row_share FROM f
+UNION ALL SELECT 0, 1, fp, CASE WHEN s0 > 0 THEN fp / s0 ELSE 0e0 END FROM f
+UNION ALL SELECT 1, 0, fn, CASE WHEN s1 > 0 THEN fn / s1 ELSE 0e0 END FROM f
+UNION ALL SELECT 1, 1, tp, CASE WHEN s1 > 0 THEN tp / s1 ELSE 0e0 END FROM f""",
+)
+oracle(
+    "binary_metrics",
+    _CNT + "\nSELECT (tp + tn) / n AS accuracy, p1 AS precision, r1 AS recall, f1_1 AS f1, baseline, CAST(n AS BIGINT) AS n FROM f",
+)
+oracle(
+    "macro_metrics",
+    _CNT + "\nSELECT f1_0, f1_1, (f1_0 + f1_1) / 2 AS f1_macro, (r0 + r1) / 2 AS balanced_accuracy FROM f",
+)
+oracle(
+    "classification_report",
+    _CNT
+    + """
+SELECT 'low quality' AS class, p0 AS precision, r0 AS recall, f1_0 AS f1_score, CAST(s0 AS DOUBLE) AS support FROM f
+UNION ALL SELECT 'high quality', p1, r1, f1_1, CAST(s1 AS DOUBLE) FROM f
+UNION ALL SELECT 'accuracy', (tp + tn) / n, (tp + tn) / n, (tp + tn) / n, (tp + tn) / n FROM f
+UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f1_0 + f1_1) / 2, n FROM f
+UNION ALL SELECT 'weighted avg', (p0 * s0 + p1 * s1) / n, (r0 * s0 + r1 * s1) / n, (f1_0 * s0 + f1_1 * s1) / n, n FROM f""",
+)
+_ROC = _SCORED + """, g AS (SELECT CAST(score AS DOUBLE) AS threshold, SUM(label) AS pos, COUNT(*) - SUM(label) AS neg FROM sc GROUP BY 1),
+cum AS (SELECT threshold, pos, neg, SUM(pos) OVER (ORDER BY threshold DESC) AS cum_pos, SUM(neg) OVER (ORDER BY threshold DESC) AS cum_neg,
+  SUM(pos) OVER () AS n_pos, SUM(neg) OVER () AS n_neg FROM g)"""
+oracle(
+    "roc_curve",
+    _ROC
+    + """
+SELECT threshold, cum_neg / n_neg AS fpr, cum_pos / n_pos AS tpr FROM cum
+UNION ALL SELECT CAST('Infinity' AS DOUBLE), 0e0, 0e0""",
+)
+oracle(
+    "roc_auc",
+    _ROC
+    + """
+SELECT SUM(pos * (n_neg - cum_neg + neg * 0.5e0)) / (ANY_VALUE(n_pos) * ANY_VALUE(n_neg)) AS roc_auc,
+  CAST(ANY_VALUE(n_pos) AS BIGINT) AS n_pos, CAST(ANY_VALUE(n_neg) AS BIGINT) AS n_neg FROM cum""",
+)
+oracle(
+    "predictions_table",
+    """SELECT doc_id, CAST(label AS INTEGER) AS actual_target, CAST(score >= 0.5 AS INTEGER) AS predicted_target,
+  score AS predicted_probability, CASE label WHEN 0 THEN 'low quality' WHEN 1 THEN 'high quality' END AS actual_label,
+  CASE WHEN score >= 0.5 THEN 'high quality' ELSE 'low quality' END AS predicted_label,
+  label = CAST(score >= 0.5 AS INTEGER) AS correct FROM fx_scores""",
+)
