@@ -594,3 +594,156 @@ def q_roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("predictions_table")
 def q_predictions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.predictions_table(fx.scores(spark, sf_dir), "doc_id", "label", "score", QUALITY_NAMES)
+
+
+# ---- models ---------------------------------------------------------------------
+
+from canvass.operators import labels as lb  # noqa: E402
+from canvass.operators import model as md  # noqa: E402
+from canvass.session import checkpoint_root  # noqa: E402
+
+
+def model_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, md.FeatureSpec]:
+    """The linear-track table (imputed logs + flags), single-choice categories
+    and the multi-hot options; checkpointed in the shared folder because every
+    fold and model re-reads it."""
+    table, params = fitted_linear(spark, sf_dir)
+    lin = ft.transform_linear(table, LINEAR, params, ["respondent_id", "split", "target", "segment", "country"])
+    resp = fx.respondents(spark, sf_dir)
+    vocab = ms.collect_vocabulary(ms.unfold_long(resp, "respondent_id", QUESTIONS))
+    wide = ms.multihot(resp, ["respondent_id"], vocab)
+    checkpoint_root(spark)
+    out = lin.join(wide, "respondent_id").checkpoint()
+    flags = [c for c in lin.columns if c.endswith("_missing") or c.endswith("_any")]
+    spec = md.FeatureSpec(
+        numeric=[LINEAR.out_name(c) for c in LINEAR.numeric],
+        categorical=["segment", "country"],
+        passthrough=flags + [c for c in wide.columns if c != "respondent_id"],
+    )
+    return out, spec
+
+
+def fitted_logistic(spark: SparkSession, sf_dir: str):
+    out, spec = model_table(spark, sf_dir)
+    train = out.filter(F.col("split") == "train")
+    return out, spec, md.logistic_pipeline(train, spec).fit(train)
+
+
+@query("logistic_scores")
+def q_logistic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, spec, model = fitted_logistic(spark, sf_dir)
+    return md.score(model, out.filter(F.col("split") == "test"), "respondent_id", "target")
+
+
+@query("cv_metrics")
+def q_cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, spec = model_table(spark, sf_dir)
+    train = out.filter(F.col("split") == "train")
+    folds = sp.stratified_folds(train, "respondent_id", "target", k=5)
+    return md.cross_validate(train, folds, "respondent_id", spec, k=5)
+
+
+@query("top_coefficients")
+def q_top_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, spec, model = fitted_logistic(spark, sf_dir)
+    return md.top_and_bottom(md.coefficient_table(spark, model, out), k=15)
+
+
+@query("model_reload_check")
+def q_model_reload_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, spec, model = fitted_logistic(spark, sf_dir)
+    return md.reload_check(model, scratch_path(spark, "logistic-model"), out.filter(F.col("split") == "test"), "respondent_id", "target")
+
+
+@query("gbt_scores")
+def q_gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, spec = model_table(spark, sf_dir)
+    train = out.filter(F.col("split") == "train")
+    model = md.gbt_pipeline(train, spec).fit(train)
+    return md.score(model, out.filter(F.col("split") == "test"), "respondent_id", "target")
+
+
+# The questions behind the fixture's columns (the codebook).
+CODEBOOK = {
+    "segment": "Which market segment are you in?",
+    "country": "Where do you live?",
+    "outcome": "Do you plan to order again?",
+    "years_text": "How many orders have you placed?",
+    "spend": "How much did you spend on urgent orders?",
+    "n_returns": "How many items did you return?",
+    "have_cell": "Which part types did you return?",
+    "want_cell": "Which part types did you accept?",
+}
+MANUAL_LABELS = {"respondent_id": "Respondent ID", "spend": "Urgent spend (currency units)"}
+
+
+def feature_names_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feature name the model table produces, derived from the data:
+    one-hot levels, multi-hot options, answered flags, numeric and flag columns."""
+    resp = fx.respondents(spark, sf_dir).withColumn("segmentNum", sc.ordinal_code(F.col("segment"), SEGMENT_ORDINAL, "segment"))
+    options = ms.option_vocabulary(ms.unfold_long(resp, "respondent_id", QUESTIONS)).select(
+        F.concat(F.lit("remainder__"), F.col("question"), F.lit("__"), F.col("value")).alias("feature")
+    )
+    levels = (
+        resp.select(F.explode(F.array(
+            F.concat(F.lit("cat__segment_"), F.coalesce("segment", F.lit(ft.MISSING))),
+            F.concat(F.lit("cat__country_"), F.coalesce("country", F.lit(ft.MISSING))),
+        )).alias("feature"))
+        .distinct()
+    )
+    fixed = [f"num__{LINEAR.out_name(c)}" for c in LINEAR.numeric] + [
+        f"remainder__{c}_missing" for c in LINEAR.numeric
+    ] + ["remainder__n_returns_any", "remainder__have_cell__answered", "remainder__want_cell__answered",
+         "cat__segment_infrequent", "remainder__respondent_id"]
+    fixed_df = spark.createDataFrame([(f,) for f in fixed], "feature string")
+    return options.unionByName(levels).unionByName(fixed_df)
+
+
+@query("feature_labels")
+def q_feature_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lb.label_features(feature_names_table(spark, sf_dir), "feature", CODEBOOK, ["segment", "country"], MANUAL_LABELS)
+
+
+# ---- sources and sinks ------------------------------------------------------------
+
+from canvass.sources import csv as csvsrc  # noqa: E402
+from canvass.sources import sinks  # noqa: E402
+
+
+@query("csv_null_token")
+def q_csv_null_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The respondent view written as a survey export (null -> NA, '' -> "")
+    and read back with NA as the only null token."""
+    cols = ["respondent_id", "segment", "years_text", "have_cell", "want_cell"]
+    path = csvsrc.write_exact_na(fx.respondents(spark, sf_dir).select(*cols), scratch_path(spark, "export-csv"))
+    back = csvsrc.read_exact_na(spark, path, cols)
+    return back.withColumn("respondent_id", F.col("respondent_id").cast("bigint"))
+
+
+@query("codebook_clean")
+def q_codebook_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + P19 + P2: a codebook derived from the pages (column name = page
+    title, question = page HTML) goes through CSV and the codebook rules."""
+    pages = fx.table(spark, sf_dir, "pages")
+    book = pages.select(
+        F.col("page_id").cast("string").alias("qid"),
+        F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("column_raw"),
+        F.col("html").alias("question"),
+    )
+    path = scratch_path(spark, "codebook-csv")
+    book.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    cleaned = csvsrc.clean_codebook(csvsrc.read_codebook(spark, path))
+    return cleaned.select(F.col("qid").cast("bigint").alias("page_id"), "column_silver", F.col("question_clean").alias("question"))
+
+
+@query("parquet_roundtrip")
+def q_parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long form written partitioned by question and read back."""
+    long_df = ms.unfold_long(respondents_both(spark, sf_dir), "respondent_id", ALL_QUESTIONS)
+    return sinks.parquet_roundtrip(long_df, scratch_path(spark, "long-parquet"), ["question"])
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statistics table written as CSV with a header and read back."""
+    return sinks.csv_roundtrip(CATALOG["rate_by_country"](spark, sf_dir), scratch_path(spark, "rates-csv"))

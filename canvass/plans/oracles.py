@@ -663,3 +663,82 @@ oracle(
   CASE WHEN score >= 0.5 THEN 'high quality' ELSE 'low quality' END AS predicted_label,
   label = CAST(score >= 0.5 AS INTEGER) AS correct FROM fx_scores""",
 )
+
+
+# ---- feature labels -------------------------------------------------------------------------
+
+
+def _case(expr: str, mapping: dict) -> str:
+    def lit(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    return "(CASE " + expr + " " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in mapping.items()) + " END)"
+
+
+def _feature_labels_sql() -> str:
+    from canvass.plans.catalog import CODEBOOK, LINEAR, MANUAL_LABELS
+
+    def q(x: str) -> str:
+        stem = f"substring({x}, 1, length({x}) - 3)"
+        return (
+            f"COALESCE({_case(x, MANUAL_LABELS)}, {_case(x, CODEBOOK)}, "
+            f"CASE WHEN ends_with({x}, 'Num') THEN {_case(stem, CODEBOOK)} || ' (ordinal)' END, {x})"
+        )
+
+    def strip(x: str, suffix: str) -> str:
+        return f"substring({x}, 1, length({x}) - {len(suffix)})"
+
+    fixed = [f"num__{LINEAR.out_name(c)}" for c in LINEAR.numeric] + [f"remainder__{c}_missing" for c in LINEAR.numeric] + [
+        "remainder__n_returns_any", "remainder__have_cell__answered", "remainder__want_cell__answered",
+        "cat__segment_infrequent", "remainder__respondent_id",
+    ]
+    fixed_sql = " UNION ALL ".join(f"SELECT '{f}' AS feature" for f in fixed)
+    long_hw = _LONG.replace("fxb", "fx").split("UNION ALL\n  SELECT respondent_id, 'both_cell'")[0] + ") t WHERE value <> ''"
+    cat_col = "CASE WHEN starts_with(name, 'country_') THEN 'country' WHEN starts_with(name, 'segment_') THEN 'segment' END"
+    level = f"substring(name, length({cat_col}) + 2)"
+    clean_level = f"CASE WHEN {level} = 'Missing' THEN '(no answer)' WHEN {level} = 'infrequent' THEN '(rare levels)' ELSE {level} END"
+    base = "split_part(name, '__', 1)"
+    option = f"substring(name, length({base}) + 3)"
+    return f""", feats AS (
+  SELECT DISTINCT 'remainder__' || question || '__' || value AS feature FROM ({long_hw}) l
+  UNION ALL SELECT * FROM (SELECT DISTINCT 'cat__segment_' || COALESCE(segment, 'Missing') AS feature FROM fx
+                           UNION SELECT DISTINCT 'cat__country_' || COALESCE(country, 'Missing') FROM fx) c
+  UNION ALL {fixed_sql}),
+parts AS (SELECT feature, split_part(feature, '__', 1) AS grp, substring(feature, length(split_part(feature, '__', 1)) + 3) AS name FROM feats)
+SELECT feature,
+  CASE WHEN grp = 'num' THEN (CASE WHEN ends_with(name, '_log') THEN {q(strip('name', '_log'))} ELSE {q('name')} END)
+       WHEN grp = 'cat' THEN (CASE WHEN {cat_col} IS NOT NULL THEN {q(cat_col)} ELSE name END)
+       ELSE (CASE WHEN instr(name, '__') > 0 THEN {q(base)}
+                  WHEN ends_with(name, '_missing') THEN {q(strip('name', '_missing'))}
+                  WHEN ends_with(name, '_any') THEN {q(strip('name', '_any'))}
+                  ELSE {q('name')} END) END AS question,
+  CASE WHEN grp = 'num' THEN (CASE WHEN ends_with(name, '_log') THEN 'log scale' ELSE 'numeric' END)
+       WHEN grp = 'cat' THEN (CASE WHEN {cat_col} IS NOT NULL THEN '-> ' || {clean_level} END)
+       ELSE (CASE WHEN instr(name, '__') > 0 AND {option} = 'answered' THEN 'answered'
+                  WHEN instr(name, '__') > 0 THEN '-> ' || {option}
+                  WHEN ends_with(name, '_missing') THEN 'missing'
+                  WHEN ends_with(name, '_any') THEN 'above zero' END) END AS detail
+FROM parts"""
+
+
+oracle("feature_labels", _feature_labels_sql())
+
+# ---- sources and sinks ------------------------------------------------------------------------
+
+oracle("csv_null_token", "SELECT respondent_id, segment, years_text, have_cell, want_cell FROM fx")
+oracle("parquet_roundtrip", _LONG)
+oracle("csv_roundtrip", ORACLES["rate_by_country"][len(with_fixtures("")):])
+
+_TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
+# Python (the reference's language) upper-cases 'ß' to 'SS' like Spark; DuckDB gives 'ẞ'
+_NAME = (
+    f"(string_split({_TITLE}, ' ')[1] || array_to_string(list_transform(string_split({_TITLE}, ' ')[2:], "
+    "lambda w: CASE WHEN substring(w, 1, 1) = 'ß' THEN 'SS' ELSE upper(substring(w, 1, 1)) END || substring(w, 2)), ''))"
+)
+_Q0 = "trim(replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), '*', ''))"
+oracle(
+    "codebook_clean",
+    f""", cb AS (SELECT page_id, {_NAME} AS column_silver, {_Q0} AS q FROM pages)
+SELECT page_id, column_silver, CASE WHEN instr(q, '?') > 0 THEN substring(q, 1, instr(q, '?')) ELSE q END AS question
+FROM cb WHERE column_silver <> '' AND column_silver <> '(dropped)'""",
+)
