@@ -164,7 +164,8 @@ def have_vs_want(df: DataFrame, have: str, want: str, n: int, sep: str = MULTI_S
     return wide.unpivot(["value", "rank"], ["have_n", "want_n"], "kind", "n").select(
         "value",
         F.regexp_replace("kind", "_n$", "").alias("kind"),
-        F.col("n").cast("bigint").alias("n"),
+        # a double, like the reference's re-indexed counts: null when nobody chose it
+        F.col("n").cast("double").alias("n"),
         "rank",
     )
 

@@ -79,7 +79,8 @@ def rate_by_option_and_band(
     )
     # grid: every top option x (overall + each band); at most top_n x (bands + 1) rows
     grid = top.select("option", F.explode(F.array(*[F.lit(b) for b in [OVERALL, *bands]])).alias("band"))
-    return grid.join(agg, ["option", "band"], "left")
+    # n is a double: an empty (option, band) cell has no count (NaN in the reference)
+    return grid.join(agg, ["option", "band"], "left").select("option", "band", "rate", F.col("n").cast("double").alias("n"))
 
 
 def rate_by_band(

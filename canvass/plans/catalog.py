@@ -747,3 +747,24 @@ def q_parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statistics table written as CSV with a header and read back."""
     return sinks.csv_roundtrip(CATALOG["rate_by_country"](spark, sf_dir), scratch_path(spark, "rates-csv"))
+
+
+@query("column_profile")
+def q_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Role of every column of the silver view chosen from the schema
+    (numeric / categorical / other; ids excluded explicitly), with its non-null
+    count from one aggregate."""
+    df = silver(spark, sf_dir)
+    roles = cl.select_by_type(df, exclude=["respondent_id"])
+    named = [(c, role) for role, cols in roles.items() for c in cols]
+    counts = df.agg(*[F.count(F.col(c)).alias(c) for c, _ in named])
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return counts.select(
+        F.explode(
+            F.array(*[
+                F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"), F.lit(r).alias("role"),
+                         F.col(c).alias("non_null"))
+                for c, r in named
+            ])
+        ).alias("r")
+    ).select("r.*")

@@ -101,8 +101,8 @@ top AS (SELECT value, n AS have_n, CAST(row_number() OVER (ORDER BY n DESC, valu
         FROM counts WHERE question = 'have_cell' QUALIFY rank <= 4),
 wide AS (SELECT top.value, top.rank, top.have_n, w.n AS want_n
          FROM top LEFT JOIN counts w ON w.question = 'want_cell' AND w.value = top.value)
-SELECT value, 'have' AS kind, have_n AS n, rank FROM wide
-UNION ALL SELECT value, 'want' AS kind, want_n AS n, rank FROM wide
+SELECT value, 'have' AS kind, CAST(have_n AS DOUBLE) AS n, rank FROM wide
+UNION ALL SELECT value, 'want' AS kind, CAST(want_n AS DOUBLE) AS n, rank FROM wide
 """,
 )
 
@@ -243,7 +243,7 @@ agg AS (SELECT option, 'all' AS band, AVG(CAST(target AS DOUBLE)) * 100e0 AS rat
         UNION ALL
         SELECT option, band, AVG(CAST(target AS DOUBLE)) * 100e0, COUNT(target) FROM kept WHERE band IS NOT NULL GROUP BY option, band),
 grid AS (SELECT option, b.band FROM top, (VALUES ('all'), ('junior (0-3)'), ('mid (4-10)'), ('senior (11+)')) b(band))
-SELECT grid.option, grid.band, agg.rate, agg.n FROM grid LEFT JOIN agg ON agg.option = grid.option AND agg.band = grid.band""",
+SELECT grid.option, grid.band, agg.rate, CAST(agg.n AS DOUBLE) AS n FROM grid LEFT JOIN agg ON agg.option = grid.option AND agg.band = grid.band""",
 )
 
 _CBANDS = [("0-2", 0, 2), ("3-5", 2, 5), ("6-10", 5, 10), ("11-15", 10, 15), ("16-20", 15, 20), ("21-30", 20, 30), ("30+", 30, 60)]
@@ -742,3 +742,15 @@ oracle(
 SELECT page_id, column_silver, CASE WHEN instr(q, '?') > 0 THEN substring(q, 1, instr(q, '?')) ELSE q END AS question
 FROM cb WHERE column_silver <> '' AND column_silver <> '(dropped)'""",
 )
+
+oracle(
+    "column_profile",
+    """SELECT 'segment' AS column_name, 'string' AS data_type, 'categorical' AS role, COUNT(segment) AS non_null FROM fx
+UNION ALL SELECT 'country', 'string', 'categorical', COUNT(country) FROM fx
+UNION ALL SELECT 'outcome', 'string', 'categorical', COUNT(outcome) FROM fx
+UNION ALL SELECT 'years_text', 'double', 'numeric', COUNT(years_text) FROM fx
+UNION ALL SELECT 'spend', 'double', 'numeric', COUNT(spend) FROM fx
+UNION ALL SELECT 'have_cell', 'string', 'categorical', COUNT(have_cell) FROM fx
+UNION ALL SELECT 'want_cell', 'string', 'categorical', COUNT(want_cell) FROM fx
+UNION ALL SELECT 'segmentNum', 'double', 'numeric', COUNT(segment) FILTER (WHERE segment <> 'MACHINERY') FROM fx""",
+)
