@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from canvass.functions.guards import collect_bounded
 from canvass.functions.scalars import tier
 from canvass.functions.tails import chi2_pvalue, f_pvalue, pearson_pvalue
+from canvass.operators.quantile import column_quantiles
 
 ALPHA = 0.05
 
@@ -191,7 +192,7 @@ def crosstab(df: DataFrame, row: str, col: str, max_levels: int = 1_000) -> Data
 def regression_line(df: DataFrame, x: str, y: str, cap_quantile: float = 0.99) -> DataFrame:
     """OLS line of ``y`` on ``x`` for rows with ``y`` at or below its
     ``cap_quantile`` quantile, on pairwise non-null rows."""
-    cap = df.agg(F.percentile(F.col(y).cast("double"), cap_quantile)).first()[0]
+    (cap,) = column_quantiles(df, y, [cap_quantile])
     sub = df.filter((F.col(y) <= F.lit(cap)) & F.col(x).isNotNull())
     xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
     return sub.agg(

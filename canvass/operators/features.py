@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from canvass.functions.guards import collect_bounded
 from canvass.functions.scalars import clip_keep_null
+from canvass.operators.quantile import column_quantiles, exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -62,11 +63,11 @@ def fit_linear(train: DataFrame, spec: LinearSpec) -> LinearParams:
     column after clipping and log1p - all from the training rows only."""
     lo = hi = None
     if spec.winsor:
-        lo, hi = train.agg(F.percentile(F.col(spec.winsor).cast("double"), [spec.winsor_low, spec.winsor_high])).first()[0]
-    medians = train.agg(
-        *[F.percentile(_pre_impute(spec, c, lo, hi), 0.5).alias(spec.out_name(c)) for c in spec.numeric]
-    ).first()
-    return LinearParams(spec.winsor, lo, hi, {k: medians[k] for k in medians.asDict()})
+        lo, hi = column_quantiles(train, spec.winsor, [spec.winsor_low, spec.winsor_high])
+    names = [spec.out_name(c) for c in spec.numeric]
+    pre = train.select(*[_pre_impute(spec, c, lo, hi).alias(spec.out_name(c)) for c in spec.numeric])
+    q = exact_quantiles(pre.unpivot([], names, "column", "x"), [0.5])
+    return LinearParams(spec.winsor, lo, hi, {k: q[(k, 0.5)] for k in names})
 
 
 def transform_linear(df: DataFrame, spec: LinearSpec, params: LinearParams, keep: Sequence[str]) -> DataFrame:

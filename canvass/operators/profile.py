@@ -3,9 +3,8 @@ histograms (A1, A6-A12, A19-A21, A25).
 
 Many columns are profiled by one ``unpivot`` to ``(column, value)`` followed
 by one ``groupBy(column)`` - a single scan and shuffle instead of a job per
-column. Exact quantiles use ``percentile`` (its buffer grows with the number of
-distinct values per column); pass ``approx=True`` to use
-``percentile_approx`` for high-cardinality columns at scale.
+column. Quantiles are exact (``exact_quantiles``: bounded memory at any
+scale); ``approx=True`` switches to ``percentile_approx`` sketches.
 """
 
 from __future__ import annotations
@@ -16,12 +15,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canvass.functions.scalars import clip_keep_null
+from canvass.operators.quantile import exact_quantiles
 
 
-def _quantiles(x: Column, probs: Sequence[float], approx: bool, accuracy: int = 100_000) -> Column:
+def _quantile_maps(long: DataFrame, probs: Sequence[float], approx: bool, accuracy: int = 100_000) -> list[Column]:
+    """One ``column -> value`` literal map per prob (exact by default)."""
     if approx:
-        return F.percentile_approx(x, list(probs), accuracy)
-    return F.percentile(x, list(probs))
+        rows = long.groupBy("column").agg(F.percentile_approx("x", list(probs), accuracy).alias("q")).collect()
+        q = {(r["column"], p): v for r in rows for p, v in zip(probs, r["q"])}
+    else:
+        q = exact_quantiles(long, probs)
+    maps = []
+    for p in probs:
+        items = [x for (c, pp), v in q.items() if pp == p for x in (F.lit(c), F.lit(v).cast("double"))]
+        maps.append(F.create_map(*items) if items else F.create_map().cast("map<string,double>"))
+    return maps
+
+
+def _at(m: Column) -> Column:
+    return F.element_at(m, F.col("column"))
 
 
 def numeric_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -46,63 +58,54 @@ def numeric_profile(
     the values clipped to the ``clip_low``/``clip_high`` percentiles. Columns
     with fewer than two values are skipped.
 
-    Two passes: (1) counts, extremes and percentiles per column; (2) moments of
-    the clipped values, with the per-column bounds joined back (one row per
-    profiled column, so broadcasting it is bounded by the column list).
+    The clip bounds and medians come from ``exact_quantiles``; they return as
+    literal per-column maps, so counts, extremes and the clipped moments are
+    then one aggregate (no join).
     """
     long = numeric_long(df, columns)
-    first = long.groupBy("column").agg(
+    lo_m, hi_m, med_m = _quantile_maps(long, [clip_low, clip_high, 0.5], approx)
+    clipped = clip_keep_null(F.col("x"), _at(lo_m), _at(hi_m))
+    out = long.groupBy("column").agg(
         F.count("x").alias("n"),
         (F.count(F.lit(1)) - F.count("x")).alias("missing"),
         F.min("x").alias("min"),
         F.max("x").alias("max"),
-        _quantiles(F.col("x"), [clip_low, clip_high, 0.5], approx).alias("_q"),
+        F.avg(clipped).alias("mean"),
+        F.var_samp(clipped).alias("variance"),
+        F.stddev_samp(clipped).alias("sd"),
+        F.skewness(clipped).alias("skewness"),
+        F.kurtosis(clipped).alias("kurtosis"),
     )
-    bounds = first.select(
-        "*", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"), F.col("_q")[2].alias("median")
-    ).drop("_q")
-    clipped = long.filter(F.col("x").isNotNull()).join(
-        F.broadcast(bounds.select("column", "_lo", "_hi")), "column"
-    ).select("column", clip_keep_null(F.col("x"), F.col("_lo"), F.col("_hi")).alias("x"))
-    moments = clipped.groupBy("column").agg(
-        F.avg("x").alias("mean"),
-        F.var_samp("x").alias("variance"),
-        F.stddev_samp("x").alias("sd"),
-        F.skewness("x").alias("skewness"),
-        F.kurtosis("x").alias("kurtosis"),
-    )
-    return (
-        bounds.filter(F.col("n") >= 2)
-        .join(moments, "column")
-        .select("column", "n", "missing", "min", "max", "mean", "variance", "sd", "median", "skewness", "kurtosis")
+    return out.filter(F.col("n") >= 2).select(
+        "column", "n", "missing", "min", "max", "mean", "variance", "sd", _at(med_m).alias("median"), "skewness", "kurtosis"
     )
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     """A10: count, mean, sd (ddof 1), min, quartiles, max per column."""
     long = numeric_long(df, columns)
+    q25, q50, q75 = _quantile_maps(long, [0.25, 0.5, 0.75], approx)
     agg = long.groupBy("column").agg(
         F.count("x").alias("count"),
         F.avg("x").alias("mean"),
         F.stddev_samp("x").alias("std"),
         F.min("x").alias("min"),
-        _quantiles(F.col("x"), [0.25, 0.5, 0.75], approx).alias("_q"),
         F.max("x").alias("max"),
     )
     return agg.select(
-        "column", "count", "mean", "std", "min",
-        F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max",
+        "column", "count", "mean", "std", "min", _at(q25).alias("p25"), _at(q50).alias("p50"), _at(q75).alias("p75"), "max",
     )
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], approx: bool = False) -> DataFrame:
     """Linear-interpolated quantiles per column, one row per ``(column, prob)``."""
     long = numeric_long(df, columns)
-    agg = long.groupBy("column").agg(_quantiles(F.col("x"), probs, approx).alias("_q"))
-    return agg.select(
+    maps = _quantile_maps(long, probs, approx)
+    cols = long.select("column").distinct()
+    return cols.select(
         "column",
-        F.explode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("_q").alias("value"))).alias("z"),
-    ).select("column", F.col("z.prob").alias("prob"), F.col("z.value").alias("value"))
+        F.explode(F.array(*[F.struct(F.lit(float(p)).alias("prob"), _at(m).alias("value")) for p, m in zip(probs, maps)])).alias("z"),
+    ).select("column", "z.prob", "z.value")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

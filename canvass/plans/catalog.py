@@ -89,6 +89,7 @@ from canvass.functions import scalars as sc  # noqa: E402
 from canvass.functions.guards import collect_bounded  # noqa: E402
 from canvass.operators import clean as cl  # noqa: E402
 from canvass.operators import rates as rt  # noqa: E402
+from canvass.operators.quantile import column_quantiles  # noqa: E402
 
 # Fixed values of the fixture: an ordinal code per market segment
 # (None = an answer that cannot be ordered).
@@ -158,7 +159,7 @@ def q_binary_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("trim_to_quantile")
 def q_trim_to_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fx.respondents(spark, sf_dir)
-    lo, hi = df.agg(F.percentile("spend", [0.01, 0.99])).first()[0]
+    lo, hi = column_quantiles(df, "spend", [0.01, 0.99])
     return df.select("respondent_id", cl.in_range_else_null(F.col("spend"), lo, hi).alias("spend_trimmed"))
 
 
@@ -482,7 +483,7 @@ def q_missing_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted medians (after clip + log, train only) as a table."""
     _, train = split_frames(spark, sf_dir)
-    lo, hi = train.agg(F.percentile(F.col("spend"), [0.01, 0.99])).first()[0]
+    lo, hi = column_quantiles(train, "spend", [0.01, 0.99])
     pre = train.select(*[ft._pre_impute(LINEAR, c, lo, hi).alias(LINEAR.out_name(c)) for c in LINEAR.numeric])
     return pf.quantiles(pre, [LINEAR.out_name(c) for c in LINEAR.numeric], [0.5]).select(
         "column", F.col("value").alias("median")
