@@ -13,7 +13,7 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canvass.functions.guards import collect_bounded
@@ -74,28 +74,23 @@ def chi_square(df: DataFrame, variables: Sequence[str], target: str, yates: bool
     has the same |O - E|, so the corrected statistic follows from one cell.
     """
     cells = _long(df, variables, target).groupBy("variable", "value", "target").agg(F.count(F.lit(1)).alias("o"))
-    rows = cells.groupBy("variable", "value").agg(F.sum("o").alias("r_tot"))
-    cols = cells.groupBy("variable", "target").agg(F.sum("o").alias("c_tot"))
-    per_var = rows.groupBy("variable").agg(
-        F.sum("r_tot").alias("n"), F.count(F.lit(1)).alias("r"), F.min("value").alias("v1"),
+    # margins by windows over the (small) contingency table: one scan of the rows,
+    # a linear plan (no branch re-reads the input)
+    var = Window.partitionBy("variable")
+    marg = cells.select(
+        "*",
+        F.sum("o").over(Window.partitionBy("variable", "value")).alias("r_tot"),
+        F.sum("o").over(Window.partitionBy("variable", "target")).alias("c_tot"),
+    ).select("*", F.sum("o").over(var).alias("n"), F.min("value").over(var).alias("v1"), F.min("target").over(var).alias("t1"))
+    t = marg.groupBy("variable").agg(
+        F.first("n").alias("n"),
+        F.count_distinct("value").alias("r"),
+        F.count_distinct("target").alias("c"),
         F.min_by("r_tot", "value").alias("r1"),
-    ).join(
-        cols.groupBy("variable").agg(
-            F.count(F.lit(1)).alias("c"), F.min("target").alias("t1"), F.min_by("c_tot", "target").alias("c1")
-        ),
-        "variable",
+        F.min_by("c_tot", "target").alias("c1"),
+        F.sum(F.col("o") * F.col("o") * F.col("n") / (F.col("r_tot") * F.col("c_tot"))).alias("s"),
+        F.coalesce(F.sum(F.when((F.col("value") == F.col("v1")) & (F.col("target") == F.col("t1")), F.col("o"))), F.lit(0)).alias("o11"),
     )
-    raw = (
-        cells.join(rows, ["variable", "value"])
-        .join(cols, ["variable", "target"])
-        .join(per_var.select("variable", "n", "v1", "t1"), "variable")
-        .groupBy("variable")
-        .agg(
-            F.sum(F.col("o") * F.col("o") * F.col("n") / (F.col("r_tot") * F.col("c_tot"))).alias("s"),
-            F.coalesce(F.sum(F.when((F.col("value") == F.col("v1")) & (F.col("target") == F.col("t1")), F.col("o"))), F.lit(0)).alias("o11"),
-        )
-    )
-    t = per_var.join(raw, "variable")
     n = F.col("n").cast("double")
     dof = (F.col("r") - 1) * (F.col("c") - 1)
     plain = F.col("s") - n
@@ -139,14 +134,15 @@ def anova(df: DataFrame, variables: Sequence[str], group: str) -> DataFrame:
     with fewer than two groups are skipped. Per-group n, mean and population
     variance are the only pass over the rows."""
     g = _group_moments(df, variables, group)
-    tot = g.groupBy("variable").agg(
-        F.sum("n_g").alias("n"),
-        F.count(F.lit(1)).alias("k"),
-        (F.sum(F.col("n_g") * F.col("mean_g")) / F.sum("n_g")).alias("grand"),
+    var = Window.partitionBy("variable")
+    tot = g.select(
+        "*",
+        F.sum("n_g").over(var).alias("n"),
+        F.count(F.lit(1)).over(var).alias("k"),
+        (F.sum(F.col("n_g") * F.col("mean_g")).over(var) / F.sum("n_g").over(var)).alias("grand"),
     )
     ss = (
-        g.join(tot, "variable")
-        .groupBy("variable", "n", "k")
+        tot.groupBy("variable", "n", "k")
         .agg(
             F.sum(F.col("n_g") * F.pow(F.col("mean_g") - F.col("grand"), 2)).alias("ssb"),
             F.sum(F.col("n_g") * F.col("var_g")).alias("ssw"),
@@ -223,16 +219,21 @@ def bootstrap_mean_ci(
     for k in reversed(range(len(_POISSON1_CDF))):
         w = F.when(u < F.lit(_POISSON1_CDF[k]), F.lit(k)).otherwise(w)
     base = df.select(id_col, group, F.col(value).cast("double").alias("y")).dropna(subset=[group, "y"])
+    # replicate 0 carries weight 1 for every row: the plain mean comes out of the
+    # same single scan
     reps = (
-        base.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
-        .withColumn("w", w)
+        base.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("b"))
+        .withColumn("w", F.when(F.col("b") == 0, F.lit(1)).otherwise(w))
         .groupBy(group, "b")
-        .agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("m"))
+        .agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("m"), F.count(F.lit(1)).alias("rows"))
     )
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    bands = reps.groupBy(group).agg(F.percentile("m", [lo, hi]).alias("q"))
-    means = base.groupBy(group).agg(F.avg("y").alias("mean"), F.count(F.lit(1)).alias("n"))
-    return means.join(bands, group).select(
+    bands = reps.groupBy(group).agg(
+        F.percentile(F.when(F.col("b") > 0, F.col("m")), [lo, hi]).alias("q"),
+        F.max(F.when(F.col("b") == 0, F.col("m"))).alias("mean"),
+        F.max(F.when(F.col("b") == 0, F.col("rows"))).alias("n"),
+    )
+    return bands.select(
         group, "n", "mean", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"),
         F.lit(replicates).alias("replicates"),
     )

@@ -16,6 +16,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canvass.session import checkpoint_root
+
 THRESHOLD = 0.5
 
 
@@ -142,10 +144,14 @@ def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = (), ra
     threshold +inf. Columns: ``*by, threshold, fpr, tpr, pos, neg, cum_pos,
     cum_neg, n_pos, n_neg``."""
     by = list(by)
+    # distinct scores are read twice (range cuts, then prefix sums): checkpoint
+    # them in the shared folder so the rows are scanned once
     grouped = df.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
         (F.count(F.lit(1)) - F.sum(F.col(label).cast("long"))).alias("neg"),
     )
+    checkpoint_root(df.sparkSession)
+    grouped = grouped.checkpoint()
     splits = _score_ranges(grouped, "threshold", ranges)
     ranged = Bucketizer(splits=splits, inputCol="threshold", outputCol="_range", handleInvalid="keep").transform(grouped)
     # totals per (group, range): at most groups x ranges rows; offsets = totals of

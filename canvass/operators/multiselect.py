@@ -155,13 +155,13 @@ def have_vs_want(df: DataFrame, have: str, want: str, n: int, sep: str = MULTI_S
     """M7 + M8 + J1: top-``n`` options by the Have count, the Want count of the
     same options (null when nobody wants it), melted to ``(value, kind, n)``."""
     counts = option_counts(df, [have, want], sep)
-    top_have = top_options(counts.filter(F.col("question") == have), n).select(
-        "value", F.col("n").alias("have_n"), "rank"
-    )
-    want_counts = counts.filter(F.col("question") == want).select("value", F.col("n").alias("want_n"))
-    # the left side is at most n rows: the join is broadcast by size, not by hint
-    wide = top_have.join(want_counts, "value", "left")
-    return wide.unpivot(["value", "rank"], ["have_n", "want_n"], "kind", "n").select(
+    # one row per option with both counts (a pivot of the counts, one scan)
+    wide = counts.groupBy("value").pivot("question", [have, want]).agg(F.first("n"))
+    wide = wide.select("value", F.col(have).alias("have_n"), F.col(want).alias("want_n")).filter(F.col("have_n").isNotNull())
+    # the window runs over the option vocabulary, not rows
+    w = Window.orderBy(F.col("have_n").desc(), F.col("value").asc())
+    top = wide.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return top.unpivot(["value", "rank"], ["have_n", "want_n"], "kind", "n").select(
         "value",
         F.regexp_replace("kind", "_n$", "").alias("kind"),
         # a double, like the reference's re-indexed counts: null when nobody chose it

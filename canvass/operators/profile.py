@@ -112,10 +112,8 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Counts per value including null, with the percent of all rows."""
     long = string_long(df, columns)
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    totals = long.groupBy("column").agg(F.count(F.lit(1)).alias("_total"))
-    return counts.join(totals, "column").select(
-        "column", "value", "n", (F.col("n") * 100.0 / F.col("_total")).alias("pct")
-    )
+    total = F.sum("n").over(Window.partitionBy("column"))
+    return counts.select("column", "value", "n", (F.col("n") * 100.0 / total).alias("pct"))
 
 
 def target_distribution(df: DataFrame, target: str) -> DataFrame:
@@ -143,31 +141,27 @@ def category_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     value), mode count and mode percent. Only aggregates: counts per value, the
     top count per column, then the smallest value holding it."""
     long = string_long(df, columns)
-    counts = long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
-    per_col = counts.groupBy("column").agg(
-        F.sum("c").alias("n"),
-        F.count(F.lit(1)).alias("distinct"),
-        F.max("c").alias("mode_count"),
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
+    col = Window.partitionBy("column")
+    known = F.col("value").isNotNull()
+    marked = counts.select(
+        "*",
+        F.sum(F.when(known, F.col("c"))).over(col).alias("n"),
+        F.sum(F.when(~known, F.col("c"))).over(col).alias("missing"),
+        F.count(F.when(known, 1)).over(col).alias("distinct"),
+        F.max(F.when(known, F.col("c"))).over(col).alias("mode_count"),
     )
-    mode = (
-        counts.join(per_col.select("column", "mode_count"), "column")
-        .filter(F.col("c") == F.col("mode_count"))
-        .groupBy("column")
-        .agg(F.min("value").alias("mode"))
+    out = marked.groupBy("column", "n", "missing", "distinct", "mode_count").agg(
+        F.min(F.when(known & (F.col("c") == F.col("mode_count")), F.col("value"))).alias("mode")
     )
-    missing = long.groupBy("column").agg((F.count(F.lit(1)) - F.count("value")).alias("missing"))
-    return (
-        per_col.join(mode, "column")
-        .join(missing, "column")
-        .select(
-            "column",
-            F.col("n").cast("bigint").alias("n"),
-            "missing",
-            "distinct",
-            "mode",
-            "mode_count",
-            (F.col("mode_count") * 100.0 / F.col("n")).alias("mode_pct"),
-        )
+    return out.filter(F.col("n").isNotNull()).select(
+        "column",
+        F.col("n").cast("bigint").alias("n"),
+        F.coalesce(F.col("missing"), F.lit(0)).cast("bigint").alias("missing"),
+        "distinct",
+        "mode",
+        "mode_count",
+        (F.col("mode_count") * 100.0 / F.col("n")).alias("mode_pct"),
     )
 
 
