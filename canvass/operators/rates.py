@@ -56,31 +56,33 @@ def rate_by_option_and_band(
     """A3 + M9: rate per option overall and per band of ``number``.
 
     Options are the trimmed tokens of ``cell``; only the ``top_n`` most frequent
-    are kept (left-semi join against a ``top_n``-row table). Overall and
-    per-band rows come from one ``GROUPING SETS`` aggregate, told apart by the
-    ``grouping()`` bit (the band itself is nullable). Every top option appears
-    for every band; empty combinations have null rate and n.
+    are kept. Overall and per-band figures come from one conditional
+    aggregate per option (one scan; equivalent to GROUPING SETS ((option),
+    (option, band)) joined to the option x band grid, with a null band kept
+    out of the bands but inside the overall row). Every top option appears for
+    every band; empty combinations have null rate and n.
     """
-    rows = explode_trimmed(df, cell, sep, "option").withColumn(
-        "band", right_closed_band(F.col(number), edges, bands)
-    )
-    top = top_values(rows, "option", top_n).select("option")
-    kept = rows.join(F.broadcast(top), "option", "left_semi")
-    agg = kept.groupingSets([["option"], ["option", "band"]], "option", "band").agg(
-        F.grouping("band").alias("overall"),
-        (F.avg(F.col(label).cast("double")) * 100.0).alias("rate"),
-        F.count(F.col(label)).alias("n"),
-    )
-    agg = agg.filter((F.col("overall") == 1) | F.col("band").isNotNull()).select(
-        "option",
-        F.when(F.col("overall") == 1, F.lit(OVERALL)).otherwise(F.col("band")).alias("band"),
-        "rate",
-        "n",
-    )
-    # grid: every top option x (overall + each band); at most top_n x (bands + 1) rows
-    grid = top.select("option", F.explode(F.array(*[F.lit(b) for b in [OVERALL, *bands]])).alias("band"))
-    # n is a double: an empty (option, band) cell has no count (NaN in the reference)
-    return grid.join(agg, ["option", "band"], "left").select("option", "band", "rate", F.col("n").cast("double").alias("n"))
+    rows = explode_trimmed(df, cell, sep, "option")
+    # the top-N list is bounded by N: it returns as a literal filter
+    top = [r["option"] for r in collect_bounded(top_values(rows, "option", top_n), top_n, "top options")]
+    kept = rows.filter(F.col("option").isin(top)).withColumn("band", right_closed_band(F.col(number), edges, bands))
+    y = F.col(label).cast("double")
+    # overall and every band in one aggregate: each top option gets all bands;
+    # an empty band has no rows -> null rate and null n
+    parts = [(OVERALL, F.lit(True))] + [(b, F.col("band") == b) for b in bands]
+    aggs = []
+    for i, (_, cond) in enumerate(parts):
+        aggs += [F.avg(F.when(cond, y)).alias(f"r{i}"), F.count(F.when(cond, y)).alias(f"n{i}")]
+    per_option = kept.groupBy("option").agg(*aggs)
+    cells = F.array(*[
+        F.struct(
+            F.lit(b).alias("band"),
+            (F.col(f"r{i}") * 100.0).alias("rate"),
+            F.when(F.col(f"n{i}") > 0, F.col(f"n{i}").cast("double")).alias("n"),
+        )
+        for i, (b, _) in enumerate(parts)
+    ])
+    return per_option.select("option", F.explode(cells).alias("c")).select("option", "c.band", "c.rate", "c.n")
 
 
 def rate_by_band(
