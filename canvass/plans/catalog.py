@@ -385,8 +385,14 @@ def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The modelling table with its split column, and its training part."""
-    table = modelling_table(spark, sf_dir).join(split_table(spark, sf_dir).select("respondent_id", "split"), "respondent_id")
+    """The modelling table with its split column (written once per scale, like
+    the reference's train/test files), and its training part."""
+
+    def build() -> DataFrame:
+        ids = split_table(spark, sf_dir).select("respondent_id", "split")
+        return modelling_table(spark, sf_dir).join(ids, "respondent_id")
+
+    table = fx.materialized(spark, "model_split", sf_dir, build)
     return table, table.filter(F.col("split") == "train")
 
 

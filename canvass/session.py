@@ -58,3 +58,32 @@ def ensure_dir(path: str) -> str:
     if "://" not in path:
         os.makedirs(path, exist_ok=True)
     return path
+
+
+# Settings for large inputs (hundreds of TB on a big cluster). A cluster brings
+# its own session; ``apply_scale_defaults`` only fills in what is unset.
+SCALE_DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # target ~256 MB per post-shuffle partition; AQE merges the small ones
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    # start wide, AQE coalesces: keeps every reducer's share bounded when a key is hot
+    "spark.sql.shuffle.partitions": "8000",
+    # scan splits of 512 MB: fewer, larger tasks over wide parquet
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    # broadcasts only below a checked size; larger sides fall back to sort-merge
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+}
+
+
+def apply_scale_defaults(spark: SparkSession) -> dict[str, str]:
+    """Set the runtime SQL settings above where the session has not set them.
+    Returns the settings that were applied."""
+    applied = {}
+    for k, v in SCALE_DEFAULTS.items():
+        if spark.conf.get(k, None) in (None, ""):
+            spark.conf.set(k, v)
+            applied[k] = v
+    return applied
