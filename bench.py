@@ -24,7 +24,9 @@ from canvass.plans.catalog import CATALOG  # noqa: E402
 from canvass.session import local_session  # noqa: E402
 
 HEADLINE = [
-    # preprocessing: clean, unfold, encode (the reference's one published timing)
+    # preprocessing: raw CSV -> silver -> long + wide, written (the reference's
+    # one published timing), then its parts
+    "prepare_tables",
     "clean_silver",
     "multiselect_long",
     "multihot",

@@ -775,3 +775,30 @@ def q_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
             ])
         ).alias("r")
     ).select("r.*")
+
+
+# ---- the preparation steps end to end ----------------------------------------------------
+
+from canvass.operators import prepare as pr  # noqa: E402
+
+
+@query("prepare_tables")
+def q_prepare_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps 1-2 end to end: the respondent view (with the derived both_cell)
+    exported as a raw CSV, read with the NA rule, cleaned to silver, unfolded
+    to long (partitioned by question) and encoded to wide; returns the shapes."""
+    raw_cols = ["respondent_id", "segment", "country", "outcome", "years_text", "spend", "n_returns",
+                "have_cell", "want_cell", "both_cell"]
+    export = csvsrc.write_exact_na(respondents_both(spark, sf_dir).select(*raw_cols), scratch_path(spark, "raw-export"))
+    raw = csvsrc.read_exact_na(spark, export, raw_cols).select(
+        F.col("respondent_id").cast("bigint").alias("respondent_id"),
+        *[F.col(c) for c in raw_cols[1:5]],
+        F.col("spend").cast("double").alias("spend"),
+        F.col("n_returns").cast("bigint").alias("n_returns"),
+        *[F.col(c) for c in raw_cols[7:]],
+    )
+    prepared = pr.prepare(
+        raw, scratch_path(spark, "prepared"), "respondent_id", drop=["n_returns"], sentinel_cols=["years_text"],
+        ordinals={"segment": SEGMENT_ORDINAL}, derived_suffix="both_cell",
+    )
+    return pr.summary(prepared)

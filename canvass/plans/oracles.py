@@ -754,3 +754,13 @@ UNION ALL SELECT 'have_cell', 'string', 'categorical', COUNT(have_cell) FROM fx
 UNION ALL SELECT 'want_cell', 'string', 'categorical', COUNT(want_cell) FROM fx
 UNION ALL SELECT 'segmentNum', 'double', 'numeric', COUNT(segment) FILTER (WHERE segment <> 'MACHINERY') FROM fx""",
 )
+
+oracle(
+    "prepare_tables",
+    ", long AS (" + _LONG + """)
+SELECT (SELECT COUNT(*) FROM fx) AS silver_rows, (SELECT COUNT(*) FROM fx) AS wide_rows,
+  (SELECT COUNT(*) FROM long) AS long_rows, 10 AS silver_cols,
+  (SELECT CAST(7 + 2 + COUNT(DISTINCT question || '__' || value) FILTER (WHERE question <> 'both_cell') AS INTEGER)
+   FROM long) AS wide_cols,
+  3 AS multiselect_questions""",
+)
