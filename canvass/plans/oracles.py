@@ -757,10 +757,14 @@ UNION ALL SELECT 'segmentNum', 'double', 'numeric', COUNT(segment) FILTER (WHERE
 
 oracle(
     "prepare_tables",
-    ", long AS (" + _LONG + """)
+    """, det AS (SELECT COALESCE(bool_or(contains(have_cell, ';')), false) AS mh,
+  COALESCE(bool_or(contains(want_cell, ';')), false) AS mw, COALESCE(bool_or(contains(both_cell, ';')), false) AS mb FROM fxb),
+long AS (""" + _LONG + """),
+lq AS (SELECT long.* FROM long, det
+       WHERE (question = 'have_cell' AND mh) OR (question = 'want_cell' AND mw) OR (question = 'both_cell' AND mb))
 SELECT (SELECT COUNT(*) FROM fx) AS silver_rows, (SELECT COUNT(*) FROM fx) AS wide_rows,
-  (SELECT COUNT(*) FROM long) AS long_rows, 10 AS silver_cols,
-  (SELECT CAST(7 + 2 + COUNT(DISTINCT question || '__' || value) FILTER (WHERE question <> 'both_cell') AS INTEGER)
-   FROM long) AS wide_cols,
-  3 AS multiselect_questions""",
+  (SELECT COUNT(*) FROM lq) AS long_rows, 10 AS silver_cols,
+  (SELECT CAST(10 - CAST(mb AS INTEGER) + (SELECT COUNT(DISTINCT question || '__' || value) FROM lq WHERE question <> 'both_cell')
+     AS INTEGER) FROM det) AS wide_cols,
+  (SELECT CAST(CAST(mh AS INTEGER) + CAST(mw AS INTEGER) + CAST(mb AS INTEGER) AS INTEGER) FROM det) AS multiselect_questions""",
 )
