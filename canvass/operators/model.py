@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from canvass.functions.guards import collect_bounded
 from canvass.operators import evaluate as ev
 from canvass.operators.features import INFREQUENT, MISSING
+from canvass.session import checkpoint_root
 
 SEED = 42
+GBT_MISSING = "__MISSING__"
 
 
 @dataclass(frozen=True)
@@ -43,7 +45,9 @@ def _quote(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _prepare_statement(train: DataFrame, spec: FeatureSpec, standardize: bool, max_levels: int = 10_000) -> str:
+def _prepare_statement(
+    train: DataFrame, spec: FeatureSpec, standardize: bool, missing: str = MISSING, max_levels: int = 10_000
+) -> str:
     """Fit on ``train``: mean / population sd of numerics and the frequent
     levels of each categorical; return the frozen SQL that applies them."""
     exprs = ["*"]
@@ -58,9 +62,9 @@ def _prepare_statement(train: DataFrame, spec: FeatureSpec, standardize: bool, m
     else:
         exprs += [f"CAST(`{c}` AS DOUBLE) AS `{c}__std`" for c in spec.numeric]
     for c in spec.categorical:
-        filled = f"COALESCE(CAST(`{c}` AS STRING), {_quote(MISSING)})"
+        filled = f"COALESCE(CAST(`{c}` AS STRING), {_quote(missing)})"
         levels = collect_bounded(
-            train.groupBy(F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("v")).count(), max_levels, c
+            train.groupBy(F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias("v")).count(), max_levels, c
         )
         known = [r["v"] for r in levels if r["count"] >= spec.min_frequency]
         rare = [r["v"] for r in levels if r["count"] < spec.min_frequency]
@@ -73,7 +77,9 @@ def _prepare_statement(train: DataFrame, spec: FeatureSpec, standardize: bool, m
     return "SELECT " + ", ".join(exprs) + " FROM __THIS__"
 
 
-def logistic_pipeline(train: DataFrame, spec: FeatureSpec, c: float = 1.0, max_iter: int = 3000) -> Pipeline:
+def logistic_pipeline(
+    train: DataFrame, spec: FeatureSpec, c: float = 1.0, max_iter: int = 3000, tol: float = 1e-6
+) -> Pipeline:
     """Standardized numerics (ddof 0), one-hot categoricals with rare levels
     folded (unseen levels -> all zeros), passthrough 0/1 columns, and an L2
     logistic regression equal to C=1 of the common liblinear/lbfgs objective:
@@ -94,7 +100,7 @@ def logistic_pipeline(train: DataFrame, spec: FeatureSpec, c: float = 1.0, max_i
         VectorAssembler(inputCols=inputs, outputCol="features"),
         LogisticRegression(
             featuresCol="features", labelCol=spec.label, regParam=1.0 / (c * n), elasticNetParam=0.0,
-            standardization=False, maxIter=max_iter, fitIntercept=True, tol=1e-9,
+            standardization=False, maxIter=max_iter, fitIntercept=True, tol=tol,
         ),
     ]
     return Pipeline(stages=stages)
@@ -104,7 +110,8 @@ def gbt_pipeline(train: DataFrame, spec: FeatureSpec, trees: int = 500, rate: fl
     """Boosted trees; categoricals (missing -> '__MISSING__') are indexed and
     target-encoded on train, numerics and flags pass as they are."""
     cats = list(spec.categorical)
-    stages = [SQLTransformer(statement=_prepare_statement(train, FeatureSpec(spec.numeric, cats, spec.passthrough, spec.label, 0), standardize=False))]
+    plain = FeatureSpec(spec.numeric, cats, spec.passthrough, spec.label, 0)
+    stages = [SQLTransformer(statement=_prepare_statement(train, plain, standardize=False, missing=GBT_MISSING))]
     if cats:
         stages += [
             StringIndexer(inputCols=[f"{x}__lvl" for x in cats], outputCols=[f"{x}__idx" for x in cats], handleInvalid="keep"),
@@ -175,6 +182,9 @@ def cross_validate(
     metrics and one grouped ROC for the AUC. Returns mean and population sd of
     roc_auc, accuracy, f1, f1_macro and balanced_accuracy."""
     data = table.join(folds.select(id_col, "fold"), id_col)
+    # every fold fit and score re-reads this table: cut its lineage once
+    checkpoint_root(data.sparkSession)
+    data = data.checkpoint()
     preds = None
     for f in range(k):
         model = logistic_pipeline(data.filter(F.col("fold") != f), spec, **lr_args).fit(data.filter(F.col("fold") != f))

@@ -377,6 +377,7 @@ def modelling_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(spark, sf_dir).select(
         "respondent_id", "target", "segment", "country", "spend", "years", "n_returns",
         sc.ordinal_code(F.col("segment"), SEGMENT_ORDINAL, "segment").alias("segmentNum"),
+        "have_cell", "want_cell",
     )
 
 
@@ -615,17 +616,19 @@ def model_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, md.Feature
     and the multi-hot options; checkpointed in the shared folder because every
     fold and model re-reads it."""
     table, params = fitted_linear(spark, sf_dir)
-    lin = ft.transform_linear(table, LINEAR, params, ["respondent_id", "split", "target", "segment", "country"])
-    resp = fx.respondents(spark, sf_dir)
-    vocab = ms.collect_vocabulary(ms.unfold_long(resp, "respondent_id", QUESTIONS))
-    wide = ms.multihot(resp, ["respondent_id"], vocab)
+    base = ["respondent_id", "split", "target", "segment", "country"]
+    lin = ft.transform_linear(table, LINEAR, params, base + QUESTIONS)
+    # the vocabulary comes from all respondents; the multi-hot columns are a
+    # projection of the same rows (no join)
+    vocab = ms.collect_vocabulary(ms.unfold_long(fx.respondents(spark, sf_dir), "respondent_id", QUESTIONS))
+    keep = [c for c in lin.columns if c not in QUESTIONS]
     checkpoint_root(spark)
-    out = lin.join(wide, "respondent_id").checkpoint()
+    out = ms.multihot(lin, keep, vocab).checkpoint()
     flags = [c for c in lin.columns if c.endswith("_missing") or c.endswith("_any")]
     spec = md.FeatureSpec(
         numeric=[LINEAR.out_name(c) for c in LINEAR.numeric],
         categorical=["segment", "country"],
-        passthrough=flags + [c for c in wide.columns if c != "respondent_id"],
+        passthrough=flags + [c for c in out.columns if c not in keep],
     )
     return out, spec
 
