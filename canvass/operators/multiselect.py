@@ -173,17 +173,23 @@ def have_vs_want(df: DataFrame, have: str, want: str, n: int, sep: str = MULTI_S
 def derived_set_check(df: DataFrame, id_col: str, have: str, want: str, both: str, sep: str = MULTI_SEP) -> DataFrame:
     """M5: does ``both`` equal ``have`` intersect ``want`` on every row?
 
-    Re-derived through the long form (an option is in the intersection when it
-    occurs under both questions for the same respondent), then compared with
-    the stored cell null-safely. Returns one row of counts.
+    Re-derived through the long form (the options a respondent has under both
+    questions, from one aggregate per respondent), then compared with the
+    stored cell null-safely. Returns one row of counts.
     """
-    long_df = unfold_long(df, id_col, [have, want], sep).dropDuplicates([id_col, "question", "value"])
-    rederived = (
-        long_df.groupBy(id_col, "value")
-        .agg(F.count(F.lit(1)).alias("k"))
-        .filter(F.col("k") == 2)
-        .groupBy(id_col)
-        .agg(F.array_join(F.array_sort(F.collect_list("value")), sep).alias("rederived"))
+    long_df = unfold_long(df, id_col, [have, want], sep)
+    # one aggregate per respondent: the two option sets (bounded by the
+    # questionnaire) and their intersection
+    rederived = long_df.groupBy(id_col).agg(
+        F.array_join(
+            F.array_sort(
+                F.array_intersect(
+                    F.collect_set(F.when(F.col("question") == have, F.col("value"))),
+                    F.collect_set(F.when(F.col("question") == want, F.col("value"))),
+                )
+            ),
+            sep,
+        ).alias("rederived")
     )
     joined = df.select(id_col, have, both).join(rederived, id_col, "left")
     expected = F.when(F.col(have).isNull(), F.lit(None).cast("string")).otherwise(
