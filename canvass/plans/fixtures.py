@@ -132,7 +132,7 @@ def build_respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_both_cell(df: DataFrame) -> DataFrame:
     """Add the derived multi-select ``both_cell`` = sorted(have intersect want).
 
-    It plays the role of the survey's derived 'Admired' column: present in the
+    It plays the role of a questionnaire's derived intersection column: present in the
     long form, left out of the wide form.
     """
     have = F.split(F.nullif(F.col("have_cell"), F.lit("")), ";")
