@@ -413,19 +413,24 @@ def q_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.seeded_sample(fx.doc_labels(spark, sf_dir).select("doc_id", "lang", "source", "n_chars"), "doc_id", 500)
 
 
+def split_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(respondent_id, target, split)`` read from the written split table."""
+    return split_frames(spark, sf_dir)[0].select("respondent_id", "target", "split")
+
+
 @query("split_ids")
 def q_split_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp.split_ids(split_table(spark, sf_dir), "respondent_id")
+    return sp.split_ids(split_view(spark, sf_dir), "respondent_id")
 
 
 @query("split_disjoint")
 def q_split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp.split_disjoint(split_table(spark, sf_dir), "respondent_id")
+    return sp.split_disjoint(split_view(spark, sf_dir), "respondent_id")
 
 
 @query("apply_split")
 def q_apply_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = sp.split_ids(split_table(spark, sf_dir), "respondent_id")
+    ids = split_view(spark, sf_dir).select("respondent_id", "split")
     return sp.apply_split(ids, fx.respondents(spark, sf_dir).select("respondent_id", "outcome", "segment"), "respondent_id")
 
 
@@ -436,7 +441,7 @@ def q_split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canvass.sources import sinks
 
     resp = fx.respondents(spark, sf_dir)
-    split = split_table(spark, sf_dir)
+    split = split_view(spark, sf_dir)
     counts = split.groupBy().agg(
         F.count(F.when(F.col("split") == "train", 1)).alias("n_train"),
         F.count(F.when(F.col("split") == "test", 1)).alias("n_test"),
@@ -533,9 +538,12 @@ def q_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_rare_level_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X5 on the document table: ``source`` levels seen >= 20 times on the
     training part keep their name, rarer ones fold, unseen ones stay null."""
-    docs = fx.doc_labels(spark, sf_dir).filter(F.col("quality").isNotNull())
-    split = sp.stratified_split(docs, "doc_id", "quality")
-    table = docs.join(split.select("doc_id", "split"), "doc_id")
+    def build() -> DataFrame:
+        docs = fx.doc_labels(spark, sf_dir).filter(F.col("quality").isNotNull())
+        split = sp.stratified_split(docs, "doc_id", "quality")
+        return docs.join(split.select("doc_id", "split"), "doc_id")
+
+    table = fx.materialized(spark, "doc_split", sf_dir, build)
     levels = ft.fit_levels(table.filter(F.col("split") == "train"), "source")
     return table.select("doc_id", "split", "source", ft.fold_rare_levels(table, "source", levels, 20).alias("source_level"))
 
