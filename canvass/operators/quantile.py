@@ -14,8 +14,8 @@ therefore works in passes:
    per bin in one partially-aggregated ``groupBy`` (a table of at most
    targets x buckets rows), keeping the bin that holds the rank, and
    repeating on that narrower range. When a candidate range holds at most
-   ``direct_max`` rows (or a single value) it is finished with ``percentile``
-   / min on that slice. Every pass is a scan plus a small aggregate; a hot
+   ``direct_max`` rows it is sorted inside one task (bounded) and the rank is
+   read off; a range holding a single value is finished at once. Every pass is a scan plus a small aggregate; a hot
    value (a third of all rows equal) ends the search at once (min == max).
 
 The interpolation is Spark's: (hi_rank - h) * v_lo + (h - lo_rank) * v_hi.
@@ -69,8 +69,9 @@ def _kth(base: DataFrame, column: str, rank: int, n: int, lo: float, hi: float,
 
 
 def _pick(slice_df: DataFrame, k: int) -> float:
-    """The k-th smallest value (0-based) of a bounded slice: a sort, then one row."""
-    return float(slice_df.select("x").orderBy("x").offset(k).limit(1).first()["x"])
+    """The k-th smallest value (0-based) of a slice holding at most
+    ``direct_max`` values: sorted inside one task, only the value returns."""
+    return float(slice_df.agg(F.element_at(F.sort_array(F.collect_list("x")), k + 1).alias("v")).first()["v"])
 
 
 def exact_quantiles(
