@@ -60,26 +60,11 @@ def _bucket_counts(keyed: DataFrame, class_col: str) -> DataFrame:
     return counts.withColumn("_cum", F.sum("_cnt").over(w)).withColumn("_before", F.col("_cum") - F.col("_cnt"))
 
 
-def stratified_split(
-    df: DataFrame,
-    id_col: str,
-    class_col: str,
-    test_size: float = TEST_SIZE,
-    seed: int = SEED,
-    bucket_hex: int = 5,
-    max_classes: int = 1_000,
-) -> DataFrame:
-    """``df`` plus ``split`` in {'train', 'test'}; test = ceil(test_size * N)
-    rows in total, each class contributing its largest-remainder quota of its
-    first rows in seeded order."""
-    keyed = _keyed(df, id_col, class_col, seed, bucket_hex)
+def _mark_first(keyed: DataFrame, class_col: str, id_col: str, quotas: Mapping, max_classes: int) -> DataFrame:
+    """Add ``_take``: true for the first ``quotas[class]`` rows of each class in
+    seeded order. Rows outside the boundary bucket are decided by comparison;
+    only the boundary bucket of each class is ranked."""
     counts = _bucket_counts(keyed, class_col)
-    class_rows = collect_bounded(counts.groupBy(class_col).agg(F.sum("_cnt").alias("n")), max_classes, "classes")
-    class_n = {r[class_col]: r["n"] for r in class_rows}
-    total = sum(class_n.values())
-    quotas = largest_remainder_quotas(class_n, math.ceil(test_size * total))
-
-    # boundary bucket of each class: the first bucket whose running count reaches the quota
     quota_map = F.create_map(*[x for k, q in quotas.items() for x in (F.lit(k), F.lit(q))])
     boundary_rows = collect_bounded(
         counts.withColumn("_quota", F.element_at(quota_map, F.col(class_col)))
@@ -91,26 +76,42 @@ def stratified_split(
     bucket_of = {r[class_col]: r["_bucket"] for r in boundary_rows}
     need_of = {r[class_col]: r["_need"] for r in boundary_rows}
     # classes with a zero quota get an empty boundary: every bucket sorts after ''
-    b_map = F.create_map(*[x for k in class_n for x in (F.lit(k), F.lit(bucket_of.get(k, "")))])
-    n_map = F.create_map(*[x for k in class_n for x in (F.lit(k), F.lit(need_of.get(k, 0)))])
+    b_map = F.create_map(*[x for k in quotas for x in (F.lit(k), F.lit(bucket_of.get(k, "")))])
+    n_map = F.create_map(*[x for k in quotas for x in (F.lit(k), F.lit(need_of.get(k, 0)))])
     boundary = F.element_at(b_map, F.col(class_col))
-    status = F.when(F.col("_bucket") < boundary, "test").when(F.col("_bucket") > boundary, "train").otherwise("edge")
-    marked = keyed.withColumn("_status", status)
-
-    decided = marked.filter(F.col("_status") != "edge").select(id_col, class_col, F.col("_status").alias("split"))
+    decided = keyed.filter(F.col("_bucket") != boundary).withColumn("_take", F.col("_bucket") < boundary)
     w = Window.partitionBy(class_col).orderBy("_h", id_col)
     edge = (
-        marked.filter(F.col("_status") == "edge")
-        .withColumn("_rn", F.row_number().over(w))
-        .select(
-            id_col,
-            class_col,
-            F.when(F.col("_rn") <= F.element_at(n_map, F.col(class_col)), "test").otherwise("train").alias("split"),
-        )
+        keyed.filter(F.col("_bucket") == boundary)
+        .withColumn("_take", F.row_number().over(w) <= F.element_at(n_map, F.col(class_col)))
     )
     return decided.unionByName(edge)
 
 
+def _class_sizes(keyed: DataFrame, class_col: str, max_classes: int) -> dict:
+    rows = collect_bounded(keyed.groupBy(class_col).agg(F.count(F.lit(1)).alias("n")), max_classes, "classes")
+    return {r[class_col]: r["n"] for r in rows}
+
+
+def stratified_split(
+    df: DataFrame,
+    id_col: str,
+    class_col: str,
+    test_size: float = TEST_SIZE,
+    seed: int = SEED,
+    bucket_hex: int = 5,
+    max_classes: int = 1_000,
+) -> DataFrame:
+    """``(id, class, split)`` with split in {'train', 'test'}; test =
+    ceil(test_size * N) rows in total, each class contributing its
+    largest-remainder quota of its first rows in seeded order."""
+    keyed = _keyed(df, id_col, class_col, seed, bucket_hex)
+    class_n = _class_sizes(keyed, class_col, max_classes)
+    quotas = largest_remainder_quotas(class_n, math.ceil(test_size * sum(class_n.values())))
+    marked = _mark_first(keyed, class_col, id_col, quotas, max_classes)
+    return marked.select(id_col, class_col, F.when(F.col("_take"), "test").otherwise("train").alias("split"))
+
+
 def stratified_folds(
     df: DataFrame, id_col: str, class_col: str, k: int = 5, seed: int = SEED, bucket_hex: int = 5
 ) -> DataFrame:
@@ -126,9 +127,15 @@ def stratified_folds(
     )
 
 
-def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = SEED) -> DataFrame:
-    """``n`` rows in seeded order (each task keeps its best n, then one merge)."""
-    return df.orderBy(seeded_order(id_col, seed), F.col(id_col)).limit(n)
+def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = SEED, bucket_hex: int = 5) -> DataFrame:
+    """The first ``n`` rows in seeded order (all rows when fewer). Found
+    like the split's test part with one class: bucket counts, the boundary
+    bucket, a rank inside it - no task ever gathers n rows per partition."""
+    h = seeded_order(id_col, seed)
+    keyed = df.select("*", h.alias("_h"), F.substring(h, 1, bucket_hex).alias("_bucket"), F.lit(0).alias("_one"))
+    total = _class_sizes(keyed, "_one", 1).get(0, 0)
+    marked = _mark_first(keyed, "_one", id_col, {0: min(n, total)}, 1)
+    return marked.filter(F.col("_take")).select(*df.columns)
 
 
 def split_ids(split: DataFrame, id_col: str) -> DataFrame:

@@ -56,3 +56,12 @@ def test_unseen_level_is_null(spark):
     levels = ft.fit_levels(train, "c")
     got = [r[0] for r in test.select(ft.fold_rare_levels(test, "c", levels, 30)).collect()]
     assert got == ["a", "infrequent", None, None]
+
+
+def test_seeded_sample_equals_ordered_limit(spark):
+    df = _table(spark, 700)
+    want = [r.id for r in df.orderBy(sp.seeded_order("id"), "id").limit(123).collect()]
+    for parts in (1, 5):
+        got = sorted(r.id for r in sp.seeded_sample(df.repartition(parts), "id", 123).collect())
+        assert got == sorted(want)
+    assert sp.seeded_sample(df, "id", 10_000).count() == 700
