@@ -20,6 +20,18 @@ NULL_TOKEN = "NA"
 _NEVER = "\u0001"
 
 
+def resolve_raw_path(spark: SparkSession, path: str) -> str:
+    """The plain file when it exists, else its ``.gz`` twin (checked through
+    the Hadoop FileSystem of the path, so it works on any cluster store)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for candidate in (path, path + ".gz"):
+        p = jvm.org.apache.hadoop.fs.Path(candidate)
+        if p.getFileSystem(conf).exists(p):
+            return candidate
+    raise FileNotFoundError(f"neither {path} nor {path}.gz exists")
+
+
 def read_exact_na(spark: SparkSession, path: str, columns: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
     """Header CSV (plain or .gz) read as all-string with ``NA`` as the only null.
 

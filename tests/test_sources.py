@@ -22,3 +22,15 @@ def test_codebook_rules(spark):
     )
     out = csvsrc.clean_codebook(book).collect()
     assert [(r.column_silver, r.question_clean) for r in out] == [("LangHaveWorkedWith", "What do you use?")]
+
+
+def test_gzip_fallback(spark):
+    import gzip
+
+    d = tempfile.mkdtemp(prefix="canvass-gz-")
+    with gzip.open(os.path.join(d, "raw.csv.gz"), "wt") as f:
+        f.write('id,a\n1,NA\n2,""\n3,x\n')
+    path = csvsrc.resolve_raw_path(spark, os.path.join(d, "raw.csv"))
+    assert path.endswith(".gz")
+    rows = csvsrc.read_exact_na(spark, path, partitions=2).orderBy("id").collect()
+    assert [r.a for r in rows] == [None, "", "x"]
