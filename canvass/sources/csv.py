@@ -32,13 +32,24 @@ def resolve_raw_path(spark: SparkSession, path: str) -> str:
     raise FileNotFoundError(f"neither {path} nor {path}.gz exists")
 
 
-def read_exact_na(spark: SparkSession, path: str, columns: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
+def read_exact_na(
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str] | None = None,
+    partitions: int | None = None,
+    multi_line: bool = True,
+) -> DataFrame:
     """Header CSV (plain or .gz) read as all-string with ``NA`` as the only null.
 
-    gzip is not splittable: one task reads a whole file, so pass ``partitions``
-    to spread the rows before heavy work.
+    Quoted answers may hold line breaks, so ``multi_line`` is on by default; a
+    multi-line (or gzip) file is read by one task, so a large export should be
+    many files, or read with ``multi_line=False`` when it has no embedded line
+    breaks (then plain files split into many tasks). ``partitions`` spreads the
+    rows before heavy work.
     """
-    reader = spark.read.option("header", True).option("nullValue", _NEVER).option("escape", '"').option("multiLine", True)
+    reader = (
+        spark.read.option("header", True).option("nullValue", _NEVER).option("escape", '"').option("multiLine", multi_line)
+    )
     if columns is not None:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     else:
