@@ -8,7 +8,8 @@ therefore works in passes:
 1. one aggregate per column: count, min, max;
 2. columns with at most ``direct_max`` values use ``percentile`` (its buffer is
    bounded by that count);
-3. larger columns are resolved by selection: the order statistics needed
+3. larger columns are resolved by selection (all columns and ranks share
+   each pass): the order statistics needed
    (ranks floor(h) and floor(h)+1 of h = (n-1)p) are located by splitting the
    current candidate value range into ``buckets`` equal-width bins, counting
    per bin in one partially-aggregated ``groupBy`` (a table of at most
@@ -38,40 +39,69 @@ def _clean(long_df: DataFrame) -> DataFrame:
     return long_df.select("column", F.col("x").cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-def _kth(base: DataFrame, column: str, rank: int, n: int, lo: float, hi: float, below: int,
-         buckets: int, direct_max: int, max_passes: int) -> float:
-    """Value of 0-based ``rank`` among all values of ``column`` (``below`` values
-    lie under ``lo``; the rank is inside [lo, hi])."""
-    cand = n - below  # an upper bound until the first pass narrows it
-    for _ in range(max_passes):
-        if lo == hi:
-            return lo
-        sl = base.filter((F.col("column") == column) & (F.col("x") >= lo) & (F.col("x") <= hi))
-        if cand <= direct_max:
-            return _pick(sl, rank - below)
-        width = (hi - lo) / buckets
-        if not (width > 0 and math.isfinite(width)):
-            width = (hi - lo) or 1.0
-        b = F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+def _resolve(base: DataFrame, targets: list[dict], buckets: int, direct_max: int, max_passes: int) -> None:
+    """Find the value of every target ``{column, rank, lo, hi, below, cand}``
+    (``rank`` 0-based among the column's values; ``below`` values lie under
+    ``lo``). All unresolved targets share each pass over the data."""
+
+    def pick(ts: list[dict]) -> None:
+        # slices of at most direct_max values each: sorted inside one task per
+        # target, only the ranked value returns
+        arr = F.array(*[
+            F.struct(F.lit(i).alias("i"), F.lit(t["column"]).alias("c"), F.lit(t["lo"]).alias("lo"),
+                     F.lit(t["hi"]).alias("hi"), F.lit(t["rank"] - t["below"] + 1).alias("k"))
+            for i, t in enumerate(ts)
+        ])
+        hit = base.select("x", F.explode(F.filter(arr, lambda t: (t["c"] == F.col("column")) & (F.col("x") >= t["lo"]) & (F.col("x") <= t["hi"]))).alias("t"))
+        rows = hit.groupBy(F.col("t.i").alias("i"), F.col("t.k").alias("k")).agg(F.sort_array(F.collect_list("x")).alias("v"))
+        got = {r["i"]: float(r["v"][r["k"] - 1]) for r in rows.select("i", "k", "v").collect()}
+        for i, t in enumerate(ts):
+            t["value"] = got[i]
+
+    for _ in range(max_passes + 1):
+        for t in targets:
+            if "value" not in t and t["lo"] == t["hi"]:
+                t["value"] = t["lo"]
+        open_ = [t for t in targets if "value" not in t]
+        if not open_:
+            return
+        small = [t for t in open_ if t["cand"] <= direct_max]
+        if small:
+            pick(small)
+        big = [t for t in open_ if t["cand"] > direct_max]
+        if not big:
+            return
+        for t in big:
+            w = (t["hi"] - t["lo"]) / buckets
+            t["width"] = w if (w > 0 and math.isfinite(w)) else ((t["hi"] - t["lo"]) or 1.0)
+        arr = F.array(*[
+            F.struct(F.lit(i).alias("i"), F.lit(t["column"]).alias("c"), F.lit(t["lo"]).alias("lo"),
+                     F.lit(t["hi"]).alias("hi"), F.lit(t["width"]).alias("w"))
+            for i, t in enumerate(big)
+        ])
+        hit = base.select("x", F.explode(F.filter(arr, lambda t: (t["c"] == F.col("column")) & (F.col("x") >= t["lo"]) & (F.col("x") <= t["hi"]))).alias("t"))
+        b = F.least(F.floor((F.col("x") - F.col("t.lo")) / F.col("t.w")), F.lit(buckets - 1)).cast("int")
         hist = collect_bounded(
-            sl.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx")),
-            buckets,
+            hit.groupBy(F.col("t.i").alias("i"), b.alias("b")).agg(
+                F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx")
+            ),
+            len(big) * buckets,
             "quantile buckets",
         )
-        acc = below
-        for r in sorted(hist, key=lambda r: r["b"]):
-            if acc + r["c"] > rank:
-                lo, hi, below, cand = float(r["mn"]), float(r["mx"]), acc, int(r["c"])
-                break
-            acc += r["c"]
-    sl = base.filter((F.col("column") == column) & (F.col("x") >= lo) & (F.col("x") <= hi))
-    return _pick(sl, rank - below)
-
-
-def _pick(slice_df: DataFrame, k: int) -> float:
-    """The k-th smallest value (0-based) of a slice holding at most
-    ``direct_max`` values: sorted inside one task, only the value returns."""
-    return float(slice_df.agg(F.element_at(F.sort_array(F.collect_list("x")), k + 1).alias("v")).first()["v"])
+        per = {}
+        for r in hist:
+            per.setdefault(r["i"], []).append(r)
+        for i, t in enumerate(big):
+            acc = t["below"]
+            for r in sorted(per.get(i, []), key=lambda r: r["b"]):
+                if acc + r["c"] > t["rank"]:
+                    t.update(lo=float(r["mn"]), hi=float(r["mx"]), below=acc, cand=int(r["c"]))
+                    break
+                acc += r["c"]
+    # passes exhausted (pathological spread): finish on the remaining slices
+    rest = [t for t in targets if "value" not in t]
+    if rest:
+        pick(rest)
 
 
 def exact_quantiles(
@@ -101,22 +131,28 @@ def exact_quantiles(
         for r in rows:
             for p, v in zip(probs, r["q"]):
                 out[(r["column"], p)] = v
+    # large columns: every order statistic needed, resolved together
+    targets: dict[tuple[str, int], dict] = {}
     for r in stats:
         if r["n"] <= direct_max:
             continue
-        n, lo, hi = r["n"], float(r["mn"]), float(r["mx"])
-        cache: dict[int, float] = {}
-
-        def kth(rank: int) -> float:
-            if rank not in cache:
-                cache[rank] = _kth(base, r["column"], rank, n, lo, hi, 0, buckets, direct_max, max_passes)
-            return cache[rank]
-
         for p in probs:
-            h = (n - 1) * float(p)
-            k0, k1 = math.floor(h), math.ceil(h)
-            v0 = kth(k0)
-            out[(r["column"], p)] = v0 if k0 == k1 else (k1 - h) * v0 + (h - k0) * kth(k1)
+            h = (r["n"] - 1) * float(p)
+            for k in {math.floor(h), math.ceil(h)}:
+                targets.setdefault((r["column"], k), {
+                    "column": r["column"], "rank": k, "lo": float(r["mn"]), "hi": float(r["mx"]),
+                    "below": 0, "cand": r["n"],
+                })
+    if targets:
+        _resolve(base, list(targets.values()), buckets, direct_max, max_passes)
+        for r in stats:
+            if r["n"] <= direct_max:
+                continue
+            for p in probs:
+                h = (r["n"] - 1) * float(p)
+                k0, k1 = math.floor(h), math.ceil(h)
+                v0 = targets[(r["column"], k0)]["value"]
+                out[(r["column"], p)] = v0 if k0 == k1 else (k1 - h) * v0 + (h - k0) * targets[(r["column"], k1)]["value"]
     for r in stats:
         for p in probs:
             out.setdefault((r["column"], p), None)
