@@ -203,22 +203,74 @@ def regression_line(df: DataFrame, x: str, y: str, cap_quantile: float = 0.99) -
 _POISSON1_CDF = [sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
 
 
+def _multinomial_bands(group: str, replicates: int, seed: int, level: float):
+    """Per group (a handful of value counts): draw ``replicates`` resamples of n
+    rows with replacement as multinomial counts over the distinct values, take
+    each resample's mean, return the percentile band - the classic bootstrap of
+    a mean, computed from counts instead of rows."""
+    import zlib
+
+    import numpy as np
+    import pandas as pd
+
+    lo, hi = 100 * (1 - level) / 2, 100 * (1 - (1 - level) / 2)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("y", kind="mergesort")  # draws must not depend on row order
+        key = pdf[group].iloc[0]
+        values = pdf["y"].to_numpy(dtype="float64")
+        counts = pdf["c"].to_numpy(dtype="int64")
+        n = int(counts.sum())
+        rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
+        draws = rng.multinomial(n, counts / n, size=replicates)
+        means = draws @ values / n
+        return pd.DataFrame({
+            group: [key], "n": [n], "mean": [float(counts @ values / n)],
+            "ci_low": [float(np.percentile(means, lo))], "ci_high": [float(np.percentile(means, hi))],
+            "replicates": [replicates],
+        })
+
+    return run
+
+
 def bootstrap_mean_ci(
-    df: DataFrame, id_col: str, value: str, group: str, replicates: int = 200, seed: int = 42, level: float = 0.95
+    df: DataFrame, id_col: str, value: str, group: str, replicates: int = 1000, seed: int = 42, level: float = 0.95,
+    max_distinct: int = 64,
 ) -> DataFrame:
-    """Percentile bootstrap band of a group mean by the Poisson bootstrap.
+    """Percentile bootstrap band of a group mean.
+
+    When every group's column has at most ``max_distinct`` distinct values (0/1
+    indicators, ratings, counts) the rows are first reduced to value counts per
+    group; the resampling then runs on those counts (exact classic bootstrap,
+    ``applyInPandas`` over groups x values rows), so its cost does not grow
+    with the rows. Otherwise the Poisson bootstrap over rows is used.
+    """
+    base = df.select(id_col, group, F.col(value).cast("double").alias("y")).dropna(subset=[group, "y"])
+    counts = base.groupBy(group, "y").agg(F.count(F.lit(1)).alias("c"))
+    widest = counts.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    if widest <= max_distinct:
+        gtype = df.schema[group].dataType.simpleString()
+        schema = f"`{group}` {gtype}, n long, mean double, ci_low double, ci_high double, replicates int"
+        return counts.groupBy(group).applyInPandas(_multinomial_bands(group, replicates, seed, level), schema)
+    return poisson_bootstrap_mean_ci(base, id_col, group, replicates, seed, level)
+
+
+def poisson_bootstrap_mean_ci(
+    base: DataFrame, id_col: str, group: str, replicates: int = 1000, seed: int = 42, level: float = 0.95
+) -> DataFrame:
+    """A23 for continuous values: Poisson bootstrap over rows.
 
     Each row gets a Poisson(1) weight per replicate from a seeded hash of
     (seed, id, replicate), so the result does not depend on partitioning and a
     lost task recomputes the same weights. Rows are expanded by the replicate
     index inside the task and immediately reduced by the partial aggregate of
     ``groupBy(group, replicate)``; only groups x replicates partials shuffle.
+    ``base`` has columns ``(id, group, y)``.
     """
     u = (F.abs(F.xxhash64(F.lit(seed), F.col(id_col), F.col("b"))) % F.lit(1 << 53)) / F.lit(float(1 << 53))
     w = F.lit(len(_POISSON1_CDF))
     for k in reversed(range(len(_POISSON1_CDF))):
         w = F.when(u < F.lit(_POISSON1_CDF[k]), F.lit(k)).otherwise(w)
-    base = df.select(id_col, group, F.col(value).cast("double").alias("y")).dropna(subset=[group, "y"])
     # replicate 0 carries weight 1 for every row: the plain mean comes out of the
     # same single scan
     reps = (

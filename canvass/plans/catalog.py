@@ -360,7 +360,7 @@ def q_regression_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bootstrap_ci")
 def q_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = labelled(spark, sf_dir)
-    return asc.bootstrap_mean_ci(df, "respondent_id", "target", "segment", replicates=200, seed=42)
+    return asc.bootstrap_mean_ci(df, "respondent_id", "target", "segment", replicates=1000, seed=42)
 
 
 # ---- split -----------------------------------------------------------------

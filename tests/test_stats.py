@@ -91,8 +91,21 @@ def test_undefined_precision_is_zero(spark):
 
 def test_bootstrap_is_repeatable(spark):
     df = spark.createDataFrame([(i, "g" + str(i % 2), float(i % 5)) for i in range(200)], "id long, g string, y double")
-    a = sorted(asc.bootstrap_mean_ci(df, "id", "y", "g", replicates=50).collect())
-    b = sorted(asc.bootstrap_mean_ci(df.repartition(7), "id", "y", "g", replicates=50).collect())
-    assert a == b
-    for r in a:
-        assert r.ci_low <= r.mean <= r.ci_high
+    for fn in (
+        lambda d: asc.bootstrap_mean_ci(d, "id", "y", "g", replicates=50),
+        lambda d: asc.poisson_bootstrap_mean_ci(d.select("id", "g", F.col("y")), "id", "g", replicates=50),
+    ):
+        a = sorted(fn(df).collect())
+        b = sorted(fn(df.repartition(7)).collect())
+        assert a == b
+        for r in a:
+            assert r.ci_low <= r.mean <= r.ci_high and r.n == 100
+
+
+def test_bootstrap_band_of_a_proportion(spark):
+    # 0/1 values: the band must be close to the normal-approximation band
+    rows = [(i, "g", float(i % 10 < 3)) for i in range(2000)]
+    r = asc.bootstrap_mean_ci(spark.createDataFrame(rows, "id long, g string, y double"), "id", "y", "g").first()
+    half = 1.96 * (0.3 * 0.7 / 2000) ** 0.5
+    assert r.mean == pytest.approx(0.3)
+    assert r.ci_low == pytest.approx(0.3 - half, abs=0.006) and r.ci_high == pytest.approx(0.3 + half, abs=0.006)
