@@ -45,9 +45,6 @@ class LinearParams:
     p_high: float | None
     medians: dict[str, float] = field(default_factory=dict)
 
-    def to_row(self) -> dict:
-        return {"winsor_col": self.winsor_col, "p_low": self.p_low, "p_high": self.p_high, **{f"median_{k}": v for k, v in self.medians.items()}}
-
 
 def _pre_impute(spec: LinearSpec, c: str, lo: float | None, hi: float | None) -> Column:
     s = F.col(c).cast("double")
@@ -87,7 +84,7 @@ def transform_linear(df: DataFrame, spec: LinearSpec, params: LinearParams, keep
     return df.select(*cols)
 
 
-def winsorize(df: DataFrame, column: str, lo: float, hi: float, alias: str | None = None) -> Column:
+def winsorize(column: str, lo: float, hi: float, alias: str | None = None) -> Column:
     """P13 as a column: clip into the fitted bounds, keep nulls."""
     return clip_keep_null(F.col(column).cast("double"), lo, hi).alias(alias or column)
 

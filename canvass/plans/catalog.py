@@ -472,7 +472,7 @@ def fitted_linear(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ft.Linea
 @query("winsorize")
 def q_winsorize(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, params = fitted_linear(spark, sf_dir)
-    return table.select("respondent_id", ft.winsorize(table, "spend", params.p_low, params.p_high, "spend_clipped"))
+    return table.select("respondent_id", ft.winsorize("spend", params.p_low, params.p_high, "spend_clipped"))
 
 
 @query("log1p_transform")
