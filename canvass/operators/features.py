@@ -46,7 +46,9 @@ class LinearParams:
     medians: dict[str, float] = field(default_factory=dict)
 
 
-def _pre_impute(spec: LinearSpec, c: str, lo: float | None, hi: float | None) -> Column:
+def pre_impute(spec: LinearSpec, c: str, lo: float | None, hi: float | None) -> Column:
+    """P13 + P14 for one column: clip to the fitted bounds (winsor column only),
+    then log1p (log columns only); nulls stay null for the imputation step."""
     s = F.col(c).cast("double")
     if c == spec.winsor and lo is not None:
         s = clip_keep_null(s, lo, hi)
@@ -62,7 +64,7 @@ def fit_linear(train: DataFrame, spec: LinearSpec) -> LinearParams:
     if spec.winsor:
         lo, hi = column_quantiles(train, spec.winsor, [spec.winsor_low, spec.winsor_high])
     names = [spec.out_name(c) for c in spec.numeric]
-    pre = train.select(*[_pre_impute(spec, c, lo, hi).alias(spec.out_name(c)) for c in spec.numeric])
+    pre = train.select(*[pre_impute(spec, c, lo, hi).alias(spec.out_name(c)) for c in spec.numeric])
     q = exact_quantiles(pre.unpivot([], names, "column", "x"), [0.5])
     return LinearParams(spec.winsor, lo, hi, {k: q[(k, 0.5)] for k in names})
 
@@ -79,7 +81,7 @@ def transform_linear(df: DataFrame, spec: LinearSpec, params: LinearParams, keep
             cols.append(F.coalesce(raw > 0, F.lit(False)).cast("tinyint").alias(f"{c}_any"))
         name = spec.out_name(c)
         med = params.medians[name]
-        filled = F.coalesce(_pre_impute(spec, c, params.p_low, params.p_high), F.lit(med))
+        filled = F.coalesce(pre_impute(spec, c, params.p_low, params.p_high), F.lit(med))
         cols.append(F.when(filled.isNull(), F.raise_error(F.lit(f"{name}: null after imputation"))).otherwise(filled).alias(name))
     return df.select(*cols)
 

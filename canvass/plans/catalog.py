@@ -11,8 +11,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canvass.functions import scalars as sc
+from canvass.functions.guards import collect_bounded
+from canvass.operators import association as asc
+from canvass.operators import clean as cl
+from canvass.operators import evaluate as ev
+from canvass.operators import features as ft
+from canvass.operators import labels as lb
+from canvass.operators import model as md
 from canvass.operators import multiselect as ms
+from canvass.operators import prepare as pr
+from canvass.operators import profile as pf
+from canvass.operators import rates as rt
+from canvass.operators import split as sp
+from canvass.operators.quantile import column_quantiles
 from canvass.plans import fixtures as fx
+from canvass.session import checkpoint_root, scratch_path
+from canvass.sources import csv as csvsrc
+from canvass.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -85,11 +101,6 @@ def q_response_rate_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- cleaning --------------------------------------------------------------
 
-from canvass.functions import scalars as sc  # noqa: E402
-from canvass.functions.guards import collect_bounded  # noqa: E402
-from canvass.operators import clean as cl  # noqa: E402
-from canvass.operators import rates as rt  # noqa: E402
-from canvass.operators.quantile import column_quantiles  # noqa: E402
 
 # Fixed values of the fixture: an ordinal code per market segment
 # (None = an answer that cannot be ordered).
@@ -232,8 +243,6 @@ def q_indicator_rate_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- profiles --------------------------------------------------------------
 
-from canvass.operators import association as asc  # noqa: E402
-from canvass.operators import profile as pf  # noqa: E402
 
 CATEGORICAL = ["segment", "country", "outcome", "years_text"]
 
@@ -365,9 +374,6 @@ def q_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- split -----------------------------------------------------------------
 
-from canvass.operators import features as ft  # noqa: E402
-from canvass.operators import split as sp  # noqa: E402
-from canvass.session import scratch_path  # noqa: E402
 
 LINEAR = ft.LinearSpec(winsor="spend", log=["spend", "years", "n_returns"], any_flag=["n_returns"], raw=["segmentNum"])
 
@@ -438,7 +444,6 @@ def q_apply_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split's parameters and counts as a JSON record, written to the
     shared checkpoint folder and read back."""
-    from canvass.sources import sinks
 
     resp = fx.respondents(spark, sf_dir)
     split = split_view(spark, sf_dir)
@@ -480,7 +485,7 @@ def q_log1p_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, params = fitted_linear(spark, sf_dir)
     return table.select(
         "respondent_id",
-        *[ft._pre_impute(LINEAR, c, params.p_low, params.p_high).alias(f"{c}_log") for c in LINEAR.log],
+        *[ft.pre_impute(LINEAR, c, params.p_low, params.p_high).alias(f"{c}_log") for c in LINEAR.log],
     )
 
 
@@ -496,7 +501,7 @@ def q_median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted medians (after clip + log, train only) as a table."""
     _, train = split_frames(spark, sf_dir)
     lo, hi = column_quantiles(train, "spend", [0.01, 0.99])
-    pre = train.select(*[ft._pre_impute(LINEAR, c, lo, hi).alias(LINEAR.out_name(c)) for c in LINEAR.numeric])
+    pre = train.select(*[ft.pre_impute(LINEAR, c, lo, hi).alias(LINEAR.out_name(c)) for c in LINEAR.numeric])
     return pf.quantiles(pre, [LINEAR.out_name(c) for c in LINEAR.numeric], [0.5]).select(
         "column", F.col("value").alias("median")
     )
@@ -561,7 +566,6 @@ def q_skew_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- evaluation on deterministic scores ------------------------------------------
 
-from canvass.operators import evaluate as ev  # noqa: E402
 
 # Display names of the two classes of the document target.
 QUALITY_NAMES = {0: "low quality", 1: "high quality"}
@@ -614,10 +618,6 @@ def q_predictions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- models ---------------------------------------------------------------------
 
-from canvass.operators import labels as lb  # noqa: E402
-from canvass.operators import model as md  # noqa: E402
-from canvass.session import checkpoint_root  # noqa: E402
-
 
 def model_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, md.FeatureSpec]:
     """The linear-track table (imputed logs + flags), single-choice categories
@@ -724,9 +724,6 @@ def q_feature_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- sources and sinks ------------------------------------------------------------
 
-from canvass.sources import csv as csvsrc  # noqa: E402
-from canvass.sources import sinks  # noqa: E402
-
 
 @query("csv_null_token")
 def q_csv_null_token(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -790,8 +787,6 @@ def q_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- the preparation steps end to end ----------------------------------------------------
 
-from canvass.operators import prepare as pr  # noqa: E402
-
 
 @query("prepare_tables")
 def q_prepare_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
