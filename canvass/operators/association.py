@@ -73,7 +73,10 @@ def chi_square(df: DataFrame, variables: Sequence[str], target: str, yates: bool
     sum((O - E)^2 / E) = sum_observed(O^2 / E) - n, and in a 2x2 table every cell
     has the same |O - E|, so the corrected statistic follows from one cell.
     """
-    cells = _long(df, variables, target).groupBy("variable", "value", "target").agg(F.count(F.lit(1)).alias("o"))
+    # counts become doubles before any product: o^2 n or r c overflow a long at scale
+    cells = _long(df, variables, target).groupBy("variable", "value", "target").agg(
+        F.count(F.lit(1)).cast("double").alias("o")
+    )
     # margins by windows over the (small) contingency table: one scan of the rows,
     # a linear plan (no branch re-reads the input)
     var = Window.partitionBy("variable")
@@ -101,7 +104,7 @@ def chi_square(df: DataFrame, variables: Sequence[str], target: str, yates: bool
     chi2 = F.when(dof == 0, F.lit(0.0)).when((dof == 1) & F.lit(yates), corrected).otherwise(plain)
     out = t.select(
         "variable",
-        F.col("n").cast("bigint").alias("n"),
+        F.col("n").cast("bigint").alias("n"),  # exact: a sum of whole counts
         chi2.alias("chi2"),
         dof.cast("bigint").alias("dof"),
         F.least(F.col("r"), F.col("c")).alias("_m"),

@@ -200,7 +200,10 @@ def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = (), range
         F.sum(F.col("pos") * (below + F.col("neg") * 0.5)).alias("_u")
     ).select(
         *by,
-        F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_u") / (F.col("n_pos") * F.col("n_neg"))).alias("roc_auc"),
+        F.when(
+            (F.col("n_pos") > 0) & (F.col("n_neg") > 0),
+            F.col("_u") / (F.col("n_pos").cast("double") * F.col("n_neg").cast("double")),
+        ).alias("roc_auc"),
         "n_pos",
         "n_neg",
     )
