@@ -270,7 +270,7 @@ def poisson_bootstrap_mean_ci(
     ``groupBy(group, replicate)``; only groups x replicates partials shuffle.
     ``base`` has columns ``(id, group, y)``.
     """
-    u = (F.abs(F.xxhash64(F.lit(seed), F.col(id_col), F.col("b"))) % F.lit(1 << 53)) / F.lit(float(1 << 53))
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("b")), F.lit(1 << 53)) / F.lit(float(1 << 53))
     w = F.lit(len(_POISSON1_CDF))
     for k in reversed(range(len(_POISSON1_CDF))):
         w = F.when(u < F.lit(_POISSON1_CDF[k]), F.lit(k)).otherwise(w)
