@@ -7,7 +7,8 @@ Runs each query of ``HEADLINE`` on ``$BENCH_SF_DIR`` (default
 Every query is executed in full through the ``noop`` sink (a ``count()`` would
 let Catalyst prune the work away). The session is warmed up once on the
 smallest scale first, so JVM start-up and first-time code generation are not
-charged to the first query.
+charged to the first query. ``BENCH_EVENT_LOG_DIR`` (optional) writes Spark's
+event log there for per-stage timings.
 """
 
 from __future__ import annotations
@@ -53,6 +54,13 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    event_dir = os.environ.get("BENCH_EVENT_LOG_DIR")
+    if event_dir:
+        # stage and task times without the web UI: Spark's event log in a scratch folder
+        os.makedirs(event_dir, exist_ok=True)
+        from pyspark.sql import SparkSession
+
+        SparkSession.builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_dir)
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="canvass-bench")
     warm = os.path.join(os.path.dirname(sf_dir), "sf0.001")
     if os.path.isdir(warm):
