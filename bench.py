@@ -54,14 +54,15 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    extra = {}
     event_dir = os.environ.get("BENCH_EVENT_LOG_DIR")
     if event_dir:
         # stage and task times without the web UI: Spark's event log in a scratch folder
         os.makedirs(event_dir, exist_ok=True)
-        from pyspark.sql import SparkSession
-
-        SparkSession.builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_dir)
-    spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="canvass-bench")
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir}
+    spark = local_session(
+        cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="canvass-bench", extra=extra
+    )
     warm = os.path.join(os.path.dirname(sf_dir), "sf0.001")
     if os.path.isdir(warm):
         CATALOG["have_vs_want"](spark, warm).write.format("noop").mode("overwrite").save()
