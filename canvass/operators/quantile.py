@@ -53,8 +53,11 @@ def _resolve(base: DataFrame, targets: list[dict], buckets: int, direct_max: int
             for i, t in enumerate(ts)
         ])
         hit = base.select("x", F.explode(F.filter(arr, lambda t: (t["c"] == F.col("column")) & (F.col("x") >= t["lo"]) & (F.col("x") <= t["hi"]))).alias("t"))
-        rows = hit.groupBy(F.col("t.i").alias("i"), F.col("t.k").alias("k")).agg(F.sort_array(F.collect_list("x")).alias("v"))
-        got = {r["i"]: float(r["v"][r["k"] - 1]) for r in rows.select("i", "k", "v").collect()}
+        rows = hit.groupBy(F.col("t.i").alias("i"), F.col("t.k").alias("k")).agg(
+            F.sort_array(F.collect_list("x")).alias("v")
+        )
+        picked = rows.select("i", F.element_at("v", F.col("k")).alias("value"))
+        got = {r["i"]: float(r["value"]) for r in collect_bounded(picked, len(ts), "quantile picks")}
         for i, t in enumerate(ts):
             t["value"] = got[i]
 
