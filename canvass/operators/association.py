@@ -98,8 +98,10 @@ def chi_square(df: DataFrame, variables: Sequence[str], target: str, yates: bool
     dof = (F.col("r") - 1) * (F.col("c") - 1)
     plain = F.col("s") - n
     e11 = F.col("r1") * F.col("c1") / n
-    corrected = F.pow(F.greatest(F.abs(F.col("o11") - e11) - 0.5, F.lit(0.0)), 2) * F.pow(n, 3) / (
-        F.col("r1") * (n - F.col("r1")) * F.col("c1") * (n - F.col("c1"))
+    # undefined statistics (a margin with one level) are null, never a division error
+    corrected = F.try_divide(
+        F.pow(F.greatest(F.abs(F.col("o11") - e11) - 0.5, F.lit(0.0)), 2) * F.pow(n, 3),
+        F.col("r1") * (n - F.col("r1")) * F.col("c1") * (n - F.col("c1")),
     )
     chi2 = F.when(dof == 0, F.lit(0.0)).when((dof == 1) & F.lit(yates), corrected).otherwise(plain)
     out = t.select(
@@ -109,7 +111,7 @@ def chi_square(df: DataFrame, variables: Sequence[str], target: str, yates: bool
         dof.cast("bigint").alias("dof"),
         F.least(F.col("r"), F.col("c")).alias("_m"),
     )
-    v = F.sqrt(F.col("chi2") / (F.col("n") * (F.col("_m") - 1)))
+    v = F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * (F.col("_m") - 1)))
     return out.select(
         "variable", "n", "chi2", "dof", v.alias("cramers_v"), tier(v, 0.3, 0.1).alias("strength")
     )
@@ -152,9 +154,9 @@ def anova(df: DataFrame, variables: Sequence[str], group: str) -> DataFrame:
         )
         .filter(F.col("k") >= 2)
     )
-    f_stat = (F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("n") - F.col("k")))
+    f_stat = F.try_divide(F.col("ssb") / (F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n") - F.col("k")))
     sst = F.col("ssb") + F.col("ssw")
-    eta2 = F.when(sst > 0, F.col("ssb") / sst)
+    eta2 = F.try_divide(F.col("ssb"), F.when(sst > 0, sst))
     return ss.select(
         "variable",
         F.col("n").cast("bigint").alias("n"),
@@ -280,7 +282,8 @@ def poisson_bootstrap_mean_ci(
         base.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("b"))
         .withColumn("w", F.when(F.col("b") == 0, F.lit(1)).otherwise(w))
         .groupBy(group, "b")
-        .agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("m"), F.count(F.lit(1)).alias("rows"))
+        # a replicate whose weights are all zero (likely for tiny groups) has no mean
+        .agg(F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w")).alias("m"), F.count(F.lit(1)).alias("rows"))
     )
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     bands = reps.groupBy(group).agg(

@@ -36,11 +36,12 @@ def _counts(label: Column, pred: Column) -> list[Column]:
 
 
 def _safe_div(a: Column, b: Column) -> Column:
-    return F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
+    """a / b, and 0 when b is 0 (the 'zero_division=0' convention)."""
+    return F.coalesce(F.try_divide(a.cast("double"), F.when(b > 0, b)), F.lit(0.0))
 
 
 def _f1(p: Column, r: Column) -> Column:
-    return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(2 * p * r, F.when(p + r > 0, p + r)), F.lit(0.0))
 
 
 def confusion_matrix(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -109,7 +110,7 @@ def classification_report(df: DataFrame, label: str, pred: str, names: Mapping[i
     names = names or {0: "0", 1: "1"}
     c = _per_class(df.agg(*_counts(F.col(label), F.col(pred))))
     n = (F.col("s0") + F.col("s1")).cast("double")
-    acc = (F.col("tp") + F.col("tn")) / n
+    acc = F.try_divide(F.col("tp") + F.col("tn"), n)
 
     def row(name: str, p: Column, r: Column, f: Column, s: Column) -> Column:
         return F.struct(
@@ -118,7 +119,7 @@ def classification_report(df: DataFrame, label: str, pred: str, names: Mapping[i
         )
 
     def wavg(a: str, b: str) -> Column:
-        return (F.col(a) * F.col("s0") + F.col(b) * F.col("s1")) / n
+        return F.try_divide(F.col(a) * F.col("s0") + F.col(b) * F.col("s1"), n)
 
     rows = F.array(
         row(names[0], F.col("p0"), F.col("r0"), F.col("f1_0"), F.col("s0")),
@@ -202,7 +203,7 @@ def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = (), range
         *by,
         F.when(
             (F.col("n_pos") > 0) & (F.col("n_neg") > 0),
-            F.col("_u") / (F.col("n_pos").cast("double") * F.col("n_neg").cast("double")),
+            F.try_divide(F.col("_u"), F.col("n_pos").cast("double") * F.col("n_neg").cast("double")),
         ).alias("roc_auc"),
         "n_pos",
         "n_neg",

@@ -148,7 +148,7 @@ def skew_observed(df: DataFrame, pairs: Sequence[tuple[str, str, str, str]]) ->
 
     def g1(c: Column) -> Column:
         n = F.count(c).cast("double")
-        return F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2)
+        return F.try_divide(F.skewness(c) * F.sqrt(n * (n - 1)), n - 2)
 
     exprs = []
     for name, raw, out, missing in pairs:

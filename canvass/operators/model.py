@@ -197,7 +197,7 @@ def cross_validate(
     )
 
     def div(a, b):
-        return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+        return F.coalesce(F.try_divide(a, F.when(b > 0, b)), F.lit(0.0))
 
     p1 = div(F.col("tp"), F.col("tp") + F.col("fp"))
     r1 = div(F.col("tp"), F.col("tp") + F.col("fn"))
@@ -205,7 +205,7 @@ def cross_validate(
     r0 = div(F.col("tn"), F.col("tn") + F.col("fp"))
 
     def f1(p, r):
-        return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+        return F.coalesce(F.try_divide(2 * p * r, F.when(p + r > 0, p + r)), F.lit(0.0))
 
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     per_fold = counts.select(

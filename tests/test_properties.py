@@ -68,3 +68,43 @@ def test_exact_quantiles_selection_equals_python(spark, ints):
     got = exact_quantiles(df, probs, direct_max=3, buckets=4)
     for p in probs:
         assert math.isclose(got[("c", p)], _linear(values, p), rel_tol=1e-12, abs_tol=1e-12)
+
+
+def _chi2_brute(pairs):
+    rows = sorted({v for v, _ in pairs})
+    cols = sorted({t for _, t in pairs})
+    n = len(pairs)
+    obs = {}
+    for p in pairs:
+        obs[p] = obs.get(p, 0) + 1
+    rt = {r: sum(obs.get((r, c), 0) for c in cols) for r in rows}
+    ct = {c: sum(obs.get((r, c), 0) for r in rows) for c in cols}
+    dof = (len(rows) - 1) * (len(cols) - 1)
+    if dof == 0:
+        return 0.0, 0
+    total = 0.0
+    for r in rows:
+        for c in cols:
+            e = rt[r] * ct[c] / n
+            d = abs(obs.get((r, c), 0) - e)
+            if dof == 1:
+                d = max(d - 0.5, 0.0)
+            total += d * d / e
+    return total, dof
+
+
+PAIRS = st.lists(st.tuples(st.sampled_from("abcd"), st.sampled_from("xyz")), min_size=2, max_size=120)
+
+
+@SETTINGS
+@given(PAIRS, st.booleans())
+def test_chi_square_equals_full_grid(spark, pairs, two_by_two):
+    from canvass.operators.association import chi_square
+
+    if two_by_two:
+        pairs = [("a" if v in "ab" else "c", "x" if t == "x" else "y") for v, t in pairs]
+    df = spark.createDataFrame(pairs, "v string, t string")
+    r = chi_square(df, ["v"], "t").first()
+    chi2, dof = _chi2_brute(pairs)
+    assert r.dof == dof
+    assert math.isclose(r.chi2, chi2, rel_tol=1e-9, abs_tol=1e-9)
