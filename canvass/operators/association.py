@@ -20,6 +20,7 @@ from canvass.functions.guards import collect_bounded
 from canvass.functions.scalars import tier
 from canvass.functions.tails import chi2_pvalue, f_pvalue, pearson_pvalue
 from canvass.operators.quantile import column_quantiles
+from canvass.session import checkpoint_root
 
 ALPHA = 0.05
 
@@ -77,22 +78,36 @@ def chi_square(df: DataFrame, variables: Sequence[str], target: str, yates: bool
     cells = _long(df, variables, target).groupBy("variable", "value", "target").agg(
         F.count(F.lit(1)).cast("double").alias("o")
     )
-    # margins by windows over the (small) contingency table: one scan of the rows,
-    # a linear plan (no branch re-reads the input)
-    var = Window.partitionBy("variable")
-    marg = cells.select(
-        "*",
-        F.sum("o").over(Window.partitionBy("variable", "value")).alias("r_tot"),
-        F.sum("o").over(Window.partitionBy("variable", "target")).alias("c_tot"),
-    ).select("*", F.sum("o").over(var).alias("n"), F.min("value").over(var).alias("v1"), F.min("target").over(var).alias("t1"))
-    t = marg.groupBy("variable").agg(
-        F.first("n").alias("n"),
-        F.count_distinct("value").alias("r"),
-        F.count_distinct("target").alias("c"),
+    # the contingency table is written once to the shared checkpoint folder: the
+    # rows are scanned once, and the margins below (aggregates joined back on
+    # their keys, no window holding a variable's levels in one task) read it
+    checkpoint_root(df.sparkSession)
+    cells = cells.checkpoint()
+    rows = cells.groupBy("variable", "value").agg(F.sum("o").alias("r_tot"))
+    cols = cells.groupBy("variable", "target").agg(F.sum("o").alias("c_tot"))
+    per_var = rows.groupBy("variable").agg(
+        F.sum("r_tot").alias("n"),
+        F.count(F.lit(1)).alias("r"),
+        F.min("value").alias("v1"),
         F.min_by("r_tot", "value").alias("r1"),
-        F.min_by("c_tot", "target").alias("c1"),
-        F.sum(F.col("o") * F.col("o") * F.col("n") / (F.col("r_tot") * F.col("c_tot"))).alias("s"),
-        F.coalesce(F.sum(F.when((F.col("value") == F.col("v1")) & (F.col("target") == F.col("t1")), F.col("o"))), F.lit(0)).alias("o11"),
+    ).join(
+        cols.groupBy("variable").agg(
+            F.count(F.lit(1)).alias("c"), F.min("target").alias("t1"), F.min_by("c_tot", "target").alias("c1")
+        ),
+        "variable",
+    )
+    scalars = F.broadcast(per_var)
+    t = (
+        cells.join(rows, ["variable", "value"])
+        .join(cols, ["variable", "target"])
+        .join(scalars, "variable")
+        .groupBy("variable", "n", "r", "c", "r1", "c1")
+        .agg(
+            F.sum(F.col("o") * F.col("o") * F.col("n") / (F.col("r_tot") * F.col("c_tot"))).alias("s"),
+            F.coalesce(
+                F.sum(F.when((F.col("value") == F.col("v1")) & (F.col("target") == F.col("t1")), F.col("o"))), F.lit(0.0)
+            ).alias("o11"),
+        )
     )
     n = F.col("n").cast("double")
     dof = (F.col("r") - 1) * (F.col("c") - 1)

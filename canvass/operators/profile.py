@@ -112,8 +112,10 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Counts per value including null, with the percent of all rows."""
     long = string_long(df, columns)
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy("column"))
-    return counts.select("column", "value", "n", (F.col("n") * 100.0 / total).alias("pct"))
+    # every column holds one entry per row (nulls included), so each column's
+    # total is the row count: no second pass and no window over a column's values
+    total = df.count()
+    return counts.select("column", "value", "n", (F.col("n") * 100.0 / F.lit(total)).alias("pct"))
 
 
 def target_distribution(df: DataFrame, target: str) -> DataFrame:
@@ -142,22 +144,21 @@ def category_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     top count per column, then the smallest value holding it."""
     long = string_long(df, columns)
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
-    col = Window.partitionBy("column")
     known = F.col("value").isNotNull()
-    marked = counts.select(
-        "*",
-        F.sum(F.when(known, F.col("c"))).over(col).alias("n"),
-        F.sum(F.when(~known, F.col("c"))).over(col).alias("missing"),
-        F.count(F.when(known, 1)).over(col).alias("distinct"),
-        F.max(F.when(known, F.col("c"))).over(col).alias("mode_count"),
-    )
-    out = marked.groupBy("column", "n", "missing", "distinct", "mode_count").agg(
-        F.min(F.when(known & (F.col("c") == F.col("mode_count")), F.col("value"))).alias("mode")
+    # the mode is the value with the largest count, ties to the smallest value:
+    # min_by over (-count, value) - a partial aggregate, however many values a
+    # column has (no window holding a column's values in one task)
+    out = counts.groupBy("column").agg(
+        F.sum(F.when(known, F.col("c"))).alias("n"),
+        F.coalesce(F.sum(F.when(~known, F.col("c"))), F.lit(0)).alias("missing"),
+        F.count(F.when(known, 1)).alias("distinct"),
+        F.max(F.when(known, F.col("c"))).alias("mode_count"),
+        F.min_by(F.col("value"), F.when(known, F.struct((-F.col("c")).alias("k"), F.col("value").alias("v")))).alias("mode"),
     )
     return out.filter(F.col("n").isNotNull()).select(
         "column",
         F.col("n").cast("bigint").alias("n"),
-        F.coalesce(F.col("missing"), F.lit(0)).cast("bigint").alias("missing"),
+        F.col("missing").cast("bigint").alias("missing"),
         "distinct",
         "mode",
         "mode_count",
