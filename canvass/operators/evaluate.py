@@ -10,6 +10,7 @@ window ever covers all rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from canvass.session import checkpoint_root
 
 THRESHOLD = 0.5
+RANGE_ROWS = 2_000_000
 
 
 def predict_at(score: Column, threshold: float = THRESHOLD) -> Column:
@@ -153,6 +155,9 @@ def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = (), ra
     )
     checkpoint_root(df.sparkSession)
     grouped = grouped.checkpoint()
+    # enough ranges that each holds at most ~RANGE_ROWS distinct scores, so every
+    # running-sum window partition stays bounded however many scores there are
+    ranges = max(ranges, math.ceil(grouped.count() / RANGE_ROWS))
     splits = _score_ranges(grouped, "threshold", ranges)
     ranged = Bucketizer(splits=splits, inputCol="threshold", outputCol="_range", handleInvalid="keep").transform(grouped)
     # totals per (group, range): at most groups x ranges rows; offsets = totals of
