@@ -109,3 +109,12 @@ def test_bootstrap_band_of_a_proportion(spark):
     half = 1.96 * (0.3 * 0.7 / 2000) ** 0.5
     assert r.mean == pytest.approx(0.3)
     assert r.ci_low == pytest.approx(0.3 - half, abs=0.006) and r.ci_high == pytest.approx(0.3 + half, abs=0.006)
+
+
+def test_approx_profile_path_close_to_exact(spark):
+    df = spark.createDataFrame([(float((i * 7919) % 1000),) for i in range(5000)], "x double")
+    exact = pf.numeric_summary(df, ["x"]).first()
+    approx = pf.numeric_summary(df, ["x"], approx=True).first()
+    for k in ("p25", "p50", "p75"):
+        assert abs(exact[k] - approx[k]) <= 2.0
+    assert exact["count"] == approx["count"] == 5000
