@@ -2,8 +2,9 @@
 
 Usage: python tools/audit_plans.py [sf_dir]
 Prints one line per query: build time (eager fitting / vocabulary jobs), run
-time (full execution through the noop sink), and the number of file scans and
-exchanges in the executed (adaptive) plan. Fitted models are skipped.
+time (full execution through the noop sink), and the number of file scans,
+reads of checkpointed intermediates and exchanges in the executed (adaptive)
+plan. Fitted models are skipped.
 """
 
 from __future__ import annotations
@@ -32,11 +33,12 @@ def main() -> None:
         df.write.format("noop").mode("overwrite").save()
         t2 = time.time()
         plan = df._jdf.queryExecution().executedPlan().toString()
-        scans = len(re.findall(r"FileScan|Scan parquet|Scan csv|Scan json|Scan ExistingRDD", plan))
+        files = len(re.findall(r"FileScan|Scan parquet|Scan csv|Scan json", plan))
+        ckpt = len(re.findall(r"Scan ExistingRDD", plan))
         shuffles = len(re.findall(r"Exchange", plan)) - len(re.findall(r"ReusedExchange", plan))
-        rows.append((name, t1 - t0, t2 - t1, scans, shuffles))
+        rows.append((name, t1 - t0, t2 - t1, files, ckpt, shuffles))
     for r in sorted(rows, key=lambda r: -(r[1] + r[2])):
-        print("%-28s build=%6.2fs run=%6.2fs scans=%d exchanges=%d" % r)
+        print("%-28s build=%6.2fs run=%6.2fs file_scans=%d checkpoint_reads=%d exchanges=%d" % r)
 
 
 if __name__ == "__main__":
