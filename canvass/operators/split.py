@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canvass.functions.guards import collect_bounded
+from canvass.session import checkpoint_root
 
 SEED = 42
 TEST_SIZE = 0.2
@@ -60,11 +61,25 @@ def _bucket_counts(keyed: DataFrame, class_col: str) -> DataFrame:
     return counts.withColumn("_cum", F.sum("_cnt").over(w)).withColumn("_before", F.col("_cum") - F.col("_cnt"))
 
 
-def _mark_first(keyed: DataFrame, class_col: str, id_col: str, quotas: Mapping, max_classes: int) -> DataFrame:
+def _counted(keyed: DataFrame, class_col: str) -> DataFrame:
+    """Bucket counts with running totals, checkpointed: at most classes x
+    16^bucket_hex rows, read for the class sizes and for the boundaries without
+    scanning the rows again."""
+    checkpoint_root(keyed.sparkSession)
+    return _bucket_counts(keyed, class_col).checkpoint()
+
+
+def _class_sizes(counts: DataFrame, class_col: str, max_classes: int) -> dict:
+    rows = collect_bounded(counts.groupBy(class_col).agg(F.sum("_cnt").alias("n")), max_classes, "classes")
+    return {r[class_col]: r["n"] for r in rows}
+
+
+def _mark_first(
+    keyed: DataFrame, counts: DataFrame, class_col: str, id_col: str, quotas: Mapping, max_classes: int
+) -> DataFrame:
     """Add ``_take``: true for the first ``quotas[class]`` rows of each class in
     seeded order. Rows outside the boundary bucket are decided by comparison;
     only the boundary bucket of each class is ranked."""
-    counts = _bucket_counts(keyed, class_col)
     quota_map = F.create_map(*[x for k, q in quotas.items() for x in (F.lit(k), F.lit(q))])
     boundary_rows = collect_bounded(
         counts.withColumn("_quota", F.element_at(quota_map, F.col(class_col)))
@@ -88,11 +103,6 @@ def _mark_first(keyed: DataFrame, class_col: str, id_col: str, quotas: Mapping,
     return decided.unionByName(edge)
 
 
-def _class_sizes(keyed: DataFrame, class_col: str, max_classes: int) -> dict:
-    rows = collect_bounded(keyed.groupBy(class_col).agg(F.count(F.lit(1)).alias("n")), max_classes, "classes")
-    return {r[class_col]: r["n"] for r in rows}
-
-
 def stratified_split(
     df: DataFrame,
     id_col: str,
@@ -106,9 +116,10 @@ def stratified_split(
     ceil(test_size * N) rows in total, each class contributing its
     largest-remainder quota of its first rows in seeded order."""
     keyed = _keyed(df, id_col, class_col, seed, bucket_hex)
-    class_n = _class_sizes(keyed, class_col, max_classes)
+    counts = _counted(keyed, class_col)
+    class_n = _class_sizes(counts, class_col, max_classes)
     quotas = largest_remainder_quotas(class_n, math.ceil(test_size * sum(class_n.values())))
-    marked = _mark_first(keyed, class_col, id_col, quotas, max_classes)
+    marked = _mark_first(keyed, counts, class_col, id_col, quotas, max_classes)
     return marked.select(id_col, class_col, F.when(F.col("_take"), "test").otherwise("train").alias("split"))
 
 
@@ -133,8 +144,9 @@ def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = SEED, bucket_h
     bucket, a rank inside it - no task ever gathers n rows per partition."""
     h = seeded_order(id_col, seed)
     keyed = df.select("*", h.alias("_h"), F.substring(h, 1, bucket_hex).alias("_bucket"), F.lit(0).alias("_one"))
-    total = _class_sizes(keyed, "_one", 1).get(0, 0)
-    marked = _mark_first(keyed, "_one", id_col, {0: min(n, total)}, 1)
+    counts = _counted(keyed, "_one")
+    total = _class_sizes(counts, "_one", 1).get(0, 0)
+    marked = _mark_first(keyed, counts, "_one", id_col, {0: min(n, total)}, 1)
     return marked.filter(F.col("_take")).select(*df.columns)
 
 
