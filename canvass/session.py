@@ -44,6 +44,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        # set at start-up the context already uses it; set later, register it
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
