@@ -44,16 +44,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        # set at start-up the context already uses it; set later, register it
+        # a static setting: the context normally picked it up at start-up
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    # unset (local runs only): register a folder with the context; later calls
+    # find it through getCheckpointDir()
     local = tempfile.mkdtemp(prefix="canvass-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
-    spark.conf.set("spark.checkpoint.dir", local)
     return local
 
 
