@@ -130,7 +130,7 @@ def stratified_folds(
     rank following the seeded order. Rank = offset of the row's bucket + its
     position inside the bucket (window partitioned by class and bucket)."""
     keyed = _keyed(df, id_col, class_col, seed, bucket_hex)
-    offsets = _bucket_counts(keyed, class_col).select(class_col, "_bucket", "_before")
+    offsets = _counted(keyed, class_col).select(class_col, "_bucket", "_before")
     w = Window.partitionBy(class_col, "_bucket").orderBy("_h", id_col)
     ranked = keyed.withColumn("_pos", F.row_number().over(w)).join(offsets, [class_col, "_bucket"])
     return ranked.select(
