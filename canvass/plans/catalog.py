@@ -808,3 +808,10 @@ def q_prepare_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         ordinals={"segment": SEGMENT_ORDINAL}, derived_suffix="both_cell",
     )
     return pr.summary(prepared)
+
+
+@query("metrics_json")
+def q_metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation metrics as a JSON record in the shared folder, read back."""
+    metrics = ev.binary_metrics(scored(spark, sf_dir), "label", "pred")
+    return sinks.json_roundtrip(metrics, scratch_path(spark, "metrics-json"))

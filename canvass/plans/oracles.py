@@ -768,3 +768,5 @@ SELECT (SELECT COUNT(*) FROM fx) AS silver_rows, (SELECT COUNT(*) FROM fx) AS wi
      AS INTEGER) FROM det) AS wide_cols,
   (SELECT CAST(CAST(mh AS INTEGER) + CAST(mw AS INTEGER) + CAST(mb AS INTEGER) AS INTEGER) FROM det) AS multiselect_questions""",
 )
+
+oracle("metrics_json", ORACLES["binary_metrics"][len(with_fixtures("")):])
