@@ -108,3 +108,57 @@ def test_chi_square_equals_full_grid(spark, pairs, two_by_two):
     chi2, dof = _chi2_brute(pairs)
     assert r.dof == dof
     assert math.isclose(r.chi2, chi2, rel_tol=1e-9, abs_tol=1e-9)
+
+
+GROUPS = st.lists(st.tuples(st.sampled_from("pqr"), st.integers(min_value=-50, max_value=50)), min_size=4, max_size=80)
+
+
+@SETTINGS
+@given(GROUPS)
+def test_anova_equals_python(spark, rows):
+    from canvass.operators.association import anova
+
+    data = [(g, x / 4.0) for g, x in rows]
+    df = spark.createDataFrame(data, "g string, x double")
+    got = anova(df, ["x"], "g").collect()
+    groups = {}
+    for g, x in data:
+        groups.setdefault(g, []).append(x)
+    if len(groups) < 2:
+        assert got == []
+        return
+    xs = [x for _, x in data]
+    n, k = len(xs), len(groups)
+    grand = sum(xs) / n
+    ssb = sum(len(v) * (sum(v) / len(v) - grand) ** 2 for v in groups.values())
+    ssw = sum(sum((x - sum(v) / len(v)) ** 2 for x in v) for v in groups.values())
+    r = got[0]
+    assert (r.n, r.k) == (n, k)
+    if ssb + ssw > 0:
+        assert math.isclose(r.eta_squared, ssb / (ssb + ssw), rel_tol=1e-9, abs_tol=1e-12)
+    if n > k and ssw > 1e-9:
+        assert math.isclose(r.f_statistic, (ssb / (k - 1)) / (ssw / (n - k)), rel_tol=1e-7, abs_tol=1e-9)
+
+
+PAIRS_NUM = st.lists(
+    st.tuples(st.one_of(st.none(), st.integers(-20, 20)), st.one_of(st.none(), st.integers(-20, 20))), min_size=3, max_size=60
+)
+
+
+@SETTINGS
+@given(PAIRS_NUM)
+def test_correlation_pairwise_complete_equals_python(spark, rows):
+    from canvass.operators.association import correlation_pairs
+
+    df = spark.createDataFrame([(None if a is None else float(a), None if b is None else float(b)) for a, b in rows], "a double, b double")
+    got = correlation_pairs(df, ["a", "b"], min_n=0).first()
+    both = [(a, b) for a, b in rows if a is not None and b is not None]
+    assert got.n == len(both)
+    if len(both) >= 2:
+        ma = sum(a for a, _ in both) / len(both)
+        mb = sum(b for _, b in both) / len(both)
+        sab = sum((a - ma) * (b - mb) for a, b in both)
+        saa = sum((a - ma) ** 2 for a, _ in both)
+        sbb = sum((b - mb) ** 2 for _, b in both)
+        if saa > 0 and sbb > 0:
+            assert math.isclose(got.r, sab / math.sqrt(saa * sbb), rel_tol=1e-9, abs_tol=1e-12)
