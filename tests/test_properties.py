@@ -162,3 +162,23 @@ def test_correlation_pairwise_complete_equals_python(spark, rows):
         sbb = sum((b - mb) ** 2 for _, b in both)
         if saa > 0 and sbb > 0:
             assert math.isclose(got.r, sab / math.sqrt(saa * sbb), rel_tol=1e-9, abs_tol=1e-12)
+
+
+@SETTINGS
+@given(st.lists(st.sampled_from([0, 0, 0, 1, 2]), min_size=1, max_size=150))
+def test_stratified_split_equals_python(spark, labels):
+    import hashlib
+
+    from canvass.operators import split as sp
+
+    df = spark.createDataFrame(list(enumerate(labels)), "id long, y int")
+    got = {r.id for r in sp.stratified_split(df, "id", "y").collect() if r.split == "test"}
+    counts = {}
+    for y in labels:
+        counts[y] = counts.get(y, 0) + 1
+    quotas = sp.largest_remainder_quotas(counts, math.ceil(0.2 * len(labels)))
+    want = set()
+    for y, q in quotas.items():
+        ids = sorted((hashlib.md5(f"42:{i}".encode()).hexdigest(), i) for i, lab in enumerate(labels) if lab == y)
+        want |= {i for _, i in ids[:q]}
+    assert got == want and len(got) == math.ceil(0.2 * len(labels))
