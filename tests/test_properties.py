@@ -182,3 +182,20 @@ def test_stratified_split_equals_python(spark, labels):
         ids = sorted((hashlib.md5(f"42:{i}".encode()).hexdigest(), i) for i, lab in enumerate(labels) if lab == y)
         want |= {i for _, i in ids[:q]}
     assert got == want and len(got) == math.ceil(0.2 * len(labels))
+
+
+@SETTINGS
+@given(st.lists(st.integers(min_value=0, max_value=400), min_size=2, max_size=120), st.integers(min_value=1, max_value=12))
+def test_histogram_equals_python(spark, ints, bins):
+    from canvass.operators.profile import histogram
+
+    xs = [i / 7.0 for i in ints]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = {r.bin: r.n for r in histogram(df, "x", bins=bins).collect()}
+    lo, hi = min(xs), max(xs)
+    w = (hi - lo) / bins if hi > lo else 1.0
+    want = {b: 0 for b in range(bins)}
+    for x in xs:
+        b = max(i for i in range(bins) if lo + i * w <= x)  # edge_i <= x < edge_i+1; last bin closed
+        want[b] += 1
+    assert got == want
