@@ -199,3 +199,23 @@ def test_histogram_equals_python(spark, ints, bins):
         b = max(i for i in range(bins) if lo + i * w <= x)  # edge_i <= x < edge_i+1; last bin closed
         want[b] += 1
     assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.none(), st.sampled_from(["a", "b", "c", "B", "é"])), min_size=1, max_size=60))
+def test_category_profile_equals_python(spark, values):
+    from canvass.operators.profile import category_profile
+
+    df = spark.createDataFrame([(v,) for v in values], "c string")
+    got = category_profile(df, ["c"]).collect()
+    known = [v for v in values if v is not None]
+    if not known:
+        assert got == []
+        return
+    counts = {}
+    for v in known:
+        counts[v] = counts.get(v, 0) + 1
+    top = max(counts.values())
+    r = got[0]
+    assert (r.n, r.missing, r.distinct, r.mode_count) == (len(known), len(values) - len(known), len(counts), top)
+    assert r.mode == min(v for v, c in counts.items() if c == top)
