@@ -698,23 +698,31 @@ MANUAL_LABELS = {"respondent_id": "Respondent ID", "spend": "Urgent spend (curre
 def feature_names_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every feature name the model table produces, derived from the data:
     one-hot levels, multi-hot options, answered flags, numeric and flag columns."""
-    resp = fx.respondents(spark, sf_dir).withColumn("segmentNum", sc.ordinal_code(F.col("segment"), SEGMENT_ORDINAL, "segment"))
-    options = ms.option_vocabulary(ms.unfold_long(resp, "respondent_id", QUESTIONS)).select(
-        F.concat(F.lit("remainder__"), F.col("question"), F.lit("__"), F.col("value")).alias("feature")
-    )
-    levels = (
-        resp.select(F.explode(F.array(
-            F.concat(F.lit("cat__segment_"), F.coalesce("segment", F.lit(ft.MISSING))),
-            F.concat(F.lit("cat__country_"), F.coalesce("country", F.lit(ft.MISSING))),
-        )).alias("feature"))
-        .distinct()
-    )
+    resp = fx.respondents(spark, sf_dir)
+
+    def options(q: str):
+        tokens = F.filter(F.coalesce(ms.split_cell(F.col(q)), F.array().cast("array<string>")), lambda t: t != "")
+        return F.transform(tokens, lambda t: F.concat(F.lit(f"remainder__{q}__"), t))
+
+    # option and level names from one pass over the respondents
+    names = resp.select(
+        F.explode(
+            F.concat(
+                options("have_cell"),
+                options("want_cell"),
+                F.array(
+                    F.concat(F.lit("cat__segment_"), F.coalesce("segment", F.lit(ft.MISSING))),
+                    F.concat(F.lit("cat__country_"), F.coalesce("country", F.lit(ft.MISSING))),
+                ),
+            )
+        ).alias("feature")
+    ).distinct()
     fixed = [f"num__{LINEAR.out_name(c)}" for c in LINEAR.numeric] + [
         f"remainder__{c}_missing" for c in LINEAR.numeric
     ] + ["remainder__n_returns_any", "remainder__have_cell__answered", "remainder__want_cell__answered",
          "cat__segment_infrequent", "remainder__respondent_id"]
     fixed_df = spark.createDataFrame([(f,) for f in fixed], "feature string")
-    return options.unionByName(levels).unionByName(fixed_df)
+    return names.unionByName(fixed_df)
 
 
 @query("feature_labels")
