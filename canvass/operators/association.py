@@ -16,16 +16,24 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from canvass.fixed import (
+    ALPHA,
+    BOOTSTRAP_LEVEL,
+    BOOTSTRAP_REPLICATES,
+    CORRELATION_TIERS,
+    CRAMERS_V_TIERS,
+    ETA_SQUARED_TIERS,
+    MIN_PAIRS,
+    REGRESSION_CAP,
+    SEED,
+)
 from canvass.functions.guards import collect_bounded
 from canvass.functions.scalars import tier
 from canvass.functions.tails import chi2_pvalue, f_pvalue, pearson_pvalue
 from canvass.operators.quantile import column_quantiles
 from canvass.session import checkpoint_root
 
-ALPHA = 0.05
-
-
-def correlation_pairs(df: DataFrame, columns: Sequence[str], min_n: int = 3) -> DataFrame:
+def correlation_pairs(df: DataFrame, columns: Sequence[str], min_n: int = MIN_PAIRS) -> DataFrame:
     """A13 + A14: Pearson r of every pair on pairwise-complete rows, with n and
     a strength tier (abs r >= .5 strong, >= .3 medium); pairs with n < min_n
     are skipped. One aggregate computes all k(k-1)/2 pairs."""
@@ -47,7 +55,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], min_n: int = 3) ->
         ]
     )
     out = agg.select(F.explode(rows).alias("p")).select("p.*").filter(F.col("n") >= min_n)
-    return out.withColumn("strength", tier(F.abs(F.col("r")), 0.5, 0.3))
+    return out.withColumn("strength", tier(F.abs(F.col("r")), *CORRELATION_TIERS))
 
 
 def with_correlation_pvalue(pairs: DataFrame) -> DataFrame:
@@ -128,7 +136,7 @@ def chi_square(df: DataFrame, variables: Sequence[str], target: str, yates: bool
     )
     v = F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * (F.col("_m") - 1)))
     return out.select(
-        "variable", "n", "chi2", "dof", v.alias("cramers_v"), tier(v, 0.3, 0.1).alias("strength")
+        "variable", "n", "chi2", "dof", v.alias("cramers_v"), tier(v, *CRAMERS_V_TIERS).alias("strength")
     )
 
 
@@ -178,7 +186,7 @@ def anova(df: DataFrame, variables: Sequence[str], group: str) -> DataFrame:
         F.col("k").cast("bigint").alias("k"),
         f_stat.alias("f_statistic"),
         eta2.alias("eta_squared"),
-        tier(eta2, 0.14, 0.06, ("large", "medium", "small")).alias("effect"),
+        tier(eta2, *ETA_SQUARED_TIERS, ("large", "medium", "small")).alias("effect"),
     )
 
 
@@ -205,7 +213,7 @@ def crosstab(df: DataFrame, row: str, col: str, max_levels: int = 1_000) -> Data
     return sub.groupBy(row).pivot(col, levels).agg(F.count(F.lit(1))).na.fill(0, subset=levels)
 
 
-def regression_line(df: DataFrame, x: str, y: str, cap_quantile: float = 0.99) -> DataFrame:
+def regression_line(df: DataFrame, x: str, y: str, cap_quantile: float = REGRESSION_CAP) -> DataFrame:
     """OLS line of ``y`` on ``x`` for rows with ``y`` at or below its
     ``cap_quantile`` quantile, on pairwise non-null rows."""
     (cap,) = column_quantiles(df, y, [cap_quantile])
@@ -254,8 +262,8 @@ def _multinomial_bands(group: str, replicates: int, seed: int, level: float):
 
 
 def bootstrap_mean_ci(
-    df: DataFrame, id_col: str, value: str, group: str, replicates: int = 1000, seed: int = 42, level: float = 0.95,
-    max_distinct: int = 64,
+    df: DataFrame, id_col: str, value: str, group: str, replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED,
+    level: float = BOOTSTRAP_LEVEL, max_distinct: int = 64,
 ) -> DataFrame:
     """Percentile bootstrap band of a group mean.
 
@@ -276,7 +284,8 @@ def bootstrap_mean_ci(
 
 
 def poisson_bootstrap_mean_ci(
-    base: DataFrame, id_col: str, group: str, replicates: int = 1000, seed: int = 42, level: float = 0.95
+    base: DataFrame, id_col: str, group: str, replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED,
+    level: float = BOOTSTRAP_LEVEL,
 ) -> DataFrame:
     """A23 for continuous values: Poisson bootstrap over rows.
 

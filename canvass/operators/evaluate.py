@@ -17,9 +17,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canvass.fixed import THRESHOLD
 from canvass.session import checkpoint_root
 
-THRESHOLD = 0.5
 RANGE_ROWS = 2_000_000
 
 

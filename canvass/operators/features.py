@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canvass.fixed import INFREQUENT_LEVEL, MISSING_LEVEL, WINSOR
 from canvass.functions.guards import collect_bounded
 from canvass.functions.scalars import clip_keep_null
 from canvass.operators.quantile import column_quantiles, exact_quantiles
@@ -27,8 +28,8 @@ class LinearSpec:
     log: Sequence[str]
     any_flag: Sequence[str] = ()
     raw: Sequence[str] = ()
-    winsor_low: float = 0.01
-    winsor_high: float = 0.99
+    winsor_low: float = WINSOR[0]
+    winsor_high: float = WINSOR[1]
 
     @property
     def numeric(self) -> list[str]:
@@ -114,8 +115,8 @@ def standardize(columns: Sequence[str], params: dict[str, tuple[float, float]])
     return out
 
 
-INFREQUENT = "infrequent"
-MISSING = "Missing"
+INFREQUENT = INFREQUENT_LEVEL
+MISSING = MISSING_LEVEL
 
 
 def fit_levels(train: DataFrame, column: str) -> DataFrame:

@@ -21,13 +21,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canvass import fixed
 from canvass.functions.guards import collect_bounded
 from canvass.operators import evaluate as ev
 from canvass.operators.features import INFREQUENT, MISSING
 from canvass.session import checkpoint_root
 
-SEED = 42
-GBT_MISSING = "__MISSING__"
+SEED = fixed.SEED
+GBT_MISSING = fixed.TREE_MISSING_LEVEL
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,7 @@ class FeatureSpec:
     categorical: Sequence[str]
     passthrough: Sequence[str]
     label: str = "target"
-    min_frequency: int = 30
+    min_frequency: int = fixed.MIN_FREQUENCY
 
 
 def _quote(s: str) -> str:
@@ -78,7 +79,7 @@ def _prepare_statement(
 
 
 def logistic_pipeline(
-    train: DataFrame, spec: FeatureSpec, c: float = 1.0, max_iter: int = 3000, tol: float = 1e-6
+    train: DataFrame, spec: FeatureSpec, c: float = fixed.C, max_iter: int = fixed.MAX_ITER, tol: float = 1e-6
 ) -> Pipeline:
     """Standardized numerics (ddof 0), one-hot categoricals with rare levels
     folded (unseen levels -> all zeros), passthrough 0/1 columns, and an L2
@@ -106,7 +107,10 @@ def logistic_pipeline(
     return Pipeline(stages=stages)
 
 
-def gbt_pipeline(train: DataFrame, spec: FeatureSpec, trees: int = 500, rate: float = 0.05, depth: int = 6, seed: int = SEED) -> Pipeline:
+def gbt_pipeline(
+    train: DataFrame, spec: FeatureSpec, trees: int = fixed.TREES, rate: float = fixed.LEARNING_RATE,
+    depth: int = fixed.DEPTH, seed: int = SEED,
+) -> Pipeline:
     """Boosted trees; categoricals (missing -> '__MISSING__') are indexed and
     target-encoded on train, numerics and flags pass as they are."""
     cats = list(spec.categorical)
@@ -174,7 +178,7 @@ def top_and_bottom(coefs: DataFrame, k: int = 15) -> DataFrame:
 
 
 def cross_validate(
-    table: DataFrame, folds: DataFrame, id_col: str, spec: FeatureSpec, k: int = 5, **lr_args
+    table: DataFrame, folds: DataFrame, id_col: str, spec: FeatureSpec, k: int = fixed.FOLDS, **lr_args
 ) -> DataFrame:
     """K-fold CV on the training table; per fold a fresh pipeline is fitted
     on the other folds (preprocessing statistics included), then all held-out

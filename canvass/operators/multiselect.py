@@ -19,10 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from canvass.fixed import MULTI_SEP
 from canvass.functions.guards import collect_bounded
 
-MULTI_SEP = ";"
-
 
 def _quoted(sep: str) -> str:
     return "\\Q" + sep + "\\E"

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canvass.fixed import HISTOGRAM_BINS, PROFILE_CLIP
 from canvass.functions.scalars import clip_keep_null
 from canvass.operators.quantile import exact_quantiles
 
@@ -49,8 +50,8 @@ def string_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def numeric_profile(
     df: DataFrame,
     columns: Sequence[str],
-    clip_low: float = 0.005,
-    clip_high: float = 0.995,
+    clip_low: float = PROFILE_CLIP[0],
+    clip_high: float = PROFILE_CLIP[1],
     approx: bool = False,
 ) -> DataFrame:
     """Per column n, missing, min/max and median of the original values;
@@ -166,7 +167,7 @@ def category_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, column: str, bins: int = 30, log10: bool = False) -> DataFrame:
+def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS, log10: bool = False) -> DataFrame:
     """Equal-width bins over [min, max] (in log10 space when ``log10``);
     the last bin is closed. One pass for the range, one partially-aggregated
     ``groupBy`` for the counts. Returns ``(bin, lower, upper, n)`` with every

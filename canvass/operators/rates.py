@@ -16,10 +16,10 @@ from canvass.functions.guards import collect_bounded
 from canvass.functions.scalars import right_closed_band
 from canvass.operators.multiselect import MULTI_SEP, explode_trimmed
 
-# The bands of the reference charts.
-EXPERIENCE_EDGES = [-1, 3, 10, 100]
+from canvass.fixed import CAREER_EDGES, EXPERIENCE_EDGES, TOP_OPTIONS
+
+# display labels of the bands
 EXPERIENCE_BANDS = ["junior (0-3)", "mid (4-10)", "senior (11+)"]
-CAREER_EDGES = [0, 2, 5, 10, 15, 20, 30, 60]
 CAREER_BANDS = ["0-2", "3-5", "6-10", "11-15", "16-20", "21-30", "30+"]
 OVERALL = "all"
 
@@ -48,7 +48,7 @@ def rate_by_option_and_band(
     cell: str,
     label: str,
     number: str,
-    top_n: int = 10,
+    top_n: int = TOP_OPTIONS,
     edges: Sequence[float] = EXPERIENCE_EDGES,
     bands: Sequence[str] = EXPERIENCE_BANDS,
     sep: str = MULTI_SEP,

@@ -23,12 +23,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canvass.fixed import FOLDS, SEED, TEST_SIZE
 from canvass.functions.guards import collect_bounded
 from canvass.session import checkpoint_root
 
-SEED = 42
-TEST_SIZE = 0.2
-
 
 def seeded_order(id_col: str, seed: int = SEED) -> Column:
     """The repeatable order key of a row: ``md5('<seed>:<id>')``."""
@@ -124,7 +122,7 @@ def stratified_split(
 
 
 def stratified_folds(
-    df: DataFrame, id_col: str, class_col: str, k: int = 5, seed: int = SEED, bucket_hex: int = 5
+    df: DataFrame, id_col: str, class_col: str, k: int = FOLDS, seed: int = SEED, bucket_hex: int = 5
 ) -> DataFrame:
     """``(id, class, fold)`` with fold = (rank within class - 1) mod k, the
     rank following the seeded order. Rank = offset of the row's bucket + its

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canvass import fixed
 from canvass.functions import scalars as sc
 from canvass.functions.guards import collect_bounded
 from canvass.operators import association as asc
@@ -289,12 +290,12 @@ def q_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("histogram")
 def q_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pf.histogram(respondents_numeric(spark, sf_dir), "years", bins=30)
+    return pf.histogram(respondents_numeric(spark, sf_dir), "years", bins=fixed.HISTOGRAM_BINS)
 
 
 @query("histogram_log")
 def q_histogram_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pf.histogram(fx.doc_labels(spark, sf_dir), "n_chars", bins=50, log10=True)
+    return pf.histogram(fx.doc_labels(spark, sf_dir), "n_chars", bins=fixed.HISTOGRAM_LOG_BINS, log10=True)
 
 
 # ---- association -----------------------------------------------------------
@@ -369,7 +370,7 @@ def q_regression_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bootstrap_ci")
 def q_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = labelled(spark, sf_dir)
-    return asc.bootstrap_mean_ci(df, "respondent_id", "target", "segment", replicates=1000, seed=42)
+    return asc.bootstrap_mean_ci(df, "respondent_id", "target", "segment")
 
 
 # ---- split -----------------------------------------------------------------
@@ -416,7 +417,9 @@ def q_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("seeded_sample")
 def q_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp.seeded_sample(fx.doc_labels(spark, sf_dir).select("doc_id", "lang", "source", "n_chars"), "doc_id", 500)
+    return sp.seeded_sample(
+        fx.doc_labels(spark, sf_dir).select("doc_id", "lang", "source", "n_chars"), "doc_id", fixed.SAMPLE_ROWS
+    )
 
 
 def split_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -483,7 +483,7 @@ FROM split WHERE split = 'train'""",
 )
 oracle(
     "seeded_sample",
-    "SELECT doc_id, lang, source, n_chars FROM fx_doc ORDER BY md5(concat('42:', CAST(doc_id AS VARCHAR))), doc_id LIMIT 500",
+    "SELECT doc_id, lang, source, n_chars FROM fx_doc ORDER BY md5(concat('42:', CAST(doc_id AS VARCHAR))), doc_id LIMIT 5000",
 )
 oracle("split_ids", _SPLIT + "\nSELECT respondent_id, split FROM split")
 oracle(

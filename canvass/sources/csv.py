@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from canvass.fixed import DROPPED_MARKER, NULL_TOKEN
 from canvass.functions.scalars import name_rule_col
 
-NULL_TOKEN = "NA"
 _NEVER = "\u0001"
 
 
@@ -82,9 +82,6 @@ def read_codebook(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-DROPPED_MARKER = "(dropped)"
-
-
 def clean_codebook(codebook: DataFrame, name_col: str = "column_raw", text_col: str = "question") -> DataFrame:
     """P19 on the codebook: column name through the name rule; rows with an
     empty name or the dropped marker are skipped; question text loses HTML tags
