@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from canvass.session import scratch_path
+from canvass.session import scratch_path, ship_package
 
 #: Words are runs of other bytes than these.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -31,6 +31,7 @@ _U = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

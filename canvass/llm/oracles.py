@@ -2,4 +2,53 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+# op4: targets by the level at which sources that aren't full share what the full ones leave; keys and prefix sums
+# over whole sources, which the Spark query never does
+_MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, text,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM {docs}
+), k AS (
+  SELECT *, md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS digest,
+         (1.0::DOUBLE + least(size, 1000) / 1000.0::DOUBLE)
+           * CASE WHEN coalesce(regexp_matches(text, '[.!?][\x20\x09-\x0D]*$'), false) THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS weight
+  FROM d
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), t AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM s
+), u AS (
+  SELECT *, [3.0, 1.0, 2.0][turn % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM t
+), v AS (
+  SELECT *, 1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE
+              - coalesce(sum(cap) OVER (ORDER BY cap / w, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+            (SELECT sum(w) FROM u)
+              - coalesce(sum(w) OVER (ORDER BY cap / w, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS heft
+  FROM u
+), g AS (
+  SELECT source, source_size,
+         CASE WHEN cap * heft <= rest * w THEN cap
+              ELSE max(CASE WHEN cap * heft > rest * w THEN rest / heft END) OVER () * w END AS target
+  FROM v
+), h AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM g
+), o AS (
+  SELECT k.doc_id, k.source, k.size, h.source_size, h.target, h.epochs,
+         floor(h.target - h.epochs * h.source_size)::BIGINT AS budget,
+         coalesce(sum(k.size) OVER (
+           PARTITION BY k.source
+           ORDER BY -ln((('0x' || substr(digest, 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0) / weight, substr(digest, 14, 19)
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM k JOIN h ON k.source IS NOT DISTINCT FROM h.source
+)
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_mixing_sources": _MIX.format(docs="documents")
+    + """
+SELECT doc_id, source, size, source_size, target,
+       epochs * size + greatest(0, least(size, budget - before)) AS taken
+FROM o
+"""
+}

@@ -31,3 +31,38 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canvass.llm import packing
 
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, expected_severity, severity (0 to 3), p_toxic and is_toxic."""
+    from pyspark.sql import functions as F
+
+    from canvass.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", flags=True)
+    scored = toxicity.score(spark, docs, model, ["doc_id"])
+    return scored.withColumn("is_toxic", F.col("p_toxic") >= toxicity.TOXIC)
+
+
+@query("op4_mixing_sources")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canvass.llm import mixing
+
+    return mixing.mix_words(table(spark, sf_dir, "documents"))
+
+
+@query("op7_exact_top_k")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canvass.llm import topk
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(spark, vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query("op9_document_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canvass.llm import fingerprint
+
+    return fingerprint.fingerprint_edits(spark, table(spark, sf_dir, "documents"))
