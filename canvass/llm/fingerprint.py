@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from canvass.llm import common as cm
 
-PIECE = 16
+PIECE = 6
 TABLES = 3
 BASE_BITS = 3  # the fingerprint has TABLES * 2**BASE_BITS cells
 STEP_BITS = 2

@@ -28,9 +28,9 @@ BITS = 19
 MAX_ROWS = 8000
 PREFIXES = (4, 5, 6)
 #: Standard errors by which a feature's share must differ to get a weight.
-CLEAR = 5.0
+CLEAR = 4.0
 STEPS = 200
-PENALTY = 1e-3
+PENALTY = 1e-4
 RATE = 0.1
 #: A text is toxic from this probability of a grade above 0.
 TOXIC = 0.5
