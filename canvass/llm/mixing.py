@@ -22,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_EPOCHS = 2
-BUCKETS = 16384
+BUCKETS = 4096
 #: Up to so many rows (one for each source) are broadcast; beyond, sources are joined salted.
 BROADCAST_ROWS = 50_000
 SALTS = 64

@@ -33,6 +33,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+@query("op1_suffix_array_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canvass.llm import suffix_dedup
+
+    return suffix_dedup.dedup(spark, table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 @query("op2_toxicity")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, expected_severity, severity (0 to 3), p_toxic and is_toxic."""
