@@ -53,6 +53,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("is_toxic", F.col("p_toxic") >= toxicity.TOXIC)
 
 
+@query("op3_ngram_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canvass.llm import ngram_join
+
+    return ngram_join.join_groups(spark, table(spark, sf_dir, "documents"))
+
+
 @query("op4_mixing_sources")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canvass.llm import mixing
