@@ -80,3 +80,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canvass.llm import fingerprint
 
     return fingerprint.fingerprint_edits(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op5_lm_scoring")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canvass.llm import kneser_ney
+
+    return kneser_ney.score_documents(spark, table(spark, sf_dir, "documents"))
