@@ -50,5 +50,11 @@ ORACLES: dict[str, str] = {
 SELECT doc_id, source, size, source_size, target,
        epochs * size + greatest(0, least(size, budget - before)) AS taken
 FROM o
-"""
+""",
+    # which pages the replica loses or changes, found without any hash tree
+    "op8_warc_fixity": """
+SELECT page_id, url, CASE WHEN draw = 0 THEN 'changed' ELSE 'missing' END AS kind
+FROM (SELECT page_id, url, ('0x' || substr(md5(coalesce(page_id::VARCHAR, '')), 1, 8))::BIGINT % 499 AS draw FROM pages)
+WHERE draw < 2
+""",
 }

@@ -87,3 +87,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canvass.llm import kneser_ney
 
     return kneser_ney.score_documents(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op6_sharding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its slot and shard of 64, and its shard when the last one is gone."""
+    from canvass.llm import sharding
+
+    names = [f"shard-{i:03d}" for i in range(64)]
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    placed = sharding.place(spark, docs, names)
+    return sharding.place(spark, placed, names[:-1], suffix="_after").drop("slot_after")
+
+
+@query("op8_warc_fixity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canvass.llm import fixity
+
+    return fixity.audit_pages(spark, table(spark, sf_dir, "pages"))

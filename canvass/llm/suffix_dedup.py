@@ -307,7 +307,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, text_col: str = "text",
 
 def dedup(spark: SparkSession, docs: DataFrame, columns: list[str], text_col: str = "text", texts: bool = False) -> DataFrame:
     """``columns`` of every row of ``docs`` with n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of the bytes that
-    are left; with ``texts`` also these as ``kept_text`` (bytes that a cut leaves without their character become U+FFFD).
+    are left; with ``texts`` also these as ``kept_text`` (bytes that a cut leaves of a character go too).
 
     Texts are taken as UTF-8, null as empty; texts shorter than the window lose nothing, repeated rows lose what they
     share like any other copies, and all strings are judged on the input: no copy is kept. Names of ``columns`` may
@@ -330,7 +330,7 @@ def dedup(spark: SparkSession, docs: DataFrame, columns: list[str], text_col: st
                     text = raw[i].as_py()
                     kept, removed, runs = remove(text, [(s["begin"], s["end"]) for s in spans[i].as_py() or ()])
                     row = (len(text), removed, runs, hashlib.sha256(kept).hexdigest())
-                    rows.append((*row, kept.decode("utf-8", "replace")) if texts else row)
+                    rows.append((*row, kept.decode("utf-8", "ignore")) if texts else row)
                 kinds = [pa.int64()] * 3 + [pa.string()] * (len(added) - 3)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(len(own))), *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], names=schema.names
