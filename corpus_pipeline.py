@@ -1,10 +1,64 @@
-"""A training-data pipeline over ``documents``: each stage works on all that the one before kept."""
+"""From raw ``documents`` to packed training sequences, in five stages of ``canvass.llm``.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; ``run`` writes each result as Parquet
+and reads it again for the next. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from canvass.llm import common, mixing, ngram_join, packing, suffix_dedup, toxicity
+from canvass.llm.queries import word_tokenizer
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity (op2): documents that are likelier toxic than not go. The grades are learned from the labelled documents."""
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"), "toxic", flags=True)
+    scored = toxicity.score(spark, docs, model, docs.columns)
+    return scored.filter(F.col("p_toxic") < toxicity.TOXIC).select(*docs.columns)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join (op3): of each group of near copies the document with the smallest id stays."""
+    return ngram_join.one_of_each(spark, docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup (op1): passages of 400 bytes or more that still occur twice are cut out of the texts. Documents of which
+    nothing but white space is left by that go; others stay."""
+    cut = suffix_dedup.dedup(spark, docs, docs.columns, texts=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    kept = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars")))
+    kept = kept.withColumn("text", text).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing (op4): whole documents, each as often as its source's target takes it."""
+    return mixing.mix_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing (op10): the pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack_documents(spark, docs, word_tokenizer())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", one_of_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("mixing_sources", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: Learned grades, suffix arrays and a tokenizer are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
