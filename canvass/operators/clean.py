@@ -13,16 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from canvass.functions.guards import collect_bounded
 from canvass.functions.scalars import (
     SENTINELS,
     lenient_number,
     name_rule,
     ordinal_code,
-    sentinel_number,
     strict_sentinel_number,
 )
 
 
+MAX_QUESTIONS = 10_000
+
+
 def drop_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Drop constant or superseded columns (all must exist)."""
     cols = list(columns)
@@ -68,22 +71,12 @@ def lenient_numeric(df: DataFrame, columns: Sequence[str], sentinels: Mapping[st
     return df.select(*[lenient_number(F.col(c), sentinels).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def sentinel_violations(df: DataFrame, column: str, sentinels: Mapping[str, float] = SENTINELS) -> DataFrame:
-    """P3 diagnostics: distinct offending values with counts (empty when clean)."""
-    raw_num = sentinel_number(F.col(column), sentinels)
-    return (
-        df.filter(F.col(column).isNotNull() & raw_num.isNull())
-        .groupBy(F.col(column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
 def unknown_values(spark: SparkSession, df: DataFrame, column: str, known: Iterable[str]) -> DataFrame:
-    """Observed non-null values absent from ``known`` (a left-anti join;
-    the known list is the fixed, small side)."""
+    """Observed non-null values absent from ``known`` (a left-anti join; Spark
+    broadcasts the caller's list when it is below the session's threshold)."""
     known_df = spark.createDataFrame([(k,) for k in known], T.StructType([T.StructField("value", T.StringType())]))
     observed = df.select(F.col(column).alias("value")).filter(F.col("value").isNotNull()).distinct()
-    return observed.join(F.broadcast(known_df), "value", "left_anti")
+    return observed.join(known_df, "value", "left_anti")
 
 
 def drop_null_rows(df: DataFrame, subset: Sequence[str]) -> DataFrame:
@@ -91,29 +84,34 @@ def drop_null_rows(df: DataFrame, subset: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(subset))
 
 
-def column_family(columns: Sequence[str], bases: Sequence[str], sep: str = "__") -> list[str]:
-    """Expand base names to their families (``base`` or ``base__*``); every
-    base must match at least one column, otherwise the names changed upstream."""
-    chosen = [c for c in columns if any(c == b or c.startswith(b + sep) for b in bases)]
-    for b in bases:
-        if not any(c == b or c.startswith(b + sep) for c in chosen):
-            raise ValueError(f"family base {b!r} matches no column")
-    return chosen
+FAMILY_SEP = "__"
 
 
-def drop_family(df: DataFrame, bases: Sequence[str], sep: str = "__") -> DataFrame:
-    """P12 on a wide frame; raises if a base matches nothing or anything remains."""
-    out = df.drop(*column_family(df.columns, bases, sep))
-    left = [c for c in out.columns if any(c == b or c.startswith(b + sep) for b in bases)]
-    if left:
-        raise AssertionError(f"family columns remain: {left[:3]}")
-    return out
+def families(names: Iterable[str], sep: str = FAMILY_SEP) -> dict[str, list[str]]:
+    """Names indexed by their family, the part before the first ``sep``."""
+    index: dict[str, list[str]] = {}
+    for n in names:
+        index.setdefault(n.partition(sep)[0], []).append(n)
+    return index
+
+
+def _look_up(index: Mapping[str, list[str]], bases: Iterable[str]) -> list[str]:
+    absent = sorted(set(bases) - index.keys())
+    if absent:
+        raise ValueError(f"no column or question of the families {absent}")
+    return [n for b in dict.fromkeys(bases) for n in index[b]]
+
 
+def drop_family(df: DataFrame, bases: Sequence[str], question_col: str | None = None, sep: str = FAMILY_SEP) -> DataFrame:
+    """Leave out whole families, ``base`` and every ``base__*``; a base without any member raises.
 
-def drop_family_long(long_df: DataFrame, bases: Sequence[str], question_col: str = "question") -> DataFrame:
-    """P12 in long form: remove the questions of the families (partition pruning
-    applies when the long table is partitioned by question)."""
-    return long_df.filter(~F.col(question_col).isin(list(bases)))
+    Wide form: columns. Long form (``question_col``): rows by their question; the distinct questions are read
+    for the check, rows without a question stay, and partition pruning applies when the table is partitioned by it."""
+    if question_col is None:
+        return df.drop(*_look_up(families(df.columns, sep), bases))
+    asked = df.select(question_col).filter(F.col(question_col).isNotNull()).distinct()
+    named = _look_up(families([r[0] for r in collect_bounded(asked, MAX_QUESTIONS, "questions")], sep), bases)
+    return df.filter(F.coalesce(~F.col(question_col).isin(named), F.lit(True)))
 
 
 def in_range_else_null(c: Column, lo: float, hi: float) -> Column:

@@ -8,83 +8,96 @@ projection - no join, no shuffle - on train, test or any later table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canvass.fixed import INFREQUENT_LEVEL, MISSING_LEVEL, WINSOR
-from canvass.functions.guards import collect_bounded
 from canvass.functions.scalars import clip_keep_null
-from canvass.operators.quantile import column_quantiles, exact_quantiles
+from canvass.operators.quantile import interpolated, order_statistics
 
 
 @dataclass(frozen=True)
-class LinearSpec:
-    """Which numeric columns get which treatment (the linear-model track)."""
+class NumericColumn:
+    """What the linear-model track does to one numeric column, in this order: clip to quantiles of the training rows
+    (``clip``: their two probabilities), ``log1p``, fill nulls with the training median."""
 
-    winsor: str | None
-    log: Sequence[str]
-    any_flag: Sequence[str] = ()
-    raw: Sequence[str] = ()
-    winsor_low: float = WINSOR[0]
-    winsor_high: float = WINSOR[1]
+    source: str
+    clip: tuple[float, float] | None = None
+    log: bool = False
+    any_flag: bool = False
 
     @property
-    def numeric(self) -> list[str]:
-        return list(self.log) + [c for c in self.raw if c not in self.log]
-
-    def out_name(self, c: str) -> str:
-        return f"{c}_log" if c in self.log else c
-
-
-@dataclass
-class LinearParams:
-    winsor_col: str | None
-    p_low: float | None
-    p_high: float | None
-    medians: dict[str, float] = field(default_factory=dict)
-
-
-def pre_impute(spec: LinearSpec, c: str, lo: float | None, hi: float | None) -> Column:
-    """P13 + P14 for one column: clip to the fitted bounds (winsor column only),
-    then log1p (log columns only); nulls stay null for the imputation step."""
-    s = F.col(c).cast("double")
-    if c == spec.winsor and lo is not None:
-        s = clip_keep_null(s, lo, hi)
-    if c in spec.log:
-        s = F.log1p(s)
-    return s
-
-
-def fit_linear(train: DataFrame, spec: LinearSpec) -> LinearParams:
-    """X18 fit: winsor bounds of ``spec.winsor`` and the median of every numeric
-    column after clipping and log1p - all from the training rows only."""
-    lo = hi = None
-    if spec.winsor:
-        lo, hi = column_quantiles(train, spec.winsor, [spec.winsor_low, spec.winsor_high])
-    names = [spec.out_name(c) for c in spec.numeric]
-    pre = train.select(*[pre_impute(spec, c, lo, hi).alias(spec.out_name(c)) for c in spec.numeric])
-    q = exact_quantiles(pre.unpivot([], names, "column", "x"), [0.5])
-    return LinearParams(spec.winsor, lo, hi, {k: q[(k, 0.5)] for k in names})
-
-
-def transform_linear(df: DataFrame, spec: LinearSpec, params: LinearParams, keep: Sequence[str]) -> DataFrame:
-    """X18 apply: P15 flags from the raw value, then P13 clip, P14 log1p
-    (``<c>_log`` replaces ``c``) and P16 median imputation, as one projection.
-    Raises lazily if an imputed column is still null."""
-    cols: list[Column] = [F.col(c) for c in keep]
-    for c in spec.numeric:
-        raw = F.col(c)
-        cols.append(raw.isNull().cast("tinyint").alias(f"{c}_missing"))
-        if c in spec.any_flag:
-            cols.append(F.coalesce(raw > 0, F.lit(False)).cast("tinyint").alias(f"{c}_any"))
-        name = spec.out_name(c)
-        med = params.medians[name]
-        filled = F.coalesce(pre_impute(spec, c, params.p_low, params.p_high), F.lit(med))
-        cols.append(F.when(filled.isNull(), F.raise_error(F.lit(f"{name}: null after imputation"))).otherwise(filled).alias(name))
-    return df.select(*cols)
+    def output(self) -> str:
+        return self.source + "_log" if self.log else self.source
+
+
+@dataclass(frozen=True)
+class FittedColumn:
+    plan: NumericColumn
+    bounds: tuple[float, float] | None
+    median: float | None  # None without a value in the training rows
+
+    def before_fill(self) -> Column:
+        """P13 + P14; nulls stay null."""
+        value = F.col(f"`{self.plan.source}`").cast("double")
+        if self.bounds is not None:
+            value = clip_keep_null(value, *self.bounds)
+        return F.log1p(value) if self.plan.log else value
+
+    def flags(self) -> list[Column]:
+        """P15, of the raw value: whether it is missing, and whether there is any of it."""
+        raw = F.col(f"`{self.plan.source}`")
+        missing = raw.isNull().cast("tinyint").alias(f"{self.plan.source}_missing")
+        some = F.coalesce(raw > 0, F.lit(False)).cast("tinyint").alias(f"{self.plan.source}_any")
+        return [missing, some] if self.plan.any_flag else [missing]
+
+    def filled(self) -> Column:
+        """P16; a null that the median cannot fill fails the job."""
+        name = self.plan.output
+        value = F.coalesce(self.before_fill(), F.lit(self.median).cast("double"))
+        stop = F.raise_error(F.lit(f"{name}: null after imputation (no training value)")).cast("double")
+        return F.coalesce(value, stop).alias(name)
+
+
+def linear_track(winsor: str | None, log: Sequence[str], any_flag: Sequence[str] = (), raw: Sequence[str] = (), probs: tuple[float, float] = WINSOR) -> list[NumericColumn]:
+    """The track's columns: logged ones first, then those that stay as they are."""
+    names = list(dict.fromkeys([*log, *raw]))
+    return [NumericColumn(c, probs if c == winsor else None, c in log, c in any_flag) for c in names]
+
+
+def fit_numeric(train: DataFrame, track: Sequence[NumericColumn]) -> list[FittedColumn]:
+    """X18 fit. Clipping and log1p keep the order of values, so the order statistics of the raw columns, searched once for
+    all of them, give the bounds and also the medians: a median's two neighbours go through the column's steps."""
+    raw = train.select(*[F.col(f"`{c.source}`").cast("double").alias(c.source) for c in track])
+    probs = sorted({0.5, *(p for c in track for p in c.clip or ())})
+    found = order_statistics(raw.unpivot([], [f"`{c.source}`" for c in track], "column", "x"), probs)
+    out = []
+    for c in track:
+        if (c.source, 0.5) not in found:
+            out.append(FittedColumn(c, None, None))
+            continue
+        bounds = tuple(interpolated(*found[(c.source, p)]) for p in c.clip) if c.clip else None
+        low, high, weight = found[(c.source, 0.5)]
+        ends = [min(max(v, bounds[0]), bounds[1]) if bounds else v for v in (low, high)]
+        out.append(FittedColumn(c, bounds, interpolated(*(math.log1p(v) if c.log else v for v in ends), weight)))
+    return out
+
+
+def apply_numeric(df: DataFrame, fitted: Sequence[FittedColumn], keep: Sequence[str]) -> DataFrame:
+    """X18 apply: the kept columns, then each column's flags and its filled value, as one projection."""
+    return df.select(*[F.col(f"`{c}`") for c in keep], *[x for f in fitted for x in (*f.flags(), f.filled())])
+
+
+def parameters(fitted: Sequence[FittedColumn]) -> list[dict]:
+    """The fitted numbers as records (for the JSON parameter file)."""
+    return [
+        {"column": f.plan.source, "output": f.plan.output, "clip_low": f.bounds[0] if f.bounds else None, "clip_high": f.bounds[1] if f.bounds else None, "log": f.plan.log, "median": f.median}
+        for f in fitted
+    ]
 
 
 def winsorize(column: str, lo: float, hi: float, alias: str | None = None) -> Column:
@@ -126,19 +139,14 @@ def fit_levels(train: DataFrame, column: str) -> DataFrame:
     )
 
 
-def fold_rare_levels(
-    df: DataFrame, column: str, level_counts: DataFrame, min_frequency: int, max_levels: int = 100_000
-) -> Column:
-    """X5 apply: a level seen at least ``min_frequency`` times on train keeps its
+def fold_rare_levels(df: DataFrame, column: str, level_counts: DataFrame, min_frequency: int, alias: str) -> DataFrame:
+    """X5 apply: ``df`` with ``alias``: a level seen at least ``min_frequency`` times on train keeps its
     name, a rarer train level becomes ``infrequent``, a level never seen on
-    train stays unseen (null -> all-zero one-hot). The level table is collected
-    behind a size guard and becomes a literal map."""
-    rows = collect_bounded(level_counts, max_levels, f"{column} levels")
-    mapping: list[Column] = []
-    for r in rows:
-        mapping += [F.lit(r["level"]), F.lit(r["level"] if r["n_train"] >= min_frequency else INFREQUENT)]
-    m = F.create_map(*mapping) if mapping else F.create_map().cast("map<string,string>")
-    return F.element_at(m, F.coalesce(F.col(column).cast("string"), F.lit(MISSING)))
+    train stays unseen (null -> all-zero one-hot). A join with the level table, of any size; Spark broadcasts it
+    when it is small and splits a level that holds most rows otherwise."""
+    kept = level_counts.select(F.col("level").alias("__level"), F.when(F.col("n_train") >= min_frequency, F.col("level")).otherwise(F.lit(INFREQUENT)).alias(alias))
+    keyed = df.withColumn("__level", F.coalesce(F.col(column).cast("string"), F.lit(MISSING)))
+    return keyed.join(kept, "__level", "left").select(*df.columns, alias)
 
 
 def skew_observed(df: DataFrame, pairs: Sequence[tuple[str, str, str, str]]) -> DataFrame:

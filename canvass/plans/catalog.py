@@ -376,7 +376,7 @@ def q_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- split -----------------------------------------------------------------
 
 
-LINEAR = ft.LinearSpec(winsor="spend", log=["spend", "years", "n_returns"], any_flag=["n_returns"], raw=["segmentNum"])
+LINEAR = ft.linear_track(winsor="spend", log=["spend", "years", "n_returns"], any_flag=["n_returns"], raw=["segmentNum"])
 
 
 def modelling_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -472,48 +472,42 @@ def q_split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- features (linear track) ----------------------------------------------------
 
 
-def fitted_linear(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ft.LinearParams]:
+def fitted_linear(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[ft.FittedColumn]]:
     table, train = split_frames(spark, sf_dir)
-    return table, ft.fit_linear(train, LINEAR)
+    return table, ft.fit_numeric(train, LINEAR)
 
 
 @query("winsorize")
 def q_winsorize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, params = fitted_linear(spark, sf_dir)
-    return table.select("respondent_id", ft.winsorize("spend", params.p_low, params.p_high, "spend_clipped"))
+    table, fitted = fitted_linear(spark, sf_dir)
+    bounds = next(f.bounds for f in fitted if f.plan.clip)
+    return table.select("respondent_id", ft.winsorize("spend", *bounds, "spend_clipped"))
 
 
 @query("log1p_transform")
 def q_log1p_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, params = fitted_linear(spark, sf_dir)
-    return table.select(
-        "respondent_id",
-        *[ft.pre_impute(LINEAR, c, params.p_low, params.p_high).alias(f"{c}_log") for c in LINEAR.log],
-    )
+    table, fitted = fitted_linear(spark, sf_dir)
+    return table.select("respondent_id", *[f.before_fill().alias(f.plan.output) for f in fitted if f.plan.log])
 
 
 @query("missing_flags")
 def q_missing_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, params = fitted_linear(spark, sf_dir)
-    out = ft.transform_linear(table, LINEAR, params, ["respondent_id"])
+    table, fitted = fitted_linear(spark, sf_dir)
+    out = ft.apply_numeric(table, fitted, ["respondent_id"])
     return out.select("respondent_id", *[c for c in out.columns if c.endswith("_missing") or c.endswith("_any")])
 
 
 @query("median_impute")
 def q_median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted medians (after clip + log, train only) as a table."""
-    _, train = split_frames(spark, sf_dir)
-    lo, hi = column_quantiles(train, "spend", [0.01, 0.99])
-    pre = train.select(*[ft.pre_impute(LINEAR, c, lo, hi).alias(LINEAR.out_name(c)) for c in LINEAR.numeric])
-    return pf.quantiles(pre, [LINEAR.out_name(c) for c in LINEAR.numeric], [0.5]).select(
-        "column", F.col("value").alias("median")
-    )
+    _, fitted = fitted_linear(spark, sf_dir)
+    return spark.createDataFrame([(f.plan.output, f.median) for f in fitted], "column string, median double")
 
 
 @query("fit_apply_linear")
 def q_fit_apply_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, params = fitted_linear(spark, sf_dir)
-    return ft.transform_linear(table, LINEAR, params, ["respondent_id", "split", "target"])
+    table, fitted = fitted_linear(spark, sf_dir)
+    return ft.apply_numeric(table, fitted, ["respondent_id", "split", "target"])
 
 
 @query("category_fill")
@@ -535,9 +529,9 @@ def q_bin_right_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("standardize")
 def q_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, params = fitted_linear(spark, sf_dir)
-    out = ft.transform_linear(table, LINEAR, params, ["respondent_id", "split"])
-    cols = [LINEAR.out_name(c) for c in LINEAR.numeric]
+    table, fitted = fitted_linear(spark, sf_dir)
+    out = ft.apply_numeric(table, fitted, ["respondent_id", "split"])
+    cols = [c.output for c in LINEAR]
     scale = ft.fit_standardize(out.filter(F.col("split") == "train"), cols)
     return out.select("respondent_id", "split", *ft.standardize(cols, scale))
 
@@ -553,18 +547,16 @@ def q_rare_level_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     table = fx.materialized(spark, "doc_split", sf_dir, build)
     levels = ft.fit_levels(table.filter(F.col("split") == "train"), "source")
-    return table.select("doc_id", "split", "source", ft.fold_rare_levels(table, "source", levels, 20).alias("source_level"))
+    return ft.fold_rare_levels(table.select("doc_id", "split", "source"), "source", levels, 20, "source_level")
 
 
 @query("skew_before_after")
 def q_skew_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, params = fitted_linear(spark, sf_dir)
-    keep = ["respondent_id", "split"] + [F.col(c).alias(f"{c}_raw") for c in LINEAR.numeric]
-    out = ft.transform_linear(table.select("*", *keep[2:]), LINEAR, params, ["split"] + [f"{c}_raw" for c in LINEAR.numeric])
+    table, fitted = fitted_linear(spark, sf_dir)
+    raw = table.select("*", *[F.col(c.source).alias(f"{c.source}_raw") for c in LINEAR])
+    out = ft.apply_numeric(raw, fitted, ["split"] + [f"{c.source}_raw" for c in LINEAR])
     train = out.filter(F.col("split") == "train")
-    return ft.skew_observed(
-        train, [(c, f"{c}_raw", LINEAR.out_name(c), f"{c}_missing") for c in LINEAR.numeric]
-    )
+    return ft.skew_observed(train, [(c.source, f"{c.source}_raw", c.output, f"{c.source}_missing") for c in LINEAR])
 
 
 # ---- evaluation on deterministic scores ------------------------------------------
@@ -626,9 +618,9 @@ def model_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, md.Feature
     """The linear-track table (imputed logs + flags), single-choice categories
     and the multi-hot options; checkpointed in the shared folder because every
     fold and model re-reads it."""
-    table, params = fitted_linear(spark, sf_dir)
+    table, fitted = fitted_linear(spark, sf_dir)
     base = ["respondent_id", "split", "target", "segment", "country"]
-    lin = ft.transform_linear(table, LINEAR, params, base + QUESTIONS)
+    lin = ft.apply_numeric(table, fitted, base + QUESTIONS)
     # the vocabulary comes from all respondents; the multi-hot columns are a
     # projection of the same rows (no join)
     vocab = ms.collect_vocabulary(ms.unfold_long(fx.respondents(spark, sf_dir), "respondent_id", QUESTIONS))
@@ -637,7 +629,7 @@ def model_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, md.Feature
     out = ms.multihot(lin, keep, vocab).checkpoint()
     flags = [c for c in lin.columns if c.endswith("_missing") or c.endswith("_any")]
     spec = md.FeatureSpec(
-        numeric=[LINEAR.out_name(c) for c in LINEAR.numeric],
+        numeric=[c.output for c in LINEAR],
         categorical=["segment", "country"],
         passthrough=flags + [c for c in out.columns if c not in keep],
     )
@@ -720,12 +712,11 @@ def feature_names_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("feature")
     ).distinct()
-    fixed = [f"num__{LINEAR.out_name(c)}" for c in LINEAR.numeric] + [
-        f"remainder__{c}_missing" for c in LINEAR.numeric
+    plain = [f"num__{c.output}" for c in LINEAR] + [
+        f"remainder__{c.source}_missing" for c in LINEAR
     ] + ["remainder__n_returns_any", "remainder__have_cell__answered", "remainder__want_cell__answered",
          "cat__segment_infrequent", "remainder__respondent_id"]
-    fixed_df = spark.createDataFrame([(f,) for f in fixed], "feature string")
-    return names.unionByName(fixed_df)
+    return names.unionByName(spark.createDataFrame([(f,) for f in plain], "feature string"))
 
 
 @query("feature_labels")

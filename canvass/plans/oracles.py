@@ -688,7 +688,7 @@ def _feature_labels_sql() -> str:
     def strip(x: str, suffix: str) -> str:
         return f"substring({x}, 1, length({x}) - {len(suffix)})"
 
-    fixed = [f"num__{LINEAR.out_name(c)}" for c in LINEAR.numeric] + [f"remainder__{c}_missing" for c in LINEAR.numeric] + [
+    fixed = [f"num__{c.output}" for c in LINEAR] + [f"remainder__{c.source}_missing" for c in LINEAR] + [
         "remainder__n_returns_any", "remainder__have_cell__answered", "remainder__want_cell__answered",
         "cat__segment_infrequent", "remainder__respondent_id",
     ]

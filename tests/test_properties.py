@@ -65,7 +65,7 @@ def test_exact_quantiles_selection_equals_python(spark, ints):
     values = [x / 8.0 for x in ints]
     df = spark.createDataFrame([("c", x) for x in values], "column string, x double")
     probs = [0.0, 0.01, 0.5, 0.99, 1.0]
-    got = exact_quantiles(df, probs, direct_max=3, buckets=4)
+    got = exact_quantiles(df, probs, slice_rows=3, cuts=4)
     for p in probs:
         assert math.isclose(got[("c", p)], _linear(values, p), rel_tol=1e-12, abs_tol=1e-12)
 

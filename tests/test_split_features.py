@@ -38,12 +38,12 @@ def test_folds_are_balanced(spark):
 def test_linear_fit_apply(spark):
     rows = [(i, float(i) if i % 7 else None, float(i % 4)) for i in range(1, 201)]
     df = spark.createDataFrame(rows, "id long, x double, z double")
-    spec = ft.LinearSpec(winsor="x", log=["x"], any_flag=["z"], raw=["z"])
-    params = ft.fit_linear(df, spec)
-    assert params.p_low <= params.p_high
-    out = ft.transform_linear(df, spec, params, ["id"])
+    fitted = ft.fit_numeric(df, ft.linear_track(winsor="x", log=["x"], any_flag=["z"], raw=["z"]))
+    low, high = fitted[0].bounds
+    assert low <= high
+    out = ft.apply_numeric(df, fitted, ["id"])
     assert out.filter(F.col("x_log").isNull()).count() == 0
-    hi = math.log1p(params.p_high)
+    hi = math.log1p(high)
     assert out.agg(F.max("x_log")).first()[0] <= hi + 1e-12
     flags = out.agg(F.sum("x_missing"), F.sum("z_any")).first()
     assert flags[0] == len([r for r in rows if r[1] is None])
@@ -54,8 +54,8 @@ def test_unseen_level_is_null(spark):
     train = spark.createDataFrame([("a",)] * 30 + [("b",)] * 2, "c string")
     test = spark.createDataFrame([("a",), ("b",), ("z",), (None,)], "c string")
     levels = ft.fit_levels(train, "c")
-    got = [r[0] for r in test.select(ft.fold_rare_levels(test, "c", levels, 30)).collect()]
-    assert got == ["a", "infrequent", None, None]
+    got = sorted(((r.c, r.lvl) for r in ft.fold_rare_levels(test, "c", levels, 30, "lvl").collect()), key=str)
+    assert got == sorted([("a", "a"), ("b", "infrequent"), ("z", None), (None, None)], key=str)
 
 
 def test_seeded_sample_equals_ordered_limit(spark):
