@@ -9,11 +9,10 @@ pandas UDF on those few result rows only.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canvass.fixed import (
@@ -30,6 +29,7 @@ from canvass.fixed import (
 from canvass.functions.guards import collect_bounded
 from canvass.functions.scalars import tier
 from canvass.functions.tails import chi2_pvalue, f_pvalue, pearson_pvalue
+from canvass.operators.profile import numeric_summary
 from canvass.operators.quantile import column_quantiles
 from canvass.session import checkpoint_root
 
@@ -40,22 +40,44 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str], min_n: int = MIN_PA
     pairs = list(combinations(columns, 2))
     if not pairs:
         raise ValueError("need at least two columns")
-    exprs = []
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        exprs += [
-            F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}"),
-            F.count(F.when(both, 1)).alias(f"n{i}"),
-        ]
-    agg = df.agg(*exprs)
-    rows = F.array(
-        *[
-            F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"n{i}").alias("n"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(pairs)
-        ]
+    # pairs become rows in the task (a narrow loop over an array of values, however many pairs there
+    # are) and one groupBy on the pair's number reduces them to sums before the shuffle
+    values = F.array(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in columns])
+    place = {c: i for i, c in enumerate(columns)}
+    plan = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(place[a]).alias("i"), F.lit(place[b]).alias("j")) for k, (a, b) in enumerate(pairs)])
+    x, y = F.get("v", F.col("p.i")), F.get("v", F.col("p.j"))
+    rows = df.select(values.alias("v")).select("v", F.explode(plan).alias("p")).select(F.col("p.k").alias("k"), x.alias("x"), y.alias("y"))
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    sums = rows.groupBy("k").agg(
+        F.count(F.when(both, 1)).alias("n"),
+        F.covar_pop("x", "y").alias("xy"),
+        F.var_pop(F.when(both, F.col("x"))).alias("xx"),
+        F.var_pop(F.when(both, F.col("y"))).alias("yy"),
     )
-    out = agg.select(F.explode(rows).alias("p")).select("p.*").filter(F.col("n") >= min_n)
-    return out.withColumn("strength", tier(F.abs(F.col("r")), *CORRELATION_TIERS))
+    # a column without spread has no correlation: null, never a division error
+    corr = F.try_divide(F.col("xy"), F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))))
+    name = lambda which: F.element_at(F.array(*[F.lit(p[which]) for p in pairs]), F.col("k") + 1)
+    out = sums.filter(F.col("n") >= min_n).select(name(0).alias("var1"), name(1).alias("var2"), "n", corr.alias("r"))
+    return out.withColumn("strength", F.when(F.col("r").isNotNull(), tier(F.abs(F.col("r")), *CORRELATION_TIERS)))
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The square matrix in long form: every ordered pair of columns (diagonal included: 1, or null without spread or
+    values), with the number of rows complete in both."""
+    one = numeric_summary(df, columns)
+    diagonal = one.select(F.col("column").alias("var1"), F.col("column").alias("var2"), F.col("count").alias("n"), F.when(F.col("std") > 0, 1.0).alias("r"))
+    if len(columns) < 2:
+        return diagonal
+    upper = correlation_pairs(df, columns, min_n=0).select("var1", "var2", "n", "r")
+    lower = upper.select(F.col("var2").alias("var1"), F.col("var1").alias("var2"), "n", "r")
+    return upper.unionByName(lower).unionByName(diagonal)
+
+
+def ranked(tests: DataFrame, by: str, keys: Sequence[str]) -> DataFrame:
+    """A result table in its printed order, largest ``by`` first (absolute; undefined last, ties by ``keys``), with ``position`` from 1. The
+    window holds one row for each test."""
+    order = Window.orderBy(F.abs(by).desc_nulls_last(), *keys)
+    return tests.withColumn("position", F.row_number().over(order))
 
 
 def with_correlation_pvalue(pairs: DataFrame) -> DataFrame:
@@ -73,6 +95,15 @@ def _long(df: DataFrame, variables: Sequence[str], target: str) -> DataFrame:
     )
 
 
+MAX_VARIABLES = 10_000
+
+
+def _literal(value) -> Column:
+    if isinstance(value, dict):
+        return F.create_map(*[x for k, v in value.items() for x in (F.lit(k), F.lit(v))])
+    return F.lit(value)
+
+
 def chi_square(df: DataFrame, variables: Sequence[str], target: str, yates: bool = True) -> DataFrame:
     """Chi-square test of independence of each variable with ``target``
     on complete cases; Yates' correction when dof = 1 (the common default),
@@ -86,40 +117,41 @@ def chi_square(df: DataFrame, variables: Sequence[str], target: str, yates: bool
     cells = _long(df, variables, target).groupBy("variable", "value", "target").agg(
         F.count(F.lit(1)).cast("double").alias("o")
     )
-    # the contingency table is written once to the shared checkpoint folder: the
-    # rows are scanned once, and the margins below (aggregates joined back on
-    # their keys, no window holding a variable's levels in one task) read it
+    # the contingency table is written once to the shared checkpoint folder and summed in levels: cells to
+    # rows of the table, and cells to one map of column totals per variable (the target has few levels).
+    # The map joins by variable, one row each, so no key gathers a variable's levels
     checkpoint_root(df.sparkSession)
     cells = cells.checkpoint()
     rows = cells.groupBy("variable", "value").agg(F.sum("o").alias("r_tot"))
+    per_row = cells.groupBy("variable", "value").agg(F.sum("o").alias("r_tot"), F.collect_list(F.struct("target", "o")).alias("cells"))
     cols = cells.groupBy("variable", "target").agg(F.sum("o").alias("c_tot"))
-    per_var = rows.groupBy("variable").agg(
-        F.sum("r_tot").alias("n"),
-        F.count(F.lit(1)).alias("r"),
-        F.min("value").alias("v1"),
-        F.min_by("r_tot", "value").alias("r1"),
-    ).join(
-        cols.groupBy("variable").agg(
-            F.count(F.lit(1)).alias("c"), F.min("target").alias("t1"), F.min_by("c_tot", "target").alias("c1")
-        ),
-        "variable",
+    cols = cols.groupBy("variable").agg(
+        F.map_from_entries(F.collect_list(F.struct("target", "c_tot"))).alias("totals"),
+        F.count(F.lit(1)).alias("c"),
+        F.min("target").alias("t1"),
+        F.min_by("c_tot", "target").alias("c1"),
+        F.sum("c_tot").alias("n"),
     )
-    scalars = F.broadcast(per_var)
+    # a row for each variable: literals below, whatever the number of levels
+    margins = collect_bounded(cols, MAX_VARIABLES, "variables")
+    lit_map = lambda name: F.element_at(F.create_map(*[x for r in margins for x in (F.lit(r["variable"]), _literal(r[name]))]), F.col("variable"))
+    if not margins:
+        return df.sparkSession.createDataFrame([], "variable string, n long, chi2 double, dof long, cramers_v double, strength string")
+    first = rows.groupBy("variable").agg(F.count(F.lit(1)).alias("r"), F.min("value").alias("v1"), F.min_by("r_tot", "value").alias("r1"))
+    known = per_row.select("variable", "value", "r_tot", "cells", lit_map("totals").alias("totals"), lit_map("t1").alias("t1"))
+    part = F.aggregate("cells", F.lit(0.0), lambda acc, x: acc + x["o"] * x["o"] / (F.col("r_tot") * F.element_at("totals", x["target"])))
+    corner = F.aggregate(F.filter("cells", lambda x: x["target"] == F.col("t1")), F.lit(0.0), lambda acc, x: acc + x["o"])
     t = (
-        cells.join(rows, ["variable", "value"])
-        .join(cols, ["variable", "target"])
-        .join(scalars, "variable")
-        .groupBy("variable", "n", "r", "c", "r1", "c1")
-        .agg(
-            F.sum(F.col("o") * F.col("o") * F.col("n") / (F.col("r_tot") * F.col("c_tot"))).alias("s"),
-            F.coalesce(
-                F.sum(F.when((F.col("value") == F.col("v1")) & (F.col("target") == F.col("t1")), F.col("o"))), F.lit(0.0)
-            ).alias("o11"),
-        )
+        known.select("variable", "value", part.alias("part"), corner.alias("corner"))
+        .groupBy("variable")
+        .agg(F.sum("part").alias("part"), F.min_by("corner", "value").alias("o11"))
+        .join(first, "variable")
+        .select("variable", "r", "r1", "o11", "part", lit_map("n").alias("n"), lit_map("c").alias("c"), lit_map("c1").alias("c1"))
+        .withColumn("s", F.col("part") * F.col("n"))
     )
     n = F.col("n").cast("double")
     dof = (F.col("r") - 1) * (F.col("c") - 1)
-    plain = F.col("s") - n
+    plain = F.greatest(F.col("s") - n, F.lit(0.0))  # the difference cancels: never below 0
     e11 = F.col("r1") * F.col("c1") / n
     # undefined statistics (a margin with one level) are null, never a division error
     corrected = F.try_divide(
@@ -161,20 +193,15 @@ def anova(df: DataFrame, variables: Sequence[str], group: str) -> DataFrame:
     eta^2 = SS_between / SS_total and a tier (.14 large / .06 medium); variables
     with fewer than two groups are skipped. Per-group n, mean and population
     variance are the only pass over the rows."""
-    g = _group_moments(df, variables, group)
-    var = Window.partitionBy("variable")
-    tot = g.select(
-        "*",
-        F.sum("n_g").over(var).alias("n"),
-        F.count(F.lit(1)).over(var).alias("k"),
-        (F.sum(F.col("n_g") * F.col("mean_g")).over(var) / F.sum("n_g").over(var)).alias("grand"),
-    )
+    # per variable, from the moments of its groups: sums, then the spread of the group means around the grand mean as
+    # a merge of variances (n_g as weights); an aggregate, not a window over a variable's groups
+    g = _group_moments(df, variables, group).withColumn("n_g", F.col("n_g").cast("double"))
+    per = g.groupBy("variable").agg(F.sum("n_g").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n_g") * F.col("mean_g")).alias("total"), F.sum(F.col("n_g") * F.col("var_g")).alias("ssw"))
+    grand = per.select("variable", F.col("n"), "k", "ssw", (F.col("total") / F.col("n")).alias("grand"))
     ss = (
-        tot.groupBy("variable", "n", "k")
-        .agg(
-            F.sum(F.col("n_g") * F.pow(F.col("mean_g") - F.col("grand"), 2)).alias("ssb"),
-            F.sum(F.col("n_g") * F.col("var_g")).alias("ssw"),
-        )
+        g.join(grand, "variable")
+        .groupBy("variable", "n", "k", "ssw")
+        .agg(F.sum(F.col("n_g") * F.pow(F.col("mean_g") - F.col("grand"), 2)).alias("ssb"))
         .filter(F.col("k") >= 2)
     )
     f_stat = F.try_divide(F.col("ssb") / (F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n") - F.col("k")))
@@ -227,95 +254,96 @@ def regression_line(df: DataFrame, x: str, y: str, cap_quantile: float = REGRESS
     )
 
 
-# cumulative Poisson(1) probabilities P(W <= k), k = 0..11
-_POISSON1_CDF = [sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+#: Grid points at which the bands of a regression line are given.
+LINE_POINTS = 100
 
 
-def _multinomial_bands(group: str, replicates: int, seed: int, level: float):
-    """Per group (a handful of value counts): draw ``replicates`` resamples of n
-    rows with replacement as multinomial counts over the distinct values, take
-    each resample's mean, return the percentile band - the classic bootstrap of
-    a mean, computed from counts instead of rows."""
-    import zlib
+def _resampled(counts: DataFrame, group: str | None, values: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """(group, b, w, then sums of w times each value and product of values) of ``replicates`` Poisson bootstraps; b = 0 is the data itself.
 
+    ``counts`` has a row for each distinct (group, values) with its number of rows ``c``: c independent Poisson(1) weights
+    sum to one Poisson(c) draw, so the cost follows the distinct values, not the rows. Draws are seeded by the row's
+    content, so they are the same under any partitioning, and each task adds up its own replicates before the shuffle."""
     import numpy as np
     import pandas as pd
 
-    lo, hi = 100 * (1 - level) / 2, 100 * (1 - (1 - level) / 2)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("y", kind="mergesort")  # draws must not depend on row order
-        key = pdf[group].iloc[0]
-        values = pdf["y"].to_numpy(dtype="float64")
-        counts = pdf["c"].to_numpy(dtype="int64")
-        n = int(counts.sum())
-        rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
-        draws = rng.multinomial(n, counts / n, size=replicates)
-        means = draws @ values / n
-        return pd.DataFrame({
-            group: [key], "n": [n], "mean": [float(counts @ values / n)],
-            "ci_low": [float(np.percentile(means, lo))], "ci_high": [float(np.percentile(means, hi))],
-            "replicates": [replicates],
-        })
-
-    return run
+    products = [(i, j) for i in range(len(values)) for j in range(i, len(values))]
+    names = ["w", *values, *(f"{values[i]}_{values[j]}" for i, j in products)]
+    key = [group] if group else []
+
+    def run(frames):
+        import hashlib
+
+        total: dict = {}
+        for f in frames:
+            for row in f.itertuples(index=False):
+                *labels, c = row
+                g = labels[0] if group else None
+                x = np.array(labels[1:] if group else labels, dtype="float64")
+                digest = hashlib.blake2b(repr((seed, g, x.tolist())).encode(), digest_size=16).digest()
+                weight = np.random.default_rng(int.from_bytes(digest, "big")).poisson(c, replicates + 1).astype("float64")
+                weight[0] = c
+                terms = np.concatenate([[1.0], x, [x[i] * x[j] for i, j in products]])
+                part = weight[:, None] * terms[None, :]
+                if g in total:
+                    total[g] += part
+                else:
+                    total[g] = part
+                if len(total) > 1000:
+                    yield from out(total)
+                    total = {}
+        yield from out(total)
+
+    def out(total):
+        for g, sums in total.items():
+            frame = pd.DataFrame(sums, columns=names)
+            frame.insert(0, "b", np.arange(replicates + 1, dtype="int64"))
+            if group:
+                frame.insert(0, group, g)
+            yield frame
+
+    kinds = ([f"`{group}` {counts.schema[group].dataType.simpleString()}"] if group else []) + ["b long"] + [f"`{n}` double" for n in names]
+    parts = counts.select(*key, *values, "c").mapInPandas(run, ", ".join(kinds))
+    return parts.groupBy(*key, "b").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def bootstrap_mean_ci(
-    df: DataFrame, id_col: str, value: str, group: str, replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED,
-    level: float = BOOTSTRAP_LEVEL, max_distinct: int = 64,
+    df: DataFrame, value: str, group: str, replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED, level: float = BOOTSTRAP_LEVEL
 ) -> DataFrame:
-    """Percentile bootstrap band of a group mean.
-
-    When every group's column has at most ``max_distinct`` distinct values (0/1
-    indicators, ratings, counts) the rows are first reduced to value counts per
-    group; the resampling then runs on those counts (exact classic bootstrap,
-    ``applyInPandas`` over groups x values rows), so its cost does not grow
-    with the rows. Otherwise the Poisson bootstrap over rows is used.
-    """
-    base = df.select(id_col, group, F.col(value).cast("double").alias("y")).dropna(subset=[group, "y"])
+    """Percentile bootstrap band of a group mean: one estimator (Poisson weights on value counts) for any number of rows and
+    distinct values. Rows with a null group or value take no part; a replicate whose weights are all 0 has no mean."""
+    base = df.select(F.col(group), F.col(value).cast("double").alias("y")).dropna()
     counts = base.groupBy(group, "y").agg(F.count(F.lit(1)).alias("c"))
-    widest = counts.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    if widest <= max_distinct:
-        gtype = df.schema[group].dataType.simpleString()
-        schema = f"`{group}` {gtype}, n long, mean double, ci_low double, ci_high double, replicates int"
-        return counts.groupBy(group).applyInPandas(_multinomial_bands(group, replicates, seed, level), schema)
-    return poisson_bootstrap_mean_ci(base, id_col, group, replicates, seed, level)
-
-
-def poisson_bootstrap_mean_ci(
-    base: DataFrame, id_col: str, group: str, replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED,
-    level: float = BOOTSTRAP_LEVEL,
-) -> DataFrame:
-    """A23 for continuous values: Poisson bootstrap over rows.
-
-    Each row gets a Poisson(1) weight per replicate from a seeded hash of
-    (seed, id, replicate), so the result does not depend on partitioning and a
-    lost task recomputes the same weights. Rows are expanded by the replicate
-    index inside the task and immediately reduced by the partial aggregate of
-    ``groupBy(group, replicate)``; only groups x replicates partials shuffle.
-    ``base`` has columns ``(id, group, y)``.
-    """
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("b")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    w = F.lit(len(_POISSON1_CDF))
-    for k in reversed(range(len(_POISSON1_CDF))):
-        w = F.when(u < F.lit(_POISSON1_CDF[k]), F.lit(k)).otherwise(w)
-    # replicate 0 carries weight 1 for every row: the plain mean comes out of the
-    # same single scan
-    reps = (
-        base.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("b"))
-        .withColumn("w", F.when(F.col("b") == 0, F.lit(1)).otherwise(w))
-        .groupBy(group, "b")
-        # a replicate whose weights are all zero (likely for tiny groups) has no mean
-        .agg(F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w")).alias("m"), F.count(F.lit(1)).alias("rows"))
-    )
+    reps = _resampled(counts, group, ["y"], replicates, seed).withColumn("m", F.try_divide("y", "w"))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     bands = reps.groupBy(group).agg(
         F.percentile(F.when(F.col("b") > 0, F.col("m")), [lo, hi]).alias("q"),
         F.max(F.when(F.col("b") == 0, F.col("m"))).alias("mean"),
-        F.max(F.when(F.col("b") == 0, F.col("rows"))).alias("n"),
+        F.max(F.when(F.col("b") == 0, F.col("w"))).alias("n"),
     )
     return bands.select(
-        group, "n", "mean", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"),
-        F.lit(replicates).alias("replicates"),
+        group, F.col("n").cast("long").alias("n"), "mean", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"), F.lit(replicates).alias("replicates")
     )
+
+
+def regression_band(
+    df: DataFrame, x: str, y: str, cap_quantile: float = REGRESSION_CAP, points: int = LINE_POINTS, replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED, level: float = BOOTSTRAP_LEVEL
+) -> DataFrame:
+    """A23 on A22: the regression line at ``points`` equal steps of x with its percentile bootstrap band: (x, fit, ci_low, ci_high)."""
+    (cap,) = column_quantiles(df, y, [cap_quantile])
+    base = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    counts = base.filter(F.col("y") <= F.lit(cap)).groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    ends = counts.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    spark = df.sparkSession
+    if ends["lo"] is None:
+        return spark.createDataFrame([], "x double, fit double, ci_low double, ci_high double")
+    s = _resampled(counts, None, ["x", "y"], replicates, seed)
+    spread = F.col("w") * F.col("x_x") - F.col("x") * F.col("x")
+    slope = F.try_divide(F.col("w") * F.col("x_y") - F.col("x") * F.col("y"), F.when(spread > 0, spread))
+    lines = s.select("b", slope.alias("slope"), F.try_divide("x", "w").alias("mx"), F.try_divide("y", "w").alias("my"))
+    step = (ends["hi"] - ends["lo"]) / max(1, points - 1)
+    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(ends["lo"]) + i * F.lit(step))
+    at = lines.select("b", F.explode(grid).alias("x"), "slope", "mx", "my").withColumn("fit", F.col("my") + F.col("slope") * (F.col("x") - F.col("mx")))
+    lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
+    out = at.groupBy("x").agg(F.max(F.when(F.col("b") == 0, F.col("fit"))).alias("fit"), F.percentile(F.when(F.col("b") > 0, F.col("fit")), [lo, hi]).alias("q"))
+    return out.select("x", "fit", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))

@@ -250,7 +250,7 @@ CATEGORICAL = ["segment", "country", "outcome", "years_text"]
 
 def respondents_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fx.respondents(spark, sf_dir)
-    return df.withColumn("years", sc.lenient_number(F.col("years_text")))
+    return df.withColumn("years", sc.lenient_number(F.col("years_text"))).withColumn("unit", F.lit(7.5))
 
 
 @query("value_counts_pct")
@@ -300,17 +300,18 @@ def q_histogram_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- association -----------------------------------------------------------
 
-CORR_COLUMNS = ["spend", "n_returns", "years"]
+# "unit" has no spread: its correlations are undefined
+CORR_COLUMNS = ["spend", "n_returns", "years", "unit"]
 
 
 @query("correlation_matrix")
 def q_correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asc.correlation_pairs(respondents_numeric(spark, sf_dir), CORR_COLUMNS, min_n=0).select("var1", "var2", "n", "r")
+    return asc.correlation_matrix(respondents_numeric(spark, sf_dir), CORR_COLUMNS)
 
 
 @query("correlation_pairs")
 def q_correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asc.correlation_pairs(respondents_numeric(spark, sf_dir), CORR_COLUMNS)
+    return asc.ranked(asc.correlation_pairs(respondents_numeric(spark, sf_dir), CORR_COLUMNS), "r", ["var1", "var2"])
 
 
 @query("correlation_pvalue")
@@ -323,7 +324,7 @@ CHI_VARIABLES = ["segment", "country", "years_text"]
 
 @query("chi_square")
 def q_chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asc.chi_square(fx.respondents(spark, sf_dir), CHI_VARIABLES, "outcome")
+    return asc.ranked(asc.chi_square(fx.respondents(spark, sf_dir), CHI_VARIABLES, "outcome"), "cramers_v", ["variable"])
 
 
 @query("chi_square_2x2")
@@ -344,7 +345,7 @@ ANOVA_VARIABLES = ["years", "n_returns"]
 
 @query("anova")
 def q_anova(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asc.anova(respondents_numeric(spark, sf_dir), ANOVA_VARIABLES, "outcome")
+    return asc.ranked(asc.anova(respondents_numeric(spark, sf_dir), ANOVA_VARIABLES, "outcome"), "eta_squared", ["variable"])
 
 
 @query("anova_pvalue")
@@ -370,7 +371,12 @@ def q_regression_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bootstrap_ci")
 def q_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = labelled(spark, sf_dir)
-    return asc.bootstrap_mean_ci(df, "respondent_id", "target", "segment")
+    return asc.bootstrap_mean_ci(df, "target", "segment")
+
+
+@query("regression_band")
+def q_regression_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asc.regression_band(respondents_numeric(spark, sf_dir), "years", "spend")
 
 
 # ---- split -----------------------------------------------------------------

@@ -367,21 +367,51 @@ oracle("histogram_log", _histogram_sql("log10(n_chars)", "fx_doc", 50))
 
 # ---- association ----------------------------------------------------------------------
 
-_NUM = f"nums AS (SELECT spend, CAST(n_returns AS DOUBLE) AS n_returns, {_YEARS_L} AS years, outcome FROM fx)"
-_PAIRS = [("spend", "n_returns"), ("spend", "years"), ("n_returns", "years")]
+_NUM = f"nums AS (SELECT spend, CAST(n_returns AS DOUBLE) AS n_returns, {_YEARS_L} AS years, 7.5e0 AS unit, outcome FROM fx)"
+_NUMBERS = ["spend", "n_returns", "years", "unit"]
+_PAIRS = [(a, b) for i, a in enumerate(_NUMBERS) for b in _NUMBERS[i + 1 :]]
+
+
+def _corr(a: str, b: str) -> str:
+    return f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END"
+
+
 _PAIRS_SQL = "\n  UNION ALL ".join(
-    f"SELECT '{a}' AS var1, '{b}' AS var2, COUNT(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n, corr({a}, {b}) AS r FROM nums"
+    f"SELECT '{a}' AS var1, '{b}' AS var2, COUNT(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n, {_corr(a, b)} AS r FROM nums"
     for a, b in _PAIRS
 )
-_TIER_R = "CASE WHEN abs(r) >= 0.5 THEN 'strong' WHEN abs(r) >= 0.3 THEN 'medium' ELSE 'weak' END"
+_TIER_R = "CASE WHEN r IS NULL THEN NULL WHEN abs(r) >= 0.5 THEN 'strong' WHEN abs(r) >= 0.3 THEN 'medium' ELSE 'weak' END"
 
-oracle("correlation_matrix", ", " + _NUM + ", pairs AS (" + _PAIRS_SQL + ") SELECT var1, var2, n, r FROM pairs")
+oracle(
+    "correlation_matrix",
+    ", "
+    + _NUM
+    + "\n"
+    + "\n  UNION ALL ".join(
+        f"SELECT '{a}' AS var1, '{b}' AS var2, COUNT(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n, "
+        + (f"CASE WHEN stddev_samp({a}) > 0 THEN 1e0 END" if a == b else _corr(a, b))
+        + " AS r FROM nums"
+        for a in _NUMBERS
+        for b in _NUMBERS
+    ),
+)
 oracle(
     "correlation_pairs",
-    ", " + _NUM + ", pairs AS (" + _PAIRS_SQL + f") SELECT var1, var2, n, r, {_TIER_R} AS strength FROM pairs WHERE n >= 3",
+    ", "
+    + _NUM
+    + ", pairs AS ("
+    + _PAIRS_SQL
+    + f") SELECT var1, var2, n, r, {_TIER_R} AS strength, "
+    + "row_number() OVER (ORDER BY abs(r) DESC NULLS LAST, var1, var2) AS position FROM pairs WHERE n >= 3",
 )
 
 
+def _ranked(body: str, by: str) -> str:
+    cut = body.rindex("\nSELECT variable, CAST(n")
+    return f"{body[:cut]}, tests AS ({body[cut:]})\nSELECT *, row_number() OVER (ORDER BY {by} DESC NULLS LAST, variable) AS position FROM tests"
+
+
+
 def _chi_sql(long_sql: str) -> str:
     return f""", long AS ({long_sql}),
 cells AS (SELECT variable, value, target, COUNT(*) AS o FROM long GROUP BY ALL),
@@ -404,11 +434,14 @@ FROM stat"""
 
 oracle(
     "chi_square",
-    _chi_sql(
-        "\n  UNION ALL ".join(
-            f"SELECT '{v}' AS variable, {v} AS value, outcome AS target FROM fx WHERE {v} IS NOT NULL AND outcome IS NOT NULL"
-            for v in ["segment", "country", "years_text"]
-        )
+    _ranked(
+        _chi_sql(
+            "\n  UNION ALL ".join(
+                f"SELECT '{v}' AS variable, {v} AS value, outcome AS target FROM fx WHERE {v} IS NOT NULL AND outcome IS NOT NULL"
+                for v in ["segment", "country", "years_text"]
+            )
+        ),
+        "cramers_v",
     ),
 )
 oracle(
@@ -426,8 +459,9 @@ _GROUPS = ", " + _NUM + """, g AS (
 
 oracle(
     "anova",
-    _GROUPS
-    + """,
+    _ranked(
+        _GROUPS
+        + """,
 tot AS (SELECT variable, SUM(n_g) AS n, COUNT(*) AS k, SUM(n_g * mean_g) / SUM(n_g) AS grand FROM g GROUP BY variable),
 ss AS (SELECT g.variable, tot.n, tot.k, SUM(n_g * power(mean_g - grand, 2)) AS ssb, SUM(n_g * var_g) AS ssw
        FROM g JOIN tot ON tot.variable = g.variable GROUP BY ALL HAVING tot.k >= 2)
@@ -435,6 +469,8 @@ SELECT variable, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, (ssb / (k - 1))
   CASE WHEN ssb + ssw > 0 THEN ssb / (ssb + ssw) END AS eta_squared,
   CASE WHEN ssb / (ssb + ssw) >= 0.14 THEN 'large' WHEN ssb / (ssb + ssw) >= 0.06 THEN 'medium' ELSE 'small' END AS effect
 FROM ss""",
+        "eta_squared",
+    ),
 )
 oracle("group_mean_sd", _GROUPS + "\nSELECT variable, outcome, n_g AS n, mean_g AS mean, sqrt(var_g) AS sd FROM g")
 oracle(

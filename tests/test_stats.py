@@ -91,21 +91,54 @@ def test_undefined_precision_is_zero(spark):
 
 def test_bootstrap_is_repeatable(spark):
     df = spark.createDataFrame([(i, "g" + str(i % 2), float(i % 5)) for i in range(200)], "id long, g string, y double")
-    for fn in (
-        lambda d: asc.bootstrap_mean_ci(d, "id", "y", "g", replicates=50),
-        lambda d: asc.poisson_bootstrap_mean_ci(d.select("id", "g", F.col("y")), "id", "g", replicates=50),
-    ):
-        a = sorted(fn(df).collect())
-        b = sorted(fn(df.repartition(7)).collect())
-        assert a == b
-        for r in a:
-            assert r.ci_low <= r.mean <= r.ci_high and r.n == 100
+    fn = lambda d: asc.bootstrap_mean_ci(d, "y", "g", replicates=50)
+    a, b = sorted(fn(df).collect()), sorted(fn(df.repartition(7)).collect())
+    for x, y in zip(a, b):
+        assert (x.g, x.n) == (y.g, y.n) == (x.g, 100)
+        assert (x.mean, x.ci_low, x.ci_high) == pytest.approx((y.mean, y.ci_low, y.ci_high))
+        assert x.ci_low <= x.mean <= x.ci_high
+
+
+@pytest.mark.parametrize("distinct", [64, 65])
+def test_bootstrap_equals_plain_python_at_any_number_of_values(spark, distinct):
+    # the same Poisson weights, drawn value by value in plain Python
+    import collections
+    import hashlib
+
+    import numpy as np
+
+    ys = [float(i % distinct) for i in range(300)]
+    r = asc.bootstrap_mean_ci(spark.createDataFrame([("g", y) for y in ys], "g string, y double"), "y", "g", replicates=40, seed=7).first()
+    w, wy = np.zeros(41), np.zeros(41)
+    for y, c in collections.Counter(ys).items():
+        digest = hashlib.blake2b(repr((7, "g", [y])).encode(), digest_size=16).digest()
+        draws = np.random.default_rng(int.from_bytes(digest, "big")).poisson(c, 41).astype(float)
+        w += draws
+        wy += draws * y
+    low, high = np.percentile((wy / w)[1:], [2.5, 97.5])
+    assert (r.ci_low, r.ci_high) == pytest.approx((low, high))
+    assert r.mean == pytest.approx(sum(ys) / 300) and r.n == 300
+
+
+def test_regression_band_holds_the_line(spark):
+    rows = [(float(i % 20), 3.0 * (i % 20) + ((i * 37) % 11)) for i in range(400)]
+    got = asc.regression_band(spark.createDataFrame(rows, "x double, y double"), "x", "y", cap_quantile=1.0, points=5, replicates=200).orderBy("x").collect()
+    assert len(got) == 5 and got[0].x == 0.0 and got[-1].x == 19.0
+    assert all(r.ci_low <= r.fit <= r.ci_high for r in got)
+    line = asc.regression_line(spark.createDataFrame(rows, "x double, y double"), "x", "y", cap_quantile=1.0).first()
+    assert [r.fit for r in got] == pytest.approx([line.intercept + line.slope * r.x for r in got])
+
+
+def test_constant_column_has_no_correlation(spark):
+    df = spark.createDataFrame([(float(i), 5.0, float(i * i)) for i in range(10)], "a double, c double, `b.x` double")
+    got = {(r.var1, r.var2): r for r in asc.correlation_pairs(df, ["a", "c", "b.x"]).collect()}
+    assert got[("a", "c")].r is None and got[("a", "c")].strength is None and got[("a", "b.x")].r == pytest.approx(0.9627, abs=1e-3)
 
 
 def test_bootstrap_band_of_a_proportion(spark):
     # 0/1 values: the band must be close to the normal-approximation band
     rows = [(i, "g", float(i % 10 < 3)) for i in range(2000)]
-    r = asc.bootstrap_mean_ci(spark.createDataFrame(rows, "id long, g string, y double"), "id", "y", "g").first()
+    r = asc.bootstrap_mean_ci(spark.createDataFrame(rows, "id long, g string, y double"), "y", "g").first()
     half = 1.96 * (0.3 * 0.7 / 2000) ** 0.5
     assert r.mean == pytest.approx(0.3)
     assert r.ci_low == pytest.approx(0.3 - half, abs=0.006) and r.ci_high == pytest.approx(0.3 + half, abs=0.006)
