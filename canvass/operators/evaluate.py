@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from canvass.fixed import THRESHOLD
 from canvass.session import checkpoint_root
 
-RANGE_ROWS = 2_000_000
+#: Ranges of the distinct scores; each is summed by one task. A documented parameter of the curve, like the number of
+#: shuffle partitions: raise it with the table.
+RANGES = 1024
 
 
 def predict_at(score: Column, threshold: float = THRESHOLD) -> Column:
@@ -133,32 +135,24 @@ def classification_report(df: DataFrame, label: str, pred: str, names: Mapping[i
     return c.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def _score_ranges(distinct_scores: DataFrame, score: str, ranges: int) -> list[float]:
-    cuts = distinct_scores.agg(
-        F.percentile_approx(score, [i / ranges for i in range(1, ranges)], 10_000).alias("q")
-    ).first()["q"]
-    inner = sorted({float(x) for x in (cuts or [])})
-    return [float("-inf"), *inner, float("inf")]
-
-
-def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = (), ranges: int = 256) -> DataFrame:
+def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
     """One ROC point per distinct score (descending), every point kept
     (no dropping of collinear points), plus the starting point (0, 0) at
-    threshold +inf. Columns: ``*by, threshold, fpr, tpr, pos, neg, cum_pos,
+    threshold +inf (``start`` is true for it; a score may be infinite itself). Null and NaN scores take no part. Columns: ``*by, threshold, fpr, tpr, pos, neg, cum_pos,
     cum_neg, n_pos, n_neg``."""
     by = list(by)
-    # distinct scores are read twice (range cuts, then prefix sums): checkpoint
-    # them in the shared folder so the rows are scanned once
-    grouped = df.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
+    # distinct scores, checkpointed in the shared folder: the rows are scanned once; one aggregate gives
+    # their number and the cuts
+    grouped = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
         (F.count(F.lit(1)) - F.sum(F.col(label).cast("long"))).alias("neg"),
     )
     checkpoint_root(df.sparkSession)
     grouped = grouped.checkpoint()
-    # enough ranges that each holds at most ~RANGE_ROWS distinct scores, so every
-    # running-sum window partition stays bounded however many scores there are
-    ranges = max(ranges, math.ceil(grouped.count() / RANGE_ROWS))
-    splits = _score_ranges(grouped, "threshold", ranges)
+    cuts = grouped.agg(F.percentile_approx("threshold", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("q")).first()["q"]
+    inner = sorted({float(x) for x in cuts or [] if math.isfinite(x)})
+    # Bucketizer's last split is closed, so infinite scores are in the first or the last range
+    splits = [float("-inf"), *inner, float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="threshold", outputCol="_range", handleInvalid="keep").transform(grouped)
     # totals per (group, range): at most groups x ranges rows; offsets = totals of
     # the higher-score ranges, class totals = sums over all ranges of the group
@@ -180,27 +174,27 @@ def roc_points(df: DataFrame, label: str, score: str, by: Sequence[str] = (), ra
         *by, "threshold", "pos", "neg",
         (F.col("_op") + F.sum("pos").over(w_in)).alias("cum_pos"),
         (F.col("_on") + F.sum("neg").over(w_in)).alias("cum_neg"),
-        "n_pos", "n_neg",
+        "n_pos", "n_neg", F.lit(False).alias("start"),
     )
     start = totals.select(
         *by, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"),
-        F.lit(0).cast("long").alias("cum_pos"), F.lit(0).cast("long").alias("cum_neg"), "n_pos", "n_neg",
+        F.lit(0).cast("long").alias("cum_pos"), F.lit(0).cast("long").alias("cum_neg"), "n_pos", "n_neg", F.lit(True).alias("start"),
     )
     allp = pts.select(*start.columns).unionByName(start)
     return allp.select(
         *by, "threshold",
         _safe_div(F.col("cum_neg"), F.col("n_neg")).alias("fpr"),
         _safe_div(F.col("cum_pos"), F.col("n_pos")).alias("tpr"),
-        "pos", "neg", "cum_pos", "cum_neg", "n_pos", "n_neg",
+        "pos", "neg", "cum_pos", "cum_neg", "n_pos", "n_neg", "start",
     )
 
 
-def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = (), ranges: int = 256) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str, by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
     """ROC AUC as the Mann-Whitney statistic with ties counting half:
     sum over distinct scores of pos * (negatives scored lower + neg / 2),
     divided by n_pos * n_neg (0.5 when a class is absent is not defined: null)."""
     by = list(by)
-    pts = roc_points(df, label, score, by, ranges).filter(F.col("threshold") != float("inf"))
+    pts = roc_points(df, label, score, by, ranges).filter(~F.col("start"))
     below = F.col("n_neg") - F.col("cum_neg")
     return pts.groupBy(*by, "n_pos", "n_neg").agg(
         F.sum(F.col("pos") * (below + F.col("neg") * 0.5)).alias("_u")

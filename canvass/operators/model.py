@@ -46,35 +46,43 @@ def _quote(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _prepare_statement(
-    train: DataFrame, spec: FeatureSpec, standardize: bool, missing: str = MISSING, max_levels: int = 10_000
-) -> str:
-    """Fit on ``train``: mean / population sd of numerics and the frequent
-    levels of each categorical; return the frozen SQL that applies them."""
+def _named(spec: FeatureSpec) -> list[tuple[str, str, str]]:
+    """(role, source column, safe column) of every input: stages see only generated names, since ML stages
+    read a dot in a name as a struct field."""
+    roles = [("num", spec.numeric), ("cat", spec.categorical), ("remainder", spec.passthrough)]
+    return [(role, c, f"f{role[0]}{i}") for role, cols in roles for i, c in enumerate(cols)]
+
+
+def _source(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
+def _prepare_statement(train: DataFrame, spec: FeatureSpec, standardize: bool, missing: str, fold_rare: bool, max_levels: int = 10_000) -> str:
+    """Fit on ``train``: mean / population sd of numerics (``standardize``) and the frequent levels of each categorical (``fold_rare``;
+    a one-hot model is as wide as its levels, hence the bound); return the frozen SQL that applies them."""
+    named = _named(spec)
+    numeric = [(c, safe) for role, c, safe in named if role == "num"]
     exprs = ["*"]
-    if standardize and spec.numeric:
-        row = train.agg(
-            *[x for c in spec.numeric for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]
-        ).first()
-        for c in spec.numeric:
-            m, s = row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 0.0
-            s = s if s > 0 else 1.0
-            exprs.append(f"(CAST(`{c}` AS DOUBLE) - {m!r}) / {s!r} AS `{c}__std`")
-    else:
-        exprs += [f"CAST(`{c}` AS DOUBLE) AS `{c}__std`" for c in spec.numeric]
-    for c in spec.categorical:
-        filled = f"COALESCE(CAST(`{c}` AS STRING), {_quote(missing)})"
-        levels = collect_bounded(
-            train.groupBy(F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias("v")).count(), max_levels, c
-        )
-        known = [r["v"] for r in levels if r["count"] >= spec.min_frequency]
-        rare = [r["v"] for r in levels if r["count"] < spec.min_frequency]
-        case = f"CASE WHEN {filled} IN ({', '.join(map(_quote, known)) or 'NULL'}) THEN {filled} "
-        if rare:
-            case += f"WHEN {filled} IN ({', '.join(map(_quote, rare))}) THEN {_quote(INFREQUENT)} "
-        case += f"ELSE {filled} END AS `{c}__lvl`"
-        exprs.append(case)
-    exprs += [f"CAST(`{c}` AS DOUBLE) AS `{c}__pass`" for c in spec.passthrough]
+    stats = {}
+    if standardize and numeric:
+        row = train.agg(*[x for c, safe in numeric for x in (F.avg(_source(c)).alias(f"m_{safe}"), F.stddev_pop(_source(c)).alias(f"s_{safe}"))]).first()
+        stats = {safe: (row[f"m_{safe}"] or 0.0, row[f"s_{safe}"] if row[f"s_{safe}"] else 1.0) for _, safe in numeric}
+    for c, safe in numeric:
+        m, s = stats.get(safe, (0.0, 1.0))
+        exprs.append(f"(CAST({_source(c)} AS DOUBLE) - {m!r}) / {s!r} AS {safe}" if stats else f"CAST({_source(c)} AS DOUBLE) AS {safe}")
+    for role, c, safe in named:
+        if role == "remainder":
+            exprs.append(f"CAST({_source(c)} AS DOUBLE) AS {safe}")
+        if role != "cat":
+            continue
+        filled = f"COALESCE(CAST({_source(c)} AS STRING), {_quote(missing)})"
+        if fold_rare:
+            level = F.coalesce(F.col(_source(c)).cast("string"), F.lit(missing))
+            counts = train.groupBy(level.alias("v")).count().filter(F.col("count") < spec.min_frequency)
+            rare = [r["v"] for r in collect_bounded(counts, max_levels, c)]
+            if rare:
+                filled = f"CASE WHEN {filled} IN ({', '.join(map(_quote, rare))}) THEN {_quote(INFREQUENT)} ELSE {filled} END"
+        exprs.append(f"{filled} AS {safe}_lvl")
     return "SELECT " + ", ".join(exprs) + " FROM __THIS__"
 
 
@@ -86,17 +94,17 @@ def logistic_pipeline(
     logistic regression equal to C=1 of the common liblinear/lbfgs objective:
     regParam = 1 / (C n), unpenalised intercept, no internal standardization."""
     n = train.count()
-    cats = list(spec.categorical)
-    stages = [SQLTransformer(statement=_prepare_statement(train, spec, standardize=True))]
+    cats = [safe for role, _, safe in _named(spec) if role == "cat"]
+    stages = [SQLTransformer(statement=_prepare_statement(train, spec, True, MISSING, True))]
     if cats:
         stages += [
             StringIndexer(
-                inputCols=[f"{x}__lvl" for x in cats], outputCols=[f"{x}__idx" for x in cats],
+                inputCols=[f"{x}_lvl" for x in cats], outputCols=[f"{x}_idx" for x in cats],
                 handleInvalid="keep", stringOrderType="alphabetAsc",
             ),
-            OneHotEncoder(inputCols=[f"{x}__idx" for x in cats], outputCols=[f"{x}__oh" for x in cats], dropLast=True),
+            OneHotEncoder(inputCols=[f"{x}_idx" for x in cats], outputCols=[f"{x}_oh" for x in cats], dropLast=True),
         ]
-    inputs = [f"{x}__std" for x in spec.numeric] + [f"{x}__oh" for x in cats] + [f"{x}__pass" for x in spec.passthrough]
+    inputs = [f"{safe}_oh" if role == "cat" else safe for role, _, safe in _named(spec)]
     stages += [
         VectorAssembler(inputCols=inputs, outputCol="features"),
         LogisticRegression(
@@ -107,27 +115,47 @@ def logistic_pipeline(
     return Pipeline(stages=stages)
 
 
+#: Bound on the labelled rows that the boosted trees are fitted on (by a hash order); they all fit below it.
+MAX_FIT_ROWS = 20_000_000
+
+
+def bounded_rows(train: DataFrame, id_col: str, max_rows: int = MAX_FIT_ROWS, seed: int = SEED) -> DataFrame:
+    """At most about ``max_rows`` rows, by a hash of the id."""
+    n = train.count()
+    if n <= max_rows:
+        return train
+    return train.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(n)) < max_rows)
+
+
 def gbt_pipeline(
     train: DataFrame, spec: FeatureSpec, trees: int = fixed.TREES, rate: float = fixed.LEARNING_RATE,
-    depth: int = fixed.DEPTH, seed: int = SEED,
+    depth: int = fixed.DEPTH, seed: int = SEED, smoothing: float = 20.0,
 ) -> Pipeline:
-    """Boosted trees; categoricals (missing -> '__MISSING__') are indexed and
-    target-encoded on train, numerics and flags pass as they are."""
-    cats = list(spec.categorical)
-    plain = FeatureSpec(spec.numeric, cats, spec.passthrough, spec.label, 0)
-    stages = [SQLTransformer(statement=_prepare_statement(train, plain, standardize=False, missing=GBT_MISSING))]
+    """Boosted trees on the untransformed columns, missing values included; categoricals (missing -> '__MISSING__', any number of
+    levels) are indexed and target-encoded on train with ``smoothing`` towards the overall rate, so a
+    level of a few rows doesn't carry its own label."""
+    cats = [safe for role, _, safe in _named(spec) if role == "cat"]
+    stages = [SQLTransformer(statement=_prepare_statement(train, spec, False, GBT_MISSING, False))]
     if cats:
         stages += [
-            StringIndexer(inputCols=[f"{x}__lvl" for x in cats], outputCols=[f"{x}__idx" for x in cats], handleInvalid="keep"),
+            StringIndexer(inputCols=[f"{x}_lvl" for x in cats], outputCols=[f"{x}_idx" for x in cats], handleInvalid="keep"),
             TargetEncoder(
-                inputCols=[f"{x}__idx" for x in cats], outputCols=[f"{x}__te" for x in cats], labelCol=spec.label,
-                targetType="binary", handleInvalid="keep",
+                inputCols=[f"{x}_idx" for x in cats], outputCols=[f"{x}_te" for x in cats], labelCol=spec.label,
+                targetType="binary", handleInvalid="keep", smoothing=smoothing,
             ),
         ]
-    inputs = [f"{x}__std" for x in spec.numeric] + [f"{x}__te" for x in cats] + [f"{x}__pass" for x in spec.passthrough]
+    inputs = [f"{safe}_te" if role == "cat" else safe for role, _, safe in _named(spec)]
+    # trees split on order only: a missing number becomes one below all others
+    fill = ", ".join(f"COALESCE({safe}, -1e300) AS {safe}_v" for role, _, safe in _named(spec) if role != "cat")
+    if fill:
+        stages.append(SQLTransformer(statement=f"SELECT *, {fill} FROM __THIS__"))
+        inputs = [f"{safe}_te" if role == "cat" else f"{safe}_v" for role, _, safe in _named(spec)]
     stages += [
         VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"),
-        GBTClassifier(featuresCol="features", labelCol=spec.label, maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed),
+        GBTClassifier(
+            featuresCol="features", labelCol=spec.label, maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed,
+            cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024,
+        ),
     ]
     return Pipeline(stages=stages)
 
@@ -141,32 +169,27 @@ def score(model: PipelineModel, df: DataFrame, id_col: str, label: str) -> DataF
     )
 
 
-def feature_names(model: PipelineModel, df: DataFrame) -> list[str]:
-    """Names of the assembled features from the vector's ML attributes, in the
-    ``num__`` / ``cat__`` / ``remainder__`` style of the reference report."""
-    field = model.transform(df.limit(1)).schema["features"]
-    attrs = field.metadata["ml_attr"]["attrs"]
-    flat = sorted((a["idx"], a["name"]) for group in attrs.values() for a in group)
+def feature_names(model: PipelineModel, spec: FeatureSpec) -> list[str]:
+    """Names of the assembled features in their order, in the ``num__`` / ``cat__`` / ``remainder__`` style of the
+    reference report: from the list of inputs and the indexer's levels, not from the generated names."""
+    levels: dict[str, list[str]] = {}
+    for stage in model.stages:
+        if hasattr(stage, "labelsArray"):
+            levels = {c: list(l) for c, l in zip(stage.getInputCols(), stage.labelsArray)}
     out = []
-    for _, name in flat:
-        if name.endswith("__std") or "__std" in name:
-            out.append("num__" + name.replace("__std", ""))
-        elif "__oh_" in name:
-            col, level = name.split("__oh_", 1)
-            out.append(f"cat__{col}_{level}")
-        elif name.endswith("__pass"):
-            out.append("remainder__" + name[: -len("__pass")])
-        else:
-            out.append(name)
+    for role, c, safe in _named(spec):
+        out += [f"cat__{c}_{v}" for v in levels[f"{safe}_lvl"]] if role == "cat" else [f"{role}__{c}"]
     return out
 
 
-def coefficient_table(spark: SparkSession, model: PipelineModel, df: DataFrame) -> DataFrame:
+def coefficient_table(spark: SparkSession, model: PipelineModel, spec: FeatureSpec) -> DataFrame:
     """``(feature, coefficient)`` of a fitted logistic pipeline (one row per
     feature - bounded by the model's width)."""
     lr = model.stages[-1]
-    names = feature_names(model, df)
+    names = feature_names(model, spec)
     coefs = lr.coefficients.toArray().tolist()
+    if len(names) != len(coefs):
+        raise ValueError(f"{len(names)} feature names for {len(coefs)} coefficients")
     return spark.createDataFrame(list(zip(names, coefs)), "feature string, coefficient double")
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from canvass.fixed import MULTI_SEP
 from canvass.functions.guards import collect_bounded
+from canvass.functions.scalars import strip
 
 
 def _quoted(sep: str) -> str:
@@ -36,6 +37,15 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL text, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def detect_multiselect(df: DataFrame, sep: str = MULTI_SEP, columns: Sequence[str] | None = None) -> DataFrame:
     """M1: string columns in which ``sep`` occurs in any non-null row.
 
@@ -47,7 +57,7 @@ def detect_multiselect(df: DataFrame, sep: str = MULTI_SEP, columns: Sequence[st
         raise ValueError("no string columns to inspect")
     flags = df.agg(
         *[
-            F.coalesce(F.max(F.col(c).contains(sep)), F.lit(False)).alias(f"_m{i}")
+            F.coalesce(F.max(F.col(quoted(c)).contains(sep)), F.lit(False)).alias(f"_m{i}")
             for i, c in enumerate(cols)
         ]
     )
@@ -73,19 +83,19 @@ def unfold_long(
     """M3: ``(id, question, value)`` - one row per token; null and '' cells and
     empty tokens give no row; duplicate tokens are kept."""
     out_id = id_alias or id_col
-    stacked = df.select(F.col(id_col).alias(out_id), *questions).unpivot(
-        out_id, list(questions), "question", "cell"
+    stacked = df.select(F.col(quoted(id_col)).alias(out_id), *map(quoted, questions)).unpivot(
+        quoted(out_id), list(map(quoted, questions)), "question", "cell"
     )
     return (
         stacked.filter(F.col("cell").isNotNull())
-        .select(out_id, "question", F.explode(F.split(F.col("cell"), _quoted(sep), -1)).alias("value"))
+        .select(quoted(out_id), "question", F.explode(F.split(F.col("cell"), _quoted(sep), -1)).alias("value"))
         .filter(F.col("value") != "")
     )
 
 
 def answered_flags(df: DataFrame, questions: Sequence[str]) -> list[Column]:
     """``<q>__answered`` = cell is not null ('' counts as answered)."""
-    return [F.col(q).isNotNull().alias(f"{q}__answered") for q in questions]
+    return [F.col(quoted(q)).isNotNull().alias(f"{q}__answered") for q in questions]
 
 
 def option_vocabulary(long_df: DataFrame) -> DataFrame:
@@ -108,30 +118,32 @@ def multihot(
     vocab: dict[str, list[str]],
     sep: str = MULTI_SEP,
     exclude_suffix: str | None = None,
+    questions: Sequence[str] | None = None,
 ) -> DataFrame:
-    """M2 + M4 + P6 + P7: one ``select`` producing the wide export.
+    """M2 + M4 + P6 + P7: one projection producing the wide export.
 
-    For every question (except those ending in ``exclude_suffix``):
-    ``<q>__answered`` and one tinyint ``<q>__<token>`` per sorted token of
-    the vocabulary; null and '' give all zeros, duplicates give 1.
+    For every question of ``questions`` in their order (those of the vocabulary without; none that end in
+    ``exclude_suffix``): ``<q>__answered``, also for a question that was only ever answered with '', and one tinyint
+    ``<q>__<token>`` per sorted token of the vocabulary; null and '' give all zeros, duplicates give 1.
+    The projection goes to Spark as SQL text: a wide table has a thousand columns and more.
     """
-    cols: list[Column] = [F.col(c) for c in keep]
-    for q in sorted(vocab):
-        if exclude_suffix and q.endswith(exclude_suffix):
-            continue
-        tokens = split_cell(F.col(q), sep)
-        cols.append(F.col(q).isNotNull().alias(f"{q}__answered"))
-        for tok in vocab[q]:
-            cols.append(
-                F.coalesce(F.array_contains(tokens, F.lit(tok)), F.lit(False)).cast("tinyint").alias(f"{q}__{tok}")
-            )
-    return df.select(*cols)
+    used = [q for q in (questions if questions is not None else list(vocab)) if not (exclude_suffix and q.endswith(exclude_suffix))]
+    pattern = literal(_quoted(sep))
+    cells = df.selectExpr(
+        *map(quoted, keep), *(x for i, q in enumerate(used) for x in (f"{quoted(q)} IS NOT NULL AS __a{i}", f"split(nullif({quoted(q)}, ''), {pattern}, -1) AS __t{i}"))
+    )
+    columns = [quoted(c) for c in keep]
+    for i, q in enumerate(used):
+        columns.append(f"__a{i} AS {quoted(q + '__answered')}")
+        columns += [f"cast(coalesce(array_contains(__t{i}, {literal(t)}), false) AS tinyint) AS {quoted(f'{q}__{t}')}" for t in vocab.get(q, [])]
+    return cells.selectExpr(*columns)
 
 
 def option_counts(df: DataFrame, questions: Sequence[str], sep: str = MULTI_SEP) -> DataFrame:
     """Respondents per ``(question, value)``; a token repeated in one cell counts once
     (the multi-hot total). One explode and one partially-aggregated ``groupBy``."""
-    stacked = df.select(*questions).unpivot([], list(questions), "question", "cell")
+    names = list(map(quoted, questions))
+    stacked = df.select(*names).unpivot([], names, "question", "cell")
     return (
         stacked.select("question", F.explode(F.array_distinct(split_cell(F.col("cell"), sep))).alias("value"))
         .filter(F.col("value") != "")
@@ -204,16 +216,15 @@ def derived_set_check(df: DataFrame, id_col: str, have: str, want: str, both: st
 
 def explode_trimmed(df: DataFrame, cell: str, sep: str = MULTI_SEP, alias: str = "option") -> DataFrame:
     """M9: explode a cell and strip every token (the chart path trims)."""
-    exploded = df.withColumn(alias, F.explode(F.split(F.col(cell), _quoted(sep), -1)))
-    return exploded.withColumn(alias, F.trim(F.col(alias)))
+    exploded = df.withColumn(alias, F.explode(F.split(F.col(quoted(cell)), _quoted(sep), -1)))
+    return exploded.withColumn(alias, strip(F.col(alias)))
 
 
 def response_rate_by_class(df: DataFrame, questions: Sequence[str], class_col: str) -> DataFrame:
     """Share of respondents who answered each question, per target class
     (the leakage diagnosis). Unpivot once, one ``groupBy``."""
-    stacked = df.filter(F.col(class_col).isNotNull()).select(class_col, *questions).unpivot(
-        class_col, list(questions), "question", "cell"
-    )
+    names = list(map(quoted, questions))
+    stacked = df.filter(F.col(class_col).isNotNull()).select(class_col, *names).unpivot(class_col, names, "question", "cell")
     return stacked.groupBy("question", class_col).agg(
         F.count(F.lit(1)).alias("n"),
         (F.avg(F.col("cell").isNotNull().cast("double")) * 100.0).alias("answer_rate"),

@@ -52,12 +52,24 @@ def prepare(
     long = sinks.parquet_roundtrip(ms.unfold_long(silver, id_col, multi, sep), f"{out_dir}/long", ["question"])
     vocab = ms.collect_vocabulary(long)
     keep = [c for c in silver.columns if c not in multi]
-    wide_df = ms.multihot(silver, keep, {q: vocab.get(q, []) for q in multi}, sep, exclude_suffix=derived_suffix)
+    wide_df = ms.multihot(silver, keep, vocab, sep, exclude_suffix=derived_suffix, questions=multi)
     wide_df.write.mode("overwrite").parquet(f"{out_dir}/wide")
-    wide = spark.read.parquet(f"{out_dir}/wide")
+    wide = spark.read.schema(wide_df.schema).parquet(f"{out_dir}/wide")
+    require_rows(raw, silver, wide, id_col)
     return Prepared(silver, long, wide, multi)
 
 
+def require_rows(raw: DataFrame, silver: DataFrame, wide: DataFrame, id_col: str) -> None:
+    """Stop unless silver and wide have a row for each raw row and ids are unique (A1). Row counts of the written tables come from
+    their footers."""
+    n_raw, n_silver, n_wide = raw.count(), silver.count(), wide.count()
+    if not n_raw == n_silver == n_wide:
+        raise ValueError(f"row counts differ: raw {n_raw}, silver {n_silver}, wide {n_wide}")
+    again = silver.groupBy(id_col).count().filter("count > 1").limit(1).collect()
+    if again:
+        raise ValueError(f"{id_col} {again[0][0]} occurs {again[0][1]} times")
+
+
 def summary(p: Prepared) -> DataFrame:
     """A1: shape of the three tables and the row-count invariant (wide rows =
     silver rows), as one row."""

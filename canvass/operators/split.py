@@ -45,11 +45,10 @@ def largest_remainder_quotas(class_counts: Mapping, total_quota: int) -> dict:
     return base
 
 
-def _keyed(df: DataFrame, id_col: str, class_col: str, seed: int, bucket_hex: int) -> DataFrame:
-    h = seeded_order(id_col, seed)
-    return df.select(
-        F.col(id_col), F.col(class_col), h.alias("_h"), F.substring(h, 1, bucket_hex).alias("_bucket")
-    )
+def _keyed(df: DataFrame, id_col: str, seed: int, bucket_hex: int) -> DataFrame:
+    """All columns with the order key and its bucket. A null id has no hash; such rows come first, in a bucket of their own."""
+    h = F.coalesce(seeded_order(id_col, seed), F.lit(""))
+    return df.select("*", h.alias("_h"), F.substring(h, 1, bucket_hex).alias("_bucket"))
 
 
 def _bucket_counts(keyed: DataFrame, class_col: str) -> DataFrame:
@@ -88,17 +87,16 @@ def _mark_first(
     )
     bucket_of = {r[class_col]: r["_bucket"] for r in boundary_rows}
     need_of = {r[class_col]: r["_need"] for r in boundary_rows}
-    # classes with a zero quota get an empty boundary: every bucket sorts after ''
-    b_map = F.create_map(*[x for k in quotas for x in (F.lit(k), F.lit(bucket_of.get(k, "")))])
+    # a class without a boundary takes none of its rows
+    none = F.lit(None).cast("string")
+    b_map = F.create_map(*[x for k in quotas for x in (F.lit(k), F.lit(bucket_of[k]) if k in bucket_of else none)])
     n_map = F.create_map(*[x for k in quotas for x in (F.lit(k), F.lit(need_of.get(k, 0)))])
     boundary = F.element_at(b_map, F.col(class_col))
-    decided = keyed.filter(F.col("_bucket") != boundary).withColumn("_take", F.col("_bucket") < boundary)
+    side = keyed.withColumn("_edge", F.coalesce(F.col("_bucket") == boundary, F.lit(False)))
+    decided = side.filter(~F.col("_edge")).withColumn("_take", F.coalesce(F.col("_bucket") < boundary, F.lit(False)))
     w = Window.partitionBy(class_col).orderBy("_h", id_col)
-    edge = (
-        keyed.filter(F.col("_bucket") == boundary)
-        .withColumn("_take", F.row_number().over(w) <= F.element_at(n_map, F.col(class_col)))
-    )
-    return decided.unionByName(edge)
+    edge = side.filter("_edge").withColumn("_take", F.row_number().over(w) <= F.element_at(n_map, F.col(class_col)))
+    return decided.unionByName(edge).drop("_edge")
 
 
 def stratified_split(
@@ -110,15 +108,16 @@ def stratified_split(
     bucket_hex: int = 5,
     max_classes: int = 1_000,
 ) -> DataFrame:
-    """``(id, class, split)`` with split in {'train', 'test'}; test =
-    ceil(test_size * N) rows in total, each class contributing its
-    largest-remainder quota of its first rows in seeded order."""
-    keyed = _keyed(df, id_col, class_col, seed, bucket_hex)
+    """``df`` with ``split`` in {'train', 'test'}; test = ceil(test_size * N) rows in total, each class
+    contributing its largest-remainder quota of its first rows in seeded order. All columns go along, so nothing is
+    joined back. Rows with a null class take no part; null ids come first in the order."""
+    df = df.filter(F.col(class_col).isNotNull())
+    keyed = _keyed(df, id_col, seed, bucket_hex)
     counts = _counted(keyed, class_col)
     class_n = _class_sizes(counts, class_col, max_classes)
     quotas = largest_remainder_quotas(class_n, math.ceil(test_size * sum(class_n.values())))
     marked = _mark_first(keyed, counts, class_col, id_col, quotas, max_classes)
-    return marked.select(id_col, class_col, F.when(F.col("_take"), "test").otherwise("train").alias("split"))
+    return marked.select(*df.columns, F.when(F.col("_take"), "test").otherwise("train").alias("split"))
 
 
 def stratified_folds(
@@ -127,7 +126,7 @@ def stratified_folds(
     """``(id, class, fold)`` with fold = (rank within class - 1) mod k, the
     rank following the seeded order. Rank = offset of the row's bucket + its
     position inside the bucket (window partitioned by class and bucket)."""
-    keyed = _keyed(df, id_col, class_col, seed, bucket_hex)
+    keyed = _keyed(df.select(id_col, class_col), id_col, seed, bucket_hex)
     offsets = _counted(keyed, class_col).select(class_col, "_bucket", "_before")
     w = Window.partitionBy(class_col, "_bucket").orderBy("_h", id_col)
     ranked = keyed.withColumn("_pos", F.row_number().over(w)).join(offsets, [class_col, "_bucket"])
@@ -140,8 +139,7 @@ def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = SEED, bucket_h
     """The first ``n`` rows in seeded order (all rows when fewer). Found
     like the split's test part with one class: bucket counts, the boundary
     bucket, a rank inside it - no task ever gathers n rows per partition."""
-    h = seeded_order(id_col, seed)
-    keyed = df.select("*", h.alias("_h"), F.substring(h, 1, bucket_hex).alias("_bucket"), F.lit(0).alias("_one"))
+    keyed = _keyed(df, id_col, seed, bucket_hex).withColumn("_one", F.lit(0))
     counts = _counted(keyed, "_one")
     total = _class_sizes(counts, "_one", 1).get(0, 0)
     marked = _mark_first(keyed, counts, "_one", id_col, {0: min(n, total)}, 1)
@@ -155,6 +153,13 @@ def split_ids(split: DataFrame, id_col: str) -> DataFrame:
     return train.unionByName(test)
 
 
+def require_disjoint(split: DataFrame, id_col: str) -> None:
+    """Stop when an id is in both parts."""
+    n = split_disjoint(split, id_col).first()["n_overlap"]
+    if n:
+        raise ValueError(f"{n} ids are in the training part and in the test part")
+
+
 def split_disjoint(split: DataFrame, id_col: str) -> DataFrame:
     """Sizes of both parts and the number of ids found in both (must
     be 0): one aggregate per id, then one global aggregate - a single scan and

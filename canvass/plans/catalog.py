@@ -80,7 +80,7 @@ def q_detect_multiselect(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_multihot(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = respondents_both(spark, sf_dir)
     vocab = ms.collect_vocabulary(ms.unfold_long(df, "respondent_id", ALL_QUESTIONS))
-    return ms.multihot(df, ["respondent_id", "segment", "country"], vocab, exclude_suffix="both_cell")
+    return ms.multihot(df, ["respondent_id", "segment", "country"], vocab, exclude_suffix="both_cell", questions=ALL_QUESTIONS)
 
 
 @query("answered_flag")
@@ -402,17 +402,13 @@ def split_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     """The modelling table with its split column (written once per scale, like
     the reference's train/test files), and its training part."""
 
-    def build() -> DataFrame:
-        ids = split_table(spark, sf_dir).select("respondent_id", "split")
-        return modelling_table(spark, sf_dir).join(ids, "respondent_id")
-
-    table = fx.materialized(spark, "model_split", sf_dir, build)
+    table = fx.materialized(spark, "model_split", sf_dir, lambda: split_table(spark, sf_dir))
     return table, table.filter(F.col("split") == "train")
 
 
 @query("stratified_split")
 def q_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_table(spark, sf_dir)
+    return split_table(spark, sf_dir).select("respondent_id", "target", "split")
 
 
 @query("stratified_folds")
@@ -516,6 +512,36 @@ def q_fit_apply_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ft.apply_numeric(table, fitted, ["respondent_id", "split", "target"])
 
 
+@query("linear_params_json")
+def q_linear_params_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted numbers of the linear track as JSON records."""
+    _, fitted = fitted_linear(spark, sf_dir)
+    kinds = "column string, output string, clip_low double, clip_high double, log boolean, median double"
+    return sinks.json_roundtrip(spark.createDataFrame(ft.parameters(fitted), kinds), scratch_path(spark, "linear-params"))
+
+
+#: Questions that would give the target away.
+LEAKS = ["want_cell"]
+
+
+@query("pipeline_tables")
+def q_pipeline_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps 3 and 4 as one flow on the wide table: leaking families go before the split, the parts are checked to be
+    disjoint, transforms are fitted on train and applied to both, and train and test are written. Returns their shapes."""
+    table, _ = split_frames(spark, sf_dir)
+    vocab = ms.collect_vocabulary(ms.unfold_long(fx.respondents(spark, sf_dir), "respondent_id", QUESTIONS))
+    wide = ms.multihot(table, [c for c in table.columns if c not in [*QUESTIONS, "split"]], vocab, questions=QUESTIONS)
+    safe = cl.drop_family(wide, LEAKS)
+    split = sinks.parquet_roundtrip(sp.stratified_split(safe, "respondent_id", "target"), scratch_path(spark, "flow-split"))
+    sp.require_disjoint(split, "respondent_id")
+    fitted = ft.fit_numeric(split.filter(F.col("split") == "train"), LINEAR)
+    keep = [c for c in split.columns if c not in [n.source for n in LINEAR]]
+    ready = sinks.parquet_roundtrip(ft.apply_numeric(split, fitted, keep), scratch_path(spark, "flow-ready"), ["split"])
+    return ready.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("n_positive")).select(
+        "split", "n", "n_positive", F.lit(len(wide.columns) - len(safe.columns)).alias("columns_dropped"), F.lit(len(ready.columns)).alias("columns_kept")
+    )
+
+
 @query("category_fill")
 def q_category_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fx.respondents(spark, sf_dir)
@@ -546,12 +572,7 @@ def q_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_rare_level_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X5 on the document table: ``source`` levels seen >= 20 times on the
     training part keep their name, rarer ones fold, unseen ones stay null."""
-    def build() -> DataFrame:
-        docs = fx.doc_labels(spark, sf_dir).filter(F.col("quality").isNotNull())
-        split = sp.stratified_split(docs, "doc_id", "quality")
-        return docs.join(split.select("doc_id", "split"), "doc_id")
-
-    table = fx.materialized(spark, "doc_split", sf_dir, build)
+    table = fx.materialized(spark, "doc_split", sf_dir, lambda: sp.stratified_split(fx.doc_labels(spark, sf_dir), "doc_id", "quality"))
     levels = ft.fit_levels(table.filter(F.col("split") == "train"), "source")
     return ft.fold_rare_levels(table.select("doc_id", "split", "source"), "source", levels, 20, "source_level")
 
@@ -632,7 +653,7 @@ def model_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, md.Feature
     vocab = ms.collect_vocabulary(ms.unfold_long(fx.respondents(spark, sf_dir), "respondent_id", QUESTIONS))
     keep = [c for c in lin.columns if c not in QUESTIONS]
     checkpoint_root(spark)
-    out = ms.multihot(lin, keep, vocab).checkpoint()
+    out = ms.multihot(lin, keep, vocab, questions=QUESTIONS).checkpoint()
     flags = [c for c in lin.columns if c.endswith("_missing") or c.endswith("_any")]
     spec = md.FeatureSpec(
         numeric=[c.output for c in LINEAR],
@@ -648,10 +669,72 @@ def fitted_logistic(spark: SparkSession, sf_dir: str):
     return out, spec, md.logistic_pipeline(train, spec).fit(train)
 
 
+def logistic_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(respondent_id, target, probability, prediction) of the test part, scored once and written."""
+
+    def build() -> DataFrame:
+        out, _, model = fitted_logistic(spark, sf_dir)
+        return md.score(model, out.filter(F.col("split") == "test"), "respondent_id", "target")
+
+    return fx.materialized(spark, "logistic_predictions", sf_dir, build)
+
+
 @query("logistic_scores")
 def q_logistic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logistic_predictions(spark, sf_dir)
+
+
+def test_metrics(predictions: DataFrame) -> DataFrame:
+    """Every metric of a written prediction table as one row: X10, X11, X14, X19."""
+    parts = [
+        ev.binary_metrics(predictions, "target", "prediction"),
+        ev.macro_metrics(predictions, "target", "prediction"),
+        ev.roc_auc(predictions, "target", "probability").select("roc_auc"),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:  # one row each, side by side
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
+@query("logistic_test_metrics")
+def q_logistic_test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return test_metrics(logistic_predictions(spark, sf_dir))
+
+
+# Display names of the two classes of the respondent target.
+TARGET_NAMES = {0: "will not", 1: "will"}
+
+
+@query("logistic_report")
+def q_logistic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.classification_report(logistic_predictions(spark, sf_dir), "target", "prediction", TARGET_NAMES)
+
+
+@query("labelled_coefficients")
+def q_labelled_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X15 + X16 + J6: the model's own feature names with their question text."""
+    _, spec, model = fitted_logistic(spark, sf_dir)
+    return lb.label_features(md.coefficient_table(spark, model, spec), "feature", CODEBOOK, ["segment", "country"], MANUAL_LABELS)
+
+
+@query("model_record")
+def q_model_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run as a JSON record: sizes, encoded features, baseline, test result, strongest feature."""
     out, spec, model = fitted_logistic(spark, sf_dir)
-    return md.score(model, out.filter(F.col("split") == "test"), "respondent_id", "target")
+    coefs = md.coefficient_table(spark, model, spec)
+    strongest = coefs.orderBy(F.abs("coefficient").desc(), "feature").first()
+    sizes = out.agg(F.count(F.when(F.col("split") == "train", 1)).alias("n_train"), F.count(F.when(F.col("split") == "test", 1)).alias("n_test")).first()
+    record = test_metrics(logistic_predictions(spark, sf_dir)).select(
+        F.lit("logistic").alias("model"),
+        F.lit(sizes["n_train"]).alias("n_train"),
+        F.lit(sizes["n_test"]).alias("n_test"),
+        F.lit(coefs.count()).alias("n_features"),
+        F.lit(strongest["feature"]).alias("strongest_feature"),
+        F.lit(strongest["coefficient"]).alias("strongest_coefficient"),
+        "baseline", "accuracy", "precision", "recall", "f1", "f1_macro", "balanced_accuracy", "roc_auc",
+    )
+    return sinks.json_roundtrip(record, scratch_path(spark, "model-record"))
 
 
 @query("cv_metrics")
@@ -665,7 +748,7 @@ def q_cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("top_coefficients")
 def q_top_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, spec, model = fitted_logistic(spark, sf_dir)
-    return md.top_and_bottom(md.coefficient_table(spark, model, out), k=15)
+    return md.top_and_bottom(md.coefficient_table(spark, model, spec), k=15)
 
 
 @query("model_reload_check")
@@ -674,12 +757,41 @@ def q_model_reload_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return md.reload_check(model, scratch_path(spark, "logistic-model"), out.filter(F.col("split") == "test"), "respondent_id", "target")
 
 
+def tree_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, md.FeatureSpec]:
+    """The tree track: the split as it is, missing values included, with the multi-hot options; nothing clipped, logged or filled."""
+    table, _ = split_frames(spark, sf_dir)
+    vocab = ms.collect_vocabulary(ms.unfold_long(fx.respondents(spark, sf_dir), "respondent_id", QUESTIONS))
+    keep = [c for c in table.columns if c not in QUESTIONS]
+    checkpoint_root(spark)
+    out = ms.multihot(table, keep, vocab, questions=QUESTIONS).checkpoint()
+    spec = md.FeatureSpec(
+        numeric=[c.source for c in LINEAR], categorical=["segment", "country"], passthrough=[c for c in out.columns if c not in keep]
+    )
+    return out, spec
+
+
+def gbt_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        out, spec = tree_table(spark, sf_dir)
+        train = md.bounded_rows(out.filter(F.col("split") == "train"), "respondent_id")
+        model = md.gbt_pipeline(train, spec, trees=GBT_TREES).fit(train)
+        return md.score(model, out.filter(F.col("split") == "test"), "respondent_id", "target")
+
+    return fx.materialized(spark, "gbt_predictions", sf_dir, build)
+
+
+#: Trees of the tree queries (the tests build few).
+GBT_TREES = fixed.TREES
+
+
 @query("gbt_scores")
 def q_gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, spec = model_table(spark, sf_dir)
-    train = out.filter(F.col("split") == "train")
-    model = md.gbt_pipeline(train, spec).fit(train)
-    return md.score(model, out.filter(F.col("split") == "test"), "respondent_id", "target")
+    return gbt_predictions(spark, sf_dir)
+
+
+@query("gbt_test_metrics")
+def q_gbt_test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return test_metrics(gbt_predictions(spark, sf_dir))
 
 
 # The questions behind the fixture's columns (the codebook).

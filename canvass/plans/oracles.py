@@ -582,6 +582,24 @@ oracle(
 SELECT 'spend_log' AS "column", m_spend AS median FROM med UNION ALL SELECT 'years_log', m_years FROM med
 UNION ALL SELECT 'n_returns_log', m_n_returns FROM med UNION ALL SELECT 'segmentNum', m_segmentNum FROM med""",
 )
+oracle(
+    "linear_params_json",
+    _LIN
+    + """
+SELECT 'spend' AS "column", 'spend_log' AS output, (SELECT lo FROM b) AS clip_low, (SELECT hi FROM b) AS clip_high, true AS log, m_spend AS median FROM med
+UNION ALL SELECT 'years', 'years_log', NULL, NULL, true, m_years FROM med
+UNION ALL SELECT 'n_returns', 'n_returns_log', NULL, NULL, true, m_n_returns FROM med
+UNION ALL SELECT 'segmentNum', 'segmentNum', NULL, NULL, false, m_segmentNum FROM med""",
+)
+oracle(
+    "pipeline_tables",
+    _SPLIT
+    + """, tokens AS (SELECT DISTINCT 'h' AS q, unnest(string_split(have_cell, ';')) AS v FROM fx UNION SELECT DISTINCT 'w', unnest(string_split(want_cell, ';')) FROM fx)
+SELECT split, COUNT(*) AS n, CAST(SUM(target) AS BIGINT) AS n_positive,
+  CAST((SELECT COUNT(*) + 1 FROM tokens WHERE q = 'w' AND v <> '') AS INTEGER) AS columns_dropped,
+  CAST(5 + 9 + (SELECT COUNT(*) + 1 FROM tokens WHERE q = 'h' AND v <> '') AS INTEGER) AS columns_kept
+FROM split GROUP BY split""",
+)
 oracle(
     "fit_apply_linear",
     _LIN

@@ -52,8 +52,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    # unset (local runs only): register a folder with the context; later calls
-    # find it through getCheckpointDir()
+    # unset: a folder of this machine, registered with the context, will do only where driver and executors
+    # are one process
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="canvass-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local

@@ -8,6 +8,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from canvass.sources.csv import keep_cells, read_cells
+
+#: A null cell; no text value of a statistics table.
+NULL_CELL = "\\N"
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
@@ -26,12 +32,15 @@ def parquet_roundtrip(df: DataFrame, path: str, partition_by: Sequence[str] = ()
 
 
 def csv_roundtrip(df: DataFrame, path: str) -> DataFrame:
-    """CSV with a header; read back with the writer's schema (no inference)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
-    return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
+    """CSV with a header; read back by name as text and cast to the writer's types. Line breaks, outer blanks, quotes and
+    empty cells come back as they were; null is the token ``NULL_CELL``."""
+    keep_cells(df.select(*[F.col(f"`{f.name}`").cast("string").alias(f.name) for f in df.schema]).write.mode("overwrite"), NULL_CELL).csv(path)
+    back = read_cells(df.sparkSession, path)
+    cell = lambda c: F.nullif(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit(NULL_CELL))
+    return back.select(*[cell(f.name).cast(f.dataType).alias(f.name) for f in df.schema])
 
 
 def json_roundtrip(df: DataFrame, path: str) -> DataFrame:
-    """A parameter / manifest record as JSON lines, read back with its schema."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """Parameter / manifest records as JSON lines, read back with their schema."""
+    df.write.mode("overwrite").json(path)
     return df.sparkSession.read.schema(df.schema).json(path)
