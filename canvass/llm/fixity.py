@@ -55,7 +55,7 @@ def archive(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
 def record_index(replica: DataFrame) -> DataFrame:
     """(file, at, bytes, digest) of a replica's records. Records with a null file or offset have no place and are left out."""
     return replica.filter("file is not null and at is not null").select(
-        "file", "at", F.octet_length("record").cast("long").alias("bytes"), F.sha2(F.coalesce(F.col("record"), F.lit("")).cast("binary"), 256).alias("digest")
+        "file", "at", F.coalesce(F.octet_length("record"), F.lit(0)).cast("long").alias("bytes"), F.sha2(F.coalesce(F.col("record"), F.lit("")).cast("binary"), 256).alias("digest")
     )
 
 

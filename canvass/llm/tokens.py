@@ -1,7 +1,7 @@
 """Token ids of whole texts from a public tokenizer file, one white-space chunk at a time.
 
-The tokenizer's own normalizer and pre-tokenizer never join text across white space, so a
-text's ids are the ids of its chunks on end. A worker looks all chunks of a block up at once in
+Where a tokenizer drops white space (which is probed when it is loaded), a text's ids are the ids of its chunks
+on end; others encode whole texts. A worker looks all chunks of a block up at once in
 a hash table of the chunks it met (by 64-bit hash; ids on end in one array) and only encodes new
 ones. The table is emptied when full, so its memory is bounded; results don't depend on it.
 """
@@ -40,6 +40,8 @@ class Encoder:
         self.coded: dict[int, str] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.easy = self.folds and all(self._easy(p) == self._general(p) for p in _PROBES)
+        apart = [whole.encode(x, add_special_tokens=False).ids for x in ("Ab", "c'd", "e")]
+        self.by_chunk = whole.encode("Ab c'd\n\t e ", add_special_tokens=False).ids == list(chain(*apart))
         self._empty()
 
     def _empty(self) -> None:
@@ -117,6 +119,9 @@ class Encoder:
 
     def encode(self, block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows on end, and the bounds of each row's ids."""
+        if not self.by_chunk:
+            ids = [x.ids for x in self.whole.encode_batch([t.decode("utf-8", "replace") for t in block.texts()], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(ids), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         start, end, bounds = block.word_spans()
         keys = block.span_hashes(start, end, lower=self.folds)
         keys[keys == 0] = 1
