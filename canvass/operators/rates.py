@@ -103,27 +103,22 @@ def rate_two_way(
     a: str,
     b: str,
     label: str,
-    a_levels: Sequence[str] | None = None,
+    a_levels: DataFrame | None = None,
     b_levels: Sequence[str] | None = None,
-    max_levels: int = 10_000,
+    max_levels: int = 1_000,
 ) -> DataFrame:
     """A5: rate and n per ``(a, b)`` over the full level grid: unobserved
     combinations appear with ``n = 0`` and a null rate (categorical grouping).
 
-    Levels are declared or taken from the data (size-guarded); the grid is built
-    by exploding the ``b`` levels next to each ``a`` level, then the grouped
-    counts are left-joined onto it.
+    The ``a`` levels are a table (``a_levels``, or the distinct values of the data) of any size; the ``b`` levels are
+    declared or taken from the data behind a size guard. The grid is built by exploding the ``b`` levels next to
+    each ``a`` level, then the grouped counts are left-joined onto it.
     """
     if a_levels is None:
-        a_levels = [r[0] for r in collect_bounded(df.select(a).filter(F.col(a).isNotNull()).distinct(), max_levels, a)]
+        a_levels = df.select(a).filter(F.col(a).isNotNull()).distinct()
     if b_levels is None:
         b_levels = [r[0] for r in collect_bounded(df.select(b).filter(F.col(b).isNotNull()).distinct(), max_levels, b)]
-    if len(a_levels) * len(b_levels) > max_levels:
-        raise ValueError("level grid too large")
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(x,) for x in a_levels], f"{a} string").select(
-        a, F.explode(F.array(*[F.lit(y) for y in b_levels])).alias(b)
-    )
+    grid = a_levels.select(a, F.explode(F.array(*[F.lit(y) for y in b_levels])).alias(b))
     sub = df.dropna(subset=[a, b, label])
     agg = sub.groupBy(a, b).agg(
         F.avg(F.col(label).cast("double")).alias("rate"),

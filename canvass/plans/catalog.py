@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from canvass import fixed
 from canvass.functions import scalars as sc
-from canvass.functions.guards import collect_bounded
 from canvass.operators import association as asc
 from canvass.operators import clean as cl
 from canvass.operators import evaluate as ev
@@ -232,8 +231,7 @@ def q_rate_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
         "band", sc.right_closed_band(F.col("years"), rt.CAREER_EDGES, rt.CAREER_BANDS, include_lowest=True)
     )
     levels = fx.respondents(spark, sf_dir).select("segment").filter(F.col("segment").isNotNull()).distinct()
-    seg_levels = [r[0] for r in collect_bounded(levels, 10_000, "segment levels")]
-    return rt.rate_two_way(df, "segment", "band", "target", a_levels=sorted(seg_levels), b_levels=rt.CAREER_BANDS)
+    return rt.rate_two_way(df, "segment", "band", "target", a_levels=levels, b_levels=rt.CAREER_BANDS)
 
 
 @query("indicator_rate_two_way")
