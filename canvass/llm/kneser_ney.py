@@ -255,13 +255,14 @@ def _discounts(n: np.ndarray) -> tuple[float, float, float]:
 
 
 def train_model(spark: SparkSession, texts: DataFrame, bits: int | None = None) -> Model:
-    """``texts``: a column ``text`` (null counts as empty). Files for the words by 2**bits hash ranges, for the bigrams by four times
-    as many shards as shuffle partitions. An empty table gives a model without words."""
+    """``texts``: a column ``text`` (null counts as empty). Files for the words by 2**bits hash ranges (a quarter of the shuffle
+    partitions), for the bigrams by twice as many shards as partitions: each shard sends a packed row to each
+    range, so the ranges are kept few. An empty table gives a model without words."""
     width = cm.shuffle_width(spark)
-    bits = bits if bits is not None else max(2, int(np.ceil(np.log2(width))))
+    bits = bits if bits is not None else min(10, max(2, int(np.ceil(np.log2(width / 4)))))
     store = new_store(spark, "kneser-ney")
     words = count_words(texts, store, bits)
-    shards = 4 * width
+    shards = 2 * width
     start = int(words.base[-1])  # the number of the beginning
     if start >= 1 << 32:
         raise ValueError("more than 2**32 different words: bigram keys need more bits")
