@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass.functions.guards import collect_bounded
@@ -44,10 +44,8 @@ def prepare(
 ) -> Prepared:
     """Run steps 1-2 and return the three written tables (read back lazily)."""
     spark = raw.sparkSession
-    seen = Observation("raw rows")  # counted while silver is written, not by another scan
-    counted = raw.observe(seen, F.count(F.lit(1)).alias("n"))
     silver = sinks.parquet_roundtrip(
-        cl.to_silver(counted, drop=drop, sentinel_cols=sentinel_cols, ordinals=ordinals), f"{out_dir}/silver"
+        cl.to_silver(raw, drop=drop, sentinel_cols=sentinel_cols, ordinals=ordinals), f"{out_dir}/silver"
     )
     flags = collect_bounded(ms.detect_multiselect(silver, sep), max_questions, "columns")
     multi = [r["column_name"] for r in flags if r["is_multiselect"] and r["column_name"] != id_col]
@@ -57,7 +55,7 @@ def prepare(
     wide_df = ms.multihot(silver, keep, vocab, sep, exclude_suffix=derived_suffix, questions=multi)
     wide_df.write.mode("overwrite").parquet(f"{out_dir}/wide")
     wide = spark.read.schema(wide_df.schema).parquet(f"{out_dir}/wide")
-    require_rows(seen.get["n"], silver, wide, id_col)
+    require_rows(raw.count(), silver, wide, id_col)
     return Prepared(silver, long, wide, multi)
 
 
