@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.session import scratch_path
+from canvass.session import scratch_path, ship_package
 from canvass.sources.tables import table
 
 # Fixed values of the respondent view (FIXTURES.md F1).
@@ -43,6 +43,7 @@ def materialized(spark: SparkSession, name: str, sf_dir: str, build) -> DataFram
     workflow. Later queries read the small written table instead of
     recomputing its joins, and the lineage is cut (executor loss never forces
     a recompute from the raw tables)."""
+    ship_package(spark)  # tail probabilities run in Python workers
     # by the files read, so that another table under the same path is another view
     files = tuple(sorted(f for t in BASE_TABLES for f in table(spark, sf_dir, t).inputFiles()))
     key = (spark.sparkContext.applicationId, name, sf_dir.rstrip("/"), hash(files))
