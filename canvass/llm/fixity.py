@@ -8,7 +8,7 @@ archive. Only DataFrame functions; a node's group holds ``FAN`` children or a ra
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canvass.llm import common as cm
@@ -35,21 +35,23 @@ def record_text(page_id: Column, url: Column, html: Column) -> Column:
     )
 
 
-def archive(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Lay pages out in files: (file, at, bytes, page_id, url, record), written once. ``at`` is the offset in the file.
+def lay_out(records: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Give the records of a written table (a column ``bytes``) their ``file`` and ``at``, the offset in it, and write that.
 
-    Rows are dealt to files by their place in the written table, so repeated rows or a frequent url don't swell a
-    file. A file is laid out by one task; files hold about ``file_bytes`` each."""
-    rows = pages.select("page_id", "url", record_text(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    rows = cm.written(rows.withColumn("bytes", F.octet_length("record").cast("long")).withColumn("row", F.monotonically_increasing_id()), "warc-records")
-    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    Rows are dealt to files by their place in the table, so repeated rows or a frequent url don't swell a file. A
+    file is laid out by one task; files hold about ``file_bytes`` each."""
+    total = records.agg(F.sum("bytes")).first()[0] or 0
     files = max(1, -(-total // file_bytes))
-    from pyspark.sql import Window
-
     inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("file", F.pmod(F.xxhash64("row"), F.lit(files)))
-    layout = placed.select("row", "file", "bytes").withColumn("at", F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
-    return cm.written(rows.drop("bytes").join(layout, "row").select("file", "at", "bytes", "page_id", "url", "record"), "warc-archive")
+    rows = records.withColumn("row", F.monotonically_increasing_id()).withColumn("file", F.pmod(F.xxhash64("row"), F.lit(files)))
+    placed = rows.withColumn("at", F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
+    return cm.written(placed.drop("row"), "warc-layout")
+
+
+def archive(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Pages as the records of archive files: (page_id, url, record, bytes, file, at)."""
+    rows = pages.select("page_id", "url", record_text(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    return lay_out(cm.written(rows.withColumn("bytes", F.octet_length("record").cast("long")), "warc-records"), file_bytes)
 
 
 def record_index(replica: DataFrame) -> DataFrame:
@@ -77,10 +79,15 @@ def tree(index: DataFrame, name: str, levels: int) -> list[DataFrame]:
 
 
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Compare two replicas (file, at, record): (file, at, kind) of the records that differ; ``kind``: 'changed', 'missing' (only in
+    """Compare two replicas (file, at, record) by their indexes; see ``audit_indexes``."""
+    return audit_indexes(record_index(a), record_index(b))
+
+
+def audit_indexes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Compare the indexes (file, at, bytes, digest) of two replicas: (file, at, kind) of the records that differ; ``kind``: 'changed', 'missing' (only in
     ``a``) or 'extra' (only in ``b``). A record that repeats at a place is compared as often as it is there. Empty replicas give
     no rows, or all of the other's."""
-    index = [cm.written(record_index(x), f"warc-index-{n}") for x, n in ((a, "a"), (b, "b"))]
+    index = [cm.written(x.select("file", "at", "bytes", "digest"), f"warc-index-{n}") for x, n in ((a, "a"), (b, "b"))]
     top = max((i.agg(F.max("at")).first()[0] or 0) for i in index) // RANGE
     levels = 1
     while top:
@@ -104,16 +111,20 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     return by_place.filter("off = 1").select("file", "at", kind.alias("kind"))
 
 
-def damaged(replica: DataFrame, every: int = 499) -> DataFrame:
-    """A copy of an archive as a poor disk returns it: of the records of some pages (by a hash of the id) one character is changed,
-    of others the record is lost."""
-    draw = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(every))
-    changed = F.concat(F.lit("X"), F.expr("substring(record, 2)"))
-    return replica.filter(draw != 1).withColumn("record", F.when(draw == 0, changed).otherwise(F.col("record")))
+def damage(page_id: Column, record: Column, every: int = 499) -> Column:
+    """A record as a poor disk returns it: for some pages (by a hash of the id) with one character changed, for others null (lost)."""
+    draw = F.pmod(F.conv(F.substring(F.md5(F.coalesce(page_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(every))
+    return F.when(draw == 0, F.concat(F.lit("X"), F.substring(record, 2, 1 << 30))).when(draw != 1, record)
 
 
 def audit_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Archive the pages, damage a replica, audit the two, and name the pages found: (page_id, url, kind)."""
-    good = archive(pages)
-    found = audit(good, damaged(good))
-    return good.join(found, ["file", "at"]).select("page_id", "url", "kind")
+    """Lay the pages out as an archive, index it and a replica with damaged records, audit the two indexes, and name the
+    pages found: (page_id, url, kind). The texts are read once, hashed and not written again."""
+    record = record_text(F.col("page_id"), F.col("url"), F.col("html"))
+    rows = pages.select("page_id", "url", record.alias("record")).withColumn("poor", damage(F.col("page_id"), F.col("record")))
+    hashed = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    rows = rows.select("page_id", "url", F.octet_length("record").cast("long").alias("bytes"), hashed("record").alias("digest"), hashed("poor").alias("poor"))
+    placed = lay_out(cm.written(rows, "warc-records"))
+    replica = placed.filter("poor is not null").select("file", "at", "bytes", F.col("poor").alias("digest"))
+    found = audit_indexes(placed, replica)
+    return placed.join(found, ["file", "at"]).select("page_id", "url", "kind")
