@@ -47,6 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more: all that was made from them is written itself."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        conf = t.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let the context cleaner see that finished steps are no longer referenced: it drops
     their shuffle files only when the driver has collected its garbage."""

@@ -30,6 +30,8 @@ COUNTERS_BITS = 20
 SLICES = 32
 #: Members of a token on either side of a cell.
 LEFT, RIGHT = 256, 1 << 16
+#: Open tokens (32 bytes each) that are broadcast; beyond, they are joined.
+OPEN_TOKENS = 1_000_000
 _U = np.uint64
 _TURN = cm.random_words(16, 77)
 
@@ -115,8 +117,8 @@ def _node(tokens: np.ndarray) -> int:
 
 
 def prefixes(docs: DataFrame, counts) -> DataFrame:
-    """(k1, k2, doc_id, n, node, prefix) of every row: size and node of its set, and the first tokens in the first order (null where the
-    same set came before in the block)."""
+    """(k1, k2, doc_id, n, node, prefix) of every row: size and node of its set, and its first tokens in the first order (null where
+    the same set came before in the block)."""
 
     def run(batches):
         for block in cm.text_blocks(batches, "text"):
@@ -125,11 +127,9 @@ def prefixes(docs: DataFrame, counts) -> DataFrame:
                 sizes.append(len(tokens))
                 node = _node(tokens) if len(tokens) else None
                 nodes.append(node)
-                if node is None or node in seen:
-                    firsts.append(None)
-                    continue
+                fresh = node is not None and node not in seen
                 seen.add(node)
-                firsts.append(ordered(tokens, counts.value, 0)[: prefix_size(len(tokens))].tobytes())
+                firsts.append(ordered(tokens, counts.value, 0)[: prefix_size(len(tokens))].tobytes() if fresh else None)
             yield pa.RecordBatch.from_arrays(
                 [*block.rows.columns, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(firsts, pa.binary())], names=["k1", "k2", "doc_id", "n", "node", "prefix"]
             )
@@ -139,25 +139,27 @@ def prefixes(docs: DataFrame, counts) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, counts) -> DataFrame:
-    """(node, n, tokens, second, third) of the sets of the rows with the keys ``wanted``: all tokens, and the
-    prefixes under the other two orders."""
+    """(node, n, tokens, second, third) of the sets of the rows with the keys ``wanted`` (different ones): all tokens, and the first
+    ones in the other two orders. Rows that repeat are next to each other behind the sort-merge join, so a set comes
+    once (or as often as a split of a hot key makes pieces)."""
 
     def run(batches):
+        last = None
         for block in cm.text_blocks(batches, "text"):
             rows = []
-            for tokens in _distinct(block):
-                if not len(tokens):
-                    continue
-                p = prefix_size(len(tokens))
-                rows.append((_node(tokens), len(tokens), *(x.view(np.int64) for x in (tokens, ordered(tokens, counts.value, 1)[:p], ordered(tokens, counts.value, 2)[:p]))))
+            keys = zip(block.rows.column("k1").to_pylist(), block.rows.column("k2").to_pylist())
+            for key, tokens in zip(keys, _distinct(block)):
+                if key != last and len(tokens):
+                    p = prefix_size(len(tokens))
+                    rows.append((_node(tokens), len(tokens), *(x.view(np.int64) for x in (tokens, ordered(tokens, counts.value, 1)[:p], ordered(tokens, counts.value, 2)[:p]))))
+                last = key
             for i in range(0, len(rows), 64):
-                cols = list(zip(*rows[i : i + 64]))
                 kinds = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=["node", "n", "tokens", "second", "third"])
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows[i : i + 64]), kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "tokens", "second", "third"])
 
     texts = docs.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("__text").alias("text"))
-    found = texts.join(wanted, ["k1", "k2"]).select("text")
-    return found.mapInArrow(run, "node long, n long, tokens array<long>, second array<long>, third array<long>").dropDuplicates(["node"])
+    return texts.join(wanted.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text").mapInArrow(run, "node long, n long, tokens array<long>, second array<long>, third array<long>")
 
 
 # ---- candidates --------------------------------------------------------------------------
@@ -173,55 +175,69 @@ def _postings(batch: pa.RecordBatch):
     return token, np.repeat(batch.column("node").to_numpy(), many), np.repeat(batch.column("n").to_numpy(), many), place
 
 
+def _bound(i, j, na, nb, percent: int = PERCENT):
+    """Whether sets of these sizes that share a token at places i and j (of one order) can be similar enough."""
+    most = np.minimum(i, j) + 1 + np.minimum(na - i - 1, nb - j - 1)
+    return (100 + percent) * most >= percent * (na + nb)
+
+
 def stars(prefix_rows: DataFrame) -> DataFrame:
-    """(a, b): each token's members with the least of them. Tasks link their own members first and send one for each token."""
+    """(a, b, fits): each token's members with the least of them, and whether their sizes and the token's places in both allow the
+    similarity. Tasks link their own members first and send one for each token."""
+
+    def pairs(a, b, fits):
+        """Distinct pairs, those that fit for any token first."""
+        if not len(a):
+            return np.zeros((0, 3), np.int64)
+        order = np.lexsort((~fits, b, a))
+        a, b, fits = a[order], b[order], fits[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return np.stack([a[new], b[new], fits[new].astype(np.int64)], 1)
 
     def local(batches):
         for batch in batches:
-            token, node, _, _ = _postings(batch)
+            token, node, n, place = _postings(batch)
             order = np.lexsort((node, token))
-            token, node = token[order], node[order]
+            token, node, n, place = token[order], node[order], n[order], place[order]
             new = np.ones(len(token), bool)
             new[1:] = token[1:] != token[:-1]
-            least = node[new][np.cumsum(new) - 1] if len(node) else node
-            other = ~new & (node != least)
-            pairs = np.unique(np.stack([least[other], node[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-            link = np.concatenate([np.zeros(int(new.sum()), bool), np.ones(len(pairs), bool)])
-            cols = (link, np.concatenate([token[new], pairs[:, 0]]), np.concatenate([node[new], pairs[:, 1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names=["link", "key", "node"])
+            first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(token) else np.zeros(0, np.int64)
+            other = ~new & (node != node[first])
+            k = first[other]
+            own = pairs(node[k], node[other], _bound(place[k], place[other], n[k], n[other]))
+            link = np.concatenate([np.zeros(int(new.sum()), bool), np.ones(len(own), bool)])
+            cols = (link, np.concatenate([token[new], own[:, 0]]), np.concatenate([node[new], own[:, 1]]), np.concatenate([n[new], own[:, 2]]).astype(np.int32), np.concatenate([place[new], 0 * own[:, 2]]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names=["link", "key", "node", "n", "place"])
 
     def merge(batches):
-        token = least = None
+        held = None  # the token before, with its least member
         for batch in batches:
-            link, key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            out = [np.stack([key[link], node[link]], 1)]
-            key, node = key[~link], node[~link]
-            if len(key):
+            link, key, node, n, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            n, place = n.astype(np.int64), place.astype(np.int64)
+            out = [(key[link], node[link], n[link] > 0)]
+            cols = [x[~link] for x in (key, node, n, place)]
+            if len(cols[0]):
+                if held is not None:
+                    cols = [np.concatenate([[h], x]) for h, x in zip(held, cols)]
+                key, node, n, place = cols
                 new = np.ones(len(key), bool)
                 new[1:] = key[1:] != key[:-1]
-                new[0] = token is None or key[0] != token
-                head = np.where(new, node, 0)
-                at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-                first = np.where(at >= 0, head[np.maximum(at, 0)], 0 if least is None else least)
-                token, least = key[-1], first[-1]
-                other = first != node
-                out.append(np.stack([first[other], node[other]], 1))
-            pairs = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
-
-    sent = prefix_rows.select("node", "n", "prefix").mapInArrow(local, "link boolean, key long, node long")
+                first = np.flatnonzero(new)[np.cumsum(new) - 1]
+                other = ~new & (node != node[first])
+                k = first[other]
+                out.append((node[k], node[other], _bound(place[k], place[other], n[k], n[other])))
+                held = [x[first[-1]] for x in cols]
+            found = pairs(*(np.concatenate(x) for x in zip(*out)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in range(2)] + [pa.array(found[:, 2] > 0)], names=["a", "b", "fits"])
+
+    sent = prefix_rows.select("node", "n", "prefix").mapInArrow(local, "link boolean, key long, node long, n int, place int")
     sent = sent.repartition(cm.shuffle_width(prefix_rows.sparkSession), "key").sortWithinPartitions("link", "key", "node")
-    return sent.mapInArrow(merge, "a long, b long").distinct()
-
-
-def _bound(i, j, na, nb, percent: int = PERCENT):
-    """Whether sets of these sizes that share a token at places i and j (of one order) can be similar enough."""
-    most = np.minimum(i, j) + 1 + np.minimum(na - i - 1, nb - j - 1)
-    return (100 + percent) * most >= percent * (na + nb)
+    return sent.mapInArrow(merge, "a long, b long, fits boolean").groupBy("a", "b").agg(F.max("fits").alias("fits"))
 
 
 def across(prefix_rows: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b): members of a token that are in different components (``members``: node, label), where sizes and places allow
+    """(a, b): members of a token that are in different components (``prefix_rows``: different sets; ``members``: node, label), where sizes and places allow
     the similarity. In each token's group the largest component stays on one side: the others meet it and each other."""
     spark = prefix_rows.sparkSession
 
@@ -232,14 +248,15 @@ def across(prefix_rows: DataFrame, members: DataFrame) -> DataFrame:
             label = np.repeat(batch.column("label").to_numpy(), many)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, node, label, n, place)], names=["token", "node", "label", "n", "place"])
 
-    kept = prefix_rows.dropDuplicates(["node"]).join(members, "node").select("node", "label", "n", "prefix")
+    kept = prefix_rows.join(members, "node").select("node", "label", "n", "prefix")
     rows = kept.mapInArrow(spread, "token long, node long, label long, n long, place long")
     groups = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
     groups = groups.groupBy("token").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top")).filter("m > top.m")
     groups = cm.written(groups.select("token", F.col("top.label").alias("top"), F.col("m").alias("all"), (F.col("m") - F.col("top.m")).alias("few")), "ngram-open")
     lefts = F.ceil(F.col("few") / LEFT)
     rights = F.ceil(F.col("all") / RIGHT)
-    both = rows.join(groups, "token")
+    # the open tokens go to the tasks while they are few, else the postings to them
+    both = rows.join(F.broadcast(groups) if groups.count() <= OPEN_TOKENS else groups, "token")
     spot = F.xxhash64("node")
     left = both.filter("label != top").select(
         "token", F.pmod(spot, lefts).alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"), F.lit(False).alias("right"), "node", "label", "n", "place", "top"
@@ -287,25 +304,30 @@ def across(prefix_rows: DataFrame, members: DataFrame) -> DataFrame:
     return cells.mapInArrow(meet, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, name: str = "ngram") -> DataFrame:
-    """The pairs that are similar enough: sizes, the shared parts of the second and third prefixes, then the whole sets."""
+def _ends(table: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    return tuple(table.select(F.col("node").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in columns)) for e in "ab")
 
-    def ends(columns):
-        left = sets.select(F.col("node").alias("a"), *(F.col(c).alias(c + "_a") for c in columns))
-        right = sets.select(F.col("node").alias("b"), *(F.col(c).alias(c + "_b") for c in columns))
-        return left, right
 
-    left, right = ends(["n", "second", "third"])
-    least = F.ceil(F.expr(f"{percent} * (n_a + n_b) / {100.0 + percent}"))  # tokens that similar sets share
-    rest = F.greatest(F.col("n_a") - F.size("second_a"), F.col("n_b") - F.size("second_b"))
-    fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+def allowed(pairs: DataFrame, short: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) whose sizes and whose second and third prefixes, one after the other, allow the similarity: tokens that
+    two sets share are among both prefixes, or behind one of them."""
+    pairs = pairs.select("a", "b")
     for which in ("second", "third"):
-        fits = fits & (F.size(F.array_intersect(which + "_a", which + "_b")) + rest >= least - 1)
-    passed = pairs.join(left, "a").join(right, "b").filter(fits).select("a", "b")
-    left, right = ends(["n", "tokens"])
+        left, right = _ends(short, ["n", which])
+        most = F.size(F.array_intersect(which + "_a", which + "_b")) + F.greatest(F.col("n_a") - F.size(which + "_a"), F.col("n_b") - F.size(which + "_b"))
+        fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+        fits = fits & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+        found = pairs.join(left, "a").join(right, "b").filter(fits)
+        pairs = cm.written(found.select("a", "b", *(["n_a", "n_b"] if which == "third" else [])), f"ngram-{which}")
+    return pairs
+
+
+def similar(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose whole sets are similar enough."""
+    left, right = _ends(sets, ["tokens"])
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    similar = 100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)
-    return cm.written(cm.written(passed, name + "-passed").join(left, "a").join(right, "b").filter(similar).select("a", "b"), name + "-links")
+    enough = 100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)
+    return pairs.join(left, "a").join(right, "b").filter(enough).select("a", "b").distinct()
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -315,6 +337,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"__k1": F.xxhash64("__id", "__text"), "__k2": F.xxhash64(F.lit(7), "__text", "__id")})
 
 
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, k2, doc_id, n_shingles, component_id, root) of every row; ``component_id`` is the smallest id that links reach (Jaccard similarity of
     the 5-word shingle sets of 0.8 or more), its own included.
@@ -324,23 +350,29 @@ def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     keyed = _keyed(docs, id_col, text_col).select("__id", "__text", "__k1", "__k2")
     counts = spark.sparkContext.broadcast(frequencies(keyed))
     rows = cm.written(prefixes(keyed, counts), "ngram-prefixes")
-    firsts = rows.filter("prefix is not null")
-    met = cm.written(stars(firsts), "ngram-stars")
-    wanted = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"))
-    keys = nodes.join(wanted, "node").select("k.k1", "k.k2")
-    sets = cm.written(whole_sets(keyed, keys, counts), "ngram-sets")
-    links = verified(met, sets, name="ngram-first")
+    placed = cm.written(rows.select("k1", "k2", "doc_id", "n", "node"), "ngram-rows")
+    met = cm.written(stars(rows.filter("prefix is not null").select("node", "n", "prefix")), "ngram-stars")
+    wanted = _nodes_of(met)
+    short = rows.filter("prefix is not null").select("node", "n", "prefix")
+    short = cm.written(short.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "ngram-short")
+    cm.discard(rows)
+    keys = cm.written(placed.filter("node is not null").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).join(wanted, "node").select("node", "k.k1", "k.k2"), "ngram-keys")
+    near = met.filter("fits")
+    sets = cm.written(whole_sets(keyed, keys.join(_nodes_of(near), "node").select("k1", "k2"), counts), "ngram-sets")
+    links = cm.written(similar(allowed(near, sets), sets), "ngram-links")
     labels = connected(links, name="ngram-components")
-    members = sets.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    members = cm.written(members, "ngram-members")
-    more = verified(cm.written(across(firsts, members), "ngram-across"), sets, name="ngram-second")
+    members = cm.written(short.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "ngram-members")
+    open_ = cm.written(across(short, members), "ngram-across")
+    new = _nodes_of(open_).join(sets.select("node"), "node", "left_anti")
+    more_sets = cm.written(whole_sets(keyed, keys.join(new, "node").select("k1", "k2"), counts), "ngram-sets")
+    sets = sets.unionByName(more_sets)
+    more = cm.written(similar(allowed(open_, sets), sets), "ngram-links")
+    cm.discard(sets, short)
     # components of components
     end = lambda c: members.select(F.col("node").alias(c), F.col("label").alias(c + "_label"))
     joined = connected(more.join(end("a"), "a").join(end("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")), name="ngram-components")
     last = members.join(joined.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("root"))
     # the smallest id of each node, then of each component
-    placed = rows.select("k1", "k2", "doc_id", "n", "node")
     smallest = placed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(last, "node", "left")
     smallest = cm.written(smallest.select("node", "least", F.coalesce("root", "node").alias("root")), "ngram-nodes")
     roots = smallest.groupBy("root").agg(F.min("least").alias("component_id"))
