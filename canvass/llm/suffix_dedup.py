@@ -12,6 +12,9 @@ anchor's hash. Neighbouring windows mostly share their anchor; they form a run,
    induced sorting (``induced``), which works from disk when a shard is far larger than memory:
    windows repeat where neighbouring suffixes share ``length`` bytes.
 4. The covered spans go back to the documents.
+
+The same finds strings of whole words, whatever stands between them: each word is written as its 64-bit hash, and windows
+begin at words only.
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ from canvass.llm import induced
 
 LENGTH = 400
 SEED = 128
+#: Words of the string that anchors a window of words.
+WORD_SEED = 16
+#: Bytes of a word's hash.
+WORD = 8
 SHARD = 4 << 20
 #: Windows looked at together; positions in it take so many bits beside a hash.
 STRETCH_BITS = 22
@@ -46,21 +53,23 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def window_runs(block: cm.TextBlock, length: int = LENGTH, seed: int = SEED):
-    """The runs of all rows: (row, first byte within the row, bytes, anchor hash, digest)."""
-    n = len(block.data)
+def window_runs(block: cm.TextBlock, length: int = LENGTH, seed: int = SEED, step: int = 1):
+    """The runs of all rows: (row, first byte within the row, bytes, anchor hash, digest). Windows and anchors begin at every
+    ``step``-th byte of a row; ``length``, ``seed`` and the rows' sizes are multiples of it."""
+    size, part = length // step, seed // step
+    n, bounds = len(block.data) // step, block.bounds // step
     prefix = cm.prefix_hash(block.data)
     mask = _U((1 << (STRETCH_BITS + 1)) - 1)
     out = []
-    for lo in range(0, max(0, n - length + 1), 1 << STRETCH_BITS):
-        hi = min(n - length + 1, lo + (1 << STRETCH_BITS))  # windows lo .. hi - 1
-        at = np.arange(lo, hi + length - seed)
-        hashes = cm.span_hash(prefix, at, at + seed)
-        least = _least((hashes & ~mask) | (at - lo).astype(_U), length - seed + 1)
+    for lo in range(0, max(0, n - size + 1), 1 << STRETCH_BITS):
+        hi = min(n - size + 1, lo + (1 << STRETCH_BITS))  # windows lo .. hi - 1
+        at = np.arange(lo, hi + size - part)
+        hashes = cm.span_hash(prefix, at * step, (at + part) * step)
+        least = _least((hashes & ~mask) | (at - lo).astype(_U), size - part + 1)
         anchor = (least & mask).astype(np.int64) + lo
         first = np.arange(lo, hi)
-        row = np.searchsorted(block.bounds, first, "right") - 1
-        inside = first + length <= block.bounds[row + 1]
+        row = np.searchsorted(bounds, first, "right") - 1
+        inside = first + size <= bounds[row + 1]
         first, anchor, row = first[inside], anchor[inside], row[inside]
         if not len(first):
             continue
@@ -69,8 +78,8 @@ def window_runs(block: cm.TextBlock, length: int = LENGTH, seed: int = SEED):
         head = np.flatnonzero(new)
         last = first[np.append(head[1:], len(first)) - 1]
         first, anchor, row = first[head], anchor[head], row[head]
-        digest = cm.span_hash(prefix, first, last + length) ^ cm.mix64((anchor - first).astype(_U) + _U(1))
-        out.append((row, first - block.bounds[row], last + length - first, hashes[anchor - lo], digest))
+        digest = cm.span_hash(prefix, first * step, (last + size) * step) ^ cm.mix64((anchor - first).astype(_U) + _U(1))
+        out.append((row, (first - bounds[row]) * step, (last + size - first) * step, hashes[anchor - lo], digest))
     if not out:
         none = np.zeros(0, np.int64)
         return none, none, none, none.view(_U), none.view(_U)
@@ -85,6 +94,23 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumns({"__k1": F.xxhash64(*quoted, text), "__k2": F.xxhash64(F.lit(7), text, *quoted), "__text": text})
 
 
+def word_strings(keyed: DataFrame) -> DataFrame:
+    """The keys with the hashes of all words of a text on end in place of it."""
+
+    def encode(batches):
+        for block in cm.text_blocks(batches, "__text"):
+            h, bounds = block.words(lower=False)
+            yield pa.RecordBatch.from_arrays([*block.rows.columns, cm.binaries(h, bounds)], names=["__k1", "__k2", "__text"])
+
+    return keyed.select("__k1", "__k2", "__text").mapInArrow(encode, "__k1 long, __k2 long, __text binary")
+
+
+def in_bytes(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of the hashes of a text's words as spans of its bytes, from the first word to the end of the last."""
+    start, end, _ = cm.TextBlock(None, np.frombuffer(text, np.uint8), np.array([0, len(text)])).word_spans()
+    return [(int(start[lo // WORD]), int(end[hi // WORD - 1])) for lo, hi in spans]
+
+
 def _flat(batch: pa.RecordBatch):
     """A batch of run rows as arrays: (key columns by run, first, size, anchor, digest)."""
     sizes = np.array([len(x) // 8 for x in batch.column("first").to_pylist()], np.int64)
@@ -93,10 +119,10 @@ def _flat(batch: pa.RecordBatch):
     return *keys, join("first"), join("size"), join("anchor"), join("digest")
 
 
-def run_table(docs: DataFrame) -> DataFrame:
+def run_table(docs: DataFrame, length: int = LENGTH, seed: int = SEED, step: int = 1) -> DataFrame:
     def find(batches):
         for block in cm.text_blocks(batches, "text"):
-            row, first, size, anchor, digest = window_runs(block)
+            row, first, size, anchor, digest = window_runs(block, length, seed, step)
             bounds = np.searchsorted(row, np.arange(len(block.bounds)))
             some = np.flatnonzero(np.diff(bounds))
             if not len(some):
@@ -169,8 +195,9 @@ class _Shard:
             text[lo + i : hi + i] += 1
         return text, ends - sizes + np.arange(len(sizes))
 
-    def repeated(self, length: int):
-        """For each run that occurs once, the spans (relative to it) of its windows that also occur elsewhere in the shard."""
+    def repeated(self, length: int, step: int = 1):
+        """For each run that occurs once, the spans (relative to it) of its windows that also occur elsewhere in the shard;
+        windows begin at every ``step``-th character of a run."""
         text, begin = self.characters()
         sizes = np.array(self.sizes, np.int64)
         again = induced.whole_array(len(text), bool)
@@ -183,14 +210,14 @@ class _Shard:
                 again[last] = True
             last = int(at[-1])
         for (anchor, digest, n), lo, size in zip(self.rows, begin.tolist(), sizes.tolist()):
-            starts = np.flatnonzero(again[lo : lo + size - length + 1])
+            starts = np.flatnonzero(again[lo : lo + size - length + 1 : step]) * step
             if n == 1 and len(starts):
-                cut = np.flatnonzero(np.diff(starts) > 1)
+                cut = np.flatnonzero(np.diff(starts) > step)
                 head, tail = starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + length
                 yield anchor, digest, np.column_stack([head, tail]).astype("<i8").tobytes()
 
 
-def shared_spans(docs: DataFrame, distinct: DataFrame, length: int = LENGTH, memory: int = induced.MEMORY) -> DataFrame:
+def shared_spans(docs: DataFrame, distinct: DataFrame, length: int = LENGTH, memory: int = induced.MEMORY, step: int = 1) -> DataFrame:
     """(anchor, digest, spans) of the runs that occur once and share windows with others, by suffix arrays over shards."""
     needed = distinct.filter("texts > 1")
     total = needed.agg(F.sum("size")).first()[0] or 0
@@ -227,7 +254,7 @@ def shared_spans(docs: DataFrame, distinct: DataFrame, length: int = LENGTH, mem
         names = ["anchor", "digest", "spans"]
 
         def done():
-            found = list(shard.repeated(length))
+            found = list(shard.repeated(length, step))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.binary()))], names=names)
 
@@ -293,42 +320,59 @@ def remove(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), removed, runs
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(
+    spark: SparkSession, docs: DataFrame, text_col: str = "text", length: int = LENGTH, seed: int = SEED, words: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """``docs`` with content keys, and (k1, k2, spans): every byte covered by a ``length``-byte string that starts at two places
-    or more, in one text or in several."""
-    if length != LENGTH:
-        raise ValueError("the anchors are laid out for one length")
+    or more, in one text or in several. ``seed``, at most ``length``, is the size of the strings that anchor the windows.
+    With ``words`` both count words, and the spans are those of ``word_strings``."""
+    if not 0 < seed <= length:
+        raise ValueError("the anchoring string must lie in the window")
     keyed = _keyed(docs, text_col)
-    runs = cm.written(run_table(keyed), "suffix-runs")
+    texts, step = (word_strings(keyed), WORD) if words else (keyed, 1)
+    length, seed = length * step, seed * step
+    runs = cm.written(run_table(texts, length, seed, step), "suffix-runs")
     distinct = cm.written(distinct_runs(runs), "suffix-distinct")
-    shared = cm.written(shared_spans(keyed, distinct, length), "suffix-shared")
-    return keyed, cm.written(covered_spans(runs, distinct, shared), "suffix-spans")
+    shared = cm.written(shared_spans(texts, distinct, length, step=step), "suffix-shared")
+    spans = cm.written(covered_spans(runs, distinct, shared), "suffix-spans")
+    cm.discard(runs, distinct, shared)
+    return keyed, spans
 
 
-def dedup(spark: SparkSession, docs: DataFrame, columns: list[str], text_col: str = "text", texts: bool = False) -> DataFrame:
+def dedup(
+    spark: SparkSession, docs: DataFrame, columns: list[str], text_col: str = "text", texts: bool = False,
+    length: int = LENGTH, seed: int = SEED, words: int | None = None,
+) -> DataFrame:
     """``columns`` of every row of ``docs`` with n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of the bytes that
     are left; with ``texts`` also these as ``kept_text`` (bytes that a cut leaves of a character go too).
 
-    Texts are taken as UTF-8, null as empty; texts shorter than the window lose nothing, repeated rows lose what they
-    share like any other copies, and all strings are judged on the input: no copy is kept. Names of ``columns`` may
-    clash with the added ones; then the result has them twice."""
-    keyed, spans = repeated_spans(spark, docs, text_col)
+    Repeated strings of ``length`` bytes go and, if ``words`` is given, repeated strings of so many words, with all that
+    stands between the words. Texts are taken as UTF-8, null as empty; texts shorter than the window lose nothing, repeated
+    rows lose what they share like any other copies, and all strings are judged on the input: no copy is kept. Names of
+    ``columns`` may clash with the added ones; then the result has them twice."""
+    keyed, spans = repeated_spans(spark, docs, text_col, length, seed)
+    if words:
+        by_words = repeated_spans(spark, docs, text_col, words, min(WORD_SEED, words), words=True)[1]
+        spans = spans.join(by_words.withColumnRenamed("spans", "word_spans"), ["k1", "k2"], "full")
+    else:
+        spans = spans.withColumn("word_spans", F.lit(None).cast(spans.schema["spans"].dataType))
     own = [f"c{i}" for i in range(len(columns))]
     left = keyed.select(*(F.col(f"`{c}`").alias(o) for c, o in zip(columns, own)), "__text", "__k1", "__k2")
-    joined = left.join(spans, (left["__k1"] == spans["k1"]) & (left["__k2"] == spans["k2"]), "left").select(*own, "__text", "spans")
+    joined = left.join(spans, (left["__k1"] == spans["k1"]) & (left["__k2"] == spans["k2"]), "left").select(*own, "__text", "spans", "word_spans")
     added = [("n_bytes", LongType()), ("n_removed", LongType()), ("n_spans", LongType()), ("kept_sha256", StringType())]
     added += [("kept_text", StringType())] if texts else []
     schema = StructType([StructField(o, docs.schema[c].dataType) for o, c in zip(own, columns)] + [StructField(n, t) for n, t in added])
 
     def cut(batches):
         for batch in batches:
-            raw, spans = batch.column("__text").cast(pa.large_binary()), batch.column("spans")
+            raw, spans, by_words = batch.column("__text").cast(pa.large_binary()), batch.column("spans"), batch.column("word_spans")
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 rows = []
                 for i in range(lo, lo + part.num_rows):
                     text = raw[i].as_py()
-                    kept, removed, runs = remove(text, [(s["begin"], s["end"]) for s in spans[i].as_py() or ()])
+                    found, named = ([(s["begin"], s["end"]) for s in x[i].as_py() or ()] for x in (spans, by_words))
+                    kept, removed, runs = remove(text, found + in_bytes(text, named) if named else found)
                     row = (len(text), removed, runs, hashlib.sha256(kept).hexdigest())
                     rows.append((*row, kept.decode("utf-8", "ignore")) if texts else row)
                 kinds = [pa.int64()] * 3 + [pa.string()] * (len(added) - 3)

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from canvass.llm import common, mixing, ngram_join, packing, suffix_dedup, toxicity
 from canvass.llm.queries import word_tokenizer
 
+#: The fewest words of a passage that may not stand twice.
+PASSAGE_WORDS = 51
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity (op2): documents that are likelier toxic than not go. The grades are learned from the labelled documents."""
@@ -26,9 +29,9 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Suffix-array dedup (op1): passages of 400 bytes or more that still occur twice are cut out of the texts. Documents of which
-    nothing but white space is left by that go; others stay."""
-    cut = suffix_dedup.dedup(spark, docs, docs.columns, texts=True)
+    """Suffix-array dedup (op1): passages of over 50 words, or of 400 bytes or more, that still occur twice are cut out of the texts.
+    Documents of which nothing but white space is left by that go; others stay."""
+    cut = suffix_dedup.dedup(spark, docs, docs.columns, texts=True, words=PASSAGE_WORDS)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     kept = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars")))
     kept = kept.withColumn("text", text).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))

@@ -1,6 +1,8 @@
 """The stages on a small corpus with planted cases, each held against a plain version on the stage's own input."""
 
 import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -76,3 +78,33 @@ def test_all_eleven_are_registered(spark):
     names = set(entry.queries())
     assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names
     assert entry.oracle_sql().keys() >= {"op4_mixing_sources", "op8_warc_fixity"}
+
+
+def by_words(texts, least=51):
+    """The texts without all words in repeated strings of ``least`` words, and what stands between these; and the number of such strings."""
+    rows = [[(m.start(), m.end()) for m in re.finditer(r"\S+", t)] for t in texts]
+    strings = [[tuple(t[a:b] for a, b in r[i : i + least]) for i in range(len(r) - least + 1)] for t, r in zip(texts, rows)]
+    seen = Counter(s for own in strings for s in own)
+    left = []
+    for t, r, own in zip(texts, rows, strings):
+        gone = set()
+        for i, s in enumerate(own):
+            if seen[s] > 1:
+                gone.update(range(r[i][0], r[i + least - 1][1]))
+        left.append("".join(c for k, c in enumerate(t) if k not in gone))
+    return left, sum(n > 1 for n in seen.values())
+
+
+def test_passages_of_51_words_under_400_bytes_are_cut(spark):
+    rng = random.Random(11)
+    short = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    texts = []
+    for n in (50, 51, 51, 52, 57, 60):
+        passage = short(n)
+        assert len(passage) < 400
+        texts += [short(70) + " " + passage + " " + short(75), passage + " " + short(90), short(40) + "\n" + passage.replace(" ", "  ", 9)]
+    texts += [short(200), "one two", " ".join("a" for _ in range(60))]
+    want, strings = by_words(texts)
+    assert strings > 10 and want[:3] == texts[:3] and all(a != b for a, b in zip(want[3:18], texts[3:18]))
+    got = {r.doc_id: r.text for r in cp.cut_repeats(spark, documents(spark, texts), "").collect()}
+    assert got == {i: t for i, t in enumerate(want) if t.strip()}
