@@ -218,6 +218,17 @@ def _merged(batches):
         yield current, key, n
 
 
+def save_pairs(store: Store, shard: int, key: np.ndarray, n: np.ndarray) -> None:
+    """A shard's sorted bigrams and their counts, in 4 bytes each unless one needs more."""
+    store.write(f"pair-key-{shard}", key)
+    store.write(f"pair-count-{shard}", n.astype("<u4" if n.max(initial=0) < 1 << 32 else "<i8"))
+
+
+def load_pairs(store: Store, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    key, n = store.map(f"pair-key-{shard}", _U), store.map(f"pair-count-{shard}", "<u4")
+    return key, n if len(n) == len(key) else store.map(f"pair-count-{shard}", "<i8")
+
+
 # ---- bigrams -----------------------------------------------------------------------------
 
 
@@ -269,16 +280,20 @@ def train_model(spark: SparkSession, texts: DataFrame, bits: int | None = None)
 
     def count(batches):
         lexicon = Lexicon(words)
-        held, size = [], 0
+        held, size, many = [], 0, 0
         for block in cm.text_blocks(batches, "text", STRETCH):
             h, ends = tokens(block)
+            if many + len(h) >= 1 << 32:  # counts are sent in 4 bytes
+                yield from _out(held)
+                held, size, many = [], 0, 0
+            many += len(h)
             number = lexicon.numbers(h)
             key, n = np.unique((_pairs(number, ends, start).astype(_U) << _U(32)) | number.astype(_U), return_counts=True)
             held.append((key, n))
             size += len(key)
             if size > 3_000_000:
                 yield from _out(held)
-                held, size = [], 0
+                held, size, many = [], 0, 0
         if held:
             yield from _out(held)
 
@@ -310,8 +325,7 @@ def train_model(spark: SparkSession, texts: DataFrame, bits: int | None = None)
     def save(batches):
         names = ["kind", "range", "ids", "a", "b", "c"]
         for s, key, n in _merged(joined(batches)):
-            store.write(f"pair-key-{s}", key)
-            store.write(f"pair-count-{s}", n.astype("<u4"))
+            save_pairs(store, s, key, n)
             first, second = (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64)
             counts = np.array([(n == k).sum() for k in (1, 2, 3, 4)] + [len(n)], np.int64)
             yield _stat(names, 0, s, np.zeros(0, np.int64), counts, counts, counts)
@@ -346,8 +360,7 @@ def train_model(spark: SparkSession, texts: DataFrame, bits: int | None = None)
         else:
             after_start += [int(np.frombuffer(r[x], np.int64)[0]) for x in "abc"]
     for s in set(range(shards)) - shards_seen:
-        store.write(f"pair-key-{s}", np.zeros(0, _U))
-        store.write(f"pair-count-{s}", np.zeros(0, "<u4"))
+        save_pairs(store, s, np.zeros(0, _U), np.zeros(0, np.int64))
 
     def words_after(batches):
         current, out = None, None
@@ -396,8 +409,7 @@ class Scorer:
         w = model.words
         self.count = w.mapped("count", np.int64)
         self.stats = {x: w.mapped(x, "<u4") for x in ("after1", "after2", "after3", "before")}
-        self.keys = [w.store.map(f"pair-key-{s}", _U) for s in range(model.shards)]
-        self.counts = [w.store.map(f"pair-count-{s}", "<u4") for s in range(model.shards)]
+        self.keys, self.counts = zip(*(load_pairs(w.store, s) for s in range(model.shards)))
 
     def _gather(self, arrays: list[np.ndarray], numbers: np.ndarray) -> np.ndarray:
         """Values of words by rising numbers."""

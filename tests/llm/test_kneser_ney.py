@@ -89,3 +89,13 @@ def test_a_task_that_runs_twice_leaves_whole_files(tmp_path):
     assert store.map("a-0", np.int64).tolist() == [0, 1, 2, 3, 4]
     store.write("empty", np.zeros(0, np.int64))
     assert len(store.map("empty", np.int64)) == 0
+
+
+def test_bigram_counts_beyond_32_bits_stay_whole(tmp_path):
+    import numpy as np
+
+    store = kn.Store(f"file://{tmp_path}/y")
+    for s, n in enumerate([[3, 2**32 + 5], [3, 2**32 - 1], []]):
+        kn.save_pairs(store, s, np.arange(len(n), dtype=np.uint64), np.array(n, np.int64))
+        key, got = kn.load_pairs(store, s)
+        assert key.tolist() == list(range(len(n))) and got.tolist() == n
