@@ -44,7 +44,58 @@ WITH d AS (
 )
 """
 
+# op11: checksums bit by bit over the different features, plain sums of gains, one window over all scores
+_IMPORTANCE = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), x AS (
+  SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature FROM d
+), y AS (
+  SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature FROM b
+), f AS (
+  SELECT DISTINCT feature, hex(encode(feature)) AS digits FROM (SELECT feature FROM x UNION ALL SELECT feature FROM y)
+), k AS (
+  SELECT feature, xor(4294967295::BIGINT, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(range(0, len(digits) // 2), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::BIGINT)),
+           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(0, 8)),
+             lambda c, i: xor(c // 2, 3988292384::BIGINT * (c % 2))))) % 10000 AS bucket
+  FROM f
+), s AS (
+  SELECT bucket, count(*)::BIGINT AS n FROM x JOIN k USING (feature) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*)::BIGINT AS n FROM y JOIN k USING (feature) GROUP BY bucket
+), g AS (
+  SELECT bucket, floor(1000.0::DOUBLE * ln(
+           ((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE)
+           / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), m AS (
+  SELECT doc_id, count(*)::BIGINT AS n_features, sum(gain)::BIGINT AS total FROM x JOIN k USING (feature) JOIN g USING (bucket) GROUP BY doc_id
+), v AS (
+  SELECT d.doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_features, 0) AS n_features,
+         CASE WHEN n_features IS NULL THEN 0
+              ELSE total // n_features - CASE WHEN total % n_features < 0 THEN 1 ELSE 0 END END AS weight,
+         ('0x' || substr(sha256('7:' || d.doc_id), 1, 8))::BIGINT AS h
+  FROM d LEFT JOIN m USING (doc_id)
+), z AS (
+  SELECT doc_id, n_words >= 20 AS able, n_features, weight,
+         weight + floor(-1000.0::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM v
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS n FROM z
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * n // 100 THEN place END AS rank
+FROM r
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_importance_resampling": _IMPORTANCE,
     "op4_mixing_sources": _MIX.format(docs="documents")
     + """
 SELECT doc_id, source, size, source_size, target,

@@ -105,3 +105,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canvass.llm import fixity
 
     return fixity.audit_pages(spark, table(spark, sf_dir, "pages"))
+
+
+@query("op11_importance_resampling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canvass.llm import importance
+
+    out = importance.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
