@@ -113,3 +113,17 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = importance.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def byte_tokenizer() -> str:
+    """The public tokenizer file of the second packing query."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op13_window_fit_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canvass.llm import window_fit
+
+    return window_fit.pack_documents(spark, table(spark, sf_dir, "documents"), byte_tokenizer())
