@@ -94,7 +94,46 @@ SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * n //
 FROM r
 """
 
+# op12: all phrases of 1 to 5 words counted at once, parts and longer candidates by joins on the spelled phrases
+_COLLOCATIONS = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d
+), t AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM w, (VALUES (1), (2), (3), (4), (5)) AS sizes(m)
+  WHERE len(w) >= m
+), f AS (
+  SELECT lang, m, phrase, count(*)::BIGINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100
+), c AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m >= 2
+), k AS (
+  SELECT c.lang, c.m, c.phrase, c.f, cut.k, l.f AS l, r.f AS r, 1000::HUGEINT * c.f * t.n // (l.f::HUGEINT * r.f) AS score, t.n
+  FROM c JOIN t USING (lang), (VALUES (1), (2), (3), (4)) AS cut(k), f AS l, f AS r
+  WHERE cut.k < c.m AND l.lang = c.lang AND r.lang = c.lang
+    AND l.phrase = array_to_string(c.w[1:cut.k], ' ') AND r.phrase = array_to_string(c.w[cut.k + 1:], ' ')
+), s AS (
+  SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), i AS (
+  SELECT lang, f, m, unnest(list_transform(range(1, m - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM c, (VALUES (2), (3), (4)) AS sizes(size)
+  WHERE size < m
+), z AS (
+  SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = s.lang AND i.phrase = s.phrase AND 100 * i.f >= 100 * s.f)
+), o AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank, phrase, f AS a, l, r, n, score::BIGINT AS score FROM z
+)
+SELECT * FROM o WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
+    "op12_phrase_collocations": _COLLOCATIONS,
     "op11_importance_resampling": _IMPORTANCE,
     "op4_mixing_sources": _MIX.format(docs="documents")
     + """

@@ -127,3 +127,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canvass.llm import window_fit
 
     return window_fit.pack_documents(spark, table(spark, sf_dir, "documents"), byte_tokenizer())
+
+
+@query("op12_phrase_collocations")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canvass.llm import collocations
+
+    return collocations.collocations(spark, table(spark, sf_dir, "documents"))
