@@ -1,5 +1,5 @@
-"""Models: L2 logistic regression, boosted trees, cross-validation, coefficient
-tables and a save/reload check (X3, X6, X7, X15, S7).
+"""Models: L2 logistic regression, cross-validation, coefficient
+tables and a save/reload check (X3, X6, X15, S7). Boosted trees (X7) are in ``boosting``.
 
 Statistics that the reference fits inside its preprocessing pipeline (means,
 population sds, level counts) are fitted here on the training rows with one
@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +28,6 @@ from canvass.operators.features import INFREQUENT, MISSING
 from canvass.session import checkpoint_root
 
 SEED = fixed.SEED
-GBT_MISSING = fixed.TREE_MISSING_LEVEL
 
 
 @dataclass(frozen=True)
@@ -127,39 +126,6 @@ def bounded_rows(train: DataFrame, id_col: str, max_rows: int = MAX_FIT_ROWS, se
     return train.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(n)) < max_rows)
 
 
-def gbt_pipeline(
-    train: DataFrame, spec: FeatureSpec, trees: int = fixed.TREES, rate: float = fixed.LEARNING_RATE,
-    depth: int = fixed.DEPTH, seed: int = SEED, smoothing: float = 20.0,
-) -> Pipeline:
-    """Boosted trees on the untransformed columns, missing values included; categoricals (missing -> '__MISSING__', any number of
-    levels) are indexed and target-encoded on train with ``smoothing`` towards the overall rate, so a
-    level of a few rows doesn't carry its own label."""
-    cats = [safe for role, _, safe in _named(spec) if role == "cat"]
-    stages = [SQLTransformer(statement=_prepare_statement(train, spec, False, GBT_MISSING, False))]
-    if cats:
-        stages += [
-            StringIndexer(inputCols=[f"{x}_lvl" for x in cats], outputCols=[f"{x}_idx" for x in cats], handleInvalid="keep"),
-            TargetEncoder(
-                inputCols=[f"{x}_idx" for x in cats], outputCols=[f"{x}_te" for x in cats], labelCol=spec.label,
-                targetType="binary", handleInvalid="keep", smoothing=smoothing,
-            ),
-        ]
-    inputs = [f"{safe}_te" if role == "cat" else safe for role, _, safe in _named(spec)]
-    # trees split on order only: a missing number becomes one below all others
-    fill = ", ".join(f"COALESCE({safe}, -1e300) AS {safe}_v" for role, _, safe in _named(spec) if role != "cat")
-    if fill:
-        stages.append(SQLTransformer(statement=f"SELECT *, {fill} FROM __THIS__"))
-        inputs = [f"{safe}_te" if role == "cat" else f"{safe}_v" for role, _, safe in _named(spec)]
-    stages += [
-        VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"),
-        GBTClassifier(
-            featuresCol="features", labelCol=spec.label, maxIter=trees, stepSize=rate, maxDepth=depth, seed=seed,
-            cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024,
-        ),
-    ]
-    return Pipeline(stages=stages)
-
-
 def score(model: PipelineModel, df: DataFrame, id_col: str, label: str) -> DataFrame:
     """``(id, label, probability of class 1, prediction at >= 0.5)``."""
     out = model.transform(df)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from canvass import fixed
 from canvass.functions import scalars as sc
 from canvass.operators import association as asc
+from canvass.operators import boosting
 from canvass.operators import clean as cl
 from canvass.operators import evaluate as ev
 from canvass.operators import features as ft
@@ -772,16 +773,12 @@ def gbt_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         out, spec = tree_table(spark, sf_dir)
         train = md.bounded_rows(out.filter(F.col("split") == "train"), "respondent_id")
-        model = md.gbt_pipeline(train, spec, trees=GBT_TREES).fit(train)
-        return md.score(model, out.filter(F.col("split") == "test"), "respondent_id", "target")
+        model = boosting.fit(train, boosting.Columns(spec.numeric, spec.categorical, spec.passthrough))
+        return model.score(out.filter(F.col("split") == "test"), "respondent_id")
 
     return fx.materialized(spark, "gbt_predictions", sf_dir, build)
 
 
-#: Trees of the tree queries (the tests build few).
-GBT_TREES = fixed.TREES
-
-
 @query("gbt_scores")
 def q_gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gbt_predictions(spark, sf_dir)

@@ -44,9 +44,8 @@ def materialized(spark: SparkSession, name: str, sf_dir: str, build) -> DataFram
     recomputing its joins, and the lineage is cut (executor loss never forces
     a recompute from the raw tables)."""
     ship_package(spark)  # tail probabilities run in Python workers
-    # by the files read, so that another table under the same path is another view
-    files = tuple(sorted(f for t in BASE_TABLES for f in table(spark, sf_dir, t).inputFiles()))
-    key = (spark.sparkContext.applicationId, name, sf_dir.rstrip("/"), hash(files))
+    # by age and size of what is read, so that another table under the same path is another view
+    key = (spark.sparkContext.applicationId, name, sf_dir.rstrip("/"), _state(spark, sf_dir))
     path = _MATERIALIZED.get(key)
     if path is None:
         path = scratch_path(spark, f"view-{name}")
@@ -55,6 +54,17 @@ def materialized(spark: SparkSession, name: str, sf_dir: str, build) -> DataFram
     return spark.read.parquet(path)
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Last change and length of each base table's file or folder: a few look-ups, no listing and no schema."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for t in BASE_TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((status.getModificationTime(), status.getLen()))
+    return tuple(out)
+
+
 def respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1, materialized: see ``build_respondents``."""
     return materialized(spark, "respondents", sf_dir, lambda: build_respondents(spark, sf_dir))

@@ -18,7 +18,7 @@ def test_planted_signal_ranks_first(spark):
     df = spark.createDataFrame(rows, "id long, x1 double, x2 double, cat string, target int")
     spec = md.FeatureSpec(numeric=["x1", "x2"], categorical=["cat"], passthrough=[], min_frequency=30)
     model = md.logistic_pipeline(df, spec).fit(df)
-    coefs = md.coefficient_table(spark, model, df).orderBy(F.abs("coefficient").desc()).collect()
+    coefs = md.coefficient_table(spark, model, spec).orderBy(F.abs("coefficient").desc()).collect()
     assert coefs[0].feature == "num__x1" and coefs[0].coefficient > 0
     scored = md.score(model, df, "id", "target")
     acc = scored.agg(F.avg((F.col("prediction") == F.col("target")).cast("double"))).first()[0]

@@ -8,7 +8,6 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from canvass.plans import catalog
 from canvass.plans.catalog import CATALOG
 from canvass.sources.tables import TABLES
 
@@ -69,8 +68,7 @@ def test_entry_schema_stable(spark):
     assert len(a.collect()) > 0
 
 
-def test_tree_and_cross_validation_queries(spark, monkeypatch):
-    monkeypatch.setattr(catalog, "GBT_TREES", 2)
+def test_tree_and_cross_validation_queries(spark):
     scores = QUERIES["gbt_scores"](spark, SF_SMALL).collect()
     assert scores and all(0 <= r.probability <= 1 for r in scores)
     assert QUERIES["gbt_test_metrics"](spark, SF_SMALL).first().n == len(scores)
