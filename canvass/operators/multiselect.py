@@ -125,18 +125,31 @@ def multihot(
     For every question of ``questions`` in their order (those of the vocabulary without; none that end in
     ``exclude_suffix``): ``<q>__answered``, also for a question that was only ever answered with '', and one tinyint
     ``<q>__<token>`` per sorted token of the vocabulary; null and '' give all zeros, duplicates give 1.
-    The projection goes to Spark as SQL text: a wide table has a thousand columns and more.
+    A cell's tokens are looked up once and packed into bits; a column is a test of one bit. The projection goes to Spark as SQL text: a wide table has a thousand columns and more.
     """
     used = [q for q in (questions if questions is not None else list(vocab)) if not (exclude_suffix and q.endswith(exclude_suffix))]
-    pattern = literal(_quoted(sep))
-    cells = df.selectExpr(
-        *map(quoted, keep), *(x for i, q in enumerate(used) for x in (f"{quoted(q)} IS NOT NULL AS __a{i}", f"split(nullif({quoted(q)}, ''), {pattern}, -1) AS __t{i}"))
-    )
-    columns = [quoted(c) for c in keep]
+    cells, columns = [quoted(c) for c in keep], [quoted(c) for c in keep]
     for i, q in enumerate(used):
+        cells.append(f"{quoted(q)} IS NOT NULL AS __a{i}")
         columns.append(f"__a{i} AS {quoted(q + '__answered')}")
-        columns += [f"cast(coalesce(array_contains(__t{i}, {literal(t)}), false) AS tinyint) AS {quoted(f'{q}__{t}')}" for t in vocab.get(q, [])]
-    return cells.selectExpr(*columns)
+        options = vocab.get(q, [])
+        for w in range(0, len(options), WORD_BITS):
+            word = options[w : w + WORD_BITS]
+            cells.append(f"{_answer_bits(q, word, sep)} AS __b{i}_{w}")
+            # array_position counts from 1, so bit 0 marks the tokens that the word lacks
+            columns += [f"cast(shiftright(__b{i}_{w}, {k}) & 1 AS tinyint) AS {quoted(f'{q}__{t}')}" for k, t in enumerate(word, 1)]
+    return df.selectExpr(*cells).selectExpr(*columns)
+
+
+#: Options of one bit word.
+WORD_BITS = 60
+
+
+def _answer_bits(question: str, options: Sequence[str], sep: str) -> str:
+    """A cell's tokens as one number: bit k for the k-th of ``options``; each token is looked up once."""
+    tokens = f"split(nullif({quoted(question)}, ''), {literal(_quoted(sep))}, -1)"
+    listed = f"array({', '.join(map(literal, options))})"
+    return f"coalesce(aggregate({tokens}, 0L, (bits, t) -> bits | shiftleft(1L, cast(array_position({listed}, t) AS int))), 0L)"
 
 
 def option_counts(df: DataFrame, questions: Sequence[str], sep: str = MULTI_SEP) -> DataFrame:

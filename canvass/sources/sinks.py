@@ -17,10 +17,12 @@ NULL_CELL = "\\N"
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    """``partition_by``: rows meet by these columns first, so a value's files are bounded by size and not by the number of
+    tasks; a value of many rows is split over several tasks by their sizes (skewed shares of a rebalance)."""
+    if not partition_by:
+        df.write.mode("overwrite").parquet(path)
+        return path
+    df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return path
 
 

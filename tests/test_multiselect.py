@@ -53,3 +53,25 @@ def test_derived_set_check_finds_mismatch(spark):
     )
     r = ms.derived_set_check(df, "id", "h", "w", "both").first()
     assert (r.n_rows, r.n_match, r.n_mismatch) == (4, 3, 1)
+
+
+def test_more_options_than_a_bit_word_and_odd_names(spark, monkeypatch):
+    options = [f"o'{i}\\" for i in range(150)]
+    rows = [(i, None if i % 7 == 0 else ";".join(options[k] for k in range(150) if (k * 31 + i) % 11 == 0)) for i in range(40)]
+    df = spark.createDataFrame([*rows, (40, ""), (41, f"{options[3]};{options[3]};unknown")], "id long, `q.1` string")
+    wide = {r["id"]: r for r in ms.multihot(df, ["id"], {"q.1": options}).collect()}
+    for i, cell in [*rows, (40, ""), (41, f"{options[3]};unknown")]:
+        tokens = set((cell or "").split(";"))
+        assert wide[i]["q.1__answered"] == (cell is not None)
+        assert [wide[i][f"q.1__{o}"] for o in options] == [int(o in tokens) for o in options]
+
+
+def test_partitioned_files_follow_size_not_tasks(spark, tmp_path):
+    import glob
+
+    from canvass.sources import sinks
+
+    rows = spark.range(0, 3000, 1, 40).selectExpr("id", "if(id % 3 = 0, 'hot', concat('q', id % 20)) AS question", "'v' AS value")
+    back = sinks.parquet_roundtrip(rows, str(tmp_path / "long"), ["question"])
+    assert sorted(back.collect()) == sorted(rows.collect())
+    assert all(len(glob.glob(f"{d}/*.parquet")) <= 2 for d in glob.glob(str(tmp_path / "long/question=*")))
