@@ -10,8 +10,9 @@ pandas UDF on those few result rows only.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,31 +34,60 @@ from canvass.operators.profile import numeric_summary
 from canvass.operators.quantile import column_quantiles
 from canvass.session import checkpoint_root
 
+#: Rows of one product of matrices.
+GRAM_ROWS = 4096
+#: A variance below this share of the mean square about the median counts as none.
+NO_SPREAD = 1e-13
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str], min_n: int = MIN_PAIRS) -> DataFrame:
     """A13 + A14: Pearson r of every pair on pairwise-complete rows, with n and
     a strength tier (abs r >= .5 strong, >= .3 medium); pairs with n < min_n
-    are skipped. One aggregate computes all k(k-1)/2 pairs."""
-    pairs = list(combinations(columns, 2))
-    if not pairs:
+    are skipped. Missing and NaN take no part; a pair with an infinite value has r = NaN, one without spread null.
+
+    All pairs come from products of matrices: with X the values about their medians (0 where missing) and M the 0/1 matrix of present ones,
+    M'M counts the rows, X'M and (X*X)'M sum a column where another is present, X'X the products. A task adds up
+    its blocks and sends one row a pair; no row of the table is multiplied."""
+    if len(columns) < 2:
         raise ValueError("need at least two columns")
-    # pairs become rows in the task (a narrow loop over an array of values, however many pairs there
-    # are) and one groupBy on the pair's number reduces them to sums before the shuffle
-    values = F.array(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in columns])
-    place = {c: i for i, c in enumerate(columns)}
-    plan = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(place[a]).alias("i"), F.lit(place[b]).alias("j")) for k, (a, b) in enumerate(pairs)])
-    x, y = F.get("v", F.col("p.i")), F.get("v", F.col("p.j"))
-    rows = df.select(values.alias("v")).select("v", F.explode(plan).alias("p")).select(F.col("p.k").alias("k"), x.alias("x"), y.alias("y"))
-    both = F.col("x").isNotNull() & F.col("y").isNotNull()
-    sums = rows.groupBy("k").agg(
-        F.count(F.when(both, 1)).alias("n"),
-        F.covar_pop("x", "y").alias("xy"),
-        F.var_pop(F.when(both, F.col("x"))).alias("xx"),
-        F.var_pop(F.when(both, F.col("y"))).alias("yy"),
-    )
+    numbers = [F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in columns]
+    finite = [F.when(F.abs(x) < float("inf"), x) for x in numbers]
+    middle = df.agg(*[F.percentile_approx(x, 0.5, 100).alias(f"m{i}") for i, x in enumerate(finite)]).first()
+    shift = np.array([m or 0.0 for m in middle])
+    upper = np.triu_indices(len(columns), 1)
+    sums = ("n", "bad", "sx", "sy", "sxx", "syy", "sxy")
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(shift))
+            for lo in range(0, len(flat), GRAM_ROWS):
+                x = flat[lo : lo + GRAM_ROWS] - shift
+                here = (~np.isnan(x)).astype(np.float64)
+                off = np.isinf(x).astype(np.float64)
+                x = np.where(np.isfinite(x), x, 0.0)
+                part = np.stack([here.T @ here, off.T @ here, x.T @ here, (x * x).T @ here, x.T @ x])
+                total = part if total is None else total + part
+        if total is not None:
+            n, bad, s, ss, p = total
+            both = lambda m: (m[upper], m.T[upper])
+            cols = [n[upper], sum(both(bad)), *both(s), *both(ss), p[upper]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in upper), *(pa.array(c) for c in cols)], names=["i", "j", *sums])
+
+    parts = df.select(F.array(*numbers).alias("v")).mapInArrow(run, "i int, j int, " + ", ".join(f"{c} double" for c in sums))
+    added = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in sums)).withColumn("n", F.col("n").cast("long")).filter(F.col("n") >= min_n)
+
+    def spread(s: str, ss: str) -> Column:
+        # about the median: a column without spread has sums that cancel but for rounding
+        square = F.try_divide(F.col(ss), F.col("n"))
+        v = square - F.pow(F.try_divide(F.col(s), F.col("n")), 2)
+        return F.when(v > square * NO_SPREAD, v)
+
+    xy = F.try_divide(F.col("sxy"), F.col("n")) - F.try_divide(F.col("sx"), F.col("n")) * F.try_divide(F.col("sy"), F.col("n"))
     # a column without spread has no correlation: null, never a division error
-    corr = F.try_divide(F.col("xy"), F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))))
-    name = lambda which: F.element_at(F.array(*[F.lit(p[which]) for p in pairs]), F.col("k") + 1)
-    out = sums.filter(F.col("n") >= min_n).select(name(0).alias("var1"), name(1).alias("var2"), "n", corr.alias("r"))
+    corr = F.when(F.col("bad") > 0, F.lit(float("nan"))).otherwise(xy / (F.sqrt(spread("sx", "sxx")) * F.sqrt(spread("sy", "syy"))))
+    name = lambda at: F.element_at(F.array(*map(F.lit, columns)), F.col(at) + 1)
+    out = added.select(name("i").alias("var1"), name("j").alias("var2"), "n", corr.alias("r"))
     return out.withColumn("strength", F.when(F.col("r").isNotNull(), tier(F.abs(F.col("r")), *CORRELATION_TIERS)))
 
 

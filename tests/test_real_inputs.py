@@ -9,6 +9,7 @@ from canvass.functions import scalars as sc
 from canvass.operators import clean as cl
 from canvass.operators import evaluate as ev
 from canvass.operators import features as ft
+from canvass.operators import boosting
 from canvass.operators import model as md
 from canvass.operators import multiselect as ms
 from canvass.operators import split as sp
@@ -121,9 +122,8 @@ def test_column_without_values(spark):
 def test_trees_take_many_levels_and_missing_numbers(spark):
     rows = [(i, None if i % 3 == 0 else float(i % 50), f"level {i % 20_000}", int(i % 50 > 24 and i % 3 > 0)) for i in range(24_000)]
     df = spark.createDataFrame(rows, "id long, x double, c string, target int")
-    spec = md.FeatureSpec(["x"], ["c"], [])
-    model = md.gbt_pipeline(md.bounded_rows(df, "id", 20_000), spec, trees=3, depth=3).fit(df)
-    got = md.score(model, df, "id", "target")
+    model = boosting.fit(md.bounded_rows(df, "id", 20_000), boosting.Columns(["x"], ["c"], []), trees=3, depth=3)
+    got = model.score(df, "id")
     assert got.agg(F.avg((F.col("prediction") == F.col("target")).cast("double"))).first()[0] > 0.95
 
 

@@ -151,3 +151,30 @@ def test_approx_profile_path_close_to_exact(spark):
     for k in ("p25", "p50", "p75"):
         assert abs(exact[k] - approx[k]) <= 2.0
     assert exact["count"] == approx["count"] == 5000
+
+
+def test_correlations_of_many_columns_equal_numpy(spark):
+    """300 columns, 44,850 pairs; missing, NaN and infinite values, columns far from 0, constant where the other is present."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 300)) + 1e6 * (np.arange(300) % 7 == 0)
+    x[:, 1] += 2 * x[:, 2]
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:60, 4], x[60:, 4], x[60:, 5] = 3.25, 7.5, np.nan
+    x[3, 9] = np.inf
+    names = [f"c.{i}" for i in range(300)]
+    rows = [[None if np.isnan(v) and (i + k) % 2 else float(v) for i, v in enumerate(r)] for k, r in enumerate(x)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in names))
+    got = {(r.var1, r.var2): (r.n, r.r) for r in asc.correlation_pairs(df.repartition(5), names, min_n=0).collect()}
+    assert len(got) == 300 * 299 // 2
+    for i in range(0, 300, 3):
+        for j in range(i + 1, min(300, i + 12)):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            n, r = got[names[i], names[j]]
+            assert n == both.sum()
+            if 9 in (i, j) and both[3]:
+                assert np.isnan(r)
+            else:
+                assert r == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+    assert got["c.4", "c.5"] == (int((~np.isnan(x[:60, 5])).sum()), None)
