@@ -2,8 +2,9 @@
 
 Counts come level by level. A phrase of n words can only reach ``LEAST`` if both its parts of n - 1 words do, so a level only counts the places where
 the level before passed a filter (a bit table of fixed size made from that level's frequent phrases; what it lets through wrongly
-is counted like the rest and dropped by its count). Level 1 is an aggregate over words; level 2 reads the texts again; then
-the stretches of frequent pairs are written once and the higher levels read those.
+is counted like the rest and dropped by its count). Level 1 is an aggregate over words. Pairs, which are by far the most, are first counted
+by a short hash code only (sorted codes take some two bytes each; codes that pairs share count too much, never too little). The
+stretches of pairs whose code reaches ``LEAST`` are written once, and levels 2 and up count those exactly.
 
 At each level a task gathers its phrases, builds a count automaton of each range of prefixes (a hash of the first two words, so a frequent
 first word is spread) and sends them; a range's automata are united, counts summed, and the frequent phrases written.
@@ -16,6 +17,7 @@ A word's label is 64 bits of hash of language and word, so languages don't mix;
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +42,7 @@ FOLD_BYTES = 1 << 26
 #: Bits of a filter, at most: 32 MB to each worker.
 FILTER_BITS = 28
 #: Requests of a look-up group, on average at most.
-ASKED = 100_000
+ASKED = 20_000
 SALTS = 64
 
 _U = np.uint64
@@ -239,30 +241,89 @@ def _keys(phrases: np.ndarray) -> np.ndarray:
     return out
 
 
-def pair_automata(texts: DataFrame, passed, bits: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]):
-        def chunks():
-            for block in cm.text_blocks(batches, "text"):
-                labels, _, _, _, follows = labelled(block)
-                yield _windows(labels, places(labels, follows, 2, passed.value), 2)
+def pack_codes(codes: np.ndarray, count: np.ndarray) -> bytes:
+    """Ascending codes (of 32 bits) as differences, a plane for each of their bytes, and counts up to 255; compressed."""
+    steps = np.diff(codes, prepend=np.zeros(1, _U)).astype("<u4")
+    raw = steps.view(np.uint8).reshape(-1, 4).T.tobytes() + np.minimum(count, 255).astype(np.uint8).tobytes()
+    return struct.pack("<I", len(codes)) + pa.compress(raw, "zstd", asbytes=True)
 
-        yield from gathered(chunks(), bits)
 
-    return texts.mapInArrow(run, "range long, automaton binary")
+def unpack_codes(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    (n,) = struct.unpack_from("<I", blob)
+    raw = np.frombuffer(pa.decompress(blob[4:], 5 * n, "zstd", asbytes=True), np.uint8)
+    steps = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").reshape(-1)
+    return np.cumsum(steps, dtype=_U), raw[4 * n :].astype(np.int64)
+
 
+def frequent_pair_codes(texts: DataFrame, passed, total: int, bits: int, least: int) -> tuple[DataFrame, int]:
+    """``key`` of the hash codes that pairs of frequent words reach ``least`` times together, and the width of the codes: some
+    hundred codes for each word of the corpus, so few pairs share one."""
+    if least > 255:
+        raise ValueError("counts of codes end at 255")
+    width = min(bits + 32, total.bit_length() + 7)
+    low = width - bits
 
-def stretches(texts: DataFrame, passed) -> DataFrame:
-    """Stretches of 3 words and more whose neighbours all pass the filter of pairs: labels (8 bytes each), a 0 behind each stretch."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        def rows(codes):
+            own, n = np.unique(codes, return_counts=True)
+            part = (own >> _U(low)).astype(np.int64)
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            blobs = [pack_codes(own[i:j] & _U((1 << low) - 1), n[i:j]) for i, j in zip(edges, edges[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array(blobs, pa.binary())], names=["range", "codes"])
+
+        held, n = [], 0
+        for block in cm.text_blocks(batches, "text"):
+            labels, _, _, _, follows = labelled(block)
+            at = places(labels, follows, 2, passed.value)
+            if len(at):
+                held.append(phrase_hash(labels, 2)[at] >> _U(64 - width))
+                n += len(at)
+            if n >= 2 * GATHER:
+                yield rows(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield rows(np.concatenate(held))
+
+    def add(batches: Iterator[pa.RecordBatch]):
+        for own, blobs in _by_range(batches):
+            codes, counts = (np.concatenate(x) for x in zip(*map(unpack_codes, blobs)))
+            codes, at = np.unique(codes, return_inverse=True)
+            codes = codes[np.bincount(at, counts) >= least]
+            keys = cm.mix64(codes | _U(own << low))
+            yield pa.RecordBatch.from_arrays([pa.array(cm.signed(keys))], names=["key"])
+
+    sent = texts.mapInArrow(run, "range long, codes binary")
+    parts = cm.shuffle_width(texts.sparkSession)
+    keys = sent.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(add, "key long")
+    return cm.written(keys, "collocation-codes"), width
+
+
+def _by_range(batches: Iterator[pa.RecordBatch]):
+    """(range, its blobs) of rows sorted by range."""
+    current, blobs = None, []
+    for batch in batches:
+        for own, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if own != current and blobs:
+                yield current, blobs
+                blobs = []
+            current = own
+            blobs.append(blob.as_py())
+    if blobs:
+        yield current, blobs
+
+
+def stretches(texts: DataFrame, words, codes, width: int) -> DataFrame:
+    """Stretches of 2 words and more, all frequent, whose neighbours' codes are frequent too: labels (8 bytes each), a 0 behind each stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for block in cm.text_blocks(batches, "text"):
             labels, _, _, _, follows = labelled(block)
-            if len(labels) < 3:
+            at = places(labels, follows, 2, words.value)
+            if not len(at):
                 continue
-            pair = follows.copy()
-            pair[:-1] &= passed.value.passes(phrase_hash(labels, 2))
-            by_next, by_last = np.append(pair[1:], False), np.append(False, pair[:-1])
-            pair &= by_next | by_last
+            at = at[codes.value.passes(cm.mix64(phrase_hash(labels, 2)[at] >> _U(64 - width)))]
+            pair = np.zeros(len(labels), bool)
+            pair[at] = True
             held = pair | np.append(False, pair[:-1])
             ends = held & ~pair
             at = np.cumsum(held + ends.astype(np.int64)) - 1 - ends
@@ -274,7 +335,9 @@ def stretches(texts: DataFrame, passed) -> DataFrame:
     return texts.mapInArrow(run, "labels binary")
 
 
-def longer_automata(runs: DataFrame, passed, n: int, bits: int) -> DataFrame:
+def level_automata(runs: DataFrame, passed, n: int, bits: int) -> DataFrame:
+    """Automata of the phrases of n words in ``runs``; above 2 words of those whose parts pass."""
+
     def run(batches: Iterator[pa.RecordBatch]):
         def chunks():
             for batch in batches:
@@ -282,7 +345,8 @@ def longer_automata(runs: DataFrame, passed, n: int, bits: int) -> DataFrame:
                     labels = np.frombuffer(raw.as_py(), "<u8")
                     word = labels != 0
                     follows = np.append(word[:-1] & word[1:], False)
-                    yield _windows(labels, places(labels, follows, n, passed.value), n)
+                    at = places(labels, follows, n, passed.value) if n > 2 else np.flatnonzero(follows)
+                    yield _windows(labels, at, n)
 
         yield from gathered(chunks(), bits)
 
@@ -302,12 +366,10 @@ def frequent_phrases(spark: SparkSession, texts: DataFrame, words: DataFrame, to
             break
         passed = spark.sparkContext.broadcast(make_filter(level, known))
         if n == 2:
-            found = pair_automata(texts, passed, bits)
-        else:
-            if n == 3:
-                runs = cm.written(stretches(texts, passed), "collocation-stretches")
-            found = longer_automata(runs, passed, n, bits)
-        level = united(found, n, least, f"collocation-level{n}")
+            keys, width = frequent_pair_codes(texts, passed, total, bits, least)
+            codes = spark.sparkContext.broadcast(make_filter(keys, keys.count()))
+            runs = cm.written(stretches(texts, passed, codes, width), "collocation-stretches")
+        level = united(level_automata(runs, passed, n, bits), n, least, f"collocation-level{n}")
         out = out.unionByName(level.select("phrase", F.lit(n).alias("n"), "f"))
     return out
 
