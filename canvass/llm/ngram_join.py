@@ -8,7 +8,9 @@ the similarity, and only then whole sets are compared.
 
 Equal sets are one node from the start. Links are found in two rounds, so a group of thousands of near copies doesn't
 become all its pairs: first each token's members meet only the least of them; the links found give
-components, and then only members of different components meet, in cells of bounded size.
+components, and then only members of different components meet, in cells of bounded size. There every posting carries a parity bitmap
+of its whole set: sets whose bitmaps differ in d bits differ in d tokens at least, so a pair that can't be similar is
+refused before it is sent.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SLICES = 32
 LEFT, RIGHT = 256, 1 << 16
 #: Open tokens (32 bytes each) that are broadcast; beyond, they are joined.
 OPEN_TOKENS = 1_000_000
+#: Bits of a set's parity bitmap.
+PARITY_BITS = 512
 _U = np.uint64
 _TURN = cm.random_words(16, 77)
 
@@ -47,7 +51,7 @@ def shingles(block: cm.TextBlock, words: int = WORDS) -> tuple[np.ndarray, np.nd
     many = np.maximum(size - words + 1, np.minimum(size, 1))
     ends = np.concatenate([[0], np.cumsum(many)])
     total = np.zeros(max(0, len(h)), _U)
-    for k in range(words):  # sums of word k places on, times a multiplier of the place
+    for k in range(min(words, len(h))):  # sums of word k places on, times a multiplier of the place
         total[: len(h) - k] += cm.mix64(h[k:] + _TURN[k]) * _TURN[k + 5]
     first = np.arange(ends[-1]) + np.repeat(bounds[:-1] - ends[:-1], many)
     out = total[first]
@@ -116,13 +120,19 @@ def _node(tokens: np.ndarray) -> int:
     return int(cm.mix64(np.array([(cm.mix64(tokens) * (cm.random_words(1, 5)[0] + _U(2) * np.arange(n, dtype=_U))).sum() + _U(n)], _U)).view(np.int64)[0])
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """Per bit whether an odd number of the set's tokens falls on it."""
+    place = (cm.mix64(tokens + _TURN[15]) >> _U(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=PARITY_BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def prefixes(docs: DataFrame, counts) -> DataFrame:
-    """(k1, k2, doc_id, n, node, prefix) of every row: size and node of its set, and its first tokens in the first order (null where
-    the same set came before in the block)."""
+    """(k1, k2, doc_id, n, node, prefix, bits) of every row: size and node of its set, its first tokens in the first order and its
+    parity bitmap (both null where the same set came before in the block)."""
 
     def run(batches):
         for block in cm.text_blocks(batches, "text"):
-            sizes, nodes, firsts, seen = [], [], [], set()
+            sizes, nodes, firsts, bits, seen = [], [], [], [], set()
             for tokens in _distinct(block):
                 sizes.append(len(tokens))
                 node = _node(tokens) if len(tokens) else None
@@ -130,12 +140,12 @@ def prefixes(docs: DataFrame, counts) -> DataFrame:
                 fresh = node is not None and node not in seen
                 seen.add(node)
                 firsts.append(ordered(tokens, counts.value, 0)[: prefix_size(len(tokens))].tobytes() if fresh else None)
-            yield pa.RecordBatch.from_arrays(
-                [*block.rows.columns, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(firsts, pa.binary())], names=["k1", "k2", "doc_id", "n", "node", "prefix"]
-            )
+                bits.append(parity(tokens) if fresh else None)
+            own = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(firsts, pa.binary()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*block.rows.columns, *own], names=["k1", "k2", "doc_id", "n", "node", "prefix", "bits"])
 
     rows = docs.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("__id").alias("doc_id"), F.col("__text").alias("text"))
-    return rows.mapInArrow(run, "k1 long, k2 long, doc_id long, n long, node long, prefix binary")
+    return rows.mapInArrow(run, "k1 long, k2 long, doc_id long, n long, node long, prefix binary, bits binary")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, counts) -> DataFrame:
@@ -182,18 +192,19 @@ def _bound(i, j, na, nb, percent: int = PERCENT):
 
 
 def stars(prefix_rows: DataFrame) -> DataFrame:
-    """(a, b, fits): each token's members with the least of them, and whether their sizes and the token's places in both allow the
-    similarity. Tasks link their own members first and send one for each token."""
+    """(a, b, fits): each token's members with the least of them, if their sizes and the token's places in both allow the
+    similarity; (a, a, false) for members that meet another one at all. Tasks link their own members first and send one for each token."""
 
     def pairs(a, b, fits):
-        """Distinct pairs, those that fit for any token first."""
+        """Distinct pairs that fit for some token, and the members of all."""
         if not len(a):
             return np.zeros((0, 3), np.int64)
-        order = np.lexsort((~fits, b, a))
-        a, b, fits = a[order], b[order], fits[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return np.stack([a[new], b[new], fits[new].astype(np.int64)], 1)
+        near = np.unique(np.stack([a[fits], b[fits]], 1), axis=0) if fits.any() else np.zeros((0, 2), np.int64)
+        some = np.unique(np.concatenate([a, b]))
+        rows = np.ones((len(near) + len(some), 3), np.int64)
+        rows[: len(near), :2] = near
+        rows[len(near) :] = np.stack([some, some, 0 * some], 1)
+        return rows
 
     def local(batches):
         for batch in batches:
@@ -243,14 +254,24 @@ def across(prefix_rows: DataFrame, members: DataFrame) -> DataFrame:
 
     def spread(batches):
         for batch in batches:
-            token, node, n, place = _postings(batch)
+            for lo in range(0, batch.num_rows, 512):  # a posting is larger than a token
+                part = batch.slice(lo, 512)
+                token, node, n, place = _postings(part)
+                many = np.array([len(x) // 8 for x in part.column("prefix").to_pylist()], np.int64)
+                label = np.repeat(part.column("label").to_numpy(), many)
+                bits = part.column("bits").take(pa.array(np.repeat(np.arange(part.num_rows), many)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (token, node, label, n, place)), bits], names=["token", "node", "label", "n", "place", "bits"])
+
+    def tokens(batches):
+        for batch in batches:
             many = np.array([len(x) // 8 for x in batch.column("prefix").to_pylist()], np.int64)
             label = np.repeat(batch.column("label").to_numpy(), many)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, node, label, n, place)], names=["token", "node", "label", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(_postings(batch)[0]), pa.array(label)], names=["token", "label"])
 
-    kept = prefix_rows.join(members, "node").select("node", "label", "n", "prefix")
-    rows = kept.mapInArrow(spread, "token long, node long, label long, n long, place long")
-    groups = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
+    kept = prefix_rows.join(members, "node").select("node", "label", "n", "prefix", "bits")
+    rows = kept.mapInArrow(spread, "token long, node long, label long, n long, place long, bits binary")
+    groups = kept.mapInArrow(tokens, "token long, label long")
+    groups = groups.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
     groups = groups.groupBy("token").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top")).filter("m > top.m")
     groups = cm.written(groups.select("token", F.col("top.label").alias("top"), F.col("m").alias("all"), (F.col("m") - F.col("top.m")).alias("few")), "ngram-open")
     lefts = F.ceil(F.col("few") / LEFT)
@@ -259,10 +280,10 @@ def across(prefix_rows: DataFrame, members: DataFrame) -> DataFrame:
     both = rows.join(F.broadcast(groups) if groups.count() <= OPEN_TOKENS else groups, "token")
     spot = F.xxhash64("node")
     left = both.filter("label != top").select(
-        "token", F.pmod(spot, lefts).alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"), F.lit(False).alias("right"), "node", "label", "n", "place", "top"
+        "token", F.pmod(spot, lefts).alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"), F.lit(False).alias("right"), "node", "label", "n", "place", "top", "bits"
     )
     right = both.select(
-        "token", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), F.pmod(spot, rights).alias("j"), F.lit(True).alias("right"), "node", "label", "n", "place", "top"
+        "token", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), F.pmod(spot, rights).alias("j"), F.lit(True).alias("right"), "node", "label", "n", "place", "top", "bits"
     )
     cells = left.unionByName(right).repartition(cm.shuffle_width(spark), "token", "i", "j").sortWithinPartitions("token", "i", "j", "right")
 
@@ -270,6 +291,7 @@ def across(prefix_rows: DataFrame, members: DataFrame) -> DataFrame:
         current, held = None, None
         for batch in batches:
             token, i, j, right, node, label, n, place, top = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(9))
+            bits = np.frombuffer(b"".join(batch.column(9).to_pylist()), _U).reshape(len(token), -1)
             edge = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             cuts = np.concatenate([[0], edge, [len(token)]])
             found = []
@@ -279,15 +301,19 @@ def across(prefix_rows: DataFrame, members: DataFrame) -> DataFrame:
                 if cell != current:
                     current, held = cell, None
                 if mid > lo:
-                    own = tuple(x[lo:mid] for x in (node, label, n, place))
+                    own = tuple(x[lo:mid] for x in (node, label, n, place, bits))
                     held = own if held is None else tuple(np.concatenate(x) for x in zip(held, own))
                 if held is None:
                     continue
                 for k in range(mid, hi, 2048):
                     part = slice(k, min(hi, k + 2048))
-                    a = [x[:, None] for x in held]
+                    a = [x[:, None] for x in held[:4]]
                     good = (a[1] != label[part]) & ((label[part] == top[lo]) | (a[0] < node[part])) & _bound(a[3], place[part], a[2], n[part])
                     x, y = np.nonzero(good)
+                    if len(x):
+                        both, apart = held[2][x] + n[part][y], np.bitwise_count(held[4][x] ^ bits[part][y]).sum(axis=1, dtype=np.int64)
+                        close = (100 + PERCENT) * ((both - apart) // 2) >= PERCENT * both
+                        x, y = x[close], y[close]
                     if len(x):
                         p, q = held[0][x], node[part][y]
                         found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
@@ -338,7 +364,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _nodes_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return pairs.select(F.col("a").alias("node")).unionAll(pairs.filter("a != b").select(F.col("b").alias("node"))).distinct()
 
 
 def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,7 +379,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     placed = cm.written(rows.select("k1", "k2", "doc_id", "n", "node"), "ngram-rows")
     met = cm.written(stars(rows.filter("prefix is not null").select("node", "n", "prefix")), "ngram-stars")
     wanted = _nodes_of(met)
-    short = rows.filter("prefix is not null").select("node", "n", "prefix")
+    short = rows.filter("prefix is not null").select("node", "n", "prefix", "bits")
     short = cm.written(short.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "ngram-short")
     cm.discard(rows)
     keys = cm.written(placed.filter("node is not null").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).join(wanted, "node").select("node", "k.k1", "k.k2"), "ngram-keys")
