@@ -171,6 +171,42 @@ def train(
     return fit(index, bounds, flag, bits, np.maximum(weight, 1e-9))
 
 
+def _above(model: Model | None, block: cm.TextBlock, bits: int) -> np.ndarray:
+    """P(grade > k) of each text of a block; 0 without a model or features."""
+    if model is None:
+        return np.zeros((len(block.bounds) - 1, 1))
+    index, bounds = features(block, bits)
+    some = model.weights[index] != 0  # few features have a weight
+    sub, at = distinct(index[some], np.concatenate([[0], np.cumsum(some)])[bounds], bits)
+    total = np.concatenate([[0.0], np.cumsum(model.weights[sub])])
+    up = model.above(total[at[1:]] - total[at[:-1]])
+    up[np.diff(bounds) == 0] = 0
+    return up
+
+
+def keep_below(spark: SparkSession, docs: DataFrame, model: Model | None, limit: float = TOXIC, text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """The rows of ``docs`` whose P(grade > 0) is below ``limit``, all columns as they are. A row goes through the worker once and no column is
+    added, so names can't clash and texts aren't sent twice. Null and empty texts stay, and all rows without a model."""
+    sent = spark.sparkContext.broadcast(model)
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    text = own[docs.columns.index(text_col)]
+    rows = docs.toDF(*own)
+
+    def run(batches):
+        model = sent.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                texts = pa.RecordBatch.from_arrays([part.column(text).cast(pa.large_string())], names=["text"])
+                below = [_above(model, block, bits)[:, 0] < limit for block in cm.text_blocks(iter([texts]), "text")]
+                yield part.filter(pa.array(np.concatenate(below)))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+
+
+#: Rows that are filtered at a time.
+ROWS = 256
+
 ADDED = ("expected_severity", "severity", "p_toxic")
 
 
@@ -188,14 +224,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | None, columns: li
         model = sent.value
         for block in cm.text_blocks(batches, "__text"):
             n = len(block.bounds) - 1
-            up = np.zeros((n, 1))
-            if model is not None:
-                index, bounds = features(block, bits)
-                some = model.weights[index] != 0  # few features have a weight
-                sub, at = distinct(index[some], np.concatenate([[0], np.cumsum(some)])[bounds], bits)
-                total = np.concatenate([[0.0], np.cumsum(model.weights[sub])])
-                up = model.above(total[at[1:]] - total[at[:-1]])
-                up[np.diff(bounds) == 0] = 0
+            up = _above(model, block, bits)
             edge = np.column_stack([np.ones(n), up, np.zeros(n)])
             grade = (edge[:, :-1] - edge[:, 1:]).argmax(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*block.rows.columns, pa.array(up.sum(axis=1)), pa.array(grade), pa.array(up[:, 0])], names=[*own, *ADDED])

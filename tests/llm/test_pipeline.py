@@ -108,3 +108,28 @@ def test_passages_of_51_words_under_400_bytes_are_cut(spark):
     assert strings > 10 and want[:3] == texts[:3] and all(a != b for a, b in zip(want[3:18], texts[3:18]))
     got = {r.doc_id: r.text for r in cp.cut_repeats(spark, documents(spark, texts), "").collect()}
     assert got == {i: t for i, t in enumerate(want) if t.strip()}
+
+
+def test_clashing_names_pass_through_all_stages(spark, folder):
+    path, texts, _ = folder
+    extra = ["p_toxic", "severity", "n_removed", "kept_text", "__size", "__weight", "__key", "__id", "__text", "__k1", "k1", "node", "a.b", "c0"]
+    docs = cm.table(spark, path, "documents")
+    for i, name in enumerate(extra):
+        docs = docs.withColumn(name, docs["doc_id"] * 100 + i)
+    for name, stage in cp.STAGES[:-1]:
+        docs = cm.written(stage(spark, docs, path), "test")
+        assert docs.columns == COLUMNS + extra
+        for r in docs.collect():
+            assert [r[c] for c in extra] == [r.doc_id * 100 + i for i in range(len(extra))]
+            assert name == "suffix_array_dedup" or r.n_chars is not None
+    assert cp.pack_sequences(spark, docs, path).count() > 0
+
+
+def test_null_and_empty_texts_in_each_stage(spark, folder):
+    path, _, _ = folder
+    rows = [(1, None), (2, ""), (3, None), (None, "one two"), (None, "one two"), (5, " \t")]
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    assert cp.drop_toxic(spark, docs, path).count() == 6
+    assert sorted(str(r.doc_id) for r in cp.one_of_near_copies(spark, docs, path).collect()) == ["1", "2", "3", "5", "None"]
+    assert cp.cut_repeats(spark, docs, path).count() == 6
+    assert cp.pack_sequences(spark, docs, path).count() == 6
