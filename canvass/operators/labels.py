@@ -1,15 +1,12 @@
 """Feature name -> question label.
 
-A model feature name carries its origin: ``num__<col>`` (``_log`` suffix for
-log scale), ``cat__<col>_<level>`` (one-hot) or ``remainder__<col>`` with
-``__answered``, ``__<option>``, ``_missing`` or ``_any``. The label is the
-codebook question of the base column with a short detail. Everything is a
-Column expression over a table of feature names; the codebook is a small
-lookup map (one entry per questionnaire column).
+A feature name says where it comes from; ``_rules`` lists the forms as patterns, the first that matches decides. A
+pattern captures the questionnaire column, whose label is looked up in one map, and where there is one the answer.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,29 +14,37 @@ from pyspark.sql import functions as F
 
 from canvass.operators.features import INFREQUENT, MISSING
 
-
-def _map(d: Mapping[str, str]) -> Column:
-    return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))]) if d else F.create_map().cast("map<string,string>")
-
-
-def _question(col: Column, codebook: Column, manual: Column) -> Column:
-    """Manual label, else codebook question, else ``<c>Num`` -> question of
-    ``<c>`` + ' (ordinal)', else the column name itself."""
-    stem = F.when(col.endswith("Num"), F.substring(col, F.lit(1), F.length(col) - 3))
-    return F.coalesce(
-        F.element_at(manual, col),
-        F.element_at(codebook, col),
-        F.when(stem.isNotNull(), F.concat(F.element_at(codebook, stem), F.lit(" (ordinal)"))),
-        col,
-    )
-
-
-def _strip_suffix(c: Column, suffix: str) -> Column:
-    return F.substring(c, F.lit(1), F.length(c) - len(suffix))
-
-
-def _clean_level(v: Column) -> Column:
-    return F.when(v == MISSING, F.lit("(no answer)")).when(v == INFREQUENT, F.lit("(rare levels)")).otherwise(v)
+#: Detail of a rule whose second capture is the answer.
+ANSWER = "-> {}"
+
+
+def _rules(categorical: Sequence[str]) -> list[tuple[str, str | None]]:
+    """(pattern, detail) of every form of a feature name, in order. An alternation tries its branches in
+    order, so the longest categorical column that fits wins."""
+    levels = "|".join(re.escape(c) for c in sorted(categorical, key=len, reverse=True))
+    one_hot = [
+        (rf"cat__({levels})_{re.escape(MISSING)}", "-> (no answer)"),
+        (rf"cat__({levels})_{re.escape(INFREQUENT)}", "-> (rare levels)"),
+        (rf"cat__({levels})_(.*)", ANSWER),
+    ]
+    other = r"(?!cat__).*?__"
+    single = r"((?:(?!__).)*)"
+    return [
+        (r"num__(.*)_log", "log scale"),
+        (r"num__(.*)", "numeric"),
+        *(one_hot if categorical else []),
+        (rf"{other}{single}__answered", "answered"),
+        (rf"{other}{single}__(.*)", ANSWER),
+        (rf"{other}(.*)_missing", "missing"),
+        (rf"{other}(.*)_any", "above zero"),
+        (rf"{other}(.*)", None),
+    ]
+
+
+def _texts(codebook: Mapping[str, str], manual: Mapping[str, str]) -> dict[str, str]:
+    """The label of every column that has one: the manual one, else the codebook's, which also serves the column's ordinal
+    form ``<column>Num``."""
+    return {f"{c}Num": f"{text} (ordinal)" for c, text in codebook.items()} | dict(codebook) | dict(manual)
 
 
 def label_features(
@@ -49,44 +54,18 @@ def label_features(
     categorical: Sequence[str],
     manual: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Add ``question`` and ``detail`` to each feature name. For one-hot
-    features the categorical column is the longest one whose name + '_'
-    starts the feature (checked longest first, as one expression)."""
-    cb, mn = _map(codebook), _map(manual or {})
-    feat = F.col(feature_col)
-    group = F.substring_index(feat, "__", 1)
-    name = F.substring(feat, F.length(group) + 3, 1 << 30)
-
-    def q(c: Column) -> Column:
-        return _question(c, cb, mn)
-
-    # num
-    is_log = name.endswith("_log")
-    num_q = F.when(is_log, q(_strip_suffix(name, "_log"))).otherwise(q(name))
-    num_d = F.when(is_log, F.lit("log scale")).otherwise(F.lit("numeric"))
-    # cat: longest matching categorical prefix
-    cat_col = F.lit(None).cast("string")
-    for c in sorted(categorical, key=len):  # later (longer) matches win
-        cat_col = F.when(name.startswith(c + "_"), F.lit(c)).otherwise(cat_col)
-    level = F.substring(name, F.length(cat_col) + 2, 1 << 30)
-    cat_q = F.when(cat_col.isNotNull(), q(cat_col)).otherwise(name)
-    cat_d = F.when(cat_col.isNotNull(), F.concat(F.lit("-> "), _clean_level(level)))
-    # remainder
-    has_opt = F.instr(name, "__") > 0
-    base = F.substring_index(name, "__", 1)
-    option = F.substring(name, F.length(base) + 3, 1 << 30)
-    rem_q = (
-        F.when(has_opt, q(base))
-        .when(name.endswith("_missing"), q(_strip_suffix(name, "_missing")))
-        .when(name.endswith("_any"), q(_strip_suffix(name, "_any")))
-        .otherwise(q(name))
-    )
-    rem_d = (
-        F.when(has_opt & (option == "answered"), F.lit("answered"))
-        .when(has_opt, F.concat(F.lit("-> "), option))
-        .when(name.endswith("_missing"), F.lit("missing"))
-        .when(name.endswith("_any"), F.lit("above zero"))
-    )
-    question = F.when(group == "num", num_q).when(group == "cat", cat_q).otherwise(rem_q)
-    detail = F.when(group == "num", num_d).when(group == "cat", cat_d).otherwise(rem_d)
-    return features.select("*", question.alias("question"), detail.alias("detail"))
+    """Add ``question`` and ``detail`` to each feature name. A column without a label is its own question; a name that fits
+    no rule is its question as it stands, without a leading ``cat__``. One projection; the rules and labels are literals."""
+    feature = F.col(f"`{feature_col}`")
+    labels = [F.lit(x) for pair in _texts(codebook, manual or {}).items() for x in pair]
+    found = F.lit(None).cast("struct<base:string,detail:string>")
+    for pattern, detail in reversed(_rules(categorical)):
+        whole = f"(?s)^{pattern}$"
+        told = F.concat(F.lit("-> "), F.regexp_extract(feature, whole, 2)) if detail == ANSWER else F.lit(detail)
+        parts = F.struct(F.regexp_extract(feature, whole, 1).alias("base"), told.cast("string").alias("detail"))
+        found = F.when(feature.rlike(whole), parts).otherwise(found)
+    base = F.col("__found.base")
+    label = F.coalesce(F.element_at(F.create_map(*labels), base), base) if labels else base
+    question = F.coalesce(label, F.regexp_replace(feature, "^cat__", ""))
+    out = features.withColumn("__found", found)
+    return out.select(*(F.col(f"`{c}`") for c in features.columns), question.alias("question"), F.col("__found.detail").alias("detail"))
