@@ -35,9 +35,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_suffix_array_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes are judged as removed; repeated strings of over 50 words, many of them shorter, are told beside."""
     from canvass.llm import suffix_dedup
 
-    return suffix_dedup.dedup(spark, table(spark, sf_dir, "documents"), ["doc_id"])
+    return suffix_dedup.dedup(spark, table(spark, sf_dir, "documents"), ["doc_id"], words=suffix_dedup.PASSAGE_WORDS, tell=True)
 
 
 @query("op2_toxicity")

@@ -13,8 +13,8 @@ anchor's hash. Neighbouring windows mostly share their anchor; they form a run,
    windows repeat where neighbouring suffixes share ``length`` bytes.
 4. The covered spans go back to the documents.
 
-The same finds strings of whole words, whatever stands between them: each word is written as its 64-bit hash, and windows
-begin at words only.
+The same finds strings of whole words, whatever stands between them: each word is written as ``WORD`` bytes of its hash, and
+windows begin at words only.
 """
 
 from __future__ import annotations
@@ -33,11 +33,15 @@ from canvass.llm import induced
 
 LENGTH = 400
 SEED = 128
+#: The fewest words of a passage that may not stand twice.
+PASSAGE_WORDS = 51
 #: Words of the string that anchors a window of words.
 WORD_SEED = 16
-#: Bytes of a word's hash.
-WORD = 8
-SHARD = 4 << 20
+#: Bytes of a word's hash. Two strings of 51 words count as equal only if all their words agree in 40 bits.
+WORD = 5
+#: Bytes that are sorted together, and such shards in a task.
+SHARD = 1 << 20
+TASK_SHARDS = 4
 #: Windows looked at together; positions in it take so many bits beside a hash.
 STRETCH_BITS = 22
 _U = np.uint64
@@ -100,7 +104,8 @@ def word_strings(keyed: DataFrame) -> DataFrame:
     def encode(batches):
         for block in cm.text_blocks(batches, "__text"):
             h, bounds = block.words(lower=False)
-            yield pa.RecordBatch.from_arrays([*block.rows.columns, cm.binaries(h, bounds)], names=["__k1", "__k2", "__text"])
+            short = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :WORD].reshape(-1)
+            yield pa.RecordBatch.from_arrays([*block.rows.columns, cm.binaries(short, bounds * WORD)], names=["__k1", "__k2", "__text"])
 
     return keyed.select("__k1", "__k2", "__text").mapInArrow(encode, "__k1 long, __k2 long, __text binary")
 
@@ -247,7 +252,7 @@ def shared_spans(docs: DataFrame, distinct: DataFrame, length: int = LENGTH, mem
 
     texts = docs.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), F.col("__text").alias("text"))
     dealt = texts.join(where, ["k1", "k2"]).select("text", "runs").mapInArrow(cut, "shard long, anchor long, digest long, n long, text binary")
-    dealt = dealt.repartition(int(min(shards, 100_000)), "shard").sortWithinPartitions("shard", "anchor", "digest")
+    dealt = dealt.repartition(int(min(-(-shards // TASK_SHARDS), 100_000)), "shard").sortWithinPartitions("shard", "anchor", "digest")
 
     def sort(batches):
         shard, current, before = None, None, None
@@ -341,13 +346,14 @@ def repeated_spans(
 
 def dedup(
     spark: SparkSession, docs: DataFrame, columns: list[str], text_col: str = "text", texts: bool = False,
-    length: int = LENGTH, seed: int = SEED, words: int | None = None,
+    length: int = LENGTH, seed: int = SEED, words: int | None = None, tell: bool = False,
 ) -> DataFrame:
     """``columns`` of every row of ``docs`` with n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of the bytes that
     are left; with ``texts`` also these as ``kept_text`` (bytes that a cut leaves of a character go too).
 
     Repeated strings of ``length`` bytes go and, if ``words`` is given, repeated strings of so many words, with all that
-    stands between the words. Texts are taken as UTF-8, null as empty; texts shorter than the window lose nothing, repeated
+    stands between the words; these also give n_passages (their maximal runs in the text) and passage_bytes. With ``tell``
+    strings of words are only told in these two columns and stay. Texts are taken as UTF-8, null as empty; texts shorter than the window lose nothing, repeated
     rows lose what they share like any other copies, and all strings are judged on the input: no copy is kept. Names of
     ``columns`` may clash with the added ones; then the result has them twice."""
     keyed, spans = repeated_spans(spark, docs, text_col, length, seed)
@@ -361,6 +367,7 @@ def dedup(
     joined = left.join(spans, (left["__k1"] == spans["k1"]) & (left["__k2"] == spans["k2"]), "left").select(*own, "__text", "spans", "word_spans")
     added = [("n_bytes", LongType()), ("n_removed", LongType()), ("n_spans", LongType()), ("kept_sha256", StringType())]
     added += [("kept_text", StringType())] if texts else []
+    added += [("n_passages", LongType()), ("passage_bytes", LongType())] if words else []
     schema = StructType([StructField(o, docs.schema[c].dataType) for o, c in zip(own, columns)] + [StructField(n, t) for n, t in added])
 
     def cut(batches):
@@ -372,10 +379,13 @@ def dedup(
                 for i in range(lo, lo + part.num_rows):
                     text = raw[i].as_py()
                     found, named = ([(s["begin"], s["end"]) for s in x[i].as_py() or ()] for x in (spans, by_words))
-                    kept, removed, runs = remove(text, found + in_bytes(text, named) if named else found)
-                    row = (len(text), removed, runs, hashlib.sha256(kept).hexdigest())
-                    rows.append((*row, kept.decode("utf-8", "ignore")) if texts else row)
-                kinds = [pa.int64()] * 3 + [pa.string()] * (len(added) - 3)
+                    named = in_bytes(text, named) if named else []
+                    kept, removed, runs = remove(text, found if tell else found + named)
+                    row = [len(text), removed, runs, hashlib.sha256(kept).hexdigest()]
+                    row += [kept.decode("utf-8", "ignore")] if texts else []
+                    row += remove(text, named)[:0:-1] if words else []
+                    rows.append(row)
+                kinds = [pa.string() if isinstance(t, StringType) else pa.int64() for _, t in added]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(i) for i in range(len(own))), *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], names=schema.names
                 )

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from canvass.llm import common, mixing, ngram_join, packing, suffix_dedup, toxicity
 from canvass.llm.queries import word_tokenizer
 
-#: The fewest words of a passage that may not stand twice.
-PASSAGE_WORDS = 51
-
 
 def _plain(docs: DataFrame) -> list[str]:
     """Names that no operator uses, for the columns of ``docs``."""
@@ -42,7 +39,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bear any names."""
     own = _plain(docs)
     text = own[docs.columns.index("text")]
-    cut = suffix_dedup.dedup(spark, docs.toDF(*own), own, text_col=text, texts=True, words=PASSAGE_WORDS)
+    cut = suffix_dedup.dedup(spark, docs.toDF(*own), own, text_col=text, texts=True, words=suffix_dedup.PASSAGE_WORDS)
     changed = F.col("n_removed") > 0
     new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
     kept = cut.filter(~changed | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))

@@ -93,3 +93,23 @@ def test_runs_cover_every_window_once(stretch, monkeypatch):
     for i, t in enumerate(texts):
         starts = [p for f, s in zip(first[row == i], size[row == i]) for p in range(f, f + s - sd.LENGTH + 1)]
         assert sorted(starts) == list(range(max(0, len(t.encode()) - sd.LENGTH + 1)))
+
+
+def test_passages_are_told_and_stay(spark):
+    rng = random.Random(12)
+    tiny = " ".join(rng.choice("abcdefgh") + rng.choice("ijklmnop") for _ in range(55))
+    texts = [sentence(rng, 30) + " " + tiny, tiny.replace(" ", "\n") + " " + sentence(rng, 40), tiny[:140], sentence(rng, 90), None]
+    df = documents(spark, texts)
+    got = {r.doc_id: r for r in sd.dedup(spark, df, ["doc_id"], words=sd.PASSAGE_WORDS, tell=True).collect()}
+    assert [got[i].n_passages for i in range(5)] == [1, 1, 0, 0, 0]
+    assert [got[i].passage_bytes for i in range(5)] == [len(tiny)] * 2 + [0] * 3
+    assert all(r.n_removed == 0 and r.kept_sha256 == hashlib.sha256((texts[i] or "").encode()).hexdigest() for i, r in got.items())
+
+
+def test_an_anchor_in_every_text(spark, monkeypatch):
+    # one passage, shorter than a window, in all texts, with other words around it
+    monkeypatch.setattr(sd, "SHARD", 4096)
+    rng = random.Random(13)
+    hot = sentence(rng, 50)
+    copied = sentence(rng, 20) + hot + sentence(rng, 40)
+    check(spark, [sentence(rng, 30) + hot + sentence(rng, 30) for _ in range(40)] + [copied, "x" + copied + "y"])
