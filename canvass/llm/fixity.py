@@ -111,20 +111,36 @@ def audit_indexes(a: DataFrame, b: DataFrame) -> DataFrame:
     return by_place.filter("off = 1").select("file", "at", kind.alias("kind"))
 
 
-def damage(page_id: Column, record: Column, every: int = 499) -> Column:
-    """A record as a poor disk returns it: for some pages (by a hash of the id) with one character changed, for others null (lost)."""
-    draw = F.pmod(F.conv(F.substring(F.md5(F.coalesce(page_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(every))
-    return F.when(draw == 0, F.concat(F.lit("X"), F.substring(record, 2, 1 << 30))).when(draw != 1, record)
+#: A page in so many is damaged in one of four ways.
+EVERY = 97
+
+
+def draw(page_id: Column) -> Column:
+    """A page's lot by a hash of its id: 0 changed, 1 lost, 2 cut short, 3 only in the replica; others are sound."""
+    digest = F.md5(F.coalesce(page_id.cast("string"), F.lit("")).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(EVERY))
+
+
+def damage(page_id: Column, record: Column) -> Column:
+    """A record as a poor disk returns it: for some pages with one character changed, without its last one, or null (lost)."""
+    lot = draw(page_id)
+    short = F.substring(record, F.lit(1), F.length(record) - 1)
+    return F.when(lot == 0, F.concat(F.lit("X"), F.substring(record, 2, 1 << 30))).when(lot == 2, short).when(lot != 1, record)
 
 
 def audit_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Lay the pages out as an archive, index it and a replica with damaged records, audit the two indexes, and name the
-    pages found: (page_id, url, kind). The texts are read once, hashed and not written again."""
+    pages found: (page_id, url, kind); a record that was cut short is changed. The texts are read once, hashed and not
+    written again. Null ids are damaged as the empty text is; repeated rows share their fate; an empty table gives no rows."""
     record = record_text(F.col("page_id"), F.col("url"), F.col("html"))
     rows = pages.select("page_id", "url", record.alias("record")).withColumn("poor", damage(F.col("page_id"), F.col("record")))
+    size = lambda c: F.octet_length(c).cast("long")
     hashed = lambda c: F.sha2(F.col(c).cast("binary"), 256)
-    rows = rows.select("page_id", "url", F.octet_length("record").cast("long").alias("bytes"), hashed("record").alias("digest"), hashed("poor").alias("poor"))
+    rows = rows.select(
+        "page_id", "url", size("record").alias("bytes"), hashed("record").alias("digest"), size("poor").alias("poor_bytes"), hashed("poor").alias("poor")
+    )
     placed = lay_out(cm.written(rows, "warc-records"))
-    replica = placed.filter("poor is not null").select("file", "at", "bytes", F.col("poor").alias("digest"))
-    found = audit_indexes(placed, replica)
+    original = placed.filter(draw(F.col("page_id")) != 3)
+    replica = placed.filter("poor is not null").select("file", "at", F.col("poor_bytes").alias("bytes"), F.col("poor").alias("digest"))
+    found = audit_indexes(original, replica)
     return placed.join(found, ["file", "at"]).select("page_id", "url", "kind")

@@ -132,6 +132,21 @@ WITH d AS (
 SELECT * FROM o WHERE rank <= 2000
 """
 
+
+
+def _sharding() -> str:
+    """op6: a document's slot by its md5; the owners of the slots as a text of two hexadecimal digits each."""
+    from canvass.llm.sharding import SLOTS, lookup_table
+
+    names = [f"shard-{i:03d}" for i in range(64)]
+    owners = ["".join(f"{s:02x}" for s in lookup_table(n)) for n in (names, names[:-1])]
+    owner = "printf('shard-%03d', ('0x' || substr('{}', 2 * slot + 1, 2))::INTEGER)"
+    return f"""
+SELECT doc_id, slot::INTEGER AS slot, {owner.format(owners[0])} AS shard, {owner.format(owners[1])} AS shard_after
+FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SLOTS} AS slot FROM documents)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op12_phrase_collocations": _COLLOCATIONS,
     "op11_importance_resampling": _IMPORTANCE,
@@ -141,10 +156,24 @@ SELECT doc_id, source, size, source_size, target,
        epochs * size + greatest(0, least(size, budget - before)) AS taken
 FROM o
 """,
-    # which pages the replica loses or changes, found without any hash tree
+    # which pages the replica loses, changes, cuts or has alone, found without any hash tree
     "op8_warc_fixity": """
-SELECT page_id, url, CASE WHEN draw = 0 THEN 'changed' ELSE 'missing' END AS kind
-FROM (SELECT page_id, url, ('0x' || substr(md5(coalesce(page_id::VARCHAR, '')), 1, 8))::BIGINT % 499 AS draw FROM pages)
-WHERE draw < 2
+SELECT page_id, url, CASE draw WHEN 1 THEN 'missing' WHEN 3 THEN 'extra' ELSE 'changed' END AS kind
+FROM (SELECT page_id, url, ('0x' || substr(md5(coalesce(page_id::VARCHAR, '')), 1, 8))::BIGINT % 97 AS draw FROM pages)
+WHERE draw < 4
+""",
+    "op6_sharding": _sharding(),
+    # every query against every vector, one window over all scores
+    "op7_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024::DOUBLE * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.x, v.x)::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id AND len(v.x) = len(q.x)
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM p QUALIFY rank <= 10
 """,
 }

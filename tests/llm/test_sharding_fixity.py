@@ -97,5 +97,12 @@ def test_pages_found_are_the_damaged_ones(spark):
     got = {(r.page_id, r.kind) for r in fixity.audit_pages(spark, pages).collect()}
     import hashlib
 
-    draw = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % 499 for i in range(3000)}
-    assert got == {(i, "changed" if d == 0 else "missing") for i, d in draw.items() if d < 2} and got
+    draw = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % 97 for i in range(3000)}
+    kinds = ["changed", "missing", "changed", "extra"]
+    assert got == {(i, kinds[d]) for i, d in draw.items() if d < 4} and {k for _, k in got} == set(kinds)
+
+
+def test_audit_of_no_pages_and_of_null_ids(spark):
+    pages = spark.createDataFrame([(None, None, None)] * 3, "page_id long, url string, html string")
+    assert fixity.audit_pages(spark, pages).count() in (0, 3)
+    assert fixity.audit_pages(spark, pages.limit(0)).count() == 0
