@@ -288,37 +288,73 @@ def regression_line(df: DataFrame, x: str, y: str, cap_quantile: float = REGRESS
 LINE_POINTS = 100
 
 
+#: Draws made together.
+DRAWS = 1 << 20
+
+
+def uniform_draws(seeds: np.ndarray, n: int) -> np.ndarray:
+    """Numbers in (0, 1), one row of ``n`` for each 64-bit seed: the splitmix64 generator, whose k-th number is a function of
+    seed and k alone."""
+    u = np.uint64
+    with np.errstate(over="ignore"):
+        z = seeds.astype(u)[:, None] + np.arange(1, n + 1, dtype=u) * u(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> u(30))) * u(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> u(27))) * u(0x94D049BB133111EB)
+        z ^= z >> u(31)
+    return ((z >> u(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def poisson_quantiles(mean: int) -> tuple[int, np.ndarray]:
+    """The least value and the distribution function from it on of a Poisson variable, to where the rest is below 1e-30."""
+    reach = 12 * int(mean**0.5) + 24
+    low = max(0, mean - reach)
+    k = np.arange(low + 1, mean + reach)
+    # log p(k) - log p(low), by the quotients mean / k
+    log_p = np.concatenate([[0.0], np.cumsum(np.log(mean / k))])
+    p = np.exp(log_p - log_p.max())
+    return low, np.cumsum(p / p.sum())
+
+
 def _resampled(counts: DataFrame, group: str | None, values: Sequence[str], replicates: int, seed: int) -> DataFrame:
     """(group, b, w, then sums of w times each value and product of values) of ``replicates`` Poisson bootstraps; b = 0 is the data itself.
 
     ``counts`` has a row for each distinct (group, values) with its number of rows ``c``: c independent Poisson(1) weights
-    sum to one Poisson(c) draw, so the cost follows the distinct values, not the rows. Draws are seeded by the row's
-    content, so they are the same under any partitioning, and each task adds up its own replicates before the shuffle."""
-    import numpy as np
+    sum to one Poisson(c) draw, so the cost follows the distinct values, not the rows. A row's draws are counted on from a
+    hash of its content, so they are the same under any partitioning. A block of rows is drawn at once, for each c by
+    one search in the distribution; a task adds up its own replicates by matrix products before the shuffle."""
     import pandas as pd
 
     products = [(i, j) for i in range(len(values)) for j in range(i, len(values))]
     names = ["w", *values, *(f"{values[i]}_{values[j]}" for i, j in products)]
     key = [group] if group else []
 
-    def run(frames):
-        import hashlib
+    def weights(seeds, c):
+        drawn = uniform_draws(seeds, replicates)
+        w = np.empty((len(c), replicates + 1))
+        w[:, 0] = c
+        for n in np.unique(c).tolist():
+            low, below = poisson_quantiles(n)
+            own = c == n
+            w[own, 1:] = low + np.minimum(np.searchsorted(below, drawn[own], "right"), len(below) - 1)
+        return w
 
+    def run(frames):
         total: dict = {}
+        rows = max(1, DRAWS // (replicates + 1))
         for f in frames:
-            for row in f.itertuples(index=False):
-                *labels, c = row
-                g = labels[0] if group else None
-                x = np.array(labels[1:] if group else labels, dtype="float64")
-                digest = hashlib.blake2b(repr((seed, g, x.tolist())).encode(), digest_size=16).digest()
-                weight = np.random.default_rng(int.from_bytes(digest, "big")).poisson(c, replicates + 1).astype("float64")
-                weight[0] = c
-                terms = np.concatenate([[1.0], x, [x[i] * x[j] for i, j in products]])
-                part = weight[:, None] * terms[None, :]
-                if g in total:
-                    total[g] += part
-                else:
-                    total[g] = part
+            x = f[list(values)].to_numpy(np.float64)
+            terms = np.column_stack([np.ones(len(f)), x, *(x[:, i] * x[:, j] for i, j in products)])
+            seeds, c = f["__seed"].to_numpy(np.int64).view(np.uint64), f["c"].to_numpy(np.int64)
+            owner, labels = pd.factorize(f[group]) if group else (np.zeros(len(f), np.int64), [None])
+            order = np.argsort(owner, kind="stable")
+            for lo in range(0, len(f), rows):
+                at = order[lo : lo + rows]
+                w = weights(seeds[at], c[at])
+                ends = np.append(np.flatnonzero(np.diff(owner[at])) + 1, len(at))
+                for i, j in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+                    g = labels[owner[at[i]]]
+                    part = w[i:j].T @ terms[at[i:j]]
+                    total[g] = total[g] + part if g in total else part
                 if len(total) > 1000:
                     yield from out(total)
                     total = {}
@@ -333,8 +369,10 @@ def _resampled(counts: DataFrame, group: str | None, values: Sequence[str], repl
             yield frame
 
     kinds = ([f"`{group}` {counts.schema[group].dataType.simpleString()}"] if group else []) + ["b long"] + [f"`{n}` double" for n in names]
-    parts = counts.select(*key, *values, "c").mapInPandas(run, ", ".join(kinds))
-    return parts.groupBy(*key, "b").agg(*[F.sum(n).alias(n) for n in names])
+    content = F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in [*key, *values]))
+    seeded = counts.select(*(F.col(f"`{c}`") for c in [*key, *values]), "c", content.alias("__seed"))
+    parts = seeded.mapInPandas(run, ", ".join(kinds))
+    return parts.groupBy(*(F.col(f"`{c}`") for c in key), "b").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def bootstrap_mean_ci(

@@ -169,11 +169,11 @@ def category_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS, log10: bool = False) -> DataFrame:
     """Equal-width bins over [min, max] (in log10 space when ``log10``);
-    the last bin is closed. One pass for the range, one partially-aggregated
+    the last bin is closed. Null, NaN and infinite values take no part. One pass for the range, one partially-aggregated
     ``groupBy`` for the counts. Returns ``(bin, lower, upper, n)`` with every
     bin present (zeros included)."""
     x = F.log10(F.col(column)) if log10 else F.col(column).cast("double")
-    vals = df.select(x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    vals = df.select(x.alias("x")).filter(F.abs("x") < float("inf"))
     lo, hi = vals.agg(F.min("x"), F.max("x")).first()
     spark = df.sparkSession
     if lo is None:

@@ -101,18 +101,33 @@ def test_bootstrap_is_repeatable(spark):
 
 @pytest.mark.parametrize("distinct", [64, 65])
 def test_bootstrap_equals_plain_python_at_any_number_of_values(spark, distinct):
-    # the same Poisson weights, drawn value by value in plain Python
+    # the same Poisson weights, drawn one by one in plain Python
     import collections
-    import hashlib
+    import math
 
     import numpy as np
 
     ys = [float(i % distinct) for i in range(300)]
-    r = asc.bootstrap_mean_ci(spark.createDataFrame([("g", y) for y in ys], "g string, y double"), "y", "g", replicates=40, seed=7).first()
+    df = spark.createDataFrame([("g", y) for y in ys], "g string, y double")
+    r = asc.bootstrap_mean_ci(df, "y", "g", replicates=40, seed=7).first()
+    seeds = {x.y: x.h for x in df.select("y", F.xxhash64(F.lit(7), "g", "y").alias("h")).distinct().collect()}
+    mask = (1 << 64) - 1
+
+    def draw(h, k, mean):
+        z = (h + k * 0x9E3779B97F4A7C15) & mask
+        z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & mask
+        u = (((z ^ (z >> 31)) >> 11) + 0.5) / 2**53
+        n, p = 0, math.exp(-mean)
+        while u >= p:
+            u -= p
+            n += 1
+            p = math.exp(-mean + n * math.log(mean) - math.lgamma(n + 1))
+        return n
+
     w, wy = np.zeros(41), np.zeros(41)
     for y, c in collections.Counter(ys).items():
-        digest = hashlib.blake2b(repr((7, "g", [y])).encode(), digest_size=16).digest()
-        draws = np.random.default_rng(int.from_bytes(digest, "big")).poisson(c, 41).astype(float)
+        draws = np.array([c] + [draw(seeds[y] & mask, k, c) for k in range(1, 41)], float)
         w += draws
         wy += draws * y
     low, high = np.percentile((wy / w)[1:], [2.5, 97.5])
@@ -135,6 +150,32 @@ def test_constant_column_has_no_correlation(spark):
     assert got[("a", "c")].r is None and got[("a", "c")].strength is None and got[("a", "b.x")].r == pytest.approx(0.9627, abs=1e-3)
 
 
+def test_poisson_draws_have_their_mean_and_variance():
+    import numpy as np
+
+    u = asc.uniform_draws(np.arange(50, dtype=np.uint64), 2000)
+    assert 0 < u.min() and u.max() < 1 and len(np.unique(u)) == u.size and u.mean() == pytest.approx(0.5, abs=0.004)
+    for mean in (1, 7, 1000, 10**7):
+        low, below = asc.poisson_quantiles(mean)
+        drawn = low + np.searchsorted(below, u.ravel(), "right")
+        assert drawn.mean() == pytest.approx(mean, rel=0.02) and drawn.var() == pytest.approx(mean, rel=0.05)
+
+
+def test_bootstrap_of_groups_across_blocks(spark, monkeypatch):
+    # continuous values, null groups, a group of one row
+    rows = [(None if i % 50 == 0 else "ab"[i % 2], i * 0.37) for i in range(600)] + [("c", 5.0), ("c", None)]
+    df = spark.createDataFrame(rows, "`the.group` string, y double").withColumnRenamed("the.group", "g")
+    got = {r.g: r for r in asc.bootstrap_mean_ci(df, "y", "g", replicates=100).collect()}
+    assert set(got) == {"a", "b", "c"} and got["c"].n == 1 and got["c"].ci_low == got["c"].ci_high == 5.0
+    assert all(got[g].ci_low < got[g].mean < got[g].ci_high for g in "ab")
+
+
+def test_histogram_leaves_out_infinite_values(spark):
+    df = spark.createDataFrame([(x,) for x in (0.0, 1.0, 2.0, float("inf"), float("-inf"), float("nan"), None)], "x double")
+    got = pf.histogram(df, "x", bins=2).orderBy("bin").collect()
+    assert [(r.lower, r.upper, r.n) for r in got] == [(0.0, 1.0, 1), (1.0, 2.0, 2)]
+
+
 def test_bootstrap_band_of_a_proportion(spark):
     # 0/1 values: the band must be close to the normal-approximation band
     rows = [(i, "g", float(i % 10 < 3)) for i in range(2000)]
