@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,7 @@ from canvass.functions.scalars import (
     lenient_number,
     name_rule,
     ordinal_code,
+    sentinel_number,
     strict_sentinel_number,
 )
 
@@ -65,6 +66,44 @@ def to_silver(
     return df.select(*out)
 
 
+#: Values named for a column in a report of bad cells.
+EXAMPLES = 5
+
+
+def violations(
+    df: DataFrame,
+    sentinel_cols: Sequence[str] = (),
+    ordinals: Mapping[str, Mapping[str, float | None]] | None = None,
+    sentinels: Mapping[str, float] = SENTINELS,
+    examples: int = EXAMPLES,
+) -> DataFrame:
+    """What the strict rules of ``to_silver`` would stop at: (column_name, rule, n_rows, n_values, examples) for each column
+    with cells that are not a ``number`` or not a listed ``label``; ``examples`` are the first such values in string order. One scan;
+    cells are counted by value before anything is ranked, and a column's ranking keeps ``examples`` rows a task. Sound columns and
+    empty tables give no rows."""
+    cell = lambda c, rule, bad: F.when(bad, F.struct(F.lit(c).alias("column_name"), F.lit(rule).alias("rule"), F.col(f"`{c}`").cast("string").alias("value")))
+    checks = [cell(c, "number", F.col(f"`{c}`").isNotNull() & sentinel_number(F.col(f"`{c}`"), sentinels).isNull()) for c in sentinel_cols]
+    checks += [cell(c, "label", F.col(f"`{c}`").isNotNull() & ~F.col(f"`{c}`").isin(*mapping)) for c, mapping in (ordinals or {}).items()]
+    spark = df.sparkSession
+    if not checks:
+        return spark.createDataFrame([], "column_name string, rule string, n_rows long, n_values long, examples array<string>")
+    key = ["column_name", "rule"]
+    cells = df.select(F.explode(F.array_compact(F.array(*checks))).alias("bad")).select("bad.*")
+    by_value = cells.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"))
+    totals = by_value.groupBy(*key).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_values"))
+    first = by_value.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("value"))).filter(F.col("place") <= examples)
+    named = first.groupBy(*key).agg(F.array_sort(F.collect_list("value")).alias("examples"))
+    return totals.join(named, key)
+
+
+def violation_message(found: DataFrame) -> str | None:
+    """One line for each column of ``violations``; None if there are none."""
+    rows = sorted(collect_bounded(found, MAX_QUESTIONS, "columns with bad cells"), key=lambda r: (r["column_name"], r["rule"]))
+    what = {"number": "not a number", "label": "not a listed label"}
+    lines = [f"{r['column_name']}: {r['n_rows']} cells, {r['n_values']} values are {what[r['rule']]}: {', '.join(map(repr, r['examples']))}" for r in rows]
+    return "\n".join(lines) or None
+
+
 def lenient_numeric(df: DataFrame, columns: Sequence[str], sentinels: Mapping[str, float] = SENTINELS) -> DataFrame:
     """Replace each column by its lenient number (never raises)."""
     cols = set(columns)

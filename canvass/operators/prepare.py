@@ -42,11 +42,19 @@ def prepare(
     sep: str = ms.MULTI_SEP,
     max_questions: int = 10_000,
 ) -> Prepared:
-    """Run steps 1-2 and return the three written tables (read back lazily)."""
+    """Run steps 1-2 and return the three written tables (read back lazily). Cells that the strict rules refuse stop it with a
+    ValueError that names their columns, counts and first values; they are only looked for after the write has failed."""
     spark = raw.sparkSession
-    silver = sinks.parquet_roundtrip(
-        cl.to_silver(raw, drop=drop, sentinel_cols=sentinel_cols, ordinals=ordinals), f"{out_dir}/silver"
-    )
+    try:
+        silver = sinks.parquet_roundtrip(
+            cl.to_silver(raw, drop=drop, sentinel_cols=sentinel_cols, ordinals=ordinals), f"{out_dir}/silver"
+        )
+    except Exception as e:
+        named = cl.normalise_names(cl.drop_columns(raw, drop))
+        told = cl.violation_message(cl.violations(named, sentinel_cols, ordinals))
+        if told is None:
+            raise
+        raise ValueError(told) from e
     flags = collect_bounded(ms.detect_multiselect(silver, sep), max_questions, "columns")
     multi = [r["column_name"] for r in flags if r["is_multiselect"] and r["column_name"] != id_col]
     long = sinks.parquet_roundtrip(ms.unfold_long(silver, id_col, multi, sep), f"{out_dir}/long", ["question"])

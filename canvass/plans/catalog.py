@@ -146,6 +146,14 @@ def q_sentinel_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("respondent_id", sc.strict_sentinel_number(F.col("years_text"), "years_text").alias("years"))
 
 
+@query("strict_violations")
+def q_strict_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fx.respondents(spark, sf_dir).select("years_text", "segment", "country")
+    labels = {k: v for k, v in SEGMENT_ORDINAL.items() if k != "BUILDING"}
+    found = cl.violations(df, ["years_text", "country"], {"segment": labels})
+    return found.withColumn("examples", F.array_join("examples", "|"))
+
+
 @query("lenient_numeric")
 def q_lenient_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fx.respondents(spark, sf_dir).select("respondent_id", "years_text", "segment")

@@ -186,6 +186,17 @@ oracle(
   {_SEGNUM} AS segmentNum FROM fx""",
 )
 oracle("sentinel_numeric", f"SELECT respondent_id, {_YEARS} AS years FROM fx")
+oracle(
+    "strict_violations",
+    f""", bad AS (SELECT 'years_text' AS column_name, 'number' AS rule, years_text AS value FROM (SELECT years_text, {_YEARS} AS y FROM fx)
+  WHERE years_text IS NOT NULL AND y IS NULL
+  UNION ALL SELECT 'country', 'number', country FROM fx WHERE country IS NOT NULL AND TRY_CAST(country AS DOUBLE) IS NULL
+  UNION ALL SELECT 'segment', 'label', segment FROM fx WHERE segment = 'BUILDING'),
+counted AS (SELECT column_name, rule, value, COUNT(*) AS n FROM bad GROUP BY column_name, rule, value),
+vals AS (SELECT *, row_number() OVER (PARTITION BY column_name, rule ORDER BY value) AS place FROM counted)
+SELECT column_name, rule, CAST(SUM(n) AS BIGINT) AS n_rows, COUNT(*) AS n_values, string_agg(value, '|' ORDER BY value) FILTER (WHERE place <= 5) AS examples
+FROM vals GROUP BY ALL""",
+)
 oracle(
     "lenient_numeric",
     f"""SELECT respondent_id, {_YEARS.replace('years_text', 'trim(years_text)')} AS years_text,

@@ -61,3 +61,19 @@ def test_ordinal_unlisted_raises(spark):
 def test_clip_keeps_null(spark):
     df = spark.createDataFrame([(None,), (-5.0,), (50.0,)], "x double")
     assert [r[0] for r in df.select(sc.clip_keep_null(F.col("x"), 0, 10)).collect()] == [None, 0.0, 10.0]
+
+
+def test_violations_name_columns_counts_and_first_values(spark, tmp_path):
+    from canvass.operators import clean as cl
+    from canvass.operators import prepare
+
+    rows = [(i, f"bad {i % 7}" if i % 3 == 0 else "4", ["low", "high", "odd", None][i % 4], "x;y") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, `years coding` string, level string, tools string")
+    ordinals = {"level": {"low": 1.0, "high": None}}
+    got = {r.column_name: r for r in cl.violations(df, ["years coding"], ordinals).collect()}
+    assert (got["years coding"].n_rows, got["years coding"].n_values) == (20, 7) and got["years coding"].examples == [f"bad {i}" for i in range(5)]
+    assert got["level"].asDict() == {"column_name": "level", "rule": "label", "n_rows": 15, "n_values": 1, "examples": ["odd"]}
+    assert cl.violations(df.limit(0), ["years coding"], ordinals).count() == 0 == cl.violations(df).count()
+    assert cl.violations(df, [], {"level": {"low": 1.0, "high": None, "odd": 2.0}}).count() == 0
+    with pytest.raises(ValueError, match="(?s)level: 15 cells.*'odd'.*yearsCoding: 20 cells, 7 values are not a number: 'bad 0', 'bad 1'"):
+        prepare.prepare(df, str(tmp_path), "id", sentinel_cols=["yearsCoding"], ordinals=ordinals)
