@@ -7,10 +7,11 @@ sharing under the first finds them, how much they share under the second and thi
 the similarity, and only then whole sets are compared.
 
 Equal sets are one node from the start. Links are found in two rounds, so a group of thousands of near copies doesn't
-become all its pairs: first each token's members meet only the least of them; the links found give
+become all its pairs: first each token's members meet only the least of them, in one of a few orders of the nodes; the links found give
 components, and then only members of different components meet, in cells of bounded size. There every posting carries a parity bitmap
 of its whole set: sets whose bitmaps differ in d bits differ in d tokens at least, so a pair that can't be similar is
-refused before it is sent.
+refused before it is sent. It also carries the tokens just before its own: two sets that share one of these met there already, and
+are not sent again.
 """
 
 from __future__ import annotations
@@ -36,8 +37,12 @@ LEFT, RIGHT = 256, 1 << 16
 OPEN_TOKENS = 1_000_000
 #: Bits of a set's parity bitmap.
 PARITY_BITS = 512
+#: Tokens before its own that a posting carries.
+BEFORE = 4
 _U = np.uint64
 _TURN = cm.random_words(16, 77)
+#: Orders of the nodes (by their bits, some turned over) in which a token takes the least member; the token says which.
+_ORDERS = cm.random_words(4, 78).view(np.int64)
 
 
 # ---- sets ----------------------------------------------------------------------------
@@ -191,15 +196,27 @@ def _bound(i, j, na, nb, percent: int = PERCENT):
     return (100 + percent) * most >= percent * (na + nb)
 
 
+def _first_bound(i, j, na, nb, percent: int = PERCENT):
+    """The same where they share no token before."""
+    most = np.minimum(na - i, nb - j)
+    return (100 + percent) * most >= percent * (na + nb)
+
+
+def _turned(node: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Nodes as the token's order compares them; twice gives the node again."""
+    return node ^ _ORDERS[token & (len(_ORDERS) - 1)]
+
+
 def stars(prefix_rows: DataFrame) -> DataFrame:
-    """(a, b, fits): each token's members with the least of them, if their sizes and the token's places in both allow the
+    """(a, b, fits): each token's members with the least of them in the token's order, if their sizes and the token's places in both allow the
     similarity; (a, a, false) for members that meet another one at all. Tasks link their own members first and send one for each token."""
 
     def pairs(a, b, fits):
         """Distinct pairs that fit for some token, and the members of all."""
         if not len(a):
             return np.zeros((0, 3), np.int64)
-        near = np.unique(np.stack([a[fits], b[fits]], 1), axis=0) if fits.any() else np.zeros((0, 2), np.int64)
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        near = np.unique(np.stack([low[fits], high[fits]], 1), axis=0) if fits.any() else np.zeros((0, 2), np.int64)
         some = np.unique(np.concatenate([a, b]))
         rows = np.ones((len(near) + len(some), 3), np.int64)
         rows[: len(near), :2] = near
@@ -209,7 +226,7 @@ def stars(prefix_rows: DataFrame) -> DataFrame:
     def local(batches):
         for batch in batches:
             token, node, n, place = _postings(batch)
-            order = np.lexsort((node, token))
+            order = np.lexsort((_turned(node, token), token))
             token, node, n, place = token[order], node[order], n[order], place[order]
             new = np.ones(len(token), bool)
             new[1:] = token[1:] != token[:-1]
@@ -218,7 +235,7 @@ def stars(prefix_rows: DataFrame) -> DataFrame:
             k = first[other]
             own = pairs(node[k], node[other], _bound(place[k], place[other], n[k], n[other]))
             link = np.concatenate([np.zeros(int(new.sum()), bool), np.ones(len(own), bool)])
-            cols = (link, np.concatenate([token[new], own[:, 0]]), np.concatenate([node[new], own[:, 1]]), np.concatenate([n[new], own[:, 2]]).astype(np.int32), np.concatenate([place[new], 0 * own[:, 2]]).astype(np.int32))
+            cols = (link, np.concatenate([token[new], own[:, 0]]), np.concatenate([_turned(node[new], token[new]), own[:, 1]]), np.concatenate([n[new], own[:, 2]]).astype(np.int32), np.concatenate([place[new], 0 * own[:, 2]]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names=["link", "key", "node", "n", "place"])
 
     def merge(batches):
@@ -231,7 +248,7 @@ def stars(prefix_rows: DataFrame) -> DataFrame:
             if len(cols[0]):
                 if held is not None:
                     cols = [np.concatenate([[h], x]) for h, x in zip(held, cols)]
-                key, node, n, place = cols
+                key, node, n, place = cols[0], _turned(cols[1], cols[0]), *cols[2:]
                 new = np.ones(len(key), bool)
                 new[1:] = key[1:] != key[:-1]
                 first = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -259,7 +276,12 @@ def across(prefix_rows: DataFrame, members: DataFrame) -> DataFrame:
                 token, node, n, place = _postings(part)
                 many = np.array([len(x) // 8 for x in part.column("prefix").to_pylist()], np.int64)
                 label = np.repeat(part.column("label").to_numpy(), many)
-                bits = part.column("bits").take(pa.array(np.repeat(np.arange(part.num_rows), many)))
+                before = np.zeros((len(token), BEFORE), np.int64)  # 0: none
+                for k in range(1, BEFORE + 1):
+                    before[k:, k - 1] = np.where(place[k:] >= k, token[:-k], 0)
+                parities = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.int64).reshape(part.num_rows, -1)
+                both = np.concatenate([np.repeat(parities, many, axis=0), before], axis=1)
+                bits = cm.binaries(both.reshape(-1), np.arange(len(token) + 1) * both.shape[1])
                 yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (token, node, label, n, place)), bits], names=["token", "node", "label", "n", "place", "bits"])
 
     def tokens(batches):
@@ -291,7 +313,8 @@ def across(prefix_rows: DataFrame, members: DataFrame) -> DataFrame:
         current, held = None, None
         for batch in batches:
             token, i, j, right, node, label, n, place, top = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(9))
-            bits = np.frombuffer(b"".join(batch.column(9).to_pylist()), _U).reshape(len(token), -1)
+            carried = np.frombuffer(b"".join(batch.column(9).to_pylist()), _U).reshape(len(token), PARITY_BITS // 64 + BEFORE)
+            bits, before = carried[:, :-BEFORE], carried[:, -BEFORE:]
             edge = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             cuts = np.concatenate([[0], edge, [len(token)]])
             found = []
@@ -301,15 +324,21 @@ def across(prefix_rows: DataFrame, members: DataFrame) -> DataFrame:
                 if cell != current:
                     current, held = cell, None
                 if mid > lo:
-                    own = tuple(x[lo:mid] for x in (node, label, n, place, bits))
+                    own = tuple(x[lo:mid] for x in (node, label, n, place, bits, before))
                     held = own if held is None else tuple(np.concatenate(x) for x in zip(held, own))
                 if held is None:
                     continue
                 for k in range(mid, hi, 2048):
                     part = slice(k, min(hi, k + 2048))
                     a = [x[:, None] for x in held[:4]]
-                    good = (a[1] != label[part]) & ((label[part] == top[lo]) | (a[0] < node[part])) & _bound(a[3], place[part], a[2], n[part])
+                    good = (a[1] != label[part]) & ((label[part] == top[lo]) | (a[0] < node[part])) & _first_bound(a[3], place[part], a[2], n[part])
                     x, y = np.nonzero(good)
+                    if len(x):
+                        met = np.zeros(len(x), bool)
+                        for k in range(BEFORE):
+                            own = held[5][x, k][:, None]
+                            met |= ((own != 0) & (own == before[part][y])).any(axis=1)
+                        x, y = x[~met], y[~met]
                     if len(x):
                         both, apart = held[2][x] + n[part][y], np.bitwise_count(held[4][x] ^ bits[part][y]).sum(axis=1, dtype=np.int64)
                         close = (100 + PERCENT) * ((both - apart) // 2) >= PERCENT * both

@@ -3,6 +3,7 @@ import random
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.classic.dataframe import DataFrame
 
 from canvass.llm import components, ngram_join
 from tests.llm.helpers import ODD, documents, sentence, words
@@ -72,6 +73,28 @@ def test_near_copies_chains_and_common_passages(spark, monkeypatch):
     assert len({c for _, _, c in got}) < len(got)
 
 
+def test_a_pair_is_sent_about_once(spark, monkeypatch):
+    # 60 texts with the same 300 shingles but for a few: without the tokens before, each pair would go out under dozens of tokens
+    rng = random.Random(8)
+    base = sentence(rng, 300)
+    texts = [edit(rng, base, rng.randrange(2, 5)) for _ in range(60)]
+    df = documents(spark, texts, list(range(60)))
+    keyed = ngram_join._keyed(df, "doc_id", "text").select("__id", "__text", "__k1", "__k2")
+    counts = spark.sparkContext.broadcast(ngram_join.frequencies(keyed))
+    rows = ngram_join.prefixes(keyed, counts).select("node", "n", "prefix", "bits")
+    nodes = [r.node for r in rows.collect()]
+    members = spark.createDataFrame([(x, x) for x in nodes], "node long, label long")  # nothing linked yet
+    sent = []
+    real = DataFrame.distinct
+    monkeypatch.setattr(DataFrame, "distinct", lambda self: sent.append(self) or real(self))
+    found = {tuple(sorted(r)) for r in ngram_join.across(rows, members).collect()}
+    sets = [shingle_set(t) for t in texts]
+    order = {r.doc_id: r.node for r in ngram_join.prefixes(keyed, counts).collect()}
+    links = {tuple(sorted((order[i], order[j]))) for i in range(60) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert links and links <= found
+    assert sent[-1].count() <= 2 * len(found)
+
+
 def test_at_the_threshold(spark):
     # 4 of 5 shingles shared is 0.8: a link; 7 of 9 isn't
     w = [f"t{i}" for i in range(40)]
