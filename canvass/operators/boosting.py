@@ -2,7 +2,8 @@
 
 Features are coded once to at most 255 bins (a missing number is the lowest) and kept in blocks of rows. A tree grows level by level: one
 pass sums gradients, hessians and rows by node, feature and bin, only for the smaller child of each split; the larger one's sums are its
-parent's less those. Nodes of few rows (``LOCAL_ROWS``) are gathered by node and finished where they lie, all their
+parent's less those. The sums are added up and searched in the cluster, by groups of features, and stay there for the next level; the driver
+gets each group's best split of each node. Nodes of few rows (``LOCAL_ROWS``) are gathered by node and finished where they lie, all their
 levels in one pass. Gradients are whole numbers of 2**-30, so all sums are exact, and the trees don't depend on how rows are
 dealt to blocks, on the order of sums or on which nodes are finished locally.
 
@@ -32,8 +33,8 @@ CUTS = 253
 BLOCK_ROWS = 1 << 16
 LOCAL_ROWS = 1 << 16
 REFRESH = 25
-#: Partial sums of more blocks than this are added up in the cluster.
-DIRECT = 32
+#: Groups of features whose sums are added up and searched apart.
+GROUPS = 8
 UNIT = float(1 << 30)
 #: Added to the sum of hessians of a leaf.
 L2 = 3.0
@@ -116,12 +117,24 @@ class Grower:
     def leaf(self, total: np.ndarray) -> float:
         return -self.rate * (float(total[0]) / UNIT) / (float(total[1]) / UNIT + self.l2)
 
-    def best(self, hist: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray] | None:
-        """The split of most gain (ties: first feature, lowest cut): feature, cut, sums left and right. None if nothing is gained."""
-        total = hist[self.offsets[0] : self.offsets[1]].sum(axis=0)
+    def groups(self) -> list[int]:
+        """Bounds of groups of features of about as many bins each."""
+        width = len(self.offsets) - 1
+        marks = np.searchsorted(self.offsets, np.linspace(0, self.offsets[-1], min(GROUPS, width) + 1))
+        return sorted({0, *marks.tolist(), width})
+
+    def total(self, hist: np.ndarray, first: int = 0) -> np.ndarray:
+        """Sums of all rows, from those of the features ``first``, .."""
+        return hist[: self.offsets[first + 1] - self.offsets[first]].sum(axis=0)
+
+    def best(self, hist: np.ndarray, first: int = 0, end: int | None = None) -> tuple[float, int, int, np.ndarray] | None:
+        """The split of most gain (ties: first feature, lowest cut) by the features from ``first`` to before ``end``, whose sums ``hist`` holds:
+        gain, feature, cut, sums left. None if nothing is gained."""
+        offsets = self.offsets[first : None if end is None else end + 1] - self.offsets[first]
+        total = self.total(hist, first)
         run = np.cumsum(hist, axis=0)
         before = np.zeros_like(run)
-        starts = np.repeat(self.offsets[:-1], np.diff(self.offsets))
+        starts = np.repeat(offsets[:-1], np.diff(offsets))
         before[starts > 0] = run[starts[starts > 0] - 1]
         left = run - before
         right = total[None, :] - left
@@ -130,18 +143,16 @@ class Grower:
         at = int(gain.argmax())
         if gain[at] <= 1e-9:
             return None
-        feature = int(np.searchsorted(self.offsets, at, "right") - 1)
-        return feature, at - int(self.offsets[feature]), left[at], right[at]
+        feature = int(np.searchsorted(offsets, at, "right") - 1)
+        return float(gain[at]), first + feature, at - int(offsets[feature]), left[at]
 
-    def place(self, tree: Tree, node: int, hist: np.ndarray, last: bool) -> list[tuple[int, np.ndarray]]:
-        """Make ``node`` a leaf, or split it and return its children with their sums."""
-        total = hist[self.offsets[0] : self.offsets[1]].sum(axis=0)
-        found = None if last else self.best(hist)
+    def place(self, tree: Tree, node: int, total: np.ndarray, found: tuple | None) -> list[tuple[int, np.ndarray]]:
+        """Make ``node`` a leaf, or split it as ``best`` found and return its children with their sums."""
         if found is None:
             tree.value[node] = self.leaf(total)
             return []
-        tree.feature[node], tree.cut[node], left, right = found
-        return [(2 * node + 1, left), (2 * node + 2, right)]
+        _, tree.feature[node], tree.cut[node], left = found
+        return [(2 * node + 1, left), (2 * node + 2, total - left)]
 
     def finish(self, bins: np.ndarray, grads: np.ndarray, node: int) -> list[tuple[int, int, int, float]]:
         """The whole subtree of ``node`` from its rows: (node, feature, cut, value)."""
@@ -150,7 +161,7 @@ class Grower:
         at = np.full(len(bins), node)
         open_, hists, made = [node], {node: self.sums(bins, grads, np.zeros(len(bins), np.int64), 1)[0]}, [node]
         while open_:
-            pairs = [c for n in open_ if (c := self.place(tree, n, hists[n], level == self.depth))]
+            pairs = [c for n in open_ if (c := self.place(tree, n, self.total(hists[n]), None if level == self.depth else self.best(hists[n])))]
             feature = tree.feature[at]
             inner = feature >= 0
             right = bins[np.arange(len(bins)), np.maximum(feature, 0)] > tree.cut[at]
@@ -176,23 +187,32 @@ def slots_of(at: np.ndarray, nodes: Sequence[int]) -> np.ndarray:
     return out[at]
 
 
-def children(pairs, hists, count) -> dict[int, np.ndarray]:
-    """Sums of all children: counted for the smaller of each pair, the parent's less those for the larger."""
-    if not pairs:
-        return {}
-    small = [min(pair, key=lambda c: (c[1][2], c[0]))[0] for pair in pairs]
-    counted = count(small)
+def smaller_first(pair: list[tuple[int, np.ndarray]]) -> tuple[int, int]:
+    a, b = sorted(pair, key=lambda c: (c[1][2], c[0]))
+    return a[0], b[0]
+
+
+def with_others(counted, pairs: list[tuple[int, int]], hists: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Sums of all children: those counted for the smaller of each pair, the parent's less those for the larger."""
     out = {}
-    for pair, n, own in zip(pairs, small, counted):
-        other = next(c for c, _ in pair if c != n)
+    for own, (n, other) in zip(counted, pairs):
         out[n] = own
         out[other] = hists[(n - 1) // 2] - own
     return out
 
 
+def children(pairs, hists, count) -> dict[int, np.ndarray]:
+    if not pairs:
+        return {}
+    ordered = [smaller_first(pair) for pair in pairs]
+    return with_others(count([n for n, _ in ordered]), ordered, hists)
+
+
 def grow(state: RDD, blocks: int, rows: int, grower: Grower, newest: list[Tree], local_rows: int) -> Tree:
     """One tree from the blocks (bins, label, margin as of before the ``newest`` trees)."""
     tree = Tree.empty(grower.depth)
+    groups = grower.groups()
+    dealt = len(groups) - 1
 
     def current(block):
         bins, label, margin = block
@@ -200,13 +220,41 @@ def grow(state: RDD, blocks: int, rows: int, grower: Grower, newest: list[Tree],
             margin = margin + t.values(bins)
         return bins, grower.gradients(label, margin)
 
-    def level_sums(nodes: list[int]) -> np.ndarray:
+    def level_sums(pairs: list[tuple[int, int]], parents: RDD | None) -> RDD:
+        """(group of features, node -> its sums by bin) of the root, or of all ``pairs`` of nodes, smaller ones first; their parents' are held."""
+        nodes = [n for n, _ in pairs] if parents else [0]
+
         def run(block):
             bins, grads = current(block)
-            return grower.sums(bins, grads, slots_of(tree.nodes(bins), nodes), len(nodes))
+            hists = grower.sums(bins, grads, slots_of(tree.nodes(bins), nodes), len(nodes))
+            for g in range(dealt):
+                yield g, hists[:, grower.offsets[groups[g]] : grower.offsets[groups[g + 1]]]
+
+        counted = state.flatMap(run).reduceByKey(np.add, dealt)
+        if parents:
+            held = counted.join(parents, dealt).mapValues(lambda x: with_others(x[0], pairs, x[1]))
+        else:
+            held = counted.mapValues(lambda x: {0: x[0]})
+        return held.persist(StorageLevel.MEMORY_AND_DISK)
 
-        parts = state.map(run)
-        return parts.treeReduce(np.add) if blocks > DIRECT else sum(parts.collect())
+    def search(held: RDD, nodes: list[int]) -> dict[int, tuple]:
+        """The sums and the best split of each node. A group of features sends a few numbers for each."""
+
+        def run(item):
+            g, hists = item
+            gain, rest = np.zeros(len(nodes)), np.zeros((len(nodes), 8), np.int64)
+            for i, n in enumerate(nodes):
+                rest[i, 5:] = grower.total(hists[n], groups[g])
+                if found := grower.best(hists[n], groups[g], groups[g + 1]):
+                    gain[i], rest[i, 0], rest[i, 1], rest[i, 2:5] = found
+            return g, gain, rest
+
+        sent = sorted(held.map(run).collect(), key=lambda x: x[0])
+        out = {}
+        for i, n in enumerate(nodes):
+            gain, rest = max(((gain[i], rest[i]) for _, gain, rest in sent), key=lambda x: x[0])  # ties: the first group
+            out[n] = rest[5:], (float(gain), int(rest[0]), int(rest[1]), rest[2:5]) if gain > 0 else None
+        return out
 
     def finish(nodes: list[int]) -> None:
         def rows_of(block):
@@ -232,19 +280,24 @@ def grow(state: RDD, blocks: int, rows: int, grower: Grower, newest: list[Tree],
         finish([0])
         return tree
     small: list[int] = []
-    open_, hists = [0], {0: level_sums([0])[0]}
+    open_, pairs, held = [(0, None)], [], None
     for level in range(grower.depth + 1):
-        pairs = [c for n in open_ if (c := grower.place(tree, n, hists[n], level == grower.depth))]
-        if not pairs:
+        if level and level == grower.depth:  # leaves need their own sums only
+            for n, total in open_:
+                grower.place(tree, n, total, None)
             break
+        before, held = held, level_sums(pairs, held)
+        found = search(held, [n for n, _ in open_])
+        if before:
+            before.unpersist()
+        split = [c for n, _ in open_ if (c := grower.place(tree, n, found[n][0], found[n][1] if level < grower.depth else None))]
         # few rows: a whole subtree later, in one pass for all such nodes
-        small += [n for pair in pairs for n, total in pair if total[2] <= local_rows and level + 1 < grower.depth]
-        if level + 1 < grower.depth:
-            counted = [pair for pair in pairs if any(n not in small for n, _ in pair)]
-            hists = children(counted, hists, level_sums)
-        else:
-            hists = {n: grower._whole(total) for pair in pairs for n, total in pair}
-        open_ = [n for pair in pairs for n, _ in pair if n not in small]
+        small += [n for pair in split for n, total in pair if total[2] <= local_rows and level + 1 < grower.depth]
+        pairs = [smaller_first(pair) for pair in split if any(n not in small for n, _ in pair)]
+        open_ = [c for pair in split for c in pair if c[0] not in small]
+        if not open_:
+            break
+    held.unpersist()
     if small:
         finish(small)
     return tree

@@ -1,8 +1,10 @@
 import math
+import pickle
 import random
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from canvass.operators import boosting as bo
@@ -96,6 +98,26 @@ def test_blocks_and_local_nodes_don_t_change_the_trees(spark):
         assert [nested(t) for t in other.trees] == [nested(t) for t in one.trees]
 
 
+def test_what_the_driver_gets_doesn_t_grow_with_the_blocks(spark, monkeypatch):
+    df = table(spark, 1200)
+    sent = []
+    collect = RDD.collect
+
+    def counted(rdd):
+        out = collect(rdd)
+        sent.append(len(pickle.dumps(out)))
+        return out
+
+    monkeypatch.setattr(RDD, "collect", counted)
+    most = []
+    for block_rows in (600, 40):
+        sent.clear()
+        bo.fit(df, COLUMNS, trees=2, depth=4, block_rows=block_rows, local_rows=0)
+        most.append(max(sent))
+    # sums by bin take over 10000 bytes a node and block here
+    assert max(most) < 6000 and most[1] < 1.1 * most[0]
+
+
 def test_margins_are_renewed(spark, monkeypatch):
     df = table(spark, 200)
     want = [nested(t) for t in bo.fit(df, COLUMNS, trees=7, depth=2).trees]
