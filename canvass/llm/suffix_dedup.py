@@ -14,7 +14,7 @@ anchor's hash. Neighbouring windows mostly share their anchor; they form a run,
 4. The covered spans go back to the documents.
 
 The same finds strings of whole words, whatever stands between them: each word is written as ``WORD`` bytes of its hash, and
-windows begin at words only.
+windows begin at words only. In a shard in memory a word is ``DIGITS`` characters, its number among the shard's words.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ PASSAGE_WORDS = 51
 WORD_SEED = 16
 #: Bytes of a word's hash. Two strings of 51 words count as equal only if all their words agree in 40 bits.
 WORD = 5
+#: Characters of a word while a shard is sorted in memory.
+DIGITS = 3
 #: Bytes that are sorted together, and such shards in a task.
 SHARD = 1 << 20
 TASK_SHARDS = 4
@@ -200,11 +202,36 @@ class _Shard:
             text[lo + i : hi + i] += 1
         return text, ends - sizes + np.arange(len(sizes))
 
+    def numbered(self, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same with ``DIGITS`` characters for each ``step`` bytes: the digits of their number among the shard's different strings. First,
+        second and third digits are different characters, so a string at a first digit equals none at another one."""
+        words = np.zeros((sum(self.sizes) // step, 8), np.uint8)
+        words[:, :step] = np.frombuffer(b"".join(self.parts), np.uint8).reshape(-1, step)
+        known, number = np.unique(words.view(_U).reshape(-1), return_inverse=True)
+        base = 1
+        while base**DIGITS < len(known):
+            base += 1
+        digits = np.empty((len(number), DIGITS), np.uint16)
+        for k in range(DIGITS):
+            digits[:, DIGITS - 1 - k] = number % base + k * base + 1
+            number = number // base
+        sizes = np.array(self.sizes, np.int64) // step * DIGITS
+        begin = np.cumsum(sizes) - sizes + np.arange(len(sizes))
+        text = np.zeros(int(sizes.sum()) + len(sizes), np.uint16)
+        inside = np.ones(len(text), bool)
+        inside[begin + sizes] = False
+        text[inside] = digits.reshape(-1)
+        return text, begin
+
     def repeated(self, length: int, step: int = 1):
         """For each run that occurs once, the spans (relative to it) of its windows that also occur elsewhere in the shard;
         windows begin at every ``step``-th character of a run."""
-        text, begin = self.characters()
-        sizes = np.array(self.sizes, np.int64)
+        sizes, unit = np.array(self.sizes, np.int64), step
+        if DIGITS < step <= 8 and self.spool is None:
+            text, begin = self.numbered(step)
+            sizes, length, step = sizes // unit * DIGITS, length // unit * DIGITS, DIGITS
+        else:
+            text, begin = self.characters()
         again = induced.whole_array(len(text), bool)
         last = None
         for at, share in induced.suffixes(text, length, self.memory):
@@ -218,7 +245,7 @@ class _Shard:
             starts = np.flatnonzero(again[lo : lo + size - length + 1 : step]) * step
             if n == 1 and len(starts):
                 cut = np.flatnonzero(np.diff(starts) > step)
-                head, tail = starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + length
+                head, tail = starts[np.append(0, cut + 1)] // step * unit, (starts[np.append(cut, len(starts) - 1)] + length) // step * unit
                 yield anchor, digest, np.column_stack([head, tail]).astype("<i8").tobytes()
 
 

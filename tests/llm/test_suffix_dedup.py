@@ -113,3 +113,23 @@ def test_an_anchor_in_every_text(spark, monkeypatch):
     hot = sentence(rng, 50)
     copied = sentence(rng, 20) + hot + sentence(rng, 40)
     check(spark, [sentence(rng, 30) + hot + sentence(rng, 30) for _ in range(40)] + [copied, "x" + copied + "y"])
+
+
+def test_a_shard_of_words_sorts_few_characters_a_word(monkeypatch):
+    rng, length, sorted_ = random.Random(5), 4, []
+    suffixes = sd.induced.suffixes
+    monkeypatch.setattr(sd.induced, "suffixes", lambda text, *a: sorted_.append(len(text)) or suffixes(text, *a))
+    for different in (1, 2, 3, 30, 300):
+        # some words are one byte on end, some are turned about
+        known = [bytes([i % 256]) * sd.WORD if i % 3 else bytes([i % 256, 0, 7, 0, (3 * i) % 256]) for i in range(different)]
+        runs = [[rng.randrange(different) for _ in range(rng.randrange(length, 12))] for _ in range(40)]
+        shard, places = sd._Shard(1 << 20), {}
+        for i, run in enumerate(runs):
+            shard.add((i, i, 1 + i % 2), b"".join(known[w] for w in run))
+            for k in range(len(run) - length + 1):
+                places.setdefault(tuple(known[w] for w in run[k : k + length]), []).append((i, k))
+        want = {(i, b) for at in places.values() if len(at) > 1 for i, k in at for b in range(k * sd.WORD, (k + length) * sd.WORD) if i % 2 == 0}
+        got = {(i, b) for i, _, spans in shard.repeated(length * sd.WORD, sd.WORD) for lo, hi in np.frombuffer(spans, "<i8").reshape(-1, 2) for b in range(lo, hi)}
+        assert got == want
+        assert sorted_[0] == 3 * sum(map(len, runs)) + len(runs)
+        sorted_.clear()
