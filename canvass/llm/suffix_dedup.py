@@ -100,14 +100,18 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumns({"__k1": F.xxhash64(*quoted, text), "__k2": F.xxhash64(F.lit(7), text, *quoted), "__text": text})
 
 
+def word_block(block: cm.TextBlock) -> cm.TextBlock:
+    """The hashes of all words of each text on end in place of it."""
+    h, bounds = block.words(lower=False)
+    return cm.TextBlock(block.rows, np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :WORD].reshape(-1), bounds * WORD)
+
+
 def word_strings(keyed: DataFrame) -> DataFrame:
     """The keys with the hashes of all words of a text on end in place of it."""
 
     def encode(batches):
-        for block in cm.text_blocks(batches, "__text"):
-            h, bounds = block.words(lower=False)
-            short = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :WORD].reshape(-1)
-            yield pa.RecordBatch.from_arrays([*block.rows.columns, cm.binaries(short, bounds * WORD)], names=["__k1", "__k2", "__text"])
+        for block in map(word_block, cm.text_blocks(batches, "__text")):
+            yield pa.RecordBatch.from_arrays([*block.rows.columns, cm.binaries(block.data, block.bounds)], names=["__k1", "__k2", "__text"])
 
     return keyed.select("__k1", "__k2", "__text").mapInArrow(encode, "__k1 long, __k2 long, __text binary")
 
@@ -126,9 +130,14 @@ def _flat(batch: pa.RecordBatch):
     return *keys, join("first"), join("size"), join("anchor"), join("digest")
 
 
-def run_table(docs: DataFrame, length: int = LENGTH, seed: int = SEED, step: int = 1) -> DataFrame:
+def run_table(docs: DataFrame, length: int = LENGTH, seed: int = SEED, step: int = 1, words: bool = False) -> DataFrame:
+    """The runs of each text with any. With ``words`` those of its words' hashes, made by the same worker: a second one for each task would
+    stay with the executor."""
+    most = cm.BLOCK_BYTES * 2 // WORD if words else cm.BLOCK_BYTES  # a word is two bytes with its space at least
+
     def find(batches):
-        for block in cm.text_blocks(batches, "text"):
+        for block in cm.text_blocks(batches, "text", most):
+            block = word_block(block) if words else block
             row, first, size, anchor, digest = window_runs(block, length, seed, step)
             bounds = np.searchsorted(row, np.arange(len(block.bounds)))
             some = np.flatnonzero(np.diff(bounds))
@@ -363,7 +372,7 @@ def repeated_spans(
     keyed = _keyed(docs, text_col)
     texts, step = (word_strings(keyed), WORD) if words else (keyed, 1)
     length, seed = length * step, seed * step
-    runs = cm.written(run_table(texts, length, seed, step), "suffix-runs")
+    runs = cm.written(run_table(keyed, length, seed, step, words), "suffix-runs")
     distinct = cm.written(distinct_runs(runs), "suffix-distinct")
     shared = cm.written(shared_spans(texts, distinct, length, step=step), "suffix-shared")
     spans = cm.written(covered_spans(runs, distinct, shared), "suffix-spans")

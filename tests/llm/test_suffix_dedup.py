@@ -133,3 +133,12 @@ def test_a_shard_of_words_sorts_few_characters_a_word(monkeypatch):
         assert got == want
         assert sorted_[0] == 3 * sum(map(len, runs)) + len(runs)
         sorted_.clear()
+
+
+def test_runs_of_words_take_one_worker_a_task(spark):
+    rng = random.Random(3)
+    keyed = sd._keyed(documents(spark, [" ".join(rng.choice("abcde") for _ in range(rng.randrange(30))) for _ in range(60)]), "text")
+    runs = sd.run_table(keyed, 8 * sd.WORD, 3 * sd.WORD, sd.WORD, words=True)
+    assert runs._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    two = sd.run_table(sd.word_strings(keyed), 8 * sd.WORD, 3 * sd.WORD, sd.WORD)
+    assert sorted(map(tuple, runs.collect())) == sorted(map(tuple, two.collect())) != []
