@@ -117,6 +117,19 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64(raised + (end - start).astype(_U))
 
 
+def rolling_sums(prefix: np.ndarray, start: int, n: int, size: int, step: int) -> np.ndarray:
+    """What ``span_hash`` mixes, of ``n`` spans of ``size`` bytes, one at every ``step``-th byte from ``start``: equal bytes have equal
+    sums, and the high bits depend on all bytes."""
+    upto = start + (n - 1) * step + 1
+    out = prefix[start + size : upto + size : step] - prefix[start:upto:step]
+    top = len(prefix) - 1
+    if top > BLOCK_BYTES:
+        out *= _aligned(top, np.arange(start, upto, step))
+    else:  # the powers stand in a row
+        out *= powers(BLOCK_BYTES)[BLOCK_BYTES - upto + 1 : BLOCK_BYTES - start + 1][::-1][::step]
+    return out
+
+
 def _aligned(n: int, start: np.ndarray) -> np.ndarray:
     top = max(n, BLOCK_BYTES)
     if n > BLOCK_BYTES:  # one document longer than a block: align to a fixed larger power

@@ -118,6 +118,8 @@ class Types:
 def _share(values: np.ndarray, last: int, ranks: np.ndarray, cap: int) -> np.ndarray:
     """One character and the least value between the ranks of neighbours' successors, for rising ``ranks``; ``last`` is the
     rank before the first."""
+    if not cap:
+        return np.zeros(len(ranks), np.int64)
     span = values[last + 1 : int(ranks[-1]) + 1]
     starts = np.concatenate([[0], ranks[:-1] - last])
     return np.minimum(np.minimum.reduceat(span, starts).astype(np.int64) + 1, cap)
@@ -255,18 +257,31 @@ def _names(text: np.ndarray, types: Types, memory: int) -> tuple[np.ndarray, int
 
 
 def _sort_names(names: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sort the suffixes of a string of names by doubling, up to ``depth`` names; the ranks after 1, 2, 4, .. names."""
+    """Sort the suffixes of a string of names by doubling, up to ``depth`` names; and the ranks after 1, 2, 4, .. names: the place of
+    the first suffix that is equal so far. Suffixes that equal no other one keep their place."""
     n = len(names)
-    levels = [names]
-    step = 1
-    while step < depth and levels[-1].max(initial=0) + 1 < n:
-        r = levels[-1]
-        behind = np.zeros(n, np.int64)
-        behind[:-step] = r[step:] + 1
-        _, inverse = np.unique(r * (n + 1) + behind, return_inverse=True)
-        levels.append(inverse.reshape(-1))
+    order = np.argsort(names, kind="stable")
+    place, elements, key = np.arange(n), order, names[order]
+    levels, step = [], 1
+    while True:
+        new = np.ones(len(place), bool)
+        new[1:] = key[1:] != key[:-1]
+        rank = levels[-1].copy() if levels else np.empty(n, np.int64)
+        rank[elements] = place[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        levels.append(rank)
+        tied = ~new
+        tied[:-1] |= tied[1:]
+        place, elements = place[tied], elements[tied]
+        if step >= depth or not len(place):
+            return order, levels
+        behind = elements + step
+        inside = behind < n
+        key = rank[elements] * (n + 1)
+        key[inside] += rank[behind[inside]] + 1
+        by = np.argsort(key)
+        elements, key = elements[by], key[by]
+        order[place] = elements
         step *= 2
-    return np.argsort(levels[-1], kind="stable"), levels
 
 
 def sorted_stars(text: np.ndarray, types: Types, cap: int, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:

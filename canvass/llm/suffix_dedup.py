@@ -24,6 +24,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -46,17 +47,24 @@ SHARD = 1 << 20
 TASK_SHARDS = 4
 #: Windows looked at together; positions in it take so many bits beside a hash.
 STRETCH_BITS = 22
+#: Hashes whose minima are taken together.
+PIECE = 1 << 14
 _U = np.uint64
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` neighbours."""
-    done = 1
-    while done < width:
-        step = min(done, width - done)
-        x = np.minimum(x[: len(x) - step], x[step:])
-        done += step
-    return x
+    """Minimum of each ``width`` neighbours, a piece that stays in the processor's cache at a time."""
+    n = len(x) - width + 1
+    out = np.empty(n, x.dtype)
+    for lo in range(0, n, PIECE):
+        piece = x[lo : min(n, lo + PIECE) + width - 1]
+        done = 1
+        while done < width:
+            step = min(done, width - done)
+            piece = np.minimum(piece[: len(piece) - step], piece[step:])
+            done += step
+        out[lo : lo + len(piece)] = piece
+    return out
 
 
 def window_runs(block: cm.TextBlock, length: int = LENGTH, seed: int = SEED, step: int = 1):
@@ -64,28 +72,35 @@ def window_runs(block: cm.TextBlock, length: int = LENGTH, seed: int = SEED, ste
     ``step``-th byte of a row; ``length``, ``seed`` and the rows' sizes are multiples of it."""
     size, part = length // step, seed // step
     n, bounds = len(block.data) // step, block.bounds // step
+    long = np.flatnonzero(np.diff(bounds) >= size)  # only these rows have windows, up to ``stop``
+    start, stop = bounds[long], bounds[long + 1] - size + 1
     prefix = cm.prefix_hash(block.data)
     mask = _U((1 << (STRETCH_BITS + 1)) - 1)
     out = []
     for lo in range(0, max(0, n - size + 1), 1 << STRETCH_BITS):
         hi = min(n - size + 1, lo + (1 << STRETCH_BITS))  # windows lo .. hi - 1
-        at = np.arange(lo, hi + size - part)
-        hashes = cm.span_hash(prefix, at * step, (at + part) * step)
-        least = _least((hashes & ~mask) | (at - lo).astype(_U), size - part + 1)
-        anchor = (least & mask).astype(np.int64) + lo
-        first = np.arange(lo, hi)
-        row = np.searchsorted(bounds, first, "right") - 1
-        inside = first + size <= bounds[row + 1]
-        first, anchor, row = first[inside], anchor[inside], row[inside]
-        if not len(first):
+        here = slice(np.searchsorted(stop, lo, "right"), np.searchsorted(start, hi))  # rows with windows here
+        if here.start >= here.stop:
             continue
-        new = np.ones(len(first), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+        order = cm.rolling_sums(prefix, lo * step, hi + size - part - lo, part * step, step)  # only anchors need well spread hashes
+        order &= ~mask
+        order |= np.arange(len(order), dtype=_U)
+        least = _least(order, size - part + 1)
+        new = np.empty(len(least), bool)
+        new[0] = True
+        np.not_equal(least[1:], least[:-1], out=new[1:])
+        new[np.maximum(start[here] - lo, 0)] = True
+        behind = stop[here] - lo  # windows there cross the end of their row
+        new[behind[behind < len(new)]] = True
         head = np.flatnonzero(new)
-        last = first[np.append(head[1:], len(first)) - 1]
-        first, anchor, row = first[head], anchor[head], row[head]
+        last = np.append(head[1:], len(new)) + (lo - 1)
+        first, anchor = head + lo, (least[head] & mask).astype(np.int64) + lo
+        row = np.searchsorted(start, first, "right") - 1
+        inside = (row >= 0) & (first < stop[row])
+        first, last, anchor, row = first[inside], last[inside], anchor[inside], row[inside]
         digest = cm.span_hash(prefix, first * step, (last + size) * step) ^ cm.mix64((anchor - first).astype(_U) + _U(1))
-        out.append((row, (first - bounds[row]) * step, (last + size - first) * step, hashes[anchor - lo], digest))
+        hashes = cm.span_hash(prefix, anchor * step, (anchor + part) * step)
+        out.append((long[row], (first - start[row]) * step, (last + size - first) * step, hashes, digest))
     if not out:
         none = np.zeros(0, np.int64)
         return none, none, none, none.view(_U), none.view(_U)
@@ -116,10 +131,22 @@ def word_strings(keyed: DataFrame) -> DataFrame:
     return keyed.select("__k1", "__k2", "__text").mapInArrow(encode, "__k1 long, __k2 long, __text binary")
 
 
-def in_bytes(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of the hashes of a text's words as spans of its bytes, from the first word to the end of the last."""
-    start, end, _ = cm.TextBlock(None, np.frombuffer(text, np.uint8), np.array([0, len(text)])).word_spans()
-    return [(int(start[lo // WORD]), int(end[hi // WORD - 1])) for lo, hi in spans]
+def spans_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans of all rows on end, as (begin, end), and where each row's begin; null: none."""
+    bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    flat = column.flatten()
+    return flat.field("begin").to_numpy(), flat.field("end").to_numpy(), bounds
+
+
+def in_bytes(texts: list[bytes], begin: np.ndarray, end: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of the hashes of the texts' words as spans of their bytes, from the first word to the end of the last."""
+    many = np.diff(bounds)
+    some = np.flatnonzero(many)
+    sizes = np.array([len(texts[i]) for i in some], np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    first, last, words = cm.TextBlock(None, np.frombuffer(b"".join([texts[i] for i in some]), np.uint8), at).word_spans()
+    word, byte = np.repeat(words[:-1], many[some]), np.repeat(at[:-1], many[some])
+    return first[word + begin // WORD] - byte, last[word + end // WORD - 1] - byte
 
 
 def _flat(batch: pa.RecordBatch):
@@ -268,13 +295,16 @@ def shared_spans(docs: DataFrame, distinct: DataFrame, length: int = LENGTH, mem
     def cut(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
+            flat = batch.column("runs").flatten()
+            runs = list(zip(*(flat.field(c).to_pylist() for c in ("anchor", "digest", "n", "first", "size"))))
+            at = np.cumsum([0, *pc.list_value_length(batch.column("runs")).to_pylist()]).tolist()
             # a few MB of runs at a time
             out, held = [], 0
-            for i, runs in enumerate(batch.column("runs")):
+            for i in range(batch.num_rows):
                 text = texts[i].as_py()
-                for r in runs.as_py():
-                    part = text[r["first"] : r["first"] + r["size"]]
-                    out.append((r["anchor"] % shards, r["anchor"], r["digest"], r["n"], part))
+                for anchor, digest, n, first, size in runs[at[i] : at[i + 1]]:
+                    part = text[first : first + size]
+                    out.append((anchor % shards, anchor, digest, n, part))
                     held += len(part)
                     if held > cm.BLOCK_BYTES:
                         yield _rows(out)
@@ -407,23 +437,23 @@ def dedup(
     schema = StructType([StructField(o, docs.schema[c].dataType) for o, c in zip(own, columns)] + [StructField(n, t) for n, t in added])
 
     def cut(batches):
-        for batch in batches:
-            raw, spans, by_words = batch.column("__text").cast(pa.large_binary()), batch.column("spans"), batch.column("word_spans")
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                rows = []
-                for i in range(lo, lo + part.num_rows):
-                    text = raw[i].as_py()
-                    found, named = ([(s["begin"], s["end"]) for s in x[i].as_py() or ()] for x in (spans, by_words))
-                    named = in_bytes(text, named) if named else []
-                    kept, removed, runs = remove(text, found if tell else found + named)
-                    row = [len(text), removed, runs, hashlib.sha256(kept).hexdigest()]
-                    row += [kept.decode("utf-8", "ignore")] if texts else []
-                    row += remove(text, named)[:0:-1] if words else []
-                    rows.append(row)
-                kinds = [pa.string() if isinstance(t, StringType) else pa.int64() for _, t in added]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(len(own))), *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], names=schema.names
-                )
+        for block in cm.text_blocks(batches, "__text"):
+            part, raw = block.rows, list(block.texts())
+            begin, end, bounds = spans_of(part.column("spans"))
+            spans, at = list(zip(begin.tolist(), end.tolist())), bounds.tolist()
+            begin, end, bounds = spans_of(part.column("word_spans"))
+            by_words, of_words = list(zip(*(x.tolist() for x in in_bytes(raw, begin, end, bounds)))), bounds.tolist()
+            rows = []
+            for i, text in enumerate(raw):
+                found, named = spans[at[i] : at[i + 1]], by_words[of_words[i] : of_words[i + 1]]
+                kept, removed, runs = remove(text, found if tell else found + named)
+                row = [len(text), removed, runs, hashlib.sha256(kept).hexdigest()]
+                row += [kept.decode("utf-8", "ignore")] if texts else []
+                row += remove(text, named)[:0:-1] if words else []
+                rows.append(row)
+            kinds = [pa.string() if isinstance(t, StringType) else pa.int64() for _, t in added]
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(i) for i in range(len(own))), *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], names=schema.names
+            )
 
     return joined.mapInArrow(cut, schema).toDF(*columns, *(n for n, _ in added))

@@ -61,3 +61,21 @@ def test_empty_text():
 @pytest.mark.parametrize("text", [[5] * 300, list(range(50)), list(range(50))[::-1]])
 def test_long_runs(text):
     assert sort(text, 1000, 1 << 20) == brute(text, 1000)
+
+
+def test_names_that_differ_are_sorted_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    names = rng.integers(0, 1000, 5000)
+    names[4000:4040] = names[2000:2040]  # few suffixes are equal beyond two names
+    counted = []
+    for name in ("argsort", "unique"):
+        monkeypatch.setattr(np, name, lambda x, *a, f=getattr(np, name), **k: counted.append(len(x)) or f(x, *a, **k))
+    order, levels = induced._sort_names(names, 64)
+    monkeypatch.undo()
+    assert order.tolist() == sorted(range(5000), key=lambda i: names[i : i + 64].tolist())
+    assert sum(counted) < 3 * len(names)
+    for k, level in enumerate(levels):
+        first = {}
+        for place, i in enumerate(order.tolist()):
+            first.setdefault(tuple(names[i : i + (1 << k)].tolist()), place)
+        assert all(level[i] == first[tuple(names[i : i + (1 << k)].tolist())] for i in range(5000))

@@ -142,3 +142,55 @@ def test_runs_of_words_take_one_worker_a_task(spark):
     assert runs._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     two = sd.run_table(sd.word_strings(keyed), 8 * sd.WORD, 3 * sd.WORD, sd.WORD)
     assert sorted(map(tuple, runs.collect())) == sorted(map(tuple, two.collect())) != []
+
+
+def test_windows_share_the_work_of_their_run(monkeypatch):
+    # one well spread hash for the anchor and one for the bytes of a run, not one for each window
+    import pyarrow as pa
+
+    from canvass.llm import common as cm
+
+    rng = random.Random(14)
+    block = next(cm.text_blocks([pa.record_batch({"text": [sentence(rng, 500), "", sentence(rng, 30), None, sentence(rng, 900)]})], "text"))
+    hashed, span_hash = [], cm.span_hash
+    monkeypatch.setattr(cm, "span_hash", lambda p, start, end: hashed.append(len(start)) or span_hash(p, start, end))
+    runs = len(sd.window_runs(block)[0])
+    assert 0 < runs and sum(hashed) <= 2 * runs + len(block.bounds)
+
+
+@pytest.mark.parametrize("step, most", [(1, 1 << 19), (5, 1 << 19), (1, 700), (5, 700)])
+def test_equal_windows_have_equal_anchors(step, most, monkeypatch):
+    # also in texts longer than a block and in pieces smaller than a window
+    import pyarrow as pa
+
+    from canvass.llm import common as cm
+
+    monkeypatch.setattr(cm, "BLOCK_BYTES", most)
+    monkeypatch.setattr(cm, "_POWERS", np.ones(1, np.uint64))
+    monkeypatch.setattr(sd, "PIECE", 7)
+    rng = random.Random(15)
+    common = "".join(rng.choice("abcd") for _ in range(300))
+    texts = [common, "x" * 10 + common + "y" * 900, "a" * 395, "a" * 60, "", "z" * 35 + common[50:] + "abcde" * 70]
+    anchors = {}
+    for block in cm.text_blocks([pa.record_batch({"text": texts})], "text", most):
+        row, first, size, anchor, _ = sd.window_runs(block, 40 * step, 8 * step, step)
+        for r, f, s, a in zip(row.tolist(), first.tolist(), size.tolist(), anchor.tolist()):
+            text = block.data[block.bounds[r] : block.bounds[r + 1]].tobytes()
+            for p in range(f, f + s - 40 * step + 1, step):
+                anchors.setdefault(text[p : p + 40 * step], set()).add(a)
+    assert len(anchors) > 40 and all(len(a) == 1 for a in anchors.values())
+
+
+def test_spans_of_words_for_many_texts_at_once():
+    import pyarrow as pa
+
+    texts = [b"aa  b\nccc", b"", b"no spans", b" d ee", b"f"]
+    spans = [[(0, 2), (2, 3)], None, [], [(1, 2), (0, 2)], [(0, 1)]]
+    rows = [x and [{"begin": lo * sd.WORD, "end": hi * sd.WORD} for lo, hi in x] for x in spans]
+    column = pa.array([rows[3], *rows], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))).slice(1)
+    begin, end, bounds = sd.spans_of(column)
+    assert bounds.tolist() == [0, 2, 2, 2, 4, 5]
+    got = list(zip(*(x.tolist() for x in sd.in_bytes(texts, begin, end, bounds))))
+    assert got == [(0, 5), (6, 9), (3, 5), (1, 5), (0, 1)]
+    none = sd.spans_of(column.slice(1, 2))
+    assert [len(x) for x in sd.in_bytes(texts[1:3], *none)] == [0, 0]
