@@ -168,10 +168,9 @@ def induce(text: np.ndarray, types: Types, star: np.ndarray, star_lcp: np.ndarra
             large[c].push(at, share.astype(np.uint16))
             mark = np.arange(rank, rank + len(at))
             rank += len(at)
-            go = at > 0
-            before = at[go] - 1
-            type_l = ~types.small[before]
-            _deal(queue, pool, text, before[type_l], mark[go][type_l])
+            type_l = ~types.small[at - 1]  # of position 0 the end of the text, of type L: taken out
+            type_l &= at > 0
+            _deal(queue, pool, text, at[type_l] - 1, mark[type_l])
         del queue[c]
         for i in range(lo, hi, BATCH):
             at = star[i : min(hi, i + BATCH)].astype(kind)
@@ -191,10 +190,8 @@ def induce(text: np.ndarray, types: Types, star: np.ndarray, star_lcp: np.ndarra
         values[rank : rank + len(at)] = share
         mark = np.arange(rank, rank + len(at))
         rank += len(at)
-        go = at > 0
-        before = at[go] - 1
-        type_s = types.small[before]
-        _deal(queue, pool, text, before[type_s], mark[go][type_s])
+        type_s = types.small[at - 1]  # none before position 0: the last character is of type L
+        _deal(queue, pool, text, at[type_s] - 1, mark[type_s])
         return at, share
 
     for c in letters.tolist()[::-1]:
@@ -256,29 +253,32 @@ def _names(text: np.ndarray, types: Types, memory: int) -> tuple[np.ndarray, int
     return names, int(rank[-1]) + 1 if len(rank) else 0
 
 
-def _sort_names(names: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sort the suffixes of a string of names by doubling, up to ``depth`` names; and the ranks after 1, 2, 4, .. names: the place of
-    the first suffix that is equal so far. Suffixes that equal no other one keep their place."""
+def _sort_names(names: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Sort the suffixes of a string of names by doubling, up to ``depth`` names; the ranks after 1, 2, 4, .. names (the place of
+    the first suffix that is equal so far); and how many of these ranks each shares with the one before. Suffixes that equal no other one
+    keep their place."""
     n = len(names)
     order = np.argsort(names, kind="stable")
     place, elements, key = np.arange(n), order, names[order]
-    levels, step = [], 1
+    levels, agreed, step = [], np.zeros(n, np.uint8), 1
     while True:
         new = np.ones(len(place), bool)
         new[1:] = key[1:] != key[:-1]
-        rank = levels[-1].copy() if levels else np.empty(n, np.int64)
-        rank[elements] = place[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        head = np.flatnonzero(new)
+        rank = levels[-1].copy() if levels else np.empty(n, np.int32 if n < 2**31 else np.int64)
+        rank[elements] = np.repeat(place[head], np.diff(np.append(head, len(place))))
         levels.append(rank)
+        agreed[place[~new]] = len(levels)
         tied = ~new
         tied[:-1] |= tied[1:]
         place, elements = place[tied], elements[tied]
         if step >= depth or not len(place):
-            return order, levels
+            return order, levels, agreed
         behind = elements + step
         inside = behind < n
-        key = rank[elements] * (n + 1)
+        key = rank[elements] * np.int64(n + 1)
         key[inside] += rank[behind[inside]] + 1
-        by = np.argsort(key)
+        by = np.argsort(key, kind="stable")  # the ranks rise already
         elements, key = elements[by], key[by]
         order[place] = elements
         step *= 2
@@ -294,16 +294,15 @@ def sorted_stars(text: np.ndarray, types: Types, cap: int, memory: int = MEMORY)
     if len(names) > INTERNAL and distinct < len(names):
         order, shared = _recurse(names, depth, memory)
     else:
-        order, levels = _sort_names(names, depth)
+        order, levels, agreed = _sort_names(names, depth)
         shared = np.zeros(len(order), np.int64)
-        a, b = order[:-1].copy(), order[1:].copy()
         for k in range(len(levels) - 1, -1, -1):  # names shared by neighbours
+            shared[agreed == k + 1] = 1 << k
+            left = np.flatnonzero(agreed > k + 1)
+            a, b = order[left - 1] + shared[left], order[left] + shared[left]
             inside = np.maximum(a, b) + (1 << k) <= len(names)
-            same = inside.copy()
-            same[inside] = levels[k][a[inside]] == levels[k][b[inside]]
-            a[same] += 1 << k
-            b[same] += 1 << k
-        shared[1:] = a - order[:-1]
+            left, a, b = left[inside], a[inside], b[inside]
+            shared[left[levels[k][a] == levels[k][b]]] += 1 << k
     # in characters: whole pieces, then one by one in the piece that differs
     at = star[order]
     behind = np.append(star, len(text))

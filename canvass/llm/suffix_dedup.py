@@ -285,23 +285,26 @@ class _Shard:
                 yield anchor, digest, np.column_stack([head, tail]).astype("<i8").tobytes()
 
 
-def shared_spans(docs: DataFrame, distinct: DataFrame, length: int = LENGTH, memory: int = induced.MEMORY, step: int = 1) -> DataFrame:
-    """(anchor, digest, spans) of the runs that occur once and share windows with others, by suffix arrays over shards."""
+def shared_spans(
+    docs: DataFrame, distinct: DataFrame, length: int = LENGTH, memory: int = induced.MEMORY, step: int = 1, words: bool = False
+) -> DataFrame:
+    """(anchor, digest, spans) of the runs that occur once and share windows with others, by suffix arrays over shards. With ``words`` the
+    runs are those of the hashes of the texts' words, made for the texts that have such runs."""
     needed = distinct.filter("texts > 1")
     total = needed.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // SHARD))
     where = needed.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "digest", "n", "first", "size")).alias("runs"))  # of one document
 
     def cut(batches):
-        for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
-            flat = batch.column("runs").flatten()
+        for block in cm.text_blocks(batches, "text"):
+            listed = block.rows.column("runs")
+            block = word_block(block) if words else block
+            flat = listed.flatten()
             runs = list(zip(*(flat.field(c).to_pylist() for c in ("anchor", "digest", "n", "first", "size"))))
-            at = np.cumsum([0, *pc.list_value_length(batch.column("runs")).to_pylist()]).tolist()
+            at = np.cumsum([0, *pc.list_value_length(listed).to_pylist()]).tolist()
             # a few MB of runs at a time
             out, held = [], 0
-            for i in range(batch.num_rows):
-                text = texts[i].as_py()
+            for i, text in enumerate(block.texts()):
                 for anchor, digest, n, first, size in runs[at[i] : at[i + 1]]:
                     part = text[first : first + size]
                     out.append((anchor % shards, anchor, digest, n, part))
@@ -400,11 +403,11 @@ def repeated_spans(
     if not 0 < seed <= length:
         raise ValueError("the anchoring string must lie in the window")
     keyed = _keyed(docs, text_col)
-    texts, step = (word_strings(keyed), WORD) if words else (keyed, 1)
+    step = WORD if words else 1
     length, seed = length * step, seed * step
     runs = cm.written(run_table(keyed, length, seed, step, words), "suffix-runs")
     distinct = cm.written(distinct_runs(runs), "suffix-distinct")
-    shared = cm.written(shared_spans(texts, distinct, length, step=step), "suffix-shared")
+    shared = cm.written(shared_spans(keyed, distinct, length, step=step, words=words), "suffix-shared")
     spans = cm.written(covered_spans(runs, distinct, shared), "suffix-spans")
     cm.discard(runs, distinct, shared)
     return keyed, spans

@@ -70,7 +70,7 @@ def test_names_that_differ_are_sorted_once(monkeypatch):
     counted = []
     for name in ("argsort", "unique"):
         monkeypatch.setattr(np, name, lambda x, *a, f=getattr(np, name), **k: counted.append(len(x)) or f(x, *a, **k))
-    order, levels = induced._sort_names(names, 64)
+    order, levels, agreed = induced._sort_names(names, 64)
     monkeypatch.undo()
     assert order.tolist() == sorted(range(5000), key=lambda i: names[i : i + 64].tolist())
     assert sum(counted) < 3 * len(names)
@@ -79,3 +79,6 @@ def test_names_that_differ_are_sorted_once(monkeypatch):
         for place, i in enumerate(order.tolist()):
             first.setdefault(tuple(names[i : i + (1 << k)].tolist()), place)
         assert all(level[i] == first[tuple(names[i : i + (1 << k)].tolist())] for i in range(5000))
+    for k in range(1, 5000):
+        a, b = names[order[k - 1] :].tolist(), names[order[k] :].tolist()
+        assert agreed[k] == sum(len(b) >= 1 << j <= len(a) and a[: 1 << j] == b[: 1 << j] for j in range(len(levels)))
