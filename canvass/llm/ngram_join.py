@@ -295,7 +295,7 @@ def across(prefix_rows: DataFrame, members: DataFrame) -> DataFrame:
     groups = kept.mapInArrow(tokens, "token long, label long")
     groups = groups.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
     groups = groups.groupBy("token").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top")).filter("m > top.m")
-    groups = cm.written(groups.select("token", F.col("top.label").alias("top"), F.col("m").alias("all"), (F.col("m") - F.col("top.m")).alias("few")), "ngram-open")
+    groups = cm.written(_few(groups.select("token", F.col("top.label").alias("top"), F.col("m").alias("all"), (F.col("m") - F.col("top.m")).alias("few"))), "ngram-open")
     lefts = F.ceil(F.col("few") / LEFT)
     rights = F.ceil(F.col("all") / RIGHT)
     # the open tokens go to the tasks while they are few, else the postings to them
@@ -359,6 +359,12 @@ def across(prefix_rows: DataFrame, members: DataFrame) -> DataFrame:
     return cells.mapInArrow(meet, "a long, b long").distinct()
 
 
+def _few(found: DataFrame) -> DataFrame:
+    """What a wide join or count has left, dealt out anew for writing: as many files as its own size asks for, not one for each task of the
+    join. On a local file system each file costs a process or more (``chmod``), which is a fork of the executor."""
+    return found.hint("rebalance")
+
+
 def _ends(table: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     return tuple(table.select(F.col("node").alias(e), *(F.col(c).alias(f"{c}_{e}") for c in columns)) for e in "ab")
 
@@ -373,7 +379,7 @@ def allowed(pairs: DataFrame, short: DataFrame, percent: int = PERCENT) -> DataF
         fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
         fits = fits & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
         found = pairs.join(left, "a").join(right, "b").filter(fits)
-        pairs = cm.written(found.select("a", "b", *(["n_a", "n_b"] if which == "third" else [])), f"ngram-{which}")
+        pairs = cm.written(_few(found.select("a", "b", *(["n_a", "n_b"] if which == "third" else []))), f"ngram-{which}")
     return pairs
 
 
@@ -414,14 +420,14 @@ def similar_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     keys = cm.written(placed.filter("node is not null").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).join(wanted, "node").select("node", "k.k1", "k.k2"), "ngram-keys")
     near = met.filter("fits")
     sets = cm.written(whole_sets(keyed, keys.join(_nodes_of(near), "node").select("k1", "k2"), counts), "ngram-sets")
-    links = cm.written(similar(allowed(near, sets), sets), "ngram-links")
+    links = cm.written(_few(similar(allowed(near, sets), sets)), "ngram-links")
     labels = connected(links, name="ngram-components")
     members = cm.written(short.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "ngram-members")
     open_ = cm.written(across(short, members), "ngram-across")
     new = _nodes_of(open_).join(sets.select("node"), "node", "left_anti")
     more_sets = cm.written(whole_sets(keyed, keys.join(new, "node").select("k1", "k2"), counts), "ngram-sets")
     sets = sets.unionByName(more_sets)
-    more = cm.written(similar(allowed(open_, sets), sets), "ngram-links")
+    more = cm.written(_few(similar(allowed(open_, sets), sets)), "ngram-links")
     cm.discard(sets, short)
     # components of components
     end = lambda c: members.select(F.col("node").alias(c), F.col("label").alias(c + "_label"))

@@ -145,3 +145,18 @@ def test_any_order_puts_every_token_in_one_place():
         part = ngram_join.ordered(tokens[::3], counts, which)
         assert sorted(whole.tolist()) == tokens.tolist()
         assert [t for t in whole.tolist() if t in set(part.tolist())] == part.tolist()
+
+
+def test_few_pairs_of_a_wide_join_are_written_in_few_files(spark):
+    rng = np.random.default_rng(12)
+    tokens = [rng.integers(-(2**62), 2**62, 300).tolist() for _ in range(1000)]
+    sets = spark.createDataFrame([(2 * i + k, 300, t, t, t) for i, t in enumerate(tokens) for k in (0, 1)], "node long, n long, tokens array<long>, second array<long>, third array<long>")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(1000)] + [(i, i + 2) for i in range(500)], "a long, b long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ngram_join.allowed(pairs, sets)
+        rows = sorted(map(tuple, found.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == [(2 * i, 2 * i + 1, 300, 300) for i in range(1000)]
+    assert len(found.inputFiles()) == 1  # 1000 pairs, though the sets they were joined with fill several tasks
