@@ -114,7 +114,7 @@ def logistic_pipeline(
     return Pipeline(stages=stages)
 
 
-#: Bound on the labelled rows that the boosted trees are fitted on (by a hash order); they all fit below it.
+#: Default bound of ``bounded_rows``; no query uses it.
 MAX_FIT_ROWS = 20_000_000
 
 

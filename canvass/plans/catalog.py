@@ -780,8 +780,7 @@ def tree_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, md.FeatureS
 def gbt_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         out, spec = tree_table(spark, sf_dir)
-        train = md.bounded_rows(out.filter(F.col("split") == "train"), "respondent_id")
-        model = boosting.fit(train, boosting.Columns(spec.numeric, spec.categorical, spec.passthrough))
+        model = boosting.fit(out.filter(F.col("split") == "train"), boosting.Columns(spec.numeric, spec.categorical, spec.passthrough))
         return model.score(out.filter(F.col("split") == "test"), "respondent_id")
 
     return fx.materialized(spark, "gbt_predictions", sf_dir, build)

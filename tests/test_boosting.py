@@ -8,6 +8,8 @@ from pyspark import RDD
 from pyspark.sql import functions as F
 
 from canvass.operators import boosting as bo
+from canvass.operators import model as md
+from canvass.plans import catalog
 
 UNIT = 1 << 30
 
@@ -148,3 +150,15 @@ def test_learns_and_scores_unseen_levels_and_empty_tables(spark):
     none = bo.fit(test.limit(0), COLUMNS)
     assert {r.probability for r in none.score(test, "id").collect()} == {0.5}
     assert model.score(test.limit(0), "id").count() == 0
+
+
+def test_the_query_fits_all_training_rows(spark, monkeypatch):
+    df = table(spark, 300).withColumns({"respondent_id": F.col("id"), "split": F.when(F.col("id") % 5 == 0, "test").otherwise("train")})
+    spec = md.FeatureSpec(numeric=["x", "z.z"], categorical=["cat"], passthrough=["flag"])
+    fit, seen = bo.fit, []
+    monkeypatch.setattr(catalog, "tree_table", lambda *_: (df, spec))
+    monkeypatch.setattr(catalog.fx, "materialized", lambda spark, name, sf_dir, build: build())
+    monkeypatch.setattr(bo, "fit", lambda train, columns: seen.append(train.count()) or fit(train, columns, trees=1, depth=2))
+    monkeypatch.setattr(md.bounded_rows, "__defaults__", (50, 42))
+    assert catalog.gbt_predictions(spark, "").count() == 60
+    assert seen == [240]
