@@ -3,15 +3,15 @@
 Features are coded once to at most 255 bins (a missing number is the lowest) and kept in blocks of rows. A tree grows level by level: one
 pass sums gradients, hessians and rows by node, feature and bin, only for the smaller child of each split; the larger one's sums are its
 parent's less those. The sums are added up and searched in the cluster, by groups of features, and stay there for the next level; the driver
-gets each group's best split of each node. Nodes of few rows (``LOCAL_ROWS``) are gathered by node and finished where they lie, all their
-levels in one pass. Gradients are whole numbers of 2**-30, so all sums are exact, and the trees don't depend on how rows are
-dealt to blocks, on the order of sums or on which nodes are finished locally.
+gets each group's best split of each node. Nodes of few rows (``LOCAL_CELLS``) are gathered by node and finished where they lie, all their
+levels in one pass. Tables of so few rows are one block, and a task grows ``REFRESH`` trees on it at a time. Gradients are whole numbers of
+2**-30, so all sums are exact, and the trees don't depend on how rows are dealt to blocks, on the order of sums or on which nodes are finished locally.
 
 A category's number is the rate of the label among the rows of its level that come before the row in a seeded order, so no row
 carries its own label; prefix sums go by buckets of that order, so a frequent level isn't one task. New rows take the rate of all training
 rows of the level.
 
-Margins are renewed and checkpointed every ``REFRESH`` trees; in between, tasks add up the newest trees, so a lost executor costs little.
+Margins are kept with the blocks from tree to tree and checkpointed every ``REFRESH`` trees, so a lost executor costs little.
 """
 
 from __future__ import annotations
@@ -31,8 +31,11 @@ from canvass.session import checkpoint_root, scratch_path
 
 CUTS = 253
 BLOCK_ROWS = 1 << 16
-LOCAL_ROWS = 1 << 16
+#: Rows times features that one task holds, at a byte each; beside them its rows take some 50 bytes each.
+LOCAL_CELLS = 1 << 25
 REFRESH = 25
+#: Rows that are summed at a time, and places of features counted as one.
+SUM_ROWS, JOINT = 1 << 16, 512
 #: Groups of features whose sums are added up and searched apart.
 GROUPS = 8
 UNIT = float(1 << 30)
@@ -91,28 +94,62 @@ class Grower:
     l2: float
 
     def gradients(self, label: np.ndarray, margin: np.ndarray) -> np.ndarray:
-        """Gradient, hessian and 1 of each row, in whole units."""
+        """Gradient and hessian of each row, in whole units."""
         p = 1.0 / (1.0 + np.exp(-margin))
         g = np.rint((p - label) * UNIT).astype(np.int64)
         h = np.maximum(np.rint(p * (1.0 - p) * UNIT), 1.0).astype(np.int64)
-        return np.stack([g, h, np.ones(len(g), np.int64)])
-
-    def sums(self, bins: np.ndarray, grads: np.ndarray, slot: np.ndarray, slots: int) -> np.ndarray:
-        """[slot, bin, 3]: sums of the rows of each slot (-1: none) by feature and bin."""
-        every = int(self.offsets[-1])
-        out = np.zeros((slots * every, 3), np.int64)
-        row = np.flatnonzero(slot >= 0)
-        for lo in range(0, len(row), 8192):
-            part = row[lo : lo + 8192]
-            key = (slot[part, None] * every + self.offsets[None, :-1] + bins[part]).ravel()
-            used, at = np.unique(key, return_inverse=True) if slots * every > 4 * len(key) else (None, key)
-            for c in range(3):  # exact: below 2**53
-                total = np.bincount(at, np.repeat(grads[c, part].astype(np.float64), bins.shape[1]), minlength=0 if used is not None else slots * every)
-                if used is not None:
-                    out[used, c] += total.astype(np.int64)
-                else:
-                    out[:, c] += total.astype(np.int64)
-        return out.reshape(slots, every, 3)
+        return np.stack([g, h])
+
+    def joints(self) -> list[list[int]]:
+        """The features, those of few bins put together: what is counted by all their bins at once gives the sums of each."""
+        size = np.diff(self.offsets)
+        out, few, places = [], [], 1
+        for f in range(len(size)):
+            if size[f] ** 2 > JOINT:
+                out.append([f])
+                continue
+            if few and places * size[f] > JOINT:
+                out.append(few)
+                few, places = [], 1
+            few, places = [*few, f], places * int(size[f])
+        return out + [few] if few else out
+
+    def codes(self, bins: np.ndarray) -> list[np.ndarray]:
+        """Per joint of features each row's place among their bins."""
+        size = np.diff(self.offsets)
+        out = []
+        for joint in self.joints():
+            code = bins[:, joint[0]].astype(np.int16)
+            for f in joint[1:]:
+                code = code * np.int16(size[f]) + bins[:, f]
+            out.append(code)
+        return out
+
+    def sums(self, codes: list[np.ndarray], grads: np.ndarray, slot: np.ndarray | None, slots: int) -> np.ndarray:
+        """[slot, bin, 3]: sums of the rows of each slot (-1: none; no ``slot``: all in one) by feature and bin."""
+        size = np.diff(self.offsets)
+        row = None if slot is None else np.flatnonzero(slot >= 0)
+        n = grads.shape[1] if row is None else len(row)
+        joints = self.joints()
+        shapes = [[int(size[f]) for f in joint] for joint in joints]
+        held = [np.zeros((3, slots * int(np.prod(shape))), np.int64) for shape in shapes]
+        for lo in range(0, n, SUM_ROWS):
+            part = slice(lo, lo + SUM_ROWS) if row is None else row[lo : lo + SUM_ROWS]
+            g, h = (grads[c, part].astype(np.float64) for c in range(2))
+            own = None if row is None else slot[part]
+            for code, total in zip(codes, held):
+                many = total.shape[1]
+                key = code[part].astype(np.int64) if own is None else own * (many // slots) + code[part]
+                for c, weight in enumerate((g, h)):  # exact: below 2**53
+                    total[c] += np.bincount(key, weight, many).astype(np.int64)
+                total[2] += np.bincount(key, minlength=many)
+        out = np.zeros((slots, int(self.offsets[-1]), 3), np.int64)
+        for joint, shape, total in zip(joints, shapes, held):
+            cells = total.reshape(3, slots, *shape)
+            for i, f in enumerate(joint):
+                of = cells.sum(axis=tuple(2 + k for k in range(len(joint)) if k != i)) if len(joint) > 1 else cells
+                out[:, self.offsets[f] : self.offsets[f + 1]] = of.transpose(1, 2, 0)
+        return out
 
     def leaf(self, total: np.ndarray) -> float:
         return -self.rate * (float(total[0]) / UNIT) / (float(total[1]) / UNIT + self.l2)
@@ -154,26 +191,38 @@ class Grower:
         _, tree.feature[node], tree.cut[node], left = found
         return [(2 * node + 1, left), (2 * node + 2, total - left)]
 
-    def finish(self, bins: np.ndarray, grads: np.ndarray, node: int) -> list[tuple[int, int, int, float]]:
-        """The whole subtree of ``node`` from its rows: (node, feature, cut, value)."""
+    def finish(self, bins: np.ndarray, codes: list[np.ndarray], grads: np.ndarray, node: int) -> tuple[Tree, list[int], np.ndarray]:
+        """The whole subtree of ``node`` from its rows: a tree that holds it, its nodes and each row's leaf."""
         tree = Tree.empty(self.depth)
         level = (node + 1).bit_length() - 1
         at = np.full(len(bins), node)
-        open_, hists, made = [node], {node: self.sums(bins, grads, np.zeros(len(bins), np.int64), 1)[0]}, [node]
+        open_, hists, made = [node], {node: self.sums(codes, grads, None, 1)[0]}, [node]
         while open_:
             pairs = [c for n in open_ if (c := self.place(tree, n, self.total(hists[n]), None if level == self.depth else self.best(hists[n])))]
+            if not pairs:
+                break
             feature = tree.feature[at]
-            inner = feature >= 0
-            right = bins[np.arange(len(bins)), np.maximum(feature, 0)] > tree.cut[at]
-            at = np.where(inner, 2 * at + 1 + right, at)
+            row = np.flatnonzero(feature >= 0)
+            here = at[row]
+            at[row] = 2 * here + 1 + (bins[row, feature[row]] > tree.cut[here])
             level += 1
             if level < self.depth:
-                hists = children(pairs, hists, lambda small: self.sums(bins, grads, slots_of(at, small), len(small)))
+                hists = children(pairs, hists, lambda small: self.sums(codes, grads, slots_of(at, small), len(small)))
             else:  # leaves need their own sums only: any one feature's bins hold them
                 hists = {n: self._whole(total) for pair in pairs for n, total in pair}
             open_ = [n for pair in pairs for n, _ in pair]
             made += open_
-        return [(n, int(tree.feature[n]), int(tree.cut[n]), float(tree.value[n])) for n in made]
+        return tree, made, at
+
+    def several(self, block: tuple[np.ndarray, np.ndarray, np.ndarray], trees: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Tree]]:
+        """The next trees of a table that is one block, and the block with its margins after them."""
+        bins, label, margin = block
+        codes, grown = self.codes(bins), []
+        for _ in range(trees):
+            tree, _, at = self.finish(bins, codes, self.gradients(label, margin), 0)
+            margin = margin + tree.value[at]
+            grown.append(tree)
+        return bins, label, margin, grown
 
     def _whole(self, total: np.ndarray) -> np.ndarray:
         hist = np.zeros((int(self.offsets[-1]), 3), np.int64)
@@ -208,25 +257,24 @@ def children(pairs, hists, count) -> dict[int, np.ndarray]:
     return with_others(count([n for n, _ in ordered]), ordered, hists)
 
 
-def grow(state: RDD, blocks: int, rows: int, grower: Grower, newest: list[Tree], local_rows: int) -> Tree:
-    """One tree from the blocks (bins, label, margin as of before the ``newest`` trees)."""
+def grow(state: RDD, blocks: int, grower: Grower, local_rows: int) -> Tree:
+    """One tree from the blocks (bins, label, margin)."""
     tree = Tree.empty(grower.depth)
     groups = grower.groups()
     dealt = len(groups) - 1
 
     def current(block):
         bins, label, margin = block
-        for t in newest:
-            margin = margin + t.values(bins)
         return bins, grower.gradients(label, margin)
 
     def level_sums(pairs: list[tuple[int, int]], parents: RDD | None) -> RDD:
         """(group of features, node -> its sums by bin) of the root, or of all ``pairs`` of nodes, smaller ones first; their parents' are held."""
-        nodes = [n for n, _ in pairs] if parents else [0]
+        nodes = [n for n, _ in pairs]
 
         def run(block):
             bins, grads = current(block)
-            hists = grower.sums(bins, grads, slots_of(tree.nodes(bins), nodes), len(nodes))
+            slot = slots_of(tree.nodes(bins), nodes) if nodes else None
+            hists = grower.sums(grower.codes(bins), grads, slot, max(1, len(nodes)))
             for g in range(dealt):
                 yield g, hists[:, grower.offsets[groups[g]] : grower.offsets[groups[g + 1]]]
 
@@ -261,14 +309,16 @@ def grow(state: RDD, blocks: int, rows: int, grower: Grower, newest: list[Tree],
             bins, grads = current(block)
             slot = slots_of(tree.nodes(bins), nodes)
             for i, n in enumerate(nodes):
-                own = slot == i
-                if own.any():
-                    yield n, (bins[own], grads[:, own])
+                own = np.flatnonzero(slot == i)
+                if len(own):  # gradients and hessians are at most 2**30
+                    yield n, (bins[own], grads[:, own].astype(np.int32))
 
         def build(item):
             n, parts = item
             parts = list(parts)
-            return grower.finish(np.concatenate([b for b, _ in parts]), np.concatenate([g for _, g in parts], axis=1), n)
+            bins = np.concatenate([b for b, _ in parts])
+            tree, made, _ = grower.finish(bins, grower.codes(bins), np.concatenate([g for _, g in parts], axis=1), n)
+            return [(n, int(tree.feature[n]), int(tree.cut[n]), float(tree.value[n])) for n in made]
 
         found = state.flatMap(rows_of)
         # rows of one block lie together already
@@ -276,9 +326,6 @@ def grow(state: RDD, blocks: int, rows: int, grower: Grower, newest: list[Tree],
         for n, feature, cut, value in gathered.flatMap(build).collect():
             tree.feature[n], tree.cut[n], tree.value[n] = feature, cut, value
 
-    if rows <= local_rows:
-        finish([0])
-        return tree
     small: list[int] = []
     open_, pairs, held = [(0, None)], [], None
     for level in range(grower.depth + 1):
@@ -391,7 +438,7 @@ def _cut_points(coded: DataFrame, columns: Columns) -> list[np.ndarray]:
 
 def fit(
     train: DataFrame, columns: Columns, trees: int = fixed.TREES, rate: float = fixed.LEARNING_RATE, depth: int = fixed.DEPTH, seed: int = fixed.SEED, l2: float = L2,
-    block_rows: int = BLOCK_ROWS, local_rows: int = LOCAL_ROWS,
+    block_rows: int = BLOCK_ROWS, local_rows: int | None = None,
 ) -> Model:
     """Fit ``trees`` trees of ``depth`` to the 0/1 label (rows without one take no part). An empty table gives a model that says 1/2."""
     spark = train.sparkSession
@@ -420,8 +467,10 @@ def fit(
                 yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary()), pa.array([labels[lo : lo + block_rows].astype("<f8").tobytes()], pa.binary())], names=["bins", "label"])
 
     width = len(cuts)
-    parts = -(-n // block_rows)
-    packed = coded.select("__y", "__x").repartition(parts).mapInArrow(pack, "bins binary, label binary")
+    local_rows = LOCAL_CELLS // width if local_rows is None else local_rows
+    one = n <= local_rows
+    values = coded.select("__y", "__x")
+    packed = (values if one else values.repartition(-(-n // block_rows))).mapInArrow(pack, "bins binary, label binary")
 
     def block(r):
         label = np.frombuffer(r["label"], "<f8")
@@ -437,27 +486,30 @@ def fit(
         rdd.checkpoint()
         return rdd
 
-    state = kept(packed.rdd.map(block).mapPartitions(join))
-    blocks = state.count()
     offsets = np.concatenate([[0], np.cumsum([len(c) + 2 for c in cuts])])
     grower = Grower(offsets, depth, rate, l2)
-    newest: list[Tree] = []
-    for _ in range(trees):
-        if len(newest) == REFRESH:
-            done = newest
+    if one:
+        state = packed.repartition(1).rdd.map(block).mapPartitions(join)
+        for done in range(0, trees, REFRESH):
+            many = min(REFRESH, trees - done)
+            grown = kept(state.map(lambda b, many=many: grower.several(b[:3], many)))
+            model.trees += grown.flatMap(lambda b: b[3]).collect()
+            state.unpersist()
+            state = grown
+        state.unpersist()
+        return model
 
-            def renew(b, done=done):
-                bins, label, margin = b
-                for t in done:
-                    margin = margin + t.values(bins)
-                return bins, label, margin
+    def renewed(tree: Tree):
+        return lambda b: (b[0], b[1], b[2] + tree.values(b[0]))
 
-            renewed = kept(state.map(renew))
-            renewed.count()
-            state.unpersist()
-            state, newest = renewed, []
-        tree = grow(state, blocks, n, grower, newest, local_rows)
-        newest.append(tree)
-        model.trees.append(tree)
+    state = kept(packed.rdd.map(block).mapPartitions(join))
+    blocks, older = state.count(), None
+    for _ in range(trees):
+        if model.trees:
+            older, state = state, state.map(renewed(model.trees[-1]))
+            state = kept(state) if len(model.trees) % REFRESH == 0 else state.persist(StorageLevel.MEMORY_AND_DISK)
+        model.trees.append(grow(state, blocks, grower, local_rows))
+        if older:
+            older.unpersist()
     state.unpersist()
     return model

@@ -162,3 +162,37 @@ def test_the_query_fits_all_training_rows(spark, monkeypatch):
     monkeypatch.setattr(md.bounded_rows, "__defaults__", (50, 42))
     assert catalog.gbt_predictions(spark, "").count() == 60
     assert seen == [240]
+
+
+def test_a_small_table_takes_one_job_for_many_trees(spark, monkeypatch):
+    df, taken, collect = table(spark, 150), [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda rdd: taken.append(1) or collect(rdd))
+    model = bo.fit(df, COLUMNS, trees=bo.REFRESH + 3, depth=2)
+    assert len(model.trees) == bo.REFRESH + 3 and len(taken) == 2
+
+
+def test_margins_stay_with_the_blocks_of_a_large_table(spark, monkeypatch):
+    df = table(spark, 200)
+    want = [nested(t) for t in bo.fit(df, COLUMNS, trees=7, depth=2).trees]
+    monkeypatch.setattr(bo, "REFRESH", 2)
+    monkeypatch.setattr(bo, "LOCAL_CELLS", 40)
+    assert [nested(t) for t in bo.fit(df, COLUMNS, trees=7, depth=2, block_rows=60).trees] == want
+
+
+def test_features_counted_together_give_the_sums_of_each(monkeypatch):
+    monkeypatch.setattr(bo, "SUM_ROWS", 70)
+    rng = np.random.default_rng(3)
+    size = np.array([255, 3, 7, 3, 255, 3, 3, 3, 3, 3, 22, 2])
+    grower = bo.Grower(np.concatenate([[0], np.cumsum(size)]), 3, 0.1, 3.0)
+    assert sorted(f for joint in grower.joints() for f in joint) == list(range(len(size))) and len(grower.joints()) == 5
+    bins = np.stack([rng.integers(0, s, 300) for s in size], axis=1).astype(np.uint8)
+    grads = rng.integers(-UNIT, UNIT, (2, 300))
+    slot = rng.integers(-1, 2, 300)
+    for slots, at in ((1, None), (2, slot)):
+        want = np.zeros((slots, size.sum(), 3), np.int64)
+        for i in range(300):
+            s = 0 if at is None else at[i]
+            for f in range(len(size)):
+                if s >= 0:
+                    want[s, grower.offsets[f] + bins[i, f]] += (*grads[:, i], 1)
+        assert (grower.sums(grower.codes(bins), grads, at, slots) == want).all()
