@@ -33,8 +33,9 @@ COUNTERS_BITS = 20
 SLICES = 32
 #: Members of a token on either side of a cell.
 LEFT, RIGHT = 256, 1 << 16
-#: Open tokens (32 bytes each) that are broadcast; beyond, they are joined.
+#: Open tokens (32 bytes each) that are broadcast; beyond, they are joined, with the postings that pass a filter of 2**FILTER_BITS bits.
 OPEN_TOKENS = 1_000_000
+FILTER_BITS = 27
 #: Bits of a set's parity bitmap.
 PARITY_BITS = 512
 #: Tokens before its own that a posting carries.
@@ -264,10 +265,50 @@ def stars(prefix_rows: DataFrame) -> DataFrame:
     return sent.mapInArrow(merge, "a long, b long, fits boolean").groupBy("a", "b").agg(F.max("fits").alias("fits"))
 
 
+def _filter_places(token: np.ndarray) -> np.ndarray:
+    """The two bits of each token in the filter of open tokens."""
+    mixed = cm.mix64(token.view(_U) + _TURN[14])
+    return np.stack([mixed >> _U(64 - FILTER_BITS), mixed & _U((1 << FILTER_BITS) - 1)]).astype(np.int64)
+
+
+def open_filter(tokens: DataFrame) -> np.ndarray:
+    """Bits (packed, of a fixed number) that all ``tokens`` and few others have set; put together by ranges of bits in the cluster."""
+    spark = tokens.sparkSession
+    part = (1 << FILTER_BITS) // SLICES
+
+    def places(batches):
+        for batch in batches:
+            at = np.unique(_filter_places(batch.column(0).to_numpy()))
+            ends = np.searchsorted(at, np.arange(SLICES + 1) * part)
+            rows = [(at[i:j] % part).astype(np.uint32).tobytes() for i, j in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(rows, pa.binary())], names=["slice", "bits"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total.setdefault(s, np.zeros(part, bool))[np.frombuffer(at, np.uint32)] = True
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.packbits(x).tobytes() for x in total.values()], pa.binary())], names=["slice", "bits"])
+
+    packed = "slice int, bits binary"
+    out = np.zeros((SLICES, part // 8), np.uint8)
+    found = tokens.select("token").mapInArrow(places, packed)
+    for r in found.repartition(min(SLICES, cm.shuffle_width(spark)), "slice").mapInArrow(add, packed).collect():  # a row for each slice
+        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _may_be_open(token: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = _filter_places(token)
+    return ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+
+
 def across(prefix_rows: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b): members of a token that are in different components (``prefix_rows``: different sets; ``members``: node, label), where sizes and places allow
     the similarity. In each token's group the largest component stays on one side: the others meet it and each other."""
     spark = prefix_rows.sparkSession
+    sent = None
 
     def spread(batches):
         for batch in batches:
@@ -280,9 +321,13 @@ def across(prefix_rows: DataFrame, members: DataFrame) -> DataFrame:
                 for k in range(1, BEFORE + 1):
                     before[k:, k - 1] = np.where(place[k:] >= k, token[:-k], 0)
                 parities = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.int64).reshape(part.num_rows, -1)
-                both = np.concatenate([np.repeat(parities, many, axis=0), before], axis=1)
-                bits = cm.binaries(both.reshape(-1), np.arange(len(token) + 1) * both.shape[1])
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (token, node, label, n, place)), bits], names=["token", "node", "label", "n", "place", "bits"])
+                columns, row = (token, node, label, n, place), np.repeat(np.arange(part.num_rows), many)
+                if sent is not None:
+                    few = np.flatnonzero(_may_be_open(token, sent.value))
+                    columns, row, before = tuple(x[few] for x in columns), row[few], before[few]
+                both = np.concatenate([parities[row], before], axis=1)
+                bits = cm.binaries(both.reshape(-1), np.arange(len(both) + 1) * both.shape[1])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), bits], names=["token", "node", "label", "n", "place", "bits"])
 
     def tokens(batches):
         for batch in batches:
@@ -291,15 +336,18 @@ def across(prefix_rows: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(_postings(batch)[0]), pa.array(label)], names=["token", "label"])
 
     kept = prefix_rows.join(members, "node").select("node", "label", "n", "prefix", "bits")
-    rows = kept.mapInArrow(spread, "token long, node long, label long, n long, place long, bits binary")
     groups = kept.mapInArrow(tokens, "token long, label long")
     groups = groups.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
     groups = groups.groupBy("token").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top")).filter("m > top.m")
     groups = cm.written(_few(groups.select("token", F.col("top.label").alias("top"), F.col("m").alias("all"), (F.col("m") - F.col("top.m")).alias("few"))), "ngram-open")
     lefts = F.ceil(F.col("few") / LEFT)
     rights = F.ceil(F.col("all") / RIGHT)
-    # the open tokens go to the tasks while they are few, else the postings to them
-    both = rows.join(F.broadcast(groups) if groups.count() <= OPEN_TOKENS else groups, "token")
+    # the open tokens go to the tasks while they are few, else the postings to them: with their bitmaps these are many times the texts, so first
+    # those of other tokens (nearly all) are left out
+    few = groups.count() <= OPEN_TOKENS
+    sent = None if few else spark.sparkContext.broadcast(open_filter(groups))
+    rows = kept.mapInArrow(spread, "token long, node long, label long, n long, place long, bits binary")
+    both = rows.join(F.broadcast(groups) if few else groups, "token")
     spot = F.xxhash64("node")
     left = both.filter("label != top").select(
         "token", F.pmod(spot, lefts).alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"), F.lit(False).alias("right"), "node", "label", "n", "place", "top", "bits"

@@ -160,3 +160,35 @@ def test_few_pairs_of_a_wide_join_are_written_in_few_files(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert rows == [(2 * i, 2 * i + 1, 300, 300) for i in range(1000)]
     assert len(found.inputFiles()) == 1  # 1000 pairs, though the sets they were joined with fill several tasks
+
+
+def test_only_postings_of_open_tokens_are_joined_where_these_are_many(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(1, 2**62, 100)).astype(np.uint64) for _ in range(200)]
+    sets += [np.concatenate([s[:95], rng.integers(1, 2**62, 5).astype(np.uint64)]) for s in sets[:10]]
+    rows = [(i, len(s), bytearray(s[:21].tobytes()), bytearray(ngram_join.parity(s))) for i, s in enumerate(sets)]
+    prefixes = spark.createDataFrame(rows, "node long, n long, prefix binary, bits binary")
+    members = spark.createDataFrame([(i, i) for i in range(len(sets))], "node long, label long")
+    want = sorted(map(tuple, ngram_join.across(prefixes, members).collect()))
+    assert want == [(i, 200 + i) for i in range(10)]
+    joined, join = [], DataFrame.join
+
+    def counted(self, other, on=None, how=None):
+        if on == "token":
+            joined.append(self.count())
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(DataFrame, "join", counted)
+    monkeypatch.setattr(ngram_join, "OPEN_TOKENS", 0)
+    assert sorted(map(tuple, ngram_join.across(prefixes, members).collect())) == want
+    assert joined == [2 * 10 * 21]  # of 4410
+
+
+def test_the_filter_of_open_tokens_holds_all_and_few_others(spark):
+    tokens = np.random.default_rng(6).integers(-(2**63), 2**63 - 1, 30_000)
+    df = spark.createDataFrame([(int(t), 1) for t in tokens[:3000]], "token long, m long").repartition(3)
+    bits = ngram_join.open_filter(df)
+    assert len(bits) == 1 << (ngram_join.FILTER_BITS - 3)
+    assert ngram_join._may_be_open(tokens[:3000], bits).all()
+    assert ngram_join._may_be_open(tokens[3000:], bits).sum() < 20
+    assert not ngram_join.open_filter(df.limit(0)).any()
